@@ -115,20 +115,27 @@ def row_of(first: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
+_powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers 0 to n, and those of its inverse; kept for the next call."""
+    if len(_powers["up"]) <= n:
+        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
+            x = np.full(n + (n >> 2) + 1, base, U64)
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+            _powers[name] = x
+    return _powers["up"], _powers["down"]
+
+
 class Rolling:
     """Fingerprints of any stretch of a sequence, from prefix sums of a polynomial modulo 2**64."""
 
     def __init__(self, values: np.ndarray):
-        n = len(values)
-        powers = np.full(n + 1, _BASE, U64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        inverse = np.full(n + 1, _BASE_INVERSE, U64)
-        inverse[0] = 1
-        np.multiply.accumulate(inverse, out=inverse)
-        self.inverse = inverse
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(values * powers[:n], out=self.sums[1:])
+        up, self.inverse = _power(len(values))
+        self.sums = np.zeros(len(values) + 1, U64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.sums[stop] - self.sums[start]) * self.inverse[start] + (stop - start).astype(U64))

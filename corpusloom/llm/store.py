@@ -11,6 +11,7 @@ import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,20 @@ def documents(frame: DataFrame) -> DataFrame:
     return frame.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, ARROW[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def table_rows(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
+    """A batch from tuples."""
+    schema = arrow_schema(ddl)
+    columns = zip(*rows, strict=True) if rows else ([] for _ in schema)
+    return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def pack(**arrays: np.ndarray) -> bytes:
     """Arrays of one length in one blob, byte planes first, compressed."""
     head, body = [], []
