@@ -68,6 +68,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_decontamination, op6_token_counts, op7_suffix_array_dedup, op8_sharding, op9_quality_classifier)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linejoin import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_decontamination, op6_token_counts, op7_suffix_array_dedup, op8_sharding, op9_quality_classifier, op10_line_dedup)}
 
 ORACLES: dict[str, str] = {}
