@@ -38,6 +38,8 @@ FLUSH = 24 << 20
 TAG_BITS, LINE_BITS = 38, 18
 #: Candidates that a line verifies per list in the first round, and lines of a list that are tried for that.
 FIRST, TRIED = 3, 64
+#: Pairs that a task holds before it sends them.
+SENT = 1 << 20
 POSTED, ASKING, PAIR, SET = 3, 4, 5, 6
 SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
 
@@ -110,7 +112,7 @@ def prefixes(raw: np.ndarray, at: np.ndarray, rarity: Rarity, like: Lines) -> It
         yield {"token": token[keep], "nth": nth[keep], "row": row[lines], "line": place[lines], "size": size[which], "sig": sig[which], "content": content[which]}
 
 
-def postings(docs: DataFrame, rarity: Rarity, like: Lines, n_parts: int) -> DataFrame:
+def postings(docs: DataFrame, rarity: Rarity, like: Lines, n_parts: int, buckets: int) -> DataFrame:
     def flush(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         order = np.lexsort((x["nth"], x["line"], x["doc"], x["size"], x["content"]))
@@ -120,7 +122,7 @@ def postings(docs: DataFrame, rarity: Rarity, like: Lines, n_parts: int) -> Data
         begin = np.flatnonzero(group)[np.cumsum(group) - 1]
         copy = (x["doc"] != x["doc"][begin]) | (x["line"] != x["line"][begin])
         lone = copy & (x["nth"] == 0)
-        out = [(int(p), COVERED, b) for p, b in lines_to(x["doc"][lone], n_parts, doc=x["doc"][lone], line=x["line"][lone].astype(np.int64))]
+        out = [(int(p), COVERED, b) for p, b in lines_to(x["doc"][lone], buckets, doc=x["doc"][lone], line=x["line"][lone].astype(np.int64))]
         out += post({k: v[~copy] for k, v in x.items()}, n_parts, POSTED)
         return table_rows(BLOBS, out)
 
@@ -177,10 +179,16 @@ def _alike(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int)
     return ok & (np.bitwise_count((x["sig"][i] ^ x["sig"][j]).view(U64)) <= m + n - 2 * want)
 
 
-def pairs(like: Lines, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def pairs(like: Lines, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Candidate pairs of each part's lists, sent to the earlier line's document."""
 
+    def send(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        return table_rows(BLOBS, [(p, PAIR, b) for p, b in lines_to(x["doc"], buckets, **x)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
         for _, rows in grouped(batches):
             posted: list[dict[str, np.ndarray]] = []
             asking: list[dict[str, np.ndarray]] = []
@@ -192,48 +200,64 @@ def pairs(like: Lines, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             x = {k: np.concatenate([p[k] for p in posted]) for k in posted[0]}
             order = np.lexsort((x["line"], x["doc"], x["token"]))
             x = {k: v[order] for k, v in x.items()}
-            new = first_of(x["token"])
-            begin = np.flatnonzero(new)
-            place = np.arange(len(new)) - begin[np.cumsum(new) - 1]
-            some, left, more = [], [], []
-            if asking:
-                y = {k: np.concatenate([a[k] for a in asking]) for k in asking[0]}
-                end = np.append(begin[1:], len(new))
-                at = np.searchsorted(x["token"][begin], y["token"])
-                for k in range(len(y["token"])):
-                    i, j = begin[at[k]], end[at[k]]
-                    me = i + int(np.searchsorted(x["doc"][i:j], y["doc"][k]))
-                    while me < j and x["line"][me] != y["line"][k]:
-                        me += 1
-                    earlier = np.arange(i, me)
-                    ok = _alike(x, earlier, np.full(len(earlier), me), like.percent)
-                    some.append(earlier[ok])
-                    left.append(np.full(int(ok.sum()), me))
-                    more.append(np.zeros(int(ok.sum()), np.int64))
-            else:
-                found = np.zeros(len(new), np.int64)
-                j = np.flatnonzero(place > 0)
-                for hub in range(TRIED):
-                    j = j[(place[j] > hub) & (found[j] < FIRST)]
-                    if not len(j):
-                        break
-                    i = j - place[j] + hub
-                    ok = _alike(x, i, j, like.percent) & ((x["doc"][i] != x["doc"][j]) | (x["line"][i] != x["line"][j]))
-                    found[j[ok]] += 1
-                    some.append(i[ok])
-                    left.append(j[ok])
-                    more.append((place[j[ok]] > hub + 1).astype(np.int64))
-                rest = np.flatnonzero((place > TRIED) & (found == 0))  # no candidate yet, though the list goes on
-                some.append(rest - place[rest])
-                left.append(rest)
-                more.append(np.ones(len(rest), np.int64))
-            i, j, m = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (some, left, more))
+            i, j, more = _rest(x, asking, like.percent) if asking else _first(x, like.percent)
             if len(i):
-                yield table_rows(BLOBS, [(p, PAIR, b) for p, b in lines_to(x["doc"][i], n_parts, doc=x["doc"][i], line=x["line"][i], to=x["doc"][j], at=x["line"][j], more=m)])
+                held.append({"doc": x["doc"][i], "line": x["line"][i], "to": x["doc"][j], "at": x["line"][j], "more": more})
+                size += len(i)
+            if size >= SENT:
+                yield send(held)
+                held, size = [], 0
+        if held:
+            yield send(held)
 
     return run
 
 
+def _first(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each line of each list its first few candidates: earlier line, line, and whether the list may hold more."""
+    new = first_of(x["token"])
+    begin = np.flatnonzero(new)
+    place = np.arange(len(new)) - begin[np.cumsum(new) - 1]
+    some, left, more = [], [], []
+    found = np.zeros(len(new), np.int64)
+    j = np.flatnonzero(place > 0)
+    for hub in range(TRIED):
+        j = j[(place[j] > hub) & (found[j] < FIRST)]
+        if not len(j):
+            break
+        i = j - place[j] + hub
+        ok = _alike(x, i, j, percent) & ((x["doc"][i] != x["doc"][j]) | (x["line"][i] != x["line"][j]))
+        found[j[ok]] += 1
+        some.append(i[ok])
+        left.append(j[ok])
+        more.append((place[j[ok]] > hub + 1).astype(np.int64))
+    rest = np.flatnonzero((place > TRIED) & (found == 0))  # no candidate yet, though the list goes on
+    some.append(rest - place[rest])
+    left.append(rest)
+    more.append(np.ones(len(rest), np.int64))
+    return np.concatenate(some), np.concatenate(left), np.concatenate(more)
+
+
+def _rest(x: dict[str, np.ndarray], asking: list[dict[str, np.ndarray]], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each line that asks all its candidates."""
+    y = {k: np.concatenate([a[k] for a in asking]) for k in asking[0]}
+    begin = np.flatnonzero(first_of(x["token"]))
+    end = np.append(begin[1:], len(x["token"]))
+    at = np.searchsorted(x["token"][begin], y["token"])
+    some, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(len(y["token"])):
+        i, j = begin[at[k]], end[at[k]]
+        me = i + int(np.searchsorted(x["doc"][i:j], y["doc"][k]))
+        while me < j and x["line"][me] != y["line"][k]:
+            me += 1
+        earlier = np.arange(i, me)
+        earlier = earlier[_alike(x, earlier, np.full(len(earlier), me), percent)]
+        some.append(earlier)
+        left.append(np.full(len(earlier), me))
+    i = np.concatenate(some)
+    return i, np.concatenate(left), np.zeros(len(i), np.int64)
+
+
 def _line_sets(text: bytes, lines: np.ndarray) -> dict[int, np.ndarray]:
     """Token sets of some lines of a text."""
     raw = np.frombuffer(text, np.uint8)
@@ -278,7 +302,7 @@ def _sets(blob: bytes) -> dict[str, np.ndarray]:
     return {"doc": x["doc"], "line": x["line"], "more": x["more"], "set": sets}
 
 
-def send_sets(n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def send_sets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The earlier lines' token sets, to the later lines' documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +311,7 @@ def send_sets(n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
         def flush() -> pa.RecordBatch:
             doc = np.array([h[0] for h in held], np.int64)
-            bucket = buckets_of(doc, n_parts)
+            bucket = buckets_of(doc, buckets)
             out = []
             order = np.argsort(bucket, kind="stable")
             for i, j in stretches(first_of(bucket[order])):
@@ -319,7 +343,7 @@ def send_sets(n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def compare(rarity: Rarity, like: Lines, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def compare(rarity: Rarity, like: Lines, n_parts: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Lines that are similar to an earlier one; and postings of those that must look further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,29 +374,29 @@ def compare(rarity: Rarity, like: Lines, n_parts: int) -> Callable[[Iterator[pa.
                     keep = np.isin(p["line"], further)
                     yield table_rows(BLOBS, post({k: v[keep] for k, v in p.items()}, n_parts, ASKING))
             if len(gone) >= 1 << 16:
-                yield table_rows(BLOBS, _gone(gone, n_parts))
+                yield table_rows(BLOBS, _gone(gone, buckets))
                 gone = []
         if gone:
-            yield table_rows(BLOBS, _gone(gone, n_parts))
+            yield table_rows(BLOBS, _gone(gone, buckets))
 
     return run
 
 
-def _gone(gone: list[tuple[int, int]], n_parts: int) -> list[tuple[int, int, bytes]]:
+def _gone(gone: list[tuple[int, int]], buckets: int) -> list[tuple[int, int, bytes]]:
     doc, line = (np.array(c, np.int64) for c in zip(*gone, strict=True))
-    return [(p, COVERED, b) for p, b in lines_to(doc, n_parts, doc=doc, line=line)]
+    return [(p, COVERED, b) for p, b in lines_to(doc, buckets, doc=doc, line=line)]
 
 
-def removed_lines(docs: DataFrame, like: Lines, scratch: Scratch, n_parts: int, n: int) -> DataFrame:
+def removed_lines(docs: DataFrame, like: Lines, scratch: Scratch, n_parts: int, buckets: int, n: int) -> DataFrame:
     """Rows of kind COVERED: the removed lines, in their documents' buckets."""
     rarity = count_tokens(docs, scratch)
-    posted = scratch.save(postings(docs, rarity, like, n_parts), "postings")
+    posted = scratch.save(postings(docs, rarity, like, n_parts, buckets), "postings")
     lists = posted.where(F.col("kind") == POSTED)
 
     def verify(found: DataFrame, name: str) -> DataFrame:
-        found = scratch.save(found.mapInArrow(pairs(like, n_parts), BLOBS), f"{name}-pairs")
-        sets = scratch.save(meet(found, docs, n_parts, n).mapInArrow(send_sets(n_parts), BLOBS), f"{name}-sets")
-        return scratch.save(meet(sets, docs, n_parts, n).mapInArrow(compare(rarity, like, n_parts), BLOBS), f"{name}-verified")
+        found = scratch.save(found.mapInArrow(pairs(like, buckets), BLOBS), f"{name}-pairs")
+        sets = scratch.save(meet(found, docs, buckets, n).mapInArrow(send_sets(buckets), BLOBS), f"{name}-sets")
+        return scratch.save(meet(sets, docs, buckets, n).mapInArrow(compare(rarity, like, n_parts, buckets), BLOBS), f"{name}-verified")
 
     first = verify(by_part(lists, n), "first")
     gone = posted.where(F.col("kind") == COVERED).unionByName(first.where(F.col("kind") == COVERED))
@@ -390,8 +414,9 @@ def _kept(docs: DataFrame, like: Lines, finish: Callable[[int, int, int, bytes],
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_parts = parts(docs, 1 << 20, least=8 * n)
-    gone = removed_lines(docs, like, scratch, n_parts, n)
+    n_parts = parts(docs, 4 << 20, least=4 * n)
+    buckets = 2 * n
+    gone = removed_lines(docs, like, scratch, n_parts, buckets, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -412,7 +437,7 @@ def _kept(docs: DataFrame, like: Lines, finish: Callable[[int, int, int, bytes],
         if out:
             yield table_rows(schema, out)
 
-    return meet(gone, docs, n_parts, n).mapInArrow(run, schema)
+    return meet(gone, docs, buckets, n).mapInArrow(run, schema)
 
 
 def dedup_lines(docs: DataFrame, like: Lines | None = None) -> DataFrame:

@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, like: Similarity | None = None) -> DataFram
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_parts = parts(docs, 1 << 20, least=8 * n)
+    n_parts = parts(docs, 4 << 20, least=4 * n)
 
     marked = scratch.save(sketches(docs, like), "sketches")
     classes = scratch.save(marked.where("n > 0").groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
