@@ -25,7 +25,7 @@ def test_regex():
     assert compile_token(r"\bx", regex=True).warns_ascii
     with pytest.raises(QueryError):
         compile_token("(", regex=True)
-    assert java(r"[$\s]é$") == r"[$\s\p{Z}\x{FEFF}]\x{00e9}\z"
+    assert java("[$\\s]\\u00e9$") == r"[$\s\p{Z}\x{FEFF}]\x{00e9}\z"
     assert java(r"\p{Script=Latin}") == r"\p{IsLatin}"
 
 
