@@ -7,8 +7,8 @@ as fingerprints of its anchor and of its content, its document and its place, pa
 fingerprints' range.
 
 A part holds all runs of its anchors. Runs of equal content are settled there and then. Only where one anchor has
-several contents, at the ends of repeated passages, single windows are looked up, by their own fingerprints, from
-the text. Both answers meet the text again by document.
+several contents whose neighbourhood on one side agrees, at the ends of repeated passages, single windows are looked
+up, by their own fingerprints, from the text. Both answers meet the text again by document.
 
 Within a slice, copies of a run are settled before anything is sent, so that a passage that a third of all documents
 share costs a row for each slice and not for each document.
@@ -32,7 +32,7 @@ SEGMENT = 1 << 18
 PLACE_BITS = 28
 #: Units that a task holds before it sends what it found.
 FLUSH = 24 << 20
-ANCHOR_SHIFT, CONTENT_MASK = U64(16), U64((1 << 48) - 1)
+ANCHOR_SHIFT, CONTENT_MASK = U64(16), U64((1 << 32) - 1)
 
 Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 #: Sorted runs of one part -> (runs that are covered, runs whose windows must be looked up, of those the ones that ask)
@@ -70,9 +70,44 @@ def runs(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> Iterat
         begin = np.flatnonzero(new)
         n = np.diff(np.append(begin, len(live)))
         start, at = live[begin], anchor[begin]
-        content = mix(rolling.of(start, start + n + window - 1) ^ (at - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        stop = start + n + window - 1
+        content = mix(rolling.of(start, stop) ^ (at - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        half = (window - gram + 1) // 2
+        left, right = np.zeros(len(at), np.uint16), np.zeros(len(at), np.uint16)
+        ok = np.flatnonzero(at - start >= half)
+        left[ok] = 1 + (rolling.of(at[ok] - half, at[ok]) % U64(65535)).astype(np.uint16)
+        ok = np.flatnonzero(stop - at - gram >= half)
+        right[ok] = 1 + (rolling.of(at[ok] + gram, at[ok] + gram + half) % U64(65535)).astype(np.uint16)
         r = own[start]
-        yield {"anchor": anchors[at], "content": content & CONTENT_MASK, "row": r, "start": start + low - first[r], "n": n}
+        # Anchors are the smallest of many fingerprints; mixed again they spread evenly over the parts.
+        yield {"anchor": mix(anchors[at] ^ _BASE_ANCHOR), "content": content & CONTENT_MASK, "left": left, "right": right, "row": r, "start": start + low - first[r], "n": n}
+
+
+_BASE_ANCHOR = U64(0xA0761D6478BD642F)
+
+
+def sides_shared(x: dict[str, np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Runs that may share a window with a run of other content at their anchor.
+
+    A shared window reaches half of what it has beside the anchor to one side at least, so it shows in the tag of that
+    side. low, high: what must differ between two runs, as the least and the greatest of it for each run.
+    """
+    out = np.zeros(len(x["anchor"]), bool)
+    for side in ("left", "right"):
+        order = np.lexsort((x[side], x["anchor"]))
+        new = first_of(x["anchor"][order], x[side][order])
+        begin = np.flatnonzero(new)
+        if not len(begin):
+            continue
+        group = np.cumsum(new) - 1
+        least, most = np.minimum.reduceat(low[order], begin)[group], np.maximum.reduceat(high[order], begin)[group]
+        out[order] |= (least != most) & (x[side][order] > 0)
+    return out
+
+
+def identity(x: dict[str, np.ndarray]) -> np.ndarray:
+    """What stands for a run's content: its fingerprint and the tags of both sides, 64 bits."""
+    return x["content"].astype(U64) << U64(32) | x["left"].astype(U64) << U64(16) | x["right"].astype(U64)
 
 
 def first_of(*keys: np.ndarray) -> np.ndarray:
@@ -141,7 +176,7 @@ def by_part(frame: DataFrame, n: int) -> DataFrame:
     return frame.repartition(n, "part").sortWithinPartitions("part", "kind")
 
 
-def _send_runs(spec: Spec, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _send_runs(spec: Spec, n_parts: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def flush(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         order = np.lexsort((x["doc"], x["content"], x["anchor"]))
@@ -154,12 +189,12 @@ def _send_runs(spec: Spec, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]],
         else:  # a run with another copy in this slice is settled; one copy goes on as a witness
             many = (np.bincount(group)[group] > 1).astype(np.uint8)
             done, keep = many > 0, new
-        out = list(spans(COVERED, x["doc"][done], x["start"][done], (x["n"] + spec.window - 1)[done], n_parts))
+        out = list(spans(COVERED, x["doc"][done], x["start"][done], (x["n"] + spec.window - 1)[done], buckets))
         x = {k: v[keep] for k, v in x.items()} | {"many": many[keep]}
         part = ((x["anchor"] >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
         short = x["anchor"] >> ANCHOR_SHIFT
         for i, j in stretches(first_of(part)):
-            out.append((int(part[i]), RUNS, pack(anchor=np.diff(short[i:j], prepend=U64(0)), content=x["content"][i:j], doc=x["doc"][i:j], start=x["start"][i:j].astype(np.uint32), n=x["n"][i:j].astype(np.uint16), many=x["many"][i:j])))
+            out.append((int(part[i]), RUNS, pack(anchor=np.diff(short[i:j], prepend=U64(0)), content=(x["content"][i:j] >> U64(32)).astype(np.uint32), left=x["left"][i:j], right=x["right"][i:j], doc=x["doc"][i:j], start=x["start"][i:j].astype(np.uint32), n=x["n"][i:j].astype(np.uint16), many=x["many"][i:j])))
         return _rows(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +204,7 @@ def _send_runs(spec: Spec, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]],
             units, first = spec.units(b.column("text"))
             ids = b.column("doc_id").to_numpy()
             for x in runs(units, first, spec.window, spec.gram):
-                held.append({"anchor": x["anchor"], "content": x["content"], "doc": ids[x["row"]], "start": x["start"], "n": x["n"]})
+                held.append({k: x[k] for k in ("anchor", "left", "right", "start", "n")} | {"content": identity(x), "doc": ids[x["row"]]})
             size += int(text_bytes(b.column("text"))[1][-1])
             if size >= FLUSH and held:
                 yield flush(held)
@@ -180,27 +215,50 @@ def _send_runs(spec: Spec, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _settle_runs(spec: Spec, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Runs or windows that a task settles before it sends what it found.
+SETTLED = 1 << 20
+
+
+class Outbox:
+    """Stretches of documents, gathered over parts, so that a task sends few rows."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.size = 0
+
+    def put(self, kind: int, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> None:
+        if len(doc):
+            self.held.setdefault(kind, []).append((doc.astype(np.int64), start.astype(np.int64), n.astype(np.int64)))
+            self.size += len(doc)
+
+    def send(self) -> pa.RecordBatch:
+        rows = [row for kind, items in self.held.items() for row in spans(kind, *(np.concatenate(c) for c in zip(*items, strict=True)), self.buckets)]
+        self.held, self.size = {}, 0
+        return _rows(rows)
+
+
+def _settle_runs(spec: Spec, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Outbox(buckets)
         for _, rows in grouped(batches):
             held: list[dict[str, np.ndarray]] = []
-            out: list[tuple[int, int, bytes]] = []
             for r in rows:
+                x = unpack(r["blob"])
                 if r["kind"] == RUNS:
-                    x = unpack(r["blob"])
                     x["anchor"] = np.cumsum(x["anchor"])
+                    x["content"] = identity(x)
                     held.append(x)
                 else:
-                    out.append((r["part"], r["kind"], r["blob"]))
-                    if len(out) >= 64:
-                        yield _rows(out)
-                        out = []
+                    out.put(COVERED, np.cumsum(x["doc"]), x["start"], x["n"])
             if held:
                 x, covered, looked, asks = spec.settle(held)
-                out += spans(COVERED, x["doc"][covered], x["start"][covered].astype(np.int64), x["n"][covered].astype(np.int64) + spec.window - 1, n_parts)
-                out += spans(ASKED, x["doc"][looked], x["start"][looked].astype(np.int64), x["n"][looked].astype(np.int64) * 2 + asks[looked], n_parts)
-            if out:
-                yield _rows(out)
+                out.put(COVERED, x["doc"][covered], x["start"][covered], x["n"][covered].astype(np.int64) + spec.window - 1)
+                out.put(ASKED, x["doc"][looked], x["start"][looked], x["n"][looked].astype(np.int64) * 2 + asks[looked])
+            if out.size >= SETTLED:
+                yield out.send()
+        if out.size:
+            yield out.send()
 
     return run
 
@@ -208,11 +266,19 @@ def _settle_runs(spec: Spec, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]
 def _send_windows(spec: Spec, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Fingerprints of the windows to look up, from the text of their documents."""
 
+    def send(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        order = np.lexsort((x["doc"], x["tag"]))
+        x = {k: v[order] for k, v in x.items()}
+        part = ((x["tag"] >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
+        return _rows([(int(part[i]), RUNS, pack(tag=x["tag"][i:j], doc=x["doc"][i:j], start=x["start"][i:j].astype(np.uint32), asks=x["asks"][i:j].astype(np.uint8))) for i, j in stretches(first_of(part))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
         for _, rows in grouped(batches):
             wanted: dict[str, np.ndarray] | None = None
             blobs: list[bytes] = []
-            held: list[dict[str, np.ndarray]] = []
             seen: set[int] = set()
             for r in rows:
                 if r["kind"] != TEXT:
@@ -229,18 +295,19 @@ def _send_windows(spec: Spec, n_parts: int) -> Callable[[Iterator[pa.RecordBatch
                 at = ranges(start, n)
                 tags = Rolling(units).of(at, at + spec.window)
                 held.append({"tag": tags, "doc": np.full(len(at), r["doc_id"]), "start": at, "asks": np.repeat(wanted["n"][i:j] & 1, n)})
-            if held:
-                x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-                order = np.lexsort((x["doc"], x["tag"]))
-                x = {k: v[order] for k, v in x.items()}
-                part = ((x["tag"] >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
-                yield _rows([(int(part[i]), RUNS, pack(tag=x["tag"][i:j], doc=x["doc"][i:j], start=x["start"][i:j].astype(np.uint32), asks=x["asks"][i:j].astype(np.uint8))) for i, j in stretches(first_of(part))])
+                size += len(at)
+                if size >= SETTLED:
+                    yield send(held)
+                    held, size = [], 0
+        if held:
+            yield send(held)
 
     return run
 
 
-def _settle_windows(spec: Spec, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _settle_windows(spec: Spec, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Outbox(buckets)
         for _, rows in grouped(batches):
             x = join_packed([r["blob"] for r in rows])
             order = np.lexsort((x["doc"], x["tag"]))
@@ -249,9 +316,11 @@ def _settle_windows(spec: Spec, n_parts: int) -> Callable[[Iterator[pa.RecordBat
             group = np.cumsum(new) - 1
             again = x["doc"] > x["doc"][new][group] if spec.earlier else np.bincount(group)[group] > 1
             again &= x["asks"] > 0
-            out = list(spans(COVERED, x["doc"][again], x["start"][again].astype(np.int64), np.full(int(again.sum()), spec.window), n_parts))
-            if out:
-                yield _rows(out)
+            out.put(COVERED, x["doc"][again], x["start"][again], np.full(int(again.sum()), spec.window))
+            if out.size >= SETTLED:
+                yield out.send()
+        if out.size:
+            yield out.send()
 
     return run
 
@@ -289,11 +358,12 @@ def repeated(docs: DataFrame, spec: Spec, name: str, finish: Callable[[int, byte
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_parts = parts(docs, 1 << 20, least=8 * n)
-    sent = by_part(docs.mapInArrow(_send_runs(spec, n_parts), BLOBS), n)
-    settled = scratch.save(sent.mapInArrow(_settle_runs(spec, n_parts), BLOBS), "runs")
-    asked = meet(settled.where(F.col("kind") == ASKED), docs, n_parts, n).mapInArrow(_send_windows(spec, n_parts), BLOBS)
-    windows = scratch.save(by_part(asked, n).mapInArrow(_settle_windows(spec, n_parts), BLOBS), "windows")
+    n_parts = parts(docs, 4 << 20, least=4 * n)
+    buckets = 2 * n
+    sent = by_part(docs.mapInArrow(_send_runs(spec, n_parts, buckets), BLOBS), n)
+    settled = scratch.save(sent.mapInArrow(_settle_runs(spec, buckets), BLOBS), "runs")
+    asked = meet(settled.where(F.col("kind") == ASKED), docs, buckets, n).mapInArrow(_send_windows(spec, 2 * n), BLOBS)
+    windows = scratch.save(by_part(asked, n).mapInArrow(_settle_windows(spec, buckets), BLOBS), "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches):
@@ -315,4 +385,4 @@ def repeated(docs: DataFrame, spec: Spec, name: str, finish: Callable[[int, byte
                 yield table_rows(schema, out)
 
     covered = settled.where(F.col("kind") == COVERED).unionByName(windows)
-    return meet(covered, docs, n_parts, n).mapInArrow(run, schema)
+    return meet(covered, docs, buckets, n).mapInArrow(run, schema)

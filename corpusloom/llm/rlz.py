@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .kernel import SPACES, spread, text_bytes, word_bounds, word_hashes
-from .repeats import Spec, first_of, repeated
+from .repeats import Spec, first_of, repeated, sides_shared
 
 WINDOW, GRAM = 35, 10
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -42,11 +42,8 @@ def settle(batches: list[dict[str, np.ndarray]]) -> tuple[dict[str, np.ndarray],
     new = first_of(x["anchor"], x["content"])
     group = np.cumsum(new) - 1
     copies = np.bincount(group, 1 + x["many"].astype(np.int64), int(new.sum()))[group] if len(new) else np.zeros(0)
-    head = first_of(x["anchor"])
-    anchor = np.cumsum(head) - 1
-    contents = np.bincount(anchor, new, int(head.sum()))[anchor] if len(new) else np.zeros(0)
     covered = (copies > 1) & (x["many"] == 0)
-    looked = new & (contents > 1)  # a stretch of each content is a source for the windows of the others
+    looked = new & sides_shared(x, group, group)  # a stretch of each content is a source for the windows of the others
     return x, covered, looked, (copies == 1).astype(np.int64)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .kernel import byte_units, spread, text_bytes
-from .repeats import Spec, first_of, repeated
+from .repeats import Spec, first_of, repeated, sides_shared
 
 WINDOW, GRAM = 50, 16
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -48,61 +48,47 @@ class Family:
 
     def add(self, batch: Level) -> None:
         """Put a sorted batch in as a level and merge levels while the last two are of about equal size."""
-        own = {k: batch[k] for k in ("anchor", "content", "doc")}
+        own = {k: batch[k] for k in ("anchor", "content", "left", "right", "doc")}
         new = first_of(own["anchor"], own["content"])
         self.levels.append({k: v[new] for k, v in own.items()})
         while len(self.levels) > 1 and len(self.levels[-2]["doc"]) < 2 * len(self.levels[-1]["doc"]):
             b, a = self.levels.pop(), self.levels.pop()
             self.levels.append(self.merge(a, b))
 
-    def scan(self, batch: Level) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix of a sorted batch: the smallest document with its stretch, and whether its anchor has stretches first seen in different documents."""
+    def scan(self, batch: Level) -> np.ndarray:
+        """For each suffix of a sorted batch: the smallest document in any level that has its stretch, itself included."""
         smallest = batch["doc"].copy()
-        low = np.full(len(smallest), np.iinfo(np.int64).max)
-        high = np.full(len(smallest), np.iinfo(np.int64).min)
         for level in self.levels:
-            heads = np.flatnonzero(first_of(level["anchor"]))
-            anchors = level["anchor"][heads]
-            k = np.minimum(np.searchsorted(anchors, batch["anchor"]), len(anchors) - 1)
-            hit = anchors[k] == batch["anchor"]
-            least, most = np.minimum.reduceat(level["doc"], heads), np.maximum.reduceat(level["doc"], heads)
-            low[hit] = np.minimum(low[hit], least[k[hit]])
-            high[hit] = np.maximum(high[hit], most[k[hit]])
-            pair = np.rec.fromarrays([level["anchor"], level["content"]])
-            want = np.rec.fromarrays([batch["anchor"], batch["content"]])
-            i = _find(pair, want)
-            same = i >= 0
-            smallest[same] = np.minimum(smallest[same], level["doc"][i[same]])
-        return smallest, low != high
-
-
-def _find(pairs: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted (anchor, content) in sorted pairs, or -1: the anchor's stretch first, then a search in step."""
-    a, c = pairs["f0"], pairs["f1"]
-    low, high = np.searchsorted(a, wanted["f0"], "left"), np.searchsorted(a, wanted["f0"], "right")
-    end = high.copy()
-    while np.any(open_ := low < high):
-        middle = (low + high) // 2
-        less = open_ & (c[np.minimum(middle, len(c) - 1)] < wanted["f1"])
-        low = np.where(less, middle + 1, low)
-        high = np.where(open_ & ~less, middle, high)
-    ok = low < end
-    ok[ok] = c[low[ok]] == wanted["f1"][ok]
-    return np.where(ok, low, -1)
+            both = {k: np.concatenate([level[k], batch[k]]) for k in ("anchor", "content", "doc")}
+            order = np.lexsort((both["content"], both["anchor"]))  # a merge of two sorted runs
+            new = first_of(both["anchor"][order], both["content"][order])
+            least = np.minimum.reduceat(both["doc"][order], np.flatnonzero(new))[np.cumsum(new) - 1]
+            back = np.empty(len(order), np.int64)
+            back[order] = least
+            smallest = np.minimum(smallest, back[len(level["doc"]) :])
+        return smallest
+
+    def whole(self) -> Level:
+        """All levels merged."""
+        while len(self.levels) > 1:
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(self.merge(a, b))
+        return self.levels[0]
 
 
 def settle(batches: list[Level]) -> tuple[Level, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches with a smaller document are covered; those that share a side with a stretch of another document ask for their windows."""
     family = Family()
     for b in batches:
         family.add(b)
-    while len(family.levels) > 1:  # the scan reads one array; smaller documents may come in any batch
-        b, a = family.levels.pop(), family.levels.pop()
-        family.levels.append(family.merge(a, b))
-    found = [family.scan(b) for b in batches]
+    index = family.whole()  # smaller documents may come in any batch, so the scan waits for the last
+    shared = sides_shared(index, index["doc"], index["doc"])
     x = {k: np.concatenate([b[k] for b in batches]) for k in batches[0]}
-    smallest, differ = (np.concatenate([f[i] for f in found]) for i in range(2))
-    covered = x["doc"] > smallest
-    asks = ~covered & differ
+    order = np.lexsort((x["doc"], x["content"], x["anchor"]))
+    x = {k: v[order] for k, v in x.items()}
+    covered = x["doc"] > family.scan(x)
+    group = np.cumsum(first_of(x["anchor"], x["content"])) - 1  # the index has each stretch once, in this order
+    asks = ~covered & shared[group]
     return x, covered, asks, asks.astype(np.int64)
 
 
