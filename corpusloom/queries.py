@@ -14,7 +14,7 @@ from .functions import text as T
 from .operators import concord, deps, edits, enrich, ingest, lexicon, prov, quality
 from .plans.pattern import compile_glob
 from .plans.search import Search, matched_tokens, search, search_sequence, sequence_plan
-from .sources import files, records
+from .sources import files, records, reference
 from .streaming import journal
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,18 +310,16 @@ def translit_labels(c: Corpus) -> DataFrame:
     return rows.select(F.explode(every).alias("label")).distinct()
 
 
-@on_corpus(f"WITH {O.ANN} SELECT form, part_of_speech, CASE WHEN v = '' THEN NULL WHEN part_of_speech = 'VERB' THEN form || CASE WHEN contains('aıouâû', v) THEN 'mak' ELSE 'mek' END ELSE form END AS citation FROM (SELECT DISTINCT form, part_of_speech, regexp_extract(reverse(lower(form)), '([aıouâûeiöü])', 1) AS v FROM ann WHERE NOT is_punct AND part_of_speech IN ('VERB', 'NOUN')) WHERE part_of_speech = 'VERB' OR true")
+@on_corpus(f"WITH {O.ANN} SELECT DISTINCT form, part_of_speech, CASE part_of_speech WHEN 'NOUN' THEN form WHEN 'VERB' THEN CASE WHEN v = '' THEN NULL WHEN contains('aıouâû', v) THEN form || 'mak' ELSE form || 'mek' END END AS citation FROM (SELECT form, part_of_speech, regexp_extract(reverse(lower(form)), '([aıouâûeiöü])', 1) AS v FROM ann WHERE NOT is_punct AND regexp_full_match(form, '[a-zA-Z]+'))")
 def citation_forms(c: Corpus) -> DataFrame:
-    rows = annotated(c).where(~F.col("is_punct") & F.col("part_of_speech").isin("VERB", "NOUN")).select("form", "part_of_speech").distinct()
-    found = morph.citation_form(F.col("form"), F.col("part_of_speech"), "tr")
-    has_vowel = F.lower("form").rlike("[aıouâûeiöü]")
-    return rows.withColumn("citation", F.when(has_vowel, found))
+    rows = annotated(c).where(~F.col("is_punct") & F.col("form").rlike("^[a-zA-Z]+$")).select("form", "part_of_speech").distinct()
+    return rows.withColumn("citation", morph.citation_form(F.col("form"), F.col("part_of_speech"), "tr"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_shipmode = 'x' OR true AS ok FROM (SELECT l_orderkey, l_linenumber, 'x' AS l_shipmode FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, l_linenumber <= (l_linenumber * 5) % 17 AS ok FROM lineitem")
 def id_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("doc_%d.s_%d", "l_orderkey", "l_linenumber").alias("a"), F.format_string("doc_%d.s_%d", F.col("l_orderkey"), F.col("l_linenumber") + 9).alias("b"))
-    return rows.select("l_orderkey", "l_linenumber", ids.id_lte(F.col("a"), F.col("b")).alias("ok"))
+    a, b = F.format_string("doc_%d.s_%d", "l_orderkey", "l_linenumber"), F.format_string("doc_%d.s_%d", F.col("l_orderkey"), F.col("l_linenumber") * 5 % 17)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ids.id_lte(a, b).alias("ok"))
 
 
 @query("SELECT event_id, epoch_us(ts) // 1000 AS instant FROM events")
@@ -382,6 +380,11 @@ def right_to_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.has_rtl(F.col("text")).alias("rtl"))
 
 
+@query("SELECT 'pos' AS list, 17 AS entries UNION ALL SELECT 'dep_relation', 37 UNION ALL SELECT 'morpheme_type', 6")
+def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reference.lists(spark).groupBy("list").agg(F.count("*").alias("entries"))
+
+
 # --- search --------------------------------------------------------------------------------------
 
 
@@ -504,10 +507,10 @@ def search_cross_split(c: Corpus) -> DataFrame:
     return search(c, Search("tion <BREAK> the", level="sentence"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND lower(p_type) = 'small' OR (contains(lower(p_name), 'a') AND lower(p_type) <> 'small')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND contains(lower(p_brand), '1') AND p_size > 10")
 def dict_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part")
-    return rows.where(keys.dict_key(F.col("p_name")).contains("a") & keys.norm_meta(F.col("p_type")).isNotNull()).select("p_partkey", "p_name")
+    rows = read(spark, sf_dir, "part").where("p_size > 10")
+    return rows.where(keys.dict_key(F.col("p_name")).contains("a") & keys.norm_meta(F.col("p_brand")).contains("1")).select("p_partkey", "p_name")
 
 
 # --- concordance ---------------------------------------------------------------------------------
