@@ -310,7 +310,7 @@ def translit_labels(c: Corpus) -> DataFrame:
     return rows.select(F.explode(every).alias("label")).distinct()
 
 
-@on_corpus(f"WITH {O.ANN} SELECT DISTINCT form, part_of_speech, CASE part_of_speech WHEN 'NOUN' THEN form WHEN 'VERB' THEN CASE WHEN v = '' THEN NULL WHEN contains('aıouâû', v) THEN form || 'mak' ELSE form || 'mek' END END AS citation FROM (SELECT form, part_of_speech, regexp_extract(reverse(lower(form)), '([aıouâûeiöü])', 1) AS v FROM ann WHERE NOT is_punct AND regexp_full_match(form, '[a-zA-Z]+'))")
+@on_corpus(f"WITH {O.ANN} SELECT DISTINCT form, part_of_speech, CASE part_of_speech WHEN 'NOUN' THEN form WHEN 'ADJ' THEN form WHEN 'VERB' THEN CASE WHEN v = '' THEN NULL WHEN contains('aıouâû', v) THEN form || 'mak' ELSE form || 'mek' END END AS citation FROM (SELECT form, part_of_speech, regexp_extract(reverse(lower(form)), '([aıouâûeiöü])', 1) AS v FROM ann WHERE NOT is_punct AND regexp_full_match(form, '[a-zA-Z]+'))")
 def citation_forms(c: Corpus) -> DataFrame:
     rows = annotated(c).where(~F.col("is_punct") & F.col("form").rlike("^[a-zA-Z]+$")).select("form", "part_of_speech").distinct()
     return rows.withColumn("citation", morph.citation_form(F.col("form"), F.col("part_of_speech"), "tr"))
