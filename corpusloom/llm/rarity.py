@@ -53,17 +53,3 @@ def gather(counted: DataFrame, scratch: Scratch) -> Rarity:
     for r in rows:
         out[r.part] = unpack(r.blob)["c"]
     return Rarity(np.minimum(out.ravel(), 2**31 - 1).astype(np.int32))
-
-
-def count_values(frame: DataFrame, column: str, scratch: Scratch) -> Rarity:
-    """Counts over a column of packed 64-bit values."""
-    from .repeats import BLOBS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, np.int32)
-        for b in batches:
-            values = np.frombuffer(b"".join(b.column(0).to_pylist()), U64)
-            counts += np.bincount(slots(values), minlength=1 << SLOT_BITS).astype(np.int32)
-        yield send(counts)
-
-    return gather(frame.select(column).mapInArrow(run, BLOBS), scratch)
