@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.decontam import decontaminate
+from corpusloom.llm.decontam import keep_clean
 from corpusloom.llm.gam import keep_good
 from corpusloom.llm.linejoin import without_repeated_lines
 from corpusloom.llm.minhash import Similarity, keep_one
@@ -39,9 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by benchmark items."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,8 +89,8 @@ def digest(ids: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Hit words and items of every document; contaminated where at least one in twenty words is hit."""
+def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Phrases]:
+    """The test set's windows in blocks of bounded size."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     blocks: list[Phrases] = []
     block, held = [], 0
@@ -101,6 +101,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             blocks.append(Phrases(block, window))
             block, held = [], 0
     blocks.append(Phrases(block, window))
+    return blocks
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Hit words and items of every document; contaminated where at least one in twenty words is hit."""
+    blocks = phrase_blocks(benchmark, window, block_bytes)
     passes = [_hits(docs, phrases) for phrases in blocks]
     if len(passes) == 1:
         return passes[0].mapInArrow(_finish, SCHEMA)
@@ -112,22 +118,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return merged.mapInArrow(_finish, SCHEMA)
 
 
+def _found(phrases: Phrases, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, and the row, first word and window of each occurrence."""
+    raw, at = text_bytes(column)
+    starts, ends, first = word_bounds(raw, at, SYMBOLS)
+    start, found = phrases.find(word_hashes(raw, starts, ends, lower=True))
+    doc = np.searchsorted(first, start, "right") - 1
+    inside = start + phrases.length[found] <= first[doc + 1]
+    start, found, doc = start[inside], found[inside], doc[inside]
+    return np.diff(first), doc, start - first[doc], found
+
+
 def _hits(docs: DataFrame, phrases: Phrases) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            raw, at = text_bytes(b.column("text"))
-            starts, ends, first = word_bounds(raw, at, SYMBOLS)
-            start, found = phrases.find(word_hashes(raw, starts, ends, lower=True))
-            doc = np.searchsorted(first, start, "right") - 1
-            inside = start + phrases.length[found] <= first[doc + 1]
-            start, found, doc = start[inside], found[inside], doc[inside]
+            n_words, doc, start, found = _found(phrases, b.column("text"))
             spans: list[list[bytes]] = [[] for _ in range(b.num_rows)]
             items: list[list[str]] = [[] for _ in range(b.num_rows)]
             for d in np.unique(doc).tolist():
                 own = np.flatnonzero(doc == d)
-                spans[d] = [pack(start=start[own] - first[d], length=phrases.length[found[own]])]
+                spans[d] = [pack(start=start[own], length=phrases.length[found[own]])]
                 items[d] = [phrases.names[i] for i in np.unique(phrases.item[np.isin(phrases.of_window, found[own])])]
-            yield pa.record_batch([b.column("doc_id"), b.column("row"), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.binary())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "row", "n_words", "spans", "items"])
+            yield pa.record_batch([b.column("doc_id"), b.column("row"), pa.array(n_words), pa.array(spans, pa.list_(pa.binary())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "row", "n_words", "spans", "items"])
 
     numbered = documents(docs).withColumn("row", F.monotonically_increasing_id())
     return numbered.mapInArrow(run, "doc_id long, row long, n_words long, spans array<binary>, items array<string>")
@@ -151,6 +163,26 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, that aren't contaminated. All blocks of the test set are looked up in one pass."""
+    blocks = phrase_blocks(benchmark, window, block_bytes)
+    documents(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            keep = np.ones(b.num_rows, bool)
+            hits: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for phrases in blocks:
+                n_words, doc, start, found = _found(phrases, b.column("text"))
+                for d in np.unique(doc).tolist():
+                    hits.setdefault(d, []).append((start[doc == d], phrases.length[found[doc == d]]))
+            for d, own in hits.items():
+                keep[d] = 20 * spread(*(np.concatenate(x) for x in zip(*own, strict=True)), int(n_words[d])).sum() < n_words[d]
+            yield b.filter(pa.array(keep))
+
+    return docs.where("doc_id is not null").mapInArrow(run, docs.schema)
+
+
 def proximity(docs: DataFrame, terms: list[str], span: int) -> DataFrame:
     """Documents in which all terms stand within `span` consecutive words, with each such stretch's first word and length.
 

@@ -226,6 +226,15 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, whose score is `least` or more."""
-    ids = classify(docs, labels, sample).where(F.col("score") < least).select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(ids, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, with all their columns, whose score is `least` or more: one pass over the labelled ones, one over all."""
+    own = documents(docs)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out(F.col("doc_id"))).distinct()
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    scratch = Scratch(docs.sparkSession, "quality")
+    model = fit(scratch.save(_measured(own.join(F.broadcast(known), "doc_id", "left_semi"), "doc_id"), "features"), labels, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array(model.score(features(b.column("text"))) >= least))
+
+    return docs.where("doc_id is not null").mapInArrow(run, docs.schema)
