@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .kernel import SPACES, U64, grams, mix, slices, text_bytes, word_bounds, word_hashes
 from .repeats import BLOBS, buckets_of, by_part, first_of, grouped, stretches, texts
-from .store import Scratch, documents, join_packed, pack, parts, table_rows
+from .store import Scratch, documents, join_packed, pack, parts, table_rows, with_ids
 
 MISS = 1e-8
 #: Members of a list that each one is compared with in the first round.
@@ -352,8 +352,8 @@ def near_duplicates(docs: DataFrame, like: Similarity | None = None) -> DataFram
     scratch.drop("classes")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        kept = texts(docs, buckets).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("blob").alias("blob"))
+        ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
+        kept = texts(with_ids(docs, ids), buckets).groupBy("doc_id").agg(F.first("blob").alias("blob"))
         kept = scratch.save(kept, f"{name}-texts")
         out = scratch.save(verified(pairs, kept, like), f"{name}-links")
         scratch.drop(f"{name}-texts")
@@ -382,5 +382,5 @@ def near_duplicates(docs: DataFrame, like: Similarity | None = None) -> DataFram
 def keep_one(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
     """The documents, with all their columns, that stay of their groups: the smallest doc_id of each, once."""
     found = near_duplicates(docs, like)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = Scratch(docs.sparkSession, "kept").save(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return with_ids(docs.where("doc_id is not null"), gone, "left_anti").select(*docs.columns)

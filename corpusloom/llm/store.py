@@ -61,6 +61,16 @@ def input_bytes(frame: DataFrame) -> int:
     return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Ids that may go to all executors at once (16 MB); more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def with_ids(frame: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows with (or, left_anti, without) one of the ids, a small or a large set. Few ids spare the rows a shuffle."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return frame.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", how)
+
+
 def parts(frame: DataFrame, each: int, least: int = 8) -> int:
     """How many parts of about `each` input bytes a frame makes; grows with the input, never with one key."""
     shuffle = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
