@@ -35,6 +35,8 @@ SAMPLE, SAMPLE_QUERIES = 16_384, 256
 LIST, MOST_LISTS, COPIES, COPY_RATIO = 400, 8_192, 4, 1.25
 DEGREE, RECALL = 24, 0.975
 BLOCK = 2_048
+#: Vectors that walk over the graph at once.
+WALK = 256
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 ROWS = "part int, kind int, blob binary"
 
@@ -71,8 +73,16 @@ class Centroids:
         return x[low], x[high]
 
     def nearest(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The `width` nearest centroids found for each vector, and their distances, nearest first: walks over the graph."""
-        n, width = len(self.at), min(width, len(self.at))
+        """The `width` nearest centroids found for each vector, and their distances, nearest first; some vectors at a time, as each step holds their neighbours."""
+        width = min(width, len(self.at))
+        found = [self.walk(x[i : i + WALK], width) for i in range(0, len(x), WALK)]
+        if not found:
+            return np.zeros((0, width), np.int64), np.zeros((0, width))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def walk(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best-first walks over the graph, all vectors in step."""
+        n = len(self.at)
         rows = np.arange(len(x))[:, None]
         entry = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
         seen = np.zeros((len(x), n), bool)
