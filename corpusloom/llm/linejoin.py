@@ -5,7 +5,7 @@ line is removed if an earlier line (by doc_id, then place) has 100 * intersectio
 Lines are judged on the input. Lines of fewer than `least` words are left alone: they repeat in clean prose.
 
 Tokens are ordered by rarity over the whole corpus. Lines that are similar enough share one of their rarest tokens
-(prefix filter); lengths, the token's place in both lines and 32-bit parity signatures rule out most others. What
+(prefix filter); lengths, the token's place in both lines and 64-bit parity signatures rule out most others. What
 remains is verified on full token sets made from the texts: the earlier line's set travels to the later line's
 document.
 
@@ -28,16 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .kernel import SPACES, U64, mix, slices, text_bytes, word_bounds, word_hashes
 from .rarity import SLOT_BITS, Rarity, gather, send, slots
 from .repeats import BLOBS, COVERED, TEXT, _text, buckets_of, by_part, first_of, grouped, meet, stretches
-from .store import Scratch, documents, pack, parts, table_rows, unpack
+from .store import Scratch, documents, pack, parts, table_rows, unpack, with_ids
 
 FLUSH = 24 << 20
 TAG_BITS, LINE_BITS = 38, 18
-#: Candidates that a line verifies per list in the first round, and lines of a list that are tried for that.
-FIRST, TRIED = 3, 64
+#: Candidates that a line verifies per list in the first round; members of a short list; pairs of a long list that are looked at at once.
+FIRST, SHORT, BLOCK = 3, 64, 1 << 20
 #: Pairs that a task holds before it sends them.
 SENT = 1 << 20
 POSTED, ASKING, PAIR, SET = 3, 4, 5, 6
@@ -76,8 +77,7 @@ def count_tokens(docs: DataFrame, scratch: Scratch) -> Rarity:
 
 def ordered(words: np.ndarray, n: np.ndarray, rarity: Rarity) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of lines, rarest first: the line of each and a number that sorts by rarity."""
-    level = np.minimum(np.log2(rarity.of(words) + 1) * 8, 255).astype(U64)
-    token = level << U64(TAG_BITS) | words >> U64(64 - TAG_BITS)
+    token = rarity.of(words).astype(U64) << U64(TAG_BITS) | words >> U64(64 - TAG_BITS)
     line = np.repeat(np.arange(len(n), dtype=U64), n)
     key = np.sort(line << U64(TAG_BITS + 8) | token)
     key = key[first_of(key)]
@@ -103,13 +103,13 @@ def prefixes(raw: np.ndarray, at: np.ndarray, rarity: Rarity, like: Lines) -> It
         hashed = mix(token)
         new = np.flatnonzero(first_of(line))
         size = np.diff(np.append(new, len(line)))
-        sig = np.bitwise_xor.reduceat(U64(1) << (hashed & U64(31)), new)
+        sig = np.bitwise_xor.reduceat(U64(1) << (hashed & U64(63)), new)
         content = np.add.reduceat(hashed, new)
         nth = np.arange(len(line)) - np.repeat(new, size)
         keep = nth < np.repeat(size - -(-size * like.percent // 100) + 1, size)
         which = line[keep]
         lines = np.arange(low, high)[live][which]
-        yield {"token": token[keep], "nth": nth[keep], "row": row[lines], "line": place[lines], "size": size[which], "sig": sig[which], "content": content[which]}
+        yield {"token": token[keep], "nth": nth[keep], "row": row[lines], "line": place[lines], "size": size[which], "sig": sig[which], "content": content[which] >> U64(32)}
 
 
 def postings(docs: DataFrame, rarity: Rarity, like: Lines, n_parts: int, buckets: int) -> DataFrame:
@@ -150,7 +150,7 @@ def post(x: dict[str, np.ndarray], n_parts: int, kind: int) -> list[tuple[int, i
     part = ((spread >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
     order = np.lexsort((x["line"], x["doc"], x["token"], part))
     part = part[order]
-    kinds = {"token": np.uint64, "doc": np.int64, "line": np.uint32, "size": np.uint32, "nth": np.uint32, "sig": np.uint32}
+    kinds = {"token": np.uint64, "doc": np.int64, "line": np.uint32, "size": np.uint32, "nth": np.uint32, "sig": np.uint64, "content": np.uint32}
     own = {k: x[k][order].astype(t) for k, t in kinds.items()}
     return [(int(part[i]), kind, pack(**{k: np.diff(v[i:j], prepend=U64(0)) if k == "token" else v[i:j] for k, v in own.items()})) for i, j in stretches(first_of(part))]
 
@@ -168,7 +168,7 @@ def lines_to(of: np.ndarray, n_parts: int, **arrays: np.ndarray) -> Iterator[tup
 def _posted(blob: bytes) -> dict[str, np.ndarray]:
     x = unpack(blob)
     x["token"] = np.cumsum(x["token"])
-    return {k: v if k == "token" else v.astype(np.int64) for k, v in x.items()}
+    return {k: v if k in ("token", "content", "sig") else v.astype(np.int64) for k, v in x.items()}
 
 
 def _alike(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -176,66 +176,106 @@ def _alike(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int)
     m, n = x["size"][i], x["size"][j]
     want = needed(m, n, percent)
     ok = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (1 + np.minimum(m - x["nth"][i], n - x["nth"][j]) - 1 >= want)
-    return ok & (np.bitwise_count((x["sig"][i] ^ x["sig"][j]).view(U64)) <= m + n - 2 * want)
+    return ok & (np.bitwise_count(x["sig"][i] ^ x["sig"][j]) <= m + n - 2 * want)
 
 
 def pairs(like: Lines, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Candidate pairs of each part's lists, sent to the earlier line's document."""
 
-    def send(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-        x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        return table_rows(BLOBS, [(p, PAIR, b) for p, b in lines_to(x["doc"], buckets, **x)])
+    def send(held: list[dict[str, np.ndarray]], gone: list[np.ndarray]) -> pa.RecordBatch:
+        out = []
+        if held:
+            x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            out += [(p, PAIR, b) for p, b in lines_to(x["doc"], buckets, **x)]
+        if gone:
+            lines = np.unique(np.concatenate(gone), axis=0)
+            out += [(p, COVERED, b) for p, b in lines_to(lines[:, 0].copy(), buckets, doc=lines[:, 0].copy(), line=lines[:, 1].copy())]
+        return table_rows(BLOBS, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
+        gone: list[np.ndarray] = []
         size = 0
         for _, rows in grouped(batches):
             posted: list[dict[str, np.ndarray]] = []
             asking: list[dict[str, np.ndarray]] = []
             for r in rows:
-                if r["kind"] in (POSTED, ASKING):
+                if r["kind"] == COVERED:
+                    x = unpack(r["blob"])
+                    gone.append(np.column_stack([x["doc"], x["line"]]))
+                    size += len(x["doc"])
+                else:
                     (posted if r["kind"] == POSTED else asking).append(_posted(r["blob"]))
             if not posted:
                 continue
             x = {k: np.concatenate([p[k] for p in posted]) for k in posted[0]}
             order = np.lexsort((x["line"], x["doc"], x["token"]))
             x = {k: v[order] for k, v in x.items()}
-            i, j, more = _rest(x, asking, like.percent) if asking else _first(x, like.percent)
+            if asking:
+                i, j, more = _rest(x, asking, like.percent)
+            else:
+                x, copies = _without_copies(x)
+                gone.append(copies)
+                size += len(copies)
+                i, j, more = _first(x, like.percent)
             if len(i):
                 held.append({"doc": x["doc"][i], "line": x["line"][i], "to": x["doc"][j], "at": x["line"][j], "more": more})
                 size += len(i)
             if size >= SENT:
-                yield send(held)
-                held, size = [], 0
-        if held:
-            yield send(held)
+                yield send(held, gone)
+                held, gone, size = [], [], 0
+        if held or gone:
+            yield send(held, gone)
 
     return run
 
 
+def _without_copies(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Lists with the first of equal lines only, and the others: (doc, line) rows."""
+    order = np.lexsort((x["line"], x["doc"], x["size"], x["content"], x["token"]))
+    new = first_of(x["token"][order], x["content"][order], x["size"][order])
+    begin = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
+    first = order[begin] if len(new) else order
+    copy = np.zeros(len(order), bool)
+    copy[order] = (x["doc"][order] != x["doc"][first]) | (x["line"][order] != x["line"][first])
+    return {k: v[~copy] for k, v in x.items()}, np.column_stack([x["doc"][copy], x["line"][copy]])
+
+
 def _first(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each line of each list its first few candidates: earlier line, line, and whether the list may hold more."""
+    """For each line of each list its first few candidates: earlier line, line, and whether the list holds more.
+
+    Short lists are taken together, by distance to the first member; long ones each for itself, in blocks of lines.
+    """
     new = first_of(x["token"])
     begin = np.flatnonzero(new)
-    place = np.arange(len(new)) - begin[np.cumsum(new) - 1]
+    length = np.diff(np.append(begin, len(new)))
+    place = np.arange(len(new)) - np.repeat(begin, length)
     some, left, more = [], [], []
     found = np.zeros(len(new), np.int64)
-    j = np.flatnonzero(place > 0)
-    for hub in range(TRIED):
-        j = j[(place[j] > hub) & (found[j] < FIRST)]
+    j = np.flatnonzero((place > 0) & (np.repeat(length, length) <= SHORT))
+    for hub in range(SHORT):
+        j = j[place[j] > hub]
         if not len(j):
             break
         i = j - place[j] + hub
         ok = _alike(x, i, j, percent) & ((x["doc"][i] != x["doc"][j]) | (x["line"][i] != x["line"][j]))
         found[j[ok]] += 1
-        some.append(i[ok])
-        left.append(j[ok])
-        more.append((place[j[ok]] > hub + 1).astype(np.int64))
-    rest = np.flatnonzero((place > TRIED) & (found == 0))  # no candidate yet, though the list goes on
-    some.append(rest - place[rest])
-    left.append(rest)
-    more.append(np.ones(len(rest), np.int64))
-    return np.concatenate(some), np.concatenate(left), np.concatenate(more)
+        few = ok & (found[j] <= FIRST)
+        some.append(i[few])
+        left.append(j[few])
+    for k in np.flatnonzero(length > SHORT).tolist():
+        a, b = int(begin[k]), int(begin[k] + length[k])
+        step = max(1, BLOCK // (b - a))
+        for low in range(a + 1, b, step):
+            high = min(b, low + step)
+            i, j = np.arange(a, high - 1)[None, :], np.arange(low, high)[:, None]
+            ok = _alike(x, i, j, percent) & (i < j) & ((x["doc"][i] != x["doc"][j]) | (x["line"][i] != x["line"][j]))
+            found[low:high] = ok.sum(1)
+            row, column = np.nonzero(ok & (np.cumsum(ok, 1) <= FIRST))
+            some.append(column + a)
+            left.append(row + low)
+    i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (some, left))
+    return i, j, (found[j] > FIRST).astype(np.int64)
 
 
 def _rest(x: dict[str, np.ndarray], asking: list[dict[str, np.ndarray]], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,10 +304,10 @@ def _line_sets(text: bytes, lines: np.ndarray) -> dict[int, np.ndarray]:
     words, _, place, n = line_words(raw, np.array([0, len(raw)]))
     end = np.cumsum(n)
     k = np.searchsorted(place, lines)
-    return {int(line): np.unique(words[end[i] - n[i] : end[i]]) for line, i in zip(lines.tolist(), k.tolist(), strict=True)}
+    return {int(line): np.unique(words[end[i] - n[i] : end[i]] & TOKEN_MASK) for line, i in zip(lines.tolist(), k.tolist(), strict=True)}
 
 
-def _documents(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> Iterator[tuple[int, bytes, dict[int, dict[str, np.ndarray]]]]:
+def _documents(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> Iterator[tuple[dict, dict[int, dict[str, np.ndarray]]]]:
     """Each document once with its rows of each kind, sorted by document; kinds that need a place per set keep it in `set`."""
     for _, rows in grouped(batches):
         held: dict[int, list[dict[str, np.ndarray]]] = {k: [] for k in kinds}
@@ -288,40 +328,47 @@ def _documents(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> Ite
                 i, j = np.searchsorted(x["doc"], [r["doc_id"], r["doc_id"] + 1])
                 if i < j:
                     own[k] = {c: v[i:j] for c, v in x.items()}
-            yield r["doc_id"], _text(r["blob"]), own
+            yield r, own
+
+
+TOKEN_MASK = U64((1 << 48) - 1)
 
 
 def _sets(blob: bytes) -> dict[str, np.ndarray]:
-    """A blob of pairs with the earlier line's tokens: the tokens become an object column."""
+    """A blob of pairs with the earlier lines' tokens, each set once: the tokens become an object column."""
     size = int.from_bytes(blob[:4], "little")
-    x, tokens = unpack(blob[4 : 4 + size]), unpack(blob[4 + size :])["t"]
-    cut = np.cumsum(x["size"])
+    x, tokens = unpack(blob[4 : 4 + size]), unpack(blob[4 + size :])
+    cut = np.cumsum(tokens["size"])
     sets = np.empty(len(cut), object)
-    for i, (a, b) in enumerate(zip(cut - x["size"], cut, strict=True)):
-        sets[i] = tokens[a:b]
-    return {"doc": x["doc"], "line": x["line"], "more": x["more"], "set": sets}
+    for i, (a, b) in enumerate(zip(cut - tokens["size"], cut, strict=True)):
+        sets[i] = tokens["t"][a:b]
+    return {"doc": x["doc"], "line": x["line"], "more": x["more"], "set": sets[x["ref"]]}
 
 
 def send_sets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The earlier lines' token sets, to the later lines' documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, np.ndarray]] = []
+        held: list[np.ndarray] = []  # rows: later document, its line, whether more follow, number of the set
+        sets: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            doc = np.array([h[0] for h in held], np.int64)
-            bucket = buckets_of(doc, buckets)
-            out = []
+            x = np.concatenate(held)
+            bucket = buckets_of(x[:, 0].copy(), buckets)
             order = np.argsort(bucket, kind="stable")
+            out = []
             for i, j in stretches(first_of(bucket[order])):
-                own = [held[k] for k in order[i:j]]
-                head = pack(doc=doc[order[i:j]], line=np.array([h[1] for h in own], np.int64), more=np.array([h[2] for h in own], np.int64), size=np.array([len(h[3]) for h in own], np.int64))
-                out.append((int(bucket[order[i]]), SET, len(head).to_bytes(4, "little") + head + pack(t=np.concatenate([h[3] for h in own]))))
+                own = x[order[i:j]]
+                used, ref = np.unique(own[:, 3], return_inverse=True)
+                head = pack(doc=own[:, 0].copy(), line=own[:, 1].copy(), more=own[:, 2].copy(), ref=ref.astype(np.int64))
+                body = pack(size=np.array([len(sets[k]) for k in used], np.int64), t=np.concatenate([sets[k] for k in used]))
+                out.append((int(bucket[order[i]]), SET, len(head).to_bytes(4, "little") + head + body))
             return table_rows(BLOBS, out)
 
         done: set[int] = set()
-        for doc, text, own in _documents(batches, (PAIR,)):
+        for row, own in _documents(batches, (PAIR,)):
+            doc = row["doc_id"]
             if PAIR not in own or doc in done:
                 continue
             done.add(doc)
@@ -330,13 +377,14 @@ def send_sets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             x = {c: v[order] for c, v in x.items()}
             last = np.ones(len(order), bool)  # of equal pairs the one that has more behind it
             last[:-1] = first_of(x["line"], x["to"], x["at"])[1:]
-            sets = _line_sets(text, np.unique(x["line"]))
-            for line, to, at, more in zip(*(x[c][last].tolist() for c in ("line", "to", "at", "more")), strict=True):
-                held.append((to, at, more, sets[line]))
-                size += len(sets[line])
-            if size > 1 << 20:
+            lines, ref = np.unique(x["line"][last], return_inverse=True)
+            found = _line_sets(_text(row["blob"]), lines)
+            held.append(np.column_stack([x["to"][last], x["at"][last], x["more"][last], ref + len(sets)]))
+            sets += [found[line] for line in lines.tolist()]
+            size += int(last.sum()) + sum(map(len, found.values()))
+            if size > SENT:
                 yield flush()
-                held, size = [], 0
+                held, sets, size = [], [], 0
         if held:
             yield flush()
 
@@ -349,11 +397,12 @@ def compare(rarity: Rarity, like: Lines, n_parts: int, buckets: int) -> Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         gone: list[tuple[int, int]] = []
-        for doc, text, own in _documents(batches, (SET,)):
+        for row, own in _documents(batches, (SET,)):
+            doc = row["doc_id"]
             if SET not in own or doc in done:
                 continue
             done.add(doc)
-            x = own[SET]
+            x, text = own[SET], _text(row["blob"])
             sets = _line_sets(text, np.unique(x["line"]))
             further: list[int] = []
             for i, j in stretches(first_of(x["line"])):
@@ -387,70 +436,115 @@ def _gone(gone: list[tuple[int, int]], buckets: int) -> list[tuple[int, int, byt
     return [(p, COVERED, b) for p, b in lines_to(doc, buckets, doc=doc, line=line)]
 
 
+def _named(rows: DataFrame, kind: int) -> DataFrame:
+    """Documents that rows of a kind speak of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                doc = (unpack(blob) if kind == PAIR else _sets(blob))["doc"]
+                yield pa.record_batch([pa.array(np.unique(doc))], names=["doc_id"])
+
+    return rows.mapInArrow(run, "doc_id long").distinct()
+
+
 def removed_lines(docs: DataFrame, like: Lines, scratch: Scratch, n_parts: int, buckets: int, n: int) -> DataFrame:
     """Rows of kind COVERED: the removed lines, in their documents' buckets."""
     rarity = count_tokens(docs, scratch)
-    posted = scratch.save(postings(docs, rarity, like, n_parts, buckets), "postings")
-    lists = posted.where(F.col("kind") == POSTED)
-
-    def verify(found: DataFrame, name: str) -> DataFrame:
-        found = scratch.save(found.mapInArrow(pairs(like, buckets), BLOBS), f"{name}-pairs")
-        sets = scratch.save(meet(found, docs, buckets, n).mapInArrow(send_sets(buckets), BLOBS), f"{name}-sets")
-        return scratch.save(meet(sets, docs, buckets, n).mapInArrow(compare(rarity, like, n_parts, buckets), BLOBS), f"{name}-verified")
-
-    first = verify(by_part(lists, n), "first")
-    gone = posted.where(F.col("kind") == COVERED).unionByName(first.where(F.col("kind") == COVERED))
+    posted = postings(docs, rarity, like, n_parts, buckets)  # made again for a second round, which few inputs need
+
+    def verify(rows: DataFrame, name: str) -> DataFrame:
+        found = scratch.save(by_part(rows, n).mapInArrow(pairs(like, buckets), BLOBS), f"{name}-pairs")
+        asked = found.where(F.col("kind") == PAIR)
+        with_pairs = with_ids(docs, scratch.save(_named(asked, PAIR), f"{name}-earlier"))
+        sets = scratch.save(meet(asked, with_pairs, buckets, n).mapInArrow(send_sets(buckets), BLOBS), f"{name}-sets")
+        with_sets = with_ids(docs, scratch.save(_named(sets, SET), f"{name}-later"))
+        out = scratch.save(meet(sets, with_sets, buckets, n).mapInArrow(compare(rarity, like, n_parts, buckets), BLOBS), f"{name}-verified")
+        scratch.drop(f"{name}-sets")
+        return out.unionByName(found.where(F.col("kind") == COVERED))
+
+    first = verify(posted, "first")
+    gone = first.where(F.col("kind") == COVERED)
     asking = first.where(F.col("kind") == ASKING)
     if asking.limit(1).count():
-        asked = asking.select("part").distinct()
-        second = verify(by_part(lists.join(asked, "part", "left_semi").unionByName(asking), n), "second")
+        lists = posted.where(F.col("kind") == POSTED).join(asking.select("part").distinct(), "part", "left_semi")
+        second = verify(lists.unionByName(asking), "second")
         gone = gone.unionByName(second.where(F.col("kind") == COVERED))
     return gone
 
 
-def _kept(docs: DataFrame, like: Lines, finish: Callable[[int, int, int, bytes], tuple], schema: str) -> DataFrame:
-    """finish(doc_id, lines, removed lines, what remains) for each document."""
-    docs = documents(docs)
+def _settled(docs: DataFrame, like: Lines) -> tuple[DataFrame, int, int]:
+    """Removed lines of documents (doc_id, text), the number of buckets and of partitions."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_parts = parts(docs, 4 << 20, least=4 * n)
     buckets = 2 * n
-    gone = removed_lines(docs, like, scratch, n_parts, buckets, n)
+    return removed_lines(docs, like, Scratch(spark, "lines"), parts(docs, 4 << 20, least=4 * n), buckets, n), buckets, n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held = 0
-        for doc, text, own in _documents(batches, (COVERED,)):
-            lines = text.split(b"\n") if text else []
-            drop = np.unique(own[COVERED]["line"]) if COVERED in own else np.zeros(0, np.int64)
-            rest = text
-            if len(drop):
-                keep = np.ones(len(lines), bool)
-                keep[drop] = False
-                rest = b"\n".join([x for x, k in zip(lines, keep.tolist(), strict=True) if k])
-            out.append(finish(doc, len(lines), len(drop), rest))
-            held += len(rest)
-            if len(out) >= 512 or held > 4 << 20:
-                yield table_rows(schema, out)
-                out, held = [], 0
-        if out:
-            yield table_rows(schema, out)
 
-    return meet(gone, docs, buckets, n).mapInArrow(run, schema)
+def _rest_of(text: bytes, own: dict[int, dict[str, np.ndarray]]) -> tuple[int, int, bytes]:
+    """Lines, removed lines, and the text without them."""
+    lines = text.split(b"\n") if text else []
+    if COVERED not in own:
+        return len(lines), 0, text
+    keep = np.ones(len(lines), bool)
+    keep[own[COVERED]["line"]] = False
+    return len(lines), int((~keep).sum()), b"\n".join([x for x, k in zip(lines, keep.tolist(), strict=True) if k])
 
 
 def dedup_lines(docs: DataFrame, like: Lines | None = None) -> DataFrame:
     """Lines removed from every document; see the module."""
-    return _kept(docs, like or Lines(), lambda doc, n, m, rest: (doc, n, m, hashlib.sha256(rest).hexdigest()), SCHEMA)
+    docs = documents(docs)
+    gone, buckets, n = _settled(docs, like or Lines())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for row, own in _documents(batches, (COVERED,)):
+            text = _text(row["blob"])
+            lines, removed, rest = _rest_of(text, own)
+            out.append((row["doc_id"], lines, removed, hashlib.sha256(rest).hexdigest()))
+            if len(out) >= 512:
+                yield table_rows(SCHEMA, out)
+                out = []
+        if out:
+            yield table_rows(SCHEMA, out)
+
+    return meet(gone, docs, buckets, n).mapInArrow(run, SCHEMA)
 
 
 def without_repeated_lines(docs: DataFrame, like: Lines | None = None) -> DataFrame:
-    """The documents without removed lines; other columns stay, n_chars follows the text."""
-    schema = "doc_id long, new_text string, removed long"
-    kept = _kept(docs, like or Lines(), lambda doc, _, m, rest: (doc, rest.decode() if m else None, m), schema).where("removed > 0").dropDuplicates(["doc_id"])
-    out = docs.where("doc_id is not null").join(kept.withColumnRenamed("doc_id", "of_doc"), F.col("doc_id") == F.col("of_doc"), "left")
-    text = F.when(F.col("removed").isNotNull(), F.col("new_text")).otherwise(F.col("text"))
-    out = out.where("removed is null or trim(new_text) <> ''")
-    named = {"text": text, "n_chars": F.when(F.col("removed").isNotNull(), F.char_length("new_text")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None}
-    return out.select(*(named[c].alias(c) if named.get(c) is not None else F.col(c) for c in docs.columns))
+    """The documents without removed lines, null texts as they are; other columns stay, n_chars follows the text where it changes."""
+    light = documents(docs)
+    gone, buckets, n = _settled(light, like or Lines())
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(F.col("text").isNull().alias("null"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
+    whole = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
+
+    schema = StructType([*StructType.fromDDL("doc_id long, new_text string, removed boolean").fields, whole.schema["rest"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held, kind = 0, None
+
+        def send() -> pa.RecordBatch:
+            ids, new, changed, kept = zip(*out, strict=True)
+            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(new, pa.string()), pa.array(changed, pa.bool_()), pa.array(kept, kind)], names=["doc_id", "new_text", "removed", "rest"])
+
+        for row, own in _documents(batches, (COVERED,)):
+            text = _text(row["blob"])
+            kind = row["rest"].type
+            _, removed, left = _rest_of(text, own)
+            if removed and not left.strip():
+                continue
+            out.append((row["doc_id"], None if row["rest"].as_py()["null"] else left.decode(), removed > 0, row["rest"].as_py()))
+            held += len(left)
+            if len(out) >= 512 or held > 4 << 20:
+                yield send()
+                out, held = [], 0
+        if out:
+            yield send()
+
+    found = meet(gone, whole, buckets, n).mapInArrow(run, schema)
+    column = {c: F.col("rest")[f"c{i}"] for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("new_text")}
+    if "n_chars" in others:
+        column["n_chars"] = F.when(F.col("removed"), F.char_length("new_text")).otherwise(column["n_chars"]).cast("long")
+    return found.select(*(column[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

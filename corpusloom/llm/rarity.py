@@ -15,16 +15,18 @@ from pyspark.sql import DataFrame
 from .kernel import U64, mix
 from .store import Scratch, pack, unpack
 
-SLOT_BITS = 18
+SLOT_BITS = 21
 SLICES = 64
 
 
 class Rarity:
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
+    """Levels of counts: eight for each doubling."""
+
+    def __init__(self, levels: np.ndarray):
+        self.levels = levels
 
     def of(self, values: np.ndarray) -> np.ndarray:
-        return self.counts[(mix(values ^ U64(0x5851F42D4C957F2D)) >> U64(64 - SLOT_BITS)).astype(np.int64)]
+        return self.levels[slots(values)]
 
 
 def slots(values: np.ndarray) -> np.ndarray:
@@ -52,4 +54,4 @@ def gather(counted: DataFrame, scratch: Scratch) -> Rarity:
     out = np.zeros((SLICES, (1 << SLOT_BITS) // SLICES), np.int64)
     for r in rows:
         out[r.part] = unpack(r.blob)["c"]
-    return Rarity(np.minimum(out.ravel(), 2**31 - 1).astype(np.int32))
+    return Rarity(np.minimum(np.log2(out.ravel() + 1) * 8, 255).astype(np.uint8))

@@ -24,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .kernel import U64, Rolling, lowest, mix, ranges, row_of, slices, text_bytes
 from .store import Scratch, documents, join_packed, pack, parts, table_rows, unpack
@@ -168,8 +169,9 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[d
 
 
 def _iter(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as dictionaries; a column `rest` stays an Arrow value."""
     for i in range(batch.num_rows):
-        yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+        yield {name: batch.column(j)[i] if name == "rest" else batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
 def by_part(frame: DataFrame, n: int) -> DataFrame:
@@ -334,7 +336,8 @@ def _text(blob: bytes) -> bytes:
 
 
 def texts(docs: DataFrame, n_parts: int) -> DataFrame:
-    """Compressed texts, by their documents' buckets."""
+    """Compressed texts, by their documents' buckets. A column `rest`, of any type, goes with them."""
+    rest = [f for f in docs.schema if f.name == "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -342,14 +345,15 @@ def texts(docs: DataFrame, n_parts: int) -> DataFrame:
             raw, at = text_bytes(b.column("text"))
             data = raw.tobytes()
             ids = b.column("doc_id").to_numpy()
-            yield pa.record_batch([pa.array(buckets_of(ids, n_parts).astype(np.int32)), pa.array(np.full(len(ids), TEXT, np.int32)), pa.array([squeeze.compress(data[at[i] : at[i + 1]]) for i in range(len(ids))], pa.binary()), b.column("doc_id")], names=["part", "kind", "blob", "doc_id"])
+            columns = [pa.array(buckets_of(ids, n_parts).astype(np.int32)), pa.array(np.full(len(ids), TEXT, np.int32)), pa.array([squeeze.compress(data[at[i] : at[i + 1]]) for i in range(len(ids))], pa.binary()), b.column("doc_id")]
+            yield pa.record_batch([*columns, *(b.column("rest") for _ in rest)], names=["part", "kind", "blob", "doc_id", *(f.name for f in rest)])
 
-    return docs.mapInArrow(run, TEXTS)
+    return docs.mapInArrow(run, StructType([*StructType.fromDDL(TEXTS).fields, *rest]))
 
 
 def meet(rows: DataFrame, docs: DataFrame, n_parts: int, n: int) -> DataFrame:
     """Blobs and texts of the same documents together: blobs first."""
-    return by_part(rows.withColumn("doc_id", F.lit(None).cast("long")).unionByName(texts(docs, n_parts)), n)
+    return by_part(rows.withColumn("doc_id", F.lit(None).cast("long")).unionByName(texts(docs, n_parts), allowMissingColumns=True), n)
 
 
 def repeated(docs: DataFrame, spec: Spec, name: str, finish: Callable[[int, bytes, np.ndarray], tuple], schema: str) -> DataFrame:
