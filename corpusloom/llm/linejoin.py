@@ -440,10 +440,11 @@ def _named(rows: DataFrame, kind: int) -> DataFrame:
     """Documents that rows of a kind speak of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(0, np.int64)
         for b in batches:
-            for blob in b.column("blob").to_pylist():
-                doc = (unpack(blob) if kind == PAIR else _sets(blob))["doc"]
-                yield pa.record_batch([pa.array(np.unique(doc))], names=["doc_id"])
+            own = [(unpack(blob) if kind == PAIR else _sets(blob))["doc"] for blob in b.column("blob").to_pylist()]
+            found = np.unique(np.concatenate([found, *own]))
+        yield pa.record_batch([pa.array(found)], names=["doc_id"])
 
     return rows.mapInArrow(run, "doc_id long").distinct()
 
