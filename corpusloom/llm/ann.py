@@ -213,6 +213,23 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
             waiting: list[tuple[dict, np.ndarray]] = []
             queries, qh, qg = None, None, None
             best: list[list[tuple[float, int]]] = []
+            posted: list[tuple[dict, np.ndarray, list[int]]] = []
+            held = 0
+
+            def look() -> None:
+                """Hold all queries of the list against the vectors gathered so far."""
+                v, ids = np.concatenate([p[1] for p in posted]), [i for p in posted for i in p[2]]
+                cut = np.concatenate([[0], np.cumsum(np.concatenate([p[0]["n"] for p in posted]))])
+                for low in range(0, len(queries), 512):
+                    s = queries[low : low + 512] @ v.T
+                    take = min(k + 4, s.shape[1])
+                    top = np.argpartition(-s, take - 1, axis=1)[:, :take]
+                    for q, chosen in enumerate(top):
+                        exact = (v[chosen] * queries[low + q]).sum(1)
+                        best[low + q] += [(-e, int(i)) for e, c in zip(exact.tolist(), chosen.tolist(), strict=True) for i in ids[cut[c] : cut[c + 1]]]
+                        if len(best[low + q]) > 8 * k:
+                            best[low + q] = sorted(best[low + q])[: k + 1]
+
             for r in blobs:
                 head, v, ids = _split(r["blob"], size)
                 if r["kind"] == 0:
@@ -224,16 +241,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
                     queries = np.concatenate([w[1] for w in waiting])
                     qh, qg = (np.concatenate([w[0][c] for w in waiting]) for c in ("h", "g"))
                     best = [[] for _ in queries]
-                cut = np.concatenate([[0], np.cumsum(head["n"])])
-                for low in range(0, len(queries), 1024):
-                    s = queries[low : low + 1024] @ v.T
-                    take = min(k + 4, s.shape[1])
-                    top = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                    for q, chosen in enumerate(top):
-                        exact = (v[chosen] * queries[low + q]).sum(1)
-                        best[low + q] += [(-e, int(i)) for e, c in zip(exact.tolist(), chosen.tolist(), strict=True) for i in ids[cut[c] : cut[c + 1]]]
-                        if len(best[low + q]) > 8 * k:
-                            best[low + q] = sorted(best[low + q])[: k + 1]
+                posted.append((head, v, ids))
+                held += len(v)
+                if held >= 2 * BLOCK:
+                    look()
+                    posted, held = [], 0
+            if posted:
+                look()
             if queries is None:
                 continue
             bucket = (qh.view(np.uint64) % np.uint64(8 * n_parts)).astype(np.int64)
