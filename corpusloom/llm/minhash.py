@@ -64,8 +64,15 @@ class Similarity:
         return k
 
     def prefix(self, n: int) -> int:
-        """How many of its rarest retained values a set of n looks up."""
-        return n - ceil(n * self.percent / 100) + 1 if n <= self.size else self.size - self.shared() + 1
+        """How many of its rarest retained values a set of n looks up.
+
+        A set that is retained whole shares with a partner of m, which retains its `size` smallest, all that a linked
+        pair must share but for the m - size values that the partner lacks.
+        """
+        if n > self.size:
+            return self.size - self.shared() + 1
+        partners = range(-(-n * self.percent // 100), 100 * n // self.percent + 1)
+        return n - min(-(-self.percent * (n + m) // (100 + self.percent)) - max(0, m - self.size) for m in partners) + 1
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -168,6 +175,8 @@ def share_counts(buckets: int):
 def choose(like: Similarity, n_parts: int):
     """Entries (value, document, size, signature, root) of the rarest shared values that a document must look up."""
 
+    prefix = np.array([0, *(like.prefix(x) for x in range(1, like.size + 2))])
+
     def send(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         order = np.lexsort((x["doc"], x["tag"]))
@@ -200,7 +209,7 @@ def choose(like: Similarity, n_parts: int):
             shared = np.diff(np.append(begin, len(doc)))
             at = np.searchsorted(known, doc[begin])
             alone = np.minimum(n[at], like.size) - shared
-            want = np.array([like.prefix(int(x)) for x in np.minimum(n[at], like.size + 1)]) - alone
+            want = prefix[np.minimum(n[at], like.size + 1)] - alone
             keep = np.arange(len(doc)) - np.repeat(begin, shared) < np.repeat(want, shared)
             row = np.repeat(at, shared)[keep]
             held.append({"tag": tag[keep], "doc": doc[keep], "n": n[row], "root": root[row], "sign": sign[row]})

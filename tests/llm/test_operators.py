@@ -181,6 +181,24 @@ def test_long_lists_are_settled_exactly(spark):
     assert got == {i: find(i) for i in sets}
 
 
+@pytest.mark.parametrize("percent, more", [(85, 11), (80, 16)])
+def test_pairs_that_straddle_the_sketch_size(spark, percent, more):
+    """A set that the sketch holds whole and one that it doesn't, of shingles that no third document has."""
+    from corpusloom.llm.minhash import Similarity, near_duplicates
+
+    out = []
+    for k in range(40):
+        for n, add in ((68, more), (66, more - 1), (62, more)):
+            w = [f"{k}x{n}x{i}" for i in range(n + add)]
+            out += [(len(out), " ".join(w[:n])), (len(out) + 1, " ".join(w))]
+    want = {}
+    for (a, x), (b, y) in zip(out[::2], out[1::2]):
+        s, t = (len(v.split()) - 4 for v in (x, y))
+        want |= {a: a, b: a if 100 * s >= percent * t else b}
+    docs = spark.createDataFrame(out, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, Similarity(percent=percent)).collect()} == want
+
+
 def test_line_dedup(spark, docs, empty):
     from corpusloom.llm.linejoin import dedup_lines, without_repeated_lines
 
