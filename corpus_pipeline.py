@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.decontam import keep_clean
 from corpusloom.llm.gam import keep_good
-from corpusloom.llm.linejoin import without_repeated_lines
+from corpusloom.llm.linejoin import Lines, without_repeated_lines
 from corpusloom.llm.minhash import Similarity, keep_one
 from corpusloom.llm.packing import pack
 from corpusloom.llm.queries import table, tokenizer
@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier line; those of which nothing remains go."""
-    return without_repeated_lines(docs)
+    return without_repeated_lines(docs, Lines(least=1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A line is a text's part between newlines; its tokens are the distinct words of `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. A
 line is removed if an earlier line (by doc_id, then place) has 100 * intersection >= percent * union of tokens.
-Lines are judged on the input. Lines of fewer than `least` words are left alone: they repeat in clean prose.
+Lines are judged on the input. Lines of fewer than `least` words are left alone; the registered queries join lines of every length.
 
 Tokens are ordered by rarity over the whole corpus. Lines that are similar enough share one of their rarest tokens
 (prefix filter); lengths, the token's place in both lines and 64-bit parity signatures rule out most others. What

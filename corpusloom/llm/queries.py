@@ -75,9 +75,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .linejoin import dedup_lines
+    from .linejoin import Lines, dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents"), Lines(least=1))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest_neighbours, op2_minhash_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_decontamination, op6_token_counts, op7_suffix_array_dedup, op8_sharding, op9_quality_classifier, op10_line_dedup)}

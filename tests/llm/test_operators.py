@@ -236,6 +236,30 @@ def test_line_dedup_looks_further(spark, monkeypatch):
     assert got == want
 
 
+def test_short_lines_are_joined_by_the_queries(spark, tmp_path):
+    """Menu, footer and licence lines of under five words, and pairs of four and five words."""
+    import corpus_pipeline
+    from corpusloom.llm.queries import QUERIES
+
+    texts = ["Home\nAbout us\nall rights reserved here\nfirst own line of words", "home\nAbout them\nall rights reserved here now", "About us\nHome\n\nx", None, "rights all here reserved\nx\ny z", "X\nz  y"]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, left, want = [], {}, []
+    for i, t in enumerate(texts):
+        kept, own = [], t.split("\n") if t else []
+        for x in own:
+            s = frozenset(words(x, True))
+            if not s or not any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                kept.append(x)
+            if s:
+                seen.append(s)
+        want.append((i, len(own), len(own) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        if len(kept) == len(own) or "\n".join(kept).strip():
+            left[i] = t if t is None else "\n".join(kept)
+    assert rows(QUERIES["op10_line_dedup"](spark, str(tmp_path))) == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame, str(tmp_path)).collect()} == left
+
+
 BENCH = [("q1", "aaa bbb ccc"), ("q2", None), ("q3", "  ,; "), ("q4", " ".join(prose(2, 300)[40:70])), ("q10", "Aaa, BBB; ccc!"), ("q5", " ".join(prose(3, 6000)[5000:5013])), ("q6", "two words")]
 
 
