@@ -99,17 +99,19 @@ def prefixes(raw: np.ndarray, at: np.ndarray, rarity: Rarity, like: Lines) -> It
         live = own >= like.least
         if not live.any():
             continue
-        line, token = ordered(words[word[low] : word[high]][np.repeat(live, own)], own[live], rarity)
+        spoken = words[word[low] : word[high]][np.repeat(live, own)]
+        line, token = ordered(spoken, own[live], rarity)
         hashed = mix(token)
         new = np.flatnonzero(first_of(line))
         size = np.diff(np.append(new, len(line)))
         sig = np.bitwise_xor.reduceat(U64(1) << (hashed & U64(63)), new)
-        content = np.add.reduceat(hashed, new)
+        # Of whole hashes: tokens have only 38 bits of theirs.
+        content = np.add.reduceat(mix(spoken), np.cumsum(own[live]) - own[live])
         nth = np.arange(len(line)) - np.repeat(new, size)
         keep = nth < np.repeat(size - -(-size * like.percent // 100) + 1, size)
         which = line[keep]
         lines = np.arange(low, high)[live][which]
-        yield {"token": token[keep], "nth": nth[keep], "row": row[lines], "line": place[lines], "size": size[which], "sig": sig[which], "content": content[which] >> U64(32)}
+        yield {"token": token[keep], "nth": nth[keep], "row": row[lines], "line": place[lines], "size": size[which], "sig": sig[which], "content": content[which]}
 
 
 def postings(docs: DataFrame, rarity: Rarity, like: Lines, n_parts: int, buckets: int) -> DataFrame:
@@ -150,7 +152,7 @@ def post(x: dict[str, np.ndarray], n_parts: int, kind: int) -> list[tuple[int, i
     part = ((spread >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
     order = np.lexsort((x["line"], x["doc"], x["token"], part))
     part = part[order]
-    kinds = {"token": np.uint64, "doc": np.int64, "line": np.uint32, "size": np.uint32, "nth": np.uint32, "sig": np.uint64, "content": np.uint32}
+    kinds = {"token": np.uint64, "doc": np.int64, "line": np.uint32, "size": np.uint32, "nth": np.uint32, "sig": np.uint64, "content": np.uint64}
     own = {k: x[k][order].astype(t) for k, t in kinds.items()}
     return [(int(part[i]), kind, pack(**{k: np.diff(v[i:j], prepend=U64(0)) if k == "token" else v[i:j] for k, v in own.items()})) for i, j in stretches(first_of(part))]
 

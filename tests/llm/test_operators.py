@@ -260,6 +260,24 @@ def test_short_lines_are_joined_by_the_queries(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame, str(tmp_path)).collect()} == left
 
 
+def test_different_lines_are_no_copies(spark):
+    """Lines of one word whose tokens' hashes agree in 32 bits."""
+    from corpusloom.llm.kernel import U64, mix
+    from corpusloom.llm.linejoin import TAG_BITS, Lines, dedup_lines, line_words
+
+    names = [f"w{i}" for i in range(400_000)]
+    raw = np.frombuffer("\n".join(names).encode(), np.uint8)
+    hashes = line_words(raw, np.array([0, len(raw)]))[0]
+    once = U64(8) << U64(TAG_BITS)  # the level of a token that comes once
+    content = mix(once | hashes >> U64(64 - TAG_BITS)) >> U64(32)
+    order = np.argsort(content, kind="stable")
+    same = np.flatnonzero(content[order][1:] == content[order][:-1])
+    assert len(same)
+    out = [(2 * n + k, names[order[i + k]]) for n, i in enumerate(same.tolist()) for k in (0, 1)]
+    docs = spark.createDataFrame(out, "doc_id long, text string").coalesce(1)
+    assert [r for r in dedup_lines(docs, Lines(least=1)).collect() if r.n_removed] == []
+
+
 BENCH = [("q1", "aaa bbb ccc"), ("q2", None), ("q3", "  ,; "), ("q4", " ".join(prose(2, 300)[40:70])), ("q10", "Aaa, BBB; ccc!"), ("q5", " ".join(prose(3, 6000)[5000:5013])), ("q6", "two words")]
 
 
