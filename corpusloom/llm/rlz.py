@@ -1,9 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of the whole corpus, in blocks.
+"""Substring dedup against an index of the whole corpus, in blocks: a fingerprint join of runs of one anchor.
 
 The corpus is its own reference. Its index is cut into blocks by the fingerprint of an anchor (see `repeats`), and
-a stretch of a document meets exactly the block that could hold its windows. There it is factored greedily: the
-longest factor first, which is the whole stretch if any other place has it too. Where it has not, factors end inside
-the stretch; the windows that lie across those factor boundaries are checked one by one.
+a stretch of a document meets exactly the block that could hold its windows. There it is looked
+up whole; if no other place has it, its windows are looked up one by one. So this is no Lempel-Ziv parse: matches
+aren't extended to the longest factor, though the same words go.
 
 A word goes if a window of 35 words that covers it also starts anywhere else, in the same document or another.
 Windows are judged on the input.

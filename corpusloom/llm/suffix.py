@@ -3,9 +3,10 @@
 A suffix is indexed where it is the anchor of a 50-byte window (see `repeats`), which every window has exactly one
 of; so matches of 50 bytes or more are found though one suffix in about 17 is kept. The key range is cut into
 parts; each part keeps a family of sorted arrays. A batch of new suffixes is sorted by the fingerprint of its next
-16 bytes and then of its whole stretch, merge-scanned against the levels that exist, and becomes a level; levels
-of equal size are merged, so that a suffix is merged a logarithmic number of times. Order is by fingerprints and not
-by bytes, since only equality of long stretches is asked for.
+16 bytes and then of its whole stretch, and becomes a level; levels of equal size are merged, so that a suffix is
+merged a logarithmic number of times. All batches are scanned once, against the merged index, and not each against
+the levels before it: a smaller document may come in any batch. Order is by fingerprints and not by bytes, since only
+equality of long stretches is asked for.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id. Strings are judged
 on the input.
