@@ -86,7 +86,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = byte_bpe(tokenizer)
-        for b in slices(batches, most=4 << 20):
+        for b in slices(batches, most=1 << 20):
             ids, at = tokens.encode(b.column("text"))
             out: list[list] = [[], [], [], [], []]
             end = np.array([end_id], "<u4")
