@@ -9,7 +9,7 @@ The fit uses a bounded sample of labelled rows, `SAMPLE`, chosen by a hash of do
 out; the features see the text alone. Everything else covers every document.
 
 Cases: a null text is scored as an empty one; documents without a label, with a null label or held out are scored
-but never fitted; of several labels for an id the largest counts; without any label, or with labels of one class
+but never fitted; of several labels for an id the largest counts, of several texts for an id one is fitted; labels of absent documents don't count; without any label, or with labels of one class
 only, the score is the class's share (0.5 without labels); rows without doc_id are left out; equal rows get equal
 scores; further columns are ignored.
 """
@@ -52,7 +52,7 @@ HIGH = _class((0x80, 0x100))
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """One row of FEATURES for each text."""
+    """One row of FEATURES for each text, in the one precision that fits and scores use."""
     raw, at = text_bytes(column)
     n = len(at) - 1
     starts, ends, first = word_bounds(raw, at, SPACES)
@@ -85,7 +85,7 @@ def features(column: pa.Array) -> np.ndarray:
         np.log1p(size), np.log1p(words), of_words(length), share(UPPER), share(DIGIT), marks, share(SYMBOL), share(ONE["!"]), share(ONE["|"]),
         lines, np.log1p(size / (lines * size + 1)), share(HIGH), different, of_words(UPPER[head] & UPPER[tail] | UPPER[head] & MARKS[tail]), of_words(MARKS[tail]),
         of_words(length <= 3), of_words(length >= 12), np.log1p(longest), share(ONE[","]), share(ONE["."]), share(SPACES), marks - share(ONE[","]) - share(ONE["."]),
-    ])
+    ]).astype(np.float32)
 
 
 class Model:
@@ -190,24 +190,28 @@ def _measured(docs: DataFrame, *others: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x = features(b.column("text")).astype(np.float32)
+            x = features(b.column("text"))
             yield pa.record_batch([*(b.column(c) for c in others), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], names=[*others, "x"])
 
     return docs.mapInArrow(run, schema)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), len(FEATURES)).astype(np.float64)
+    return column.flatten().to_numpy().reshape(len(column), len(FEATURES))
 
 
-def fit(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled rows that are not held out; measured has doc_id and x."""
+def chosen(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, y) of at most `sample` labelled documents that are not held out; labels without a document don't count."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = measured.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "x").dropDuplicates(["doc_id"]).toArrow()  # at most `sample` rows
+    return known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def fit(measured: DataFrame, few: DataFrame) -> Model:
+    """A model from the chosen rows, at most SAMPLE; measured has doc_id and x. Of several texts of an id one counts, the least by its features."""
+    rows = measured.join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow()
     rows = rows.sort_by("doc_id").combine_chunks()
-    x = _matrix(rows.column("x").combine_chunks()) if rows.num_rows else np.zeros((0, len(FEATURES)))
+    x = _matrix(rows.column("x").combine_chunks()) if rows.num_rows else np.zeros((0, len(FEATURES)), np.float32)
     return Model(x, rows.column("y").to_numpy().astype(np.float64))
 
 
@@ -215,7 +219,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """Score and class of every document; see the module."""
     scratch = Scratch(docs.sparkSession, "quality")
     measured = scratch.save(_measured(documents(docs), "doc_id"), "features")
-    model = fit(measured, labels, sample)
+    model = fit(measured, scratch.save(chosen(measured, labels, sample), "chosen"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,10 +232,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """The documents, with all their columns, whose score is `least` or more: one pass over the labelled ones, one over all."""
     own = documents(docs)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out(F.col("doc_id"))).distinct()
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     scratch = Scratch(docs.sparkSession, "quality")
-    model = fit(scratch.save(_measured(own.join(F.broadcast(known), "doc_id", "left_semi"), "doc_id"), "features"), labels, sample)
+    few = scratch.save(chosen(own, labels, sample), "chosen")
+    model = fit(scratch.save(_measured(own.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi"), "doc_id"), "features"), few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
