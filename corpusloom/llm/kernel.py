@@ -7,6 +7,7 @@ executors agree.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,16 +56,46 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches at rows so that a slice holds about `most` bytes of the column; a longer row is alone."""
+    """Join and cut batches at rows so that a slice holds about `most` bytes of the column; a longer row is alone."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         _, at = text_bytes(batch.column(column))
         start = 0
         while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
-            yield batch.slice(start, stop - start)
+            stop = max(start + 1 - bool(held), int(np.searchsorted(at, at[start] + most - size, "right")) - 1)
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                size += int(at[stop] - at[start])
+            if stop < batch.num_rows or size >= most:
+                yield held[0] if len(held) == 1 else pa.concat_batches(held)
+                held, size = [], 0
             start = stop
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory back at the end of a task: workers live on, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def bucket_hash(ids: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long, for arrays of longs."""
+    p1, p2, p3, p4, p5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << U64(n)) | (x >> U64(64 - n))
+    h = (turn(ids.astype(np.int64).view(U64) * p2, 31) * p1) ^ (U64(42 + 8) + p5)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> U64(33))) * p2
+    h = (h ^ (h >> U64(29))) * p3
+    return (h ^ (h >> U64(32))).view(np.int64)
 
 
 def word_bounds(raw: np.ndarray, at: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

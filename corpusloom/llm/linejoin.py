@@ -7,14 +7,15 @@ Lines are judged on the input. Lines of fewer than `least` words are left alone;
 Tokens are ordered by rarity over the whole corpus. Lines that are similar enough share one of their rarest tokens
 (prefix filter); lengths, the token's place in both lines and 64-bit parity signatures rule out most others. What
 remains is verified on full token sets made from the texts: the earlier line's set travels to the later line's
-document.
+document. Lines of equal token sets have equal content (64 bits), size, signature and rarest token; they are copies.
 
-For each line and list the first few earlier lines are verified; a line that none of them removes, and that has
-more candidates, is compared with all the rest in a second round. So large groups of copies cost a few
-comparisons a line, and nothing is left out.
+For each line and list the first earlier line that passes the filters is verified. A line that none of these removes, and
+that may have more candidates, is compared with all the rest in a second round, which reads the lists that the first one
+has kept for it. So large groups of copies cost a few comparisons a line, and nothing is left out.
 
 Cases: a null or empty text has no lines; equal lines are copies, the first stays; equal rows of one doc_id count
-as one document and are treated alike; rows without doc_id are left out; an empty table gives no rows; further columns are
+as one document and are treated alike; different texts of one doc_id are one document, the texts in the order of their
+SHA-256; rows without doc_id are left out; an empty table gives no rows; further columns are
 ignored by dedup_lines and kept by without_repeated_lines, which drops documents of which nothing remains.
 """
 
@@ -32,16 +33,16 @@ from pyspark.sql.types import StructType
 
 from .kernel import SPACES, U64, mix, slices, text_bytes, word_bounds, word_hashes
 from .rarity import SLOT_BITS, Rarity, gather, send, slots
-from .repeats import BLOBS, COVERED, TEXT, _text, buckets_of, by_part, first_of, grouped, meet, stretches
-from .store import Scratch, documents, pack, parts, table_rows, unpack, with_ids
+from .repeats import BLOBS, COVERED, TEXT, buckets_of, by_part, first_of, grouped, meet, stretches
+from .store import Scratch, documents, pack, parts, table_rows, unpack, with_bases, with_ids
 
-FLUSH = 24 << 20
+FLUSH = 16 << 20
 TAG_BITS, LINE_BITS = 38, 18
-#: Candidates that a line verifies per list in the first round; members of a short list; pairs of a long list that are looked at at once.
-FIRST, SHORT, BLOCK = 3, 64, 1 << 20
+#: Members of a short list; lines of a long list that are looked at at once, against so many others.
+SHORT, BLOCK, HUBS = 64, 1 << 20, 256
 #: Pairs that a task holds before it sends them.
 SENT = 1 << 20
-POSTED, ASKING, PAIR, SET = 3, 4, 5, 6
+POSTED, ASKING, PAIR, SET, LIST = 3, 4, 5, 6, 7
 SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
 
 
@@ -133,9 +134,10 @@ def postings(docs: DataFrame, rarity: Rarity, like: Lines, n_parts: int, buckets
         size = 0
         for b in slices(batches):
             raw, at = text_bytes(b.column("text"))
-            ids = b.column("doc_id").to_numpy()
+            ids, bases = b.column("doc_id").to_numpy(), b.column("base").to_numpy()
             for x in prefixes(raw, at, rarity, like):
-                x["doc"] = ids[x.pop("row")]
+                row = x.pop("row")
+                x["doc"], x["line"] = ids[row], x["line"] + bases[row]
                 held.append(x)
             size += len(raw)
             if size >= FLUSH and held:
@@ -148,13 +150,20 @@ def postings(docs: DataFrame, rarity: Rarity, like: Lines, n_parts: int, buckets
 
 
 def post(x: dict[str, np.ndarray], n_parts: int, kind: int) -> list[tuple[int, int, bytes]]:
+    """Postings by parts of the tokens' range; in a part by token, then by document and line."""
     spread = mix(x["token"])
     part = ((spread >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
     order = np.lexsort((x["line"], x["doc"], x["token"], part))
     part = part[order]
-    kinds = {"token": np.uint64, "doc": np.int64, "line": np.uint32, "size": np.uint32, "nth": np.uint32, "sig": np.uint64, "content": np.uint64}
-    own = {k: x[k][order].astype(t) for k, t in kinds.items()}
-    return [(int(part[i]), kind, pack(**{k: np.diff(v[i:j], prepend=U64(0)) if k == "token" else v[i:j] for k, v in own.items()})) for i, j in stretches(first_of(part))]
+    own = {k: x[k][order].astype(t) for k, t in POSTING.items()}
+    return [(int(part[i]), kind, _list({k: v[i:j] for k, v in own.items()})) for i, j in stretches(first_of(part))]
+
+
+POSTING = {"token": np.uint64, "doc": np.int64, "line": np.int64, "size": np.uint32, "nth": np.uint32, "sig": np.uint64, "content": np.uint64}
+
+
+def _list(x: dict[str, np.ndarray]) -> bytes:
+    return pack(**{k: np.diff(x[k], prepend=U64(0)) if k == "token" else x[k].astype(t) for k, t in POSTING.items()})
 
 
 def lines_to(of: np.ndarray, n_parts: int, **arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -177,20 +186,27 @@ def _alike(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int)
     """Whether lines i and j of a list may be similar enough: length, positional and signature filters."""
     m, n = x["size"][i], x["size"][j]
     want = needed(m, n, percent)
-    ok = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (1 + np.minimum(m - x["nth"][i], n - x["nth"][j]) - 1 >= want)
+    ok = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (np.minimum(m - x["nth"][i], n - x["nth"][j]) >= want)
     return ok & (np.bitwise_count(x["sig"][i] ^ x["sig"][j]) <= m + n - 2 * want)
 
 
 def pairs(like: Lines, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Candidate pairs of each part's lists, sent to the earlier line's document."""
+    """Candidate pairs of each part's lists, sent to the earlier line's document; and lists that a second round may need."""
 
     def send(held: list[dict[str, np.ndarray]], gone: list[np.ndarray]) -> pa.RecordBatch:
         out = []
         if held:
             x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            order = np.lexsort((x["more"], x["at"], x["to"], x["line"], x["doc"]))
+            x = {k: v[order] for k, v in x.items()}
+            last = np.ones(len(order), bool)  # of equal pairs the one that has more behind it
+            last[:-1] = first_of(x["doc"], x["line"], x["to"], x["at"])[1:]
+            x = {k: v[last] for k, v in x.items()}
             out += [(p, PAIR, b) for p, b in lines_to(x["doc"], buckets, **x)]
         if gone:
-            lines = np.unique(np.concatenate(gone), axis=0)
+            lines = np.concatenate(gone)
+            lines = lines[np.lexsort((lines[:, 1], lines[:, 0]))]
+            lines = lines[first_of(lines[:, 0], lines[:, 1])]
             out += [(p, COVERED, b) for p, b in lines_to(lines[:, 0].copy(), buckets, doc=lines[:, 0].copy(), line=lines[:, 1].copy())]
         return table_rows(BLOBS, out)
 
@@ -198,31 +214,37 @@ def pairs(like: Lines, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
         held: list[dict[str, np.ndarray]] = []
         gone: list[np.ndarray] = []
         size = 0
-        for _, rows in grouped(batches):
+        for part, rows in grouped(batches):
             posted: list[dict[str, np.ndarray]] = []
             asking: list[dict[str, np.ndarray]] = []
+            second = False
             for r in rows:
                 if r["kind"] == COVERED:
                     x = unpack(r["blob"])
                     gone.append(np.column_stack([x["doc"], x["line"]]))
                     size += len(x["doc"])
                 else:
-                    (posted if r["kind"] == POSTED else asking).append(_posted(r["blob"]))
-            if not posted:
-                continue
-            x = {k: np.concatenate([p[k] for p in posted]) for k in posted[0]}
-            order = np.lexsort((x["line"], x["doc"], x["token"]))
-            x = {k: v[order] for k, v in x.items()}
-            if asking:
-                i, j, more = _rest(x, asking, like.percent)
-            else:
-                x, copies = _without_copies(x)
-                gone.append(copies)
-                size += len(copies)
-                i, j, more = _first(x, like.percent)
-            if len(i):
-                held.append({"doc": x["doc"][i], "line": x["line"][i], "to": x["doc"][j], "at": x["line"][j], "more": more})
-                size += len(i)
+                    second |= r["kind"] == LIST
+                    (asking if r["kind"] == ASKING else posted).append(_posted(r["blob"]))
+            if posted:
+                x = {k: np.concatenate([p[k] for p in posted]) for k in posted[0]}
+                posted.clear()
+                if second:
+                    i, j, more = _rest(x, asking, like.percent)
+                else:
+                    x, copies = _without_copies(x)
+                    gone.append(copies)
+                    size += len(copies)
+                    i, j, more = _first(x, like.percent)
+                    if more.any():
+                        new = first_of(x["token"])
+                        group = np.cumsum(new) - 1
+                        keep = np.zeros(int(new.sum()), bool)
+                        keep[group[j[more > 0]]] = True
+                        yield table_rows(BLOBS, [(part, LIST, _list({k: v[keep[group]] for k, v in x.items()}))])
+                if len(i):
+                    held.append({"doc": x["doc"][i], "line": x["line"][i], "to": x["doc"][j], "at": x["line"][j], "more": more})
+                    size += len(i)
             if size >= SENT:
                 yield send(held, gone)
                 held, gone, size = [], [], 0
@@ -233,84 +255,101 @@ def pairs(like: Lines, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 
 def _without_copies(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Lists with the first of equal lines only, and the others: (doc, line) rows."""
-    order = np.lexsort((x["line"], x["doc"], x["size"], x["content"], x["token"]))
-    new = first_of(x["token"][order], x["content"][order], x["size"][order])
-    begin = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
-    first = order[begin] if len(new) else order
-    copy = np.zeros(len(order), bool)
-    copy[order] = (x["doc"][order] != x["doc"][first]) | (x["line"][order] != x["line"][first])
-    return {k: v[~copy] for k, v in x.items()}, np.column_stack([x["doc"][copy], x["line"][copy]])
+    """Lists of more than one line, with the first of equal lines only, by token, document and line; and the other lines: (doc, line) rows."""
+    order = np.argsort(x["token"], kind="stable")
+    new = first_of(x["token"][order])
+    size = np.diff(np.append(np.flatnonzero(new), len(new)))
+    order = order[np.repeat(size > 1, size)]  # the rest meets nobody
+    x = {k: v[order] for k, v in x.items()}
+    order = np.lexsort((x["line"], x["doc"], x["size"], x["sig"], x["content"], x["token"]))
+    new = first_of(x["token"][order], x["content"][order], x["sig"][order], x["size"][order])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(new) else order
+    copy = order[(x["doc"][order] != x["doc"][first]) | (x["line"][order] != x["line"][first])]
+    gone = np.column_stack([x["doc"][copy], x["line"][copy]])
+    keep = np.ones(len(order), bool)
+    keep[copy] = False
+    x = {k: v[keep] for k, v in x.items()}
+    order = np.lexsort((x["line"], x["doc"], x["token"]))
+    return {k: v[order] for k, v in x.items()}, gone
 
 
 def _first(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each line of each list its first few candidates: earlier line, line, and whether the list holds more.
+    """For each line of each list its first candidate: earlier line, line, and whether the list may hold more.
 
-    Short lists are taken together, by distance to the first member; long ones each for itself, in blocks of lines.
+    Lines are held against the list's members from the first on, until they have a candidate: short lists all at once,
+    long ones some hundred members at a time.
     """
     new = first_of(x["token"])
     begin = np.flatnonzero(new)
     length = np.diff(np.append(begin, len(new)))
     place = np.arange(len(new)) - np.repeat(begin, length)
-    some, left, more = [], [], []
-    found = np.zeros(len(new), np.int64)
+    some, left = [], []
+    other = lambda i, j: (x["doc"][i] != x["doc"][j]) | (x["line"][i] != x["line"][j])
     j = np.flatnonzero((place > 0) & (np.repeat(length, length) <= SHORT))
     for hub in range(SHORT):
         j = j[place[j] > hub]
         if not len(j):
             break
         i = j - place[j] + hub
-        ok = _alike(x, i, j, percent) & ((x["doc"][i] != x["doc"][j]) | (x["line"][i] != x["line"][j]))
-        found[j[ok]] += 1
-        few = ok & (found[j] <= FIRST)
-        some.append(i[few])
-        left.append(j[few])
+        ok = _alike(x, i, j, percent) & other(i, j)
+        some.append(i[ok])
+        left.append(j[ok])
+        j = j[~ok]
     for k in np.flatnonzero(length > SHORT).tolist():
         a, b = int(begin[k]), int(begin[k] + length[k])
-        step = max(1, BLOCK // (b - a))
-        for low in range(a + 1, b, step):
-            high = min(b, low + step)
-            i, j = np.arange(a, high - 1)[None, :], np.arange(low, high)[:, None]
-            ok = _alike(x, i, j, percent) & (i < j) & ((x["doc"][i] != x["doc"][j]) | (x["line"][i] != x["line"][j]))
-            found[low:high] = ok.sum(1)
-            row, column = np.nonzero(ok & (np.cumsum(ok, 1) <= FIRST))
-            some.append(column + a)
-            left.append(row + low)
+        rest = np.arange(a + 1, b)
+        for low in range(a, b, HUBS):
+            rest = rest[rest > low]
+            found = np.zeros(len(rest), bool)
+            for at in range(0, len(rest), BLOCK // HUBS):
+                j = rest[at : at + BLOCK // HUBS, None]
+                i = np.arange(low, min(low + HUBS, b))[None, :]
+                ok = _alike(x, i, j, percent) & (i < j) & other(i, j)
+                row = np.flatnonzero(ok.any(1))
+                some.append(low + np.argmax(ok[row], axis=1))
+                left.append(j[row, 0])
+                found[at + row] = True
+            rest = rest[~found]
+            if not len(rest):
+                break
     i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (some, left))
-    return i, j, (found[j] > FIRST).astype(np.int64)
+    return i, j, (place[j] > place[i] + 1).astype(np.int64)
 
 
 def _rest(x: dict[str, np.ndarray], asking: list[dict[str, np.ndarray]], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each line that asks all its candidates."""
+    none = np.zeros(0, np.int64)
+    if not asking:
+        return none, none, none
     y = {k: np.concatenate([a[k] for a in asking]) for k in asking[0]}
     begin = np.flatnonzero(first_of(x["token"]))
     end = np.append(begin[1:], len(x["token"]))
-    at = np.searchsorted(x["token"][begin], y["token"])
-    some, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in range(len(y["token"])):
+    heads = x["token"][begin]
+    at = np.minimum(np.searchsorted(heads, y["token"]), len(heads) - 1)
+    some, left = [none], [none]
+    for k in np.flatnonzero(heads[at] == y["token"]).tolist():  # a list that was not kept has no more candidates
         i, j = begin[at[k]], end[at[k]]
-        me = i + int(np.searchsorted(x["doc"][i:j], y["doc"][k]))
-        while me < j and x["line"][me] != y["line"][k]:
-            me += 1
-        earlier = np.arange(i, me)
-        earlier = earlier[_alike(x, earlier, np.full(len(earlier), me), percent)]
-        some.append(earlier)
-        left.append(np.full(len(earlier), me))
+        low, high = i + np.searchsorted(x["doc"][i:j], [y["doc"][k], y["doc"][k] + 1])
+        me = low + int(np.searchsorted(x["line"][low:high], y["line"][k]))
+        for step in range(int(i), int(me), BLOCK):
+            earlier = np.arange(step, min(int(me), step + BLOCK))
+            earlier = earlier[_alike(x, earlier, np.array([me]), percent)]
+            some.append(earlier)
+            left.append(np.full(len(earlier), me))
     i = np.concatenate(some)
     return i, np.concatenate(left), np.zeros(len(i), np.int64)
 
 
-def _line_sets(text: bytes, lines: np.ndarray) -> dict[int, np.ndarray]:
+def _line_sets(text: bytes, lines: np.ndarray) -> list[np.ndarray]:
     """Token sets of some lines of a text."""
     raw = np.frombuffer(text, np.uint8)
     words, _, place, n = line_words(raw, np.array([0, len(raw)]))
     end = np.cumsum(n)
-    k = np.searchsorted(place, lines)
-    return {int(line): np.unique(words[end[i] - n[i] : end[i]] & TOKEN_MASK) for line, i in zip(lines.tolist(), k.tolist(), strict=True)}
+    return [np.unique(words[end[i] - n[i] : end[i]]) for i in np.searchsorted(place, lines).tolist()]
 
 
 def _documents(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> Iterator[tuple[dict, dict[int, dict[str, np.ndarray]]]]:
-    """Each document once with its rows of each kind, sorted by document; kinds that need a place per set keep it in `set`."""
+    """Each text once with its rows of each kind, sorted by document; lines are those of the text, without its base."""
     for _, rows in grouped(batches):
         held: dict[int, list[dict[str, np.ndarray]]] = {k: [] for k in kinds}
         ready: dict[int, dict[str, np.ndarray]] | None = None
@@ -328,14 +367,13 @@ def _documents(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> Ite
             own = {}
             for k, x in ready.items():
                 i, j = np.searchsorted(x["doc"], [r["doc_id"], r["doc_id"] + 1])
+                i, j = i + np.searchsorted(x["line"][i:j], [r["base"], r["base"] + len(r["blob"]) + 1])
                 if i < j:
                     own[k] = {c: v[i:j] for c, v in x.items()}
+                    own[k]["line"] = own[k]["line"] - r["base"]
             yield r, own
 
 
-TOKEN_MASK = U64((1 << 48) - 1)
-
-
 def _sets(blob: bytes) -> dict[str, np.ndarray]:
     """A blob of pairs with the earlier lines' tokens, each set once: the tokens become an object column."""
     size = int.from_bytes(blob[:4], "little")
@@ -368,22 +406,22 @@ def send_sets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 out.append((int(bucket[order[i]]), SET, len(head).to_bytes(4, "little") + head + body))
             return table_rows(BLOBS, out)
 
-        done: set[int] = set()
+        done: set[tuple[int, int]] = set()
         for row, own in _documents(batches, (PAIR,)):
-            doc = row["doc_id"]
-            if PAIR not in own or doc in done:
+            name = (row["doc_id"], row["base"])
+            if PAIR not in own or name in done:
                 continue
-            done.add(doc)
+            done.add(name)
             x = own[PAIR]
             order = np.lexsort((x["more"], x["at"], x["to"], x["line"]))
             x = {c: v[order] for c, v in x.items()}
-            last = np.ones(len(order), bool)  # of equal pairs the one that has more behind it
+            last = np.ones(len(order), bool)
             last[:-1] = first_of(x["line"], x["to"], x["at"])[1:]
             lines, ref = np.unique(x["line"][last], return_inverse=True)
-            found = _line_sets(_text(row["blob"]), lines)
+            found = _line_sets(row["blob"], lines)
             held.append(np.column_stack([x["to"][last], x["at"][last], x["more"][last], ref + len(sets)]))
-            sets += [found[line] for line in lines.tolist()]
-            size += int(last.sum()) + sum(map(len, found.values()))
+            sets += found
+            size += int(last.sum()) + sum(map(len, found))
             if size > SENT:
                 yield flush()
                 held, sets, size = [], [], 0
@@ -397,23 +435,26 @@ def compare(rarity: Rarity, like: Lines, n_parts: int, buckets: int) -> Callable
     """Lines that are similar to an earlier one; and postings of those that must look further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done: set[tuple[int, int]] = set()
         gone: list[tuple[int, int]] = []
+        asking: list[dict[str, np.ndarray]] = []
         for row, own in _documents(batches, (SET,)):
-            doc = row["doc_id"]
-            if SET not in own or doc in done:
+            name = doc, base = row["doc_id"], row["base"]
+            if SET not in own or name in done:
                 continue
-            done.add(doc)
-            x, text = own[SET], _text(row["blob"])
-            sets = _line_sets(text, np.unique(x["line"]))
+            done.add(name)
+            x, text = own[SET], row["blob"]
+            lines = np.flatnonzero(first_of(x["line"]))
+            sets = _line_sets(text, x["line"][lines])
             further: list[int] = []
-            for i, j in stretches(first_of(x["line"])):
+            for mine, (i, j) in zip(sets, stretches(first_of(x["line"])), strict=True):
                 line = int(x["line"][i])
-                mine = sets[line]
                 for other in x["set"][i:j]:
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    both = np.concatenate([mine, other])
+                    both.sort()
+                    both = int((both[1:] == both[:-1]).sum())
                     if 100 * both >= like.percent * (len(mine) + len(other) - both):
-                        gone.append((doc, line))
+                        gone.append((doc, line + base))
                         break
                 else:
                     if x["more"][i:j].any():
@@ -421,30 +462,35 @@ def compare(rarity: Rarity, like: Lines, n_parts: int, buckets: int) -> Callable
             if further:
                 raw = np.frombuffer(text, np.uint8)
                 for p in prefixes(raw, np.array([0, len(raw)]), rarity, like):
-                    p["doc"] = np.full(len(p.pop("row")), doc)
                     keep = np.isin(p["line"], further)
-                    yield table_rows(BLOBS, post({k: v[keep] for k, v in p.items()}, n_parts, ASKING))
-            if len(gone) >= 1 << 16:
-                yield table_rows(BLOBS, _gone(gone, buckets))
-                gone = []
-        if gone:
-            yield table_rows(BLOBS, _gone(gone, buckets))
+                    p = {k: v[keep] for k, v in p.items()}
+                    p["doc"], p["line"] = np.full(len(p.pop("row")), doc), p["line"] + base
+                    asking.append(p)
+            if len(gone) >= 1 << 16 or len(asking) >= 1 << 10:
+                yield table_rows(BLOBS, [*_gone(gone, buckets), *_asked(asking, n_parts)])
+                gone, asking = [], []
+        if gone or asking:
+            yield table_rows(BLOBS, [*_gone(gone, buckets), *_asked(asking, n_parts)])
 
     return run
 
 
 def _gone(gone: list[tuple[int, int]], buckets: int) -> list[tuple[int, int, bytes]]:
-    doc, line = (np.array(c, np.int64) for c in zip(*gone, strict=True))
+    doc, line = (np.array(c, np.int64) for c in zip(*gone, strict=True)) if gone else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return [(p, COVERED, b) for p, b in lines_to(doc, buckets, doc=doc, line=line)]
 
 
+def _asked(asking: list[dict[str, np.ndarray]], n_parts: int) -> list[tuple[int, int, bytes]]:
+    return post({k: np.concatenate([a[k] for a in asking]) for k in asking[0]}, n_parts, ASKING) if asking else []
+
+
 def _named(rows: DataFrame, kind: int) -> DataFrame:
     """Documents that rows of a kind speak of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(0, np.int64)
         for b in batches:
-            own = [(unpack(blob) if kind == PAIR else _sets(blob))["doc"] for blob in b.column("blob").to_pylist()]
+            own = [(unpack(blob.as_py()) if kind == PAIR else _sets(blob.as_py()))["doc"] for blob in b.column("blob")]
             found = np.unique(np.concatenate([found, *own]))
         yield pa.record_batch([pa.array(found)], names=["doc_id"])
 
@@ -454,7 +500,6 @@ def _named(rows: DataFrame, kind: int) -> DataFrame:
 def removed_lines(docs: DataFrame, like: Lines, scratch: Scratch, n_parts: int, buckets: int, n: int) -> DataFrame:
     """Rows of kind COVERED: the removed lines, in their documents' buckets."""
     rarity = count_tokens(docs, scratch)
-    posted = postings(docs, rarity, like, n_parts, buckets)  # made again for a second round, which few inputs need
 
     def verify(rows: DataFrame, name: str) -> DataFrame:
         found = scratch.save(by_part(rows, n).mapInArrow(pairs(like, buckets), BLOBS), f"{name}-pairs")
@@ -464,24 +509,22 @@ def removed_lines(docs: DataFrame, like: Lines, scratch: Scratch, n_parts: int,
         with_sets = with_ids(docs, scratch.save(_named(sets, SET), f"{name}-later"))
         out = scratch.save(meet(sets, with_sets, buckets, n).mapInArrow(compare(rarity, like, n_parts, buckets), BLOBS), f"{name}-verified")
         scratch.drop(f"{name}-sets")
-        return out.unionByName(found.where(F.col("kind") == COVERED))
+        return out.unionByName(found.where(F.col("kind").isin(COVERED, LIST)))
 
-    first = verify(posted, "first")
+    first = verify(postings(docs, rarity, like, n_parts, buckets), "first")
     gone = first.where(F.col("kind") == COVERED)
     asking = first.where(F.col("kind") == ASKING)
     if asking.limit(1).count():
-        lists = posted.where(F.col("kind") == POSTED).join(asking.select("part").distinct(), "part", "left_semi")
-        second = verify(lists.unionByName(asking), "second")
+        second = verify(first.where(F.col("kind") == LIST).unionByName(asking), "second")
         gone = gone.unionByName(second.where(F.col("kind") == COVERED))
     return gone
 
 
-def _settled(docs: DataFrame, like: Lines) -> tuple[DataFrame, int, int]:
-    """Removed lines of documents (doc_id, text), the number of buckets and of partitions."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _settled(docs: DataFrame, like: Lines, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """Removed lines of documents (doc_id, text, base), the number of buckets and of partitions."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * n
-    return removed_lines(docs, like, Scratch(spark, "lines"), parts(docs, 4 << 20, least=4 * n), buckets, n), buckets, n
+    return removed_lines(docs, like, scratch, parts(docs, 4 << 20, least=n), buckets, n), buckets, n
 
 
 def _rest_of(text: bytes, own: dict[int, dict[str, np.ndarray]]) -> tuple[int, int, bytes]:
@@ -496,13 +539,14 @@ def _rest_of(text: bytes, own: dict[int, dict[str, np.ndarray]]) -> tuple[int, i
 
 def dedup_lines(docs: DataFrame, like: Lines | None = None) -> DataFrame:
     """Lines removed from every document; see the module."""
-    docs = documents(docs)
-    gone, buckets, n = _settled(docs, like or Lines())
+    scratch = Scratch(docs.sparkSession, "lines")
+    docs, _ = with_bases(documents(docs), scratch)
+    gone, buckets, n = _settled(docs, like or Lines(), scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for row, own in _documents(batches, (COVERED,)):
-            text = _text(row["blob"])
+            text = row["blob"]
             lines, removed, rest = _rest_of(text, own)
             out.append((row["doc_id"], lines, removed, hashlib.sha256(rest).hexdigest()))
             if len(out) >= 512:
@@ -516,11 +560,12 @@ def dedup_lines(docs: DataFrame, like: Lines | None = None) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, like: Lines | None = None) -> DataFrame:
     """The documents without removed lines, null texts as they are; other columns stay, n_chars follows the text where it changes."""
-    light = documents(docs)
-    gone, buckets, n = _settled(light, like or Lines())
+    scratch = Scratch(docs.sparkSession, "lines")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(F.col("text").isNull().alias("null"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
     whole = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
+    whole, _ = with_bases(whole, scratch)
+    gone, buckets, n = _settled(whole.drop("rest"), like or Lines(), scratch)
 
     schema = StructType([*StructType.fromDDL("doc_id long, new_text string, removed boolean").fields, whole.schema["rest"]])
 
@@ -533,7 +578,7 @@ def without_repeated_lines(docs: DataFrame, like: Lines | None = None) -> DataFr
             return pa.record_batch([pa.array(ids, pa.int64()), pa.array(new, pa.string()), pa.array(changed, pa.bool_()), pa.array(kept, kind)], names=["doc_id", "new_text", "removed", "rest"])
 
         for row, own in _documents(batches, (COVERED,)):
-            text = _text(row["blob"])
+            text = row["blob"]
             kind = row["rest"].type
             _, removed, left = _rest_of(text, own)
             if removed and not left.strip():

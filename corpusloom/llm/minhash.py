@@ -4,9 +4,9 @@ A document's set is its distinct shingles, each as a 64-bit fingerprint; its ske
 with equal sets are one class. Inverted lists of the retained values give each value's exact count; sets that are
 similar enough share so many retained values that they meet in a list of their rarest ones (prefix filter), and a set
 with too many values of its own meets nobody. In a list, pairs are held against their sizes and 1024-bit parity
-signatures, which bound the difference of two sets from below. The union's sketch then estimates the similarity of
-candidates and drops those that are clearly below; the rest are compared on their full sets, made again from their
-texts.
+signatures, which bound the difference of two sets from below. The overlap of a pair's stored sketches, counted within
+the sketch of their union, then estimates its similarity and drops pairs that are clearly below, before any text is read; the
+rest are compared on their full sets, made again from their texts.
 
 Lists of any length are settled exactly: each member is first compared with the first few that pass; after
 components are known, all pairs of a list that lie in different components and pass, and only those, are
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import SPACES, U64, grams, mix, slices, text_bytes, word_bounds, word_hashes
-from .repeats import BLOBS, buckets_of, by_part, first_of, grouped, stretches, texts
-from .store import Scratch, documents, join_packed, pack, parts, table_rows, with_ids
+from .repeats import BLOBS, buckets_of, by_part, first_of, grouped, stretches
+from .store import Scratch, documents, join_packed, pack, parts, table_rows, with_bases, with_ids
 
 MISS = 1e-8
 #: Members of a list that each one is compared with in the first round.
@@ -307,27 +307,45 @@ def may_be_similar(s: np.ndarray, t: np.ndarray, like: Similarity) -> bool:
     return both >= min(like.shared(), ceil(len(union) * like.percent / 100))
 
 
+def _paired(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the values (doc_id, value) of both as x and y; an id with several values makes a row for each."""
+    x = values.select(F.col("doc_id").alias("a"), F.col("value").alias("x"))
+    y = values.select(F.col("doc_id").alias("b"), F.col("value").alias("y"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
+
+
+def estimated(pairs: DataFrame, kept_sketches: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs that the overlap in the union's sketch leaves a chance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
+            keep = [may_be_similar(np.frombuffer(s, U64), np.frombuffer(t, U64), like) for s, t in zip(x, y, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _paired(pairs, kept_sketches).mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, kept_texts: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs that the union's sketch leaves a chance, and whose full sets are similar enough."""
-    from .repeats import _text
+    """Pairs whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.zeros(0, U64)
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
-                a = b.column("a")[i].as_py()
-                if a != last:
-                    last, own = a, next(shingle_sets(pa.array([_text(b.column("x")[i].as_py())], pa.binary()), like.words))
-                other = next(shingle_sets(pa.array([_text(b.column("y")[i].as_py())], pa.binary()), like.words))
-                if len(own) and len(other) and may_be_similar(own, other, like):
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    keep[i] = 100 * both >= like.percent * (len(own) + len(other) - both)
+                text = b.column("x")[i].as_py()
+                if text != last:
+                    last, own = text, next(shingle_sets(b.column("x").slice(i, 1), like.words))
+                other = next(shingle_sets(b.column("y").slice(i, 1), like.words))
+                if len(own) and len(other):
+                    every = np.concatenate([own, other])
+                    every.sort()
+                    both = int((every[1:] == every[:-1]).sum())
+                    keep[i] = 100 * both >= like.percent * (len(every) - both)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    x = kept_texts.select(F.col("doc_id").alias("a"), F.col("blob").alias("x"))
-    y = kept_texts.select(F.col("doc_id").alias("b"), F.col("blob").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _paired(pairs, kept_texts).mapInArrow(run, "a long, b long")
 
 
 def send_roots(labels: DataFrame, buckets: int) -> DataFrame:
@@ -344,11 +362,11 @@ def send_roots(labels: DataFrame, buckets: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
     """Component of every document; see the module."""
     like = like or Similarity()
-    docs = documents(docs)
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
+    docs, twice = with_bases(documents(docs), scratch)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_parts = parts(docs, 4 << 20, least=4 * n)
+    n_parts = parts(docs, 4 << 20, least=n)
     buckets = 2 * n
 
     marked = scratch.save(sketches(docs, like), "sketches")
@@ -357,16 +375,18 @@ def near_duplicates(docs: DataFrame, like: Similarity | None = None) -> DataFram
     marked = scratch.save(marked.select("doc_id", "n", "sum", "xor"), "marked")
     scratch.drop("sketches")
     shared = scratch.save(by_part(send_classes(classes, like, n_parts, buckets), n).mapInArrow(share_counts(buckets), BLOBS), "shared")
-    classes = scratch.save(classes.select("n", "sum", "xor", "rep"), "names")
-    scratch.drop("classes")
+    known = classes.select(F.col("rep").alias("doc_id"), F.col("sketch").alias("value"))
+    classes = classes.select("n", "sum", "xor", "rep")
+
+    def named(pairs: DataFrame, name: str) -> DataFrame:
+        return scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), name)
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
-        kept = texts(with_ids(docs, ids), buckets).groupBy("doc_id").agg(F.first("blob").alias("blob"))
-        kept = scratch.save(kept, f"{name}-texts")
-        out = scratch.save(verified(pairs, kept, like), f"{name}-links")
-        scratch.drop(f"{name}-texts")
-        return out
+        """Pairs that stay after the sketches and after the full sets. Of an id with several texts any of them counts: all are linked through the id."""
+        pairs = scratch.save(estimated(pairs, with_ids(known, named(pairs, f"{name}-candidates")), like), f"{name}-estimated")
+        kept = with_ids(docs, named(pairs, f"{name}-ids"))
+        kept = kept.groupBy("doc_id", "base").agg(F.first("text").alias("value")) if twice else kept.withColumnRenamed("text", "value")
+        return scratch.save(verified(pairs, kept.select("doc_id", "value"), like).distinct(), f"{name}-links")
 
     def listed(rows: DataFrame, second: bool) -> DataFrame:
         entries = by_part(rows, n).mapInArrow(choose(like, n_parts), BLOBS)

@@ -1,7 +1,7 @@
 """Intermediate tables in the shared folder, sizes of inputs, and packed rows.
 
 A table written here survives lost executors and cuts lineage. The folder is `spark.checkpoint.dir`; where
-that is unset (tests on one machine), a folder below /tmp/checkpoints.
+that is unset, a folder below /tmp/checkpoints if all of Spark runs on this machine, and an error otherwise.
 """
 
 from __future__ import annotations
@@ -13,12 +13,22 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 
 LOCAL = "file:///tmp/checkpoints/corpusloom"
+#: Rows of an Arrow batch at most: texts are long, and a batch is held whole on both sides.
+BATCH_ROWS = 1_024
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (base or LOCAL).rstrip("/")
 
 
 class Scratch:
@@ -26,9 +36,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        small_batches(spark)
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL
-        self.path = f"{base.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex[:12]}"
+        self.path = f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.close)
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
@@ -40,7 +50,7 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(path)
 
     def release(self) -> None:
-        """Let Spark's cleaner remove shuffle files of finished stages."""
+        """Let Spark's cleaner remove shuffle files of finished stages: it waits for the driver's garbage collector, which nothing else wakes."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
@@ -61,8 +71,14 @@ def input_bytes(frame: DataFrame) -> int:
     return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-#: Ids that may go to all executors at once (16 MB); more of them are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+#: Ids that may go to all executors at once (4 MB of numbers); more of them are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def with_ids(frame: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -80,9 +96,27 @@ def parts(frame: DataFrame, each: int, least: int = 8) -> int:
 def documents(frame: DataFrame) -> DataFrame:
     """doc_id and text of rows that have an id, whatever else the table holds."""
     ship(frame.sparkSession)
+    small_batches(frame.sparkSession)
     return frame.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
+def with_bases(frame: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """The frame, which has doc_id and text, with a column `base`: where the row's text begins among the different texts of its id; and whether ids repeat.
+
+    That is 0 but for ids with several texts: these stand one after the other, ordered by their SHA-256, and a place in
+    one of them is its place in the text and the base. So (doc_id, place) names one place of one text; equal rows share it.
+    """
+    again = scratch.save(frame.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.limit(1).count():
+        return frame.withColumn("base", F.lit(0).cast("long")), False
+    text = F.coalesce("text", F.lit(""))
+    some = with_ids(frame, again).withColumn("sha", F.sha2(text.cast("binary"), 256))
+    sizes = some.select("doc_id", "sha", (F.octet_length(text) + 1).cast("long").alias("size")).distinct()
+    before = Window.partitionBy("doc_id").orderBy("sha").rowsBetween(Window.unboundedPreceding, -1)
+    bases = scratch.save(sizes.select("doc_id", "sha", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")).alias("base")), "bases")
+    return with_ids(frame, again, "left_anti").withColumn("base", F.lit(0).cast("long")).unionByName(some.join(bases, ["doc_id", "sha"]).drop("sha")), True
+
+
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
 
 

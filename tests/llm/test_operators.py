@@ -105,21 +105,104 @@ def test_suffix_dedup(spark, docs, empty):
 
 
 def test_suffix_family_levels():
-    from corpusloom.llm.suffix import Family
+    """Batches in any order of documents: each entry but those of the smallest document is found, and levels halve."""
+    from corpusloom.llm.suffix import LEFT, Family, sorted_batch
 
     rng = np.random.default_rng(1)
-    family, seen = Family(), {}
-    for doc in range(40):
-        n = 50
-        pairs = np.unique(rng.integers(0, 300, (n, 2)), axis=0).astype(np.uint64)
-        batch = {"anchor": pairs[:, 0], "content": pairs[:, 1], "left": pairs[:, 0].astype(np.uint16), "right": pairs[:, 1].astype(np.uint16), "doc": np.full(len(pairs), doc)}
-        for a, c in pairs.tolist():
-            seen.setdefault((a, c), doc)
-        family.add(batch)
-        assert family.scan(batch).tolist() == [seen[a, c] for a, c in pairs.tolist()]
-        sizes = [len(x["doc"]) for x in family.levels]
-        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
-    assert len(family.levels) <= 12
+    for order in (range(40), range(39, -1, -1), rng.permutation(40).tolist()):
+        family, have, found = Family(), {}, set()
+        for doc in order:
+            stretches = [bytes(rng.integers(0, 3, 50, np.uint8) * 0) + bytes([int(rng.integers(0, 60))]) + bytes(rng.integers(0, 2, int(rng.integers(0, 3)), np.uint8)) for _ in range(50)]
+            batch = {"data": np.frombuffer(b"".join(stretches), np.uint8), "bytes": np.array([len(x) for x in stretches]), "lead": np.full(50, LEFT), "doc": np.full(50, doc), "start": np.arange(50)}
+            for k, x in enumerate(stretches):
+                have[doc, k] = x
+            for d, at, n in family.add(sorted_batch(batch)):
+                found |= set(zip(d.tolist(), at.tolist()))
+            sizes = [len(x["key"]) for x in family.levels]
+            assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+            assert all((x["key"][:-1] <= x["key"][1:]).all() for x in family.levels)
+        assert len(family.levels) <= 8
+        while len(family.levels) > 1:
+            d, at, n = family.fold()
+            found |= set(zip(d.tolist(), at.tolist()))
+        least = {}
+        for (doc, _), x in have.items():
+            least[x] = min(doc, least.get(x, doc))
+        assert found == {p for p, x in have.items() if least[x] < p[0]}
+
+
+def texts_with_ids_twice():
+    """Ids with several different texts, equal rows, zero bytes, one hot neighbourhood with many continuations."""
+    r = random.Random(12)
+    hot = " ".join(prose(31, 40))
+    out = [(2, " ".join(prose(30, 90))), (2, "short text here"), (2, " ".join(prose(30, 90)[20:])), (3, " ".join(prose(30, 90))), (3, "short text here"), (3, "short text here"), (1, None), (1, "")]
+    out += [(10 + k, " ".join([*prose(4000 + k, r.randint(0, 8)), hot[: r.randint(30, len(hot))], *prose(5000 + k, r.randint(0, 8))])) for k in range(150)]
+    out += [(500 + k, "\0" * (45 + k) + "a" * (k % 3)) for k in range(30)] + [(600, "ab " * 60), (601, "ab " * 60), (601, "cd " * 30 + "ab " * 40)]
+    return out
+
+
+def brute_words(texts):
+    split = [(i, words(t or "")) for i, t in texts]
+    count = Counter(tuple(w[p : p + 35]) for _, w in split for p in range(len(w) - 34))
+    for i, w in split:
+        gone = np.zeros(len(w), bool)
+        for p in range(len(w) - 34):
+            if count[tuple(w[p : p + 35])] > 1:
+                gone[p : p + 35] = True
+        yield i, len(w), int(gone.sum()), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()
+
+
+def brute_bytes(texts):
+    first = {}
+    for i, t in sorted((i, (t or "").encode()) for i, t in texts):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    for i, t in texts:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        yield i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
+
+
+def test_repeats_of_ids_with_several_texts(spark):
+    from corpusloom.llm.rlz import dedup_substrings
+    from corpusloom.llm.suffix import dedup_bytes
+
+    texts = texts_with_ids_twice()
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert rows(dedup_substrings(docs)) == sorted(brute_words(texts))
+    assert rows(dedup_bytes(docs)) == sorted(brute_bytes(texts))
+
+
+def test_windows_with_equal_fingerprints(spark, monkeypatch):
+    """Fingerprints of windows, stretches and copies that all collide: results don't change, as units are compared."""
+    from corpusloom.llm import repeats, rlz, suffix
+    from corpusloom.llm.kernel import text_bytes
+
+    monkeypatch.setattr(repeats, "_tags", lambda rows_, a, b: (rows_[:, a].astype(np.uint64) & np.uint64(1)))
+    monkeypatch.setattr(rlz, "mix", lambda x: x & np.uint64(1))
+    texts = [(i, (t or "")) for i, t in texts_with_ids_twice() if i < 400]
+    for spec, brute in ((rlz.SPEC, brute_words), (suffix.SPEC, brute_bytes)):
+        monkeypatch.setattr(repeats, "mix", lambda x: x * np.uint64(0x9E3779B97F4A7C15))
+        table = [(i, 1 << 40, t) for i, t in texts]
+        import pyarrow as pa
+
+        ids = [100_000 * k for k in range(len(table))]  # a place of its own for each text
+        batch = pa.record_batch([pa.array([i for i, _, _ in table]), pa.array(ids), pa.array([t for _, _, t in table])], names=["doc_id", "base", "text"])
+        sent = [r for b in repeats._send_runs(spec, 1, 8)(iter([batch])) for r in b.to_pylist()]
+        merged = pa.Table.from_pylist([{"part": 0, "kind": r["kind"], "blob": r["blob"]} for r in sent], pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])).to_batches()
+        gone = {}
+        for b in repeats._settle_parts(spec, 8)(iter(merged)):
+            for r in b.to_pylist():
+                x = repeats.read_spans([r["blob"]])
+                for d, s, n in zip(x["doc"].tolist(), x["start"].tolist(), x["n"].tolist()):
+                    gone.setdefault((d, s // 100_000), set()).update(range(s % 100_000, s % 100_000 + n))
+        assert text_bytes is not None
+        want = list(brute(texts)) if spec is rlz.SPEC else list(brute(texts))
+        assert [len(gone.get((i, k), ())) for k, (i, _) in enumerate(texts)] == [w[2] for w in want]
 
 
 @pytest.mark.parametrize("percent", [85, 80])
