@@ -18,7 +18,6 @@ SLICE_BYTES = 2 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
-_PLACE = _rng.integers(1, 1 << 63, 1 << 16, dtype=U64) * U64(2) + U64(1)
 _GRAM = _rng.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -113,23 +112,40 @@ def word_bounds(raw: np.ndarray, at: np.ndarray, between: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, at)
 
 
+#: Bytes of words that are hashed at once, so that the temporary arrays fit the cache.
+HASHED = 1 << 17
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A fingerprint of each word's bytes: a multilinear hash over byte and place, then mixed."""
+    """A fingerprint of each word's bytes: a polynomial over values of the bytes, from prefix sums, then mixed."""
     out = np.zeros(len(starts), U64)
     table = _BYTE[_LOWER] if lower else _BYTE
-    step = 1 << 15  # words at a time, so that the temporary arrays fit the cache
-    for i in range(0, len(starts), step):
-        s, e = starts[i : i + step], ends[i : i + step]
-        lengths = e - s
-        total = int(lengths.sum())
-        heads = np.cumsum(lengths) - lengths
-        place = np.arange(total) - np.repeat(heads, lengths)
-        values = table[raw[np.repeat(s, lengths) + place]]
-        values *= _PLACE[place & 0xFFFF]
-        if total and lengths.max() > 1 << 16:
-            values *= (place >> 16).astype(U64) * U64(2) + U64(1)
-        out[i : i + step] = np.add.reduceat(values, heads) + lengths.astype(U64)
-    return mix(out)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASHED, "right")))
+        low = starts[i]
+        if ends[j - 1] - low > HASHED:
+            out[i] = _long_hash(raw[low : ends[i]], table)
+        else:
+            values = table[raw[low : ends[j - 1]]]
+            up, down = _power(HASHED)
+            values *= up[: len(values)]
+            sums = np.zeros(len(values) + 1, U64)
+            np.cumsum(values, out=sums[1:])
+            s = starts[i:j] - low
+            out[i:j] = (sums[ends[i:j] - low] - sums[s]) * down[s]
+        i = j
+    return mix(out + (ends - starts).astype(U64))
+
+
+def _long_hash(raw: np.ndarray, table: np.ndarray) -> np.uint64:
+    """The same polynomial for a word of more than HASHED bytes, piece by piece."""
+    total = 0
+    up, _ = _power(HASHED)
+    for at in range(0, len(raw), HASHED):
+        piece = raw[at : at + HASHED]
+        total += int((table[piece] * up[: len(piece)]).sum(dtype=U64)) * pow(int(_BASE), at, 1 << 64)
+    return U64(total % (1 << 64))
 
 
 def grams(values: np.ndarray, n: int) -> np.ndarray:
