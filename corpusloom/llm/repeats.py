@@ -31,9 +31,9 @@ from .store import Scratch, documents, pack, parts, table_rows, unpack, with_bas
 SEGMENT = 1 << 18
 PLACE_BITS = 28
 #: Bytes of text that a task holds before it sends what it found.
-FLUSH = 8 << 20
+FLUSH = 6 << 20
 #: Bytes that are compared at once.
-COMPARED = 4 << 20
+COMPARED = 1 << 19
 
 #: Units of a text column: their values, the first of each row, and where each begins and ends in the bytes (None: units are the bytes).
 Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]]
@@ -191,7 +191,7 @@ def _send_runs(spec: Spec, n_parts: int, buckets: int) -> Callable[[Iterator[pa.
         part = ((x["anchor"] >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
         for i, j in stretches(first_of(part)):
             data = raw[ranges(x["at"][i:j], x["bytes"][i:j])]
-            out.append((int(part[i]), RUNS, pack(data=data, bytes=x["bytes"][i:j].astype(np.uint32), lead=x["lead"][i:j].astype(np.uint16), doc=x["doc"][i:j], start=x["start"][i:j], many=x["many"][i:j])))
+            out.append((int(part[i]), RUNS, pack(3, data=data, bytes=x["bytes"][i:j].astype(np.uint32), lead=x["lead"][i:j].astype(np.uint16), doc=x["doc"][i:j], start=x["start"][i:j], many=x["many"][i:j])))
         return table_rows(BLOBS, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,9 +270,9 @@ def matrix(units: np.ndarray, size: np.ndarray, lead: np.ndarray, spec: Spec) ->
     out = np.zeros((len(size), spec.width), units.dtype)
     flat = out.reshape(-1)
     heads = np.cumsum(size) - size
-    for low in range(0, len(size), 1 << 15):
-        own = slice(low, low + (1 << 15))
-        at = np.arange(low, min(low + (1 << 15), len(size))) * spec.width + spec.left - lead[own]
+    for low in range(0, len(size), 1 << 13):
+        own = slice(low, low + (1 << 13))
+        at = np.arange(low, min(low + (1 << 13), len(size))) * spec.width + spec.left - lead[own]
         total = int(size[own].sum())
         flat[ranges(at, size[own])] = units[heads[low] : heads[low] + total]
     return out

@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernel import SPACES, U64, Rolling, mix, spread, text_bytes, word_bounds, word_hashes
-from .repeats import Level, Spec, Windows, first_of, matrix, repeated, sides_shared
+from .kernel import SPACES, U64, mix, spread, text_bytes, word_bounds, word_hashes
+from .repeats import Level, Spec, Windows, _tags, first_of, matrix, repeated, sides_shared
 
-WINDOW, GRAM = 35, 10
+WINDOW, GRAM = 35, 6
 LEFT = WINDOW - GRAM
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -44,14 +44,12 @@ class Block:
     """Stretches of a part as rows of words, each different one once."""
 
     def __init__(self, batches: list[Level]):
-        x = {k: np.concatenate([b[k] for b in batches]) for k in batches[0]}
-        batches.clear()
-        at = np.concatenate([[0], np.cumsum(x["bytes"], dtype=np.int64)])
-        starts, ends, first = word_bounds(x["data"], at, SPACES)
-        words = word_hashes(x["data"], starts, ends)
-        self.doc, self.start, self.lead, self.size = x["doc"], x["start"], x["lead"].astype(np.int64), np.diff(first)
-        content = mix(Rolling(words).of(first[:-1], first[1:]) ^ self.lead.astype(U64) * U64(0xD6E8FEB86659FD93))
-        self.rows = matrix(words, self.size, self.lead, SPEC)
+        read = []
+        while batches:
+            read.append(self.read(batches.pop()))
+        self.rows, self.size, self.lead, self.doc, self.start, many = (np.concatenate(c) for c in zip(*read, strict=True))
+        read.clear()
+        content = _tags(self.rows, 0, SPEC.width) ^ mix(self.size.astype(U64) << U64(32) | self.lead.astype(U64))
         order = np.lexsort((self.start, self.doc, content))
         new = first_of(content[order])
         head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
@@ -61,10 +59,18 @@ class Block:
             order = np.lexsort((self.start, self.doc, name.ravel()))
             new = first_of(name.ravel()[order])
         group = np.cumsum(new) - 1
-        copies = np.bincount(group, 1 + x["many"][order].astype(np.int64), int(new.sum()))
+        copies = np.bincount(group, 1 + many[order].astype(np.int64), int(new.sum()))
         self.one = order[new]  # one of each different stretch
         self.copies = copies.astype(np.int64)
-        self.whole = order[(copies > 1)[group] & (x["many"][order] == 0)]  # copies that the sender hasn't settled
+        self.whole = order[(copies > 1)[group] & (many[order] == 0)]  # copies that the sender hasn't settled
+
+    @staticmethod
+    def read(x: Level) -> tuple[np.ndarray, ...]:
+        """Rows of words, numbers of words, words before the anchor, documents, places, and whether the sender has settled copies."""
+        at = np.concatenate([[0], np.cumsum(x["bytes"], dtype=np.int64)])
+        starts, ends, first = word_bounds(x["data"], at, SPACES)
+        size, lead = np.diff(first), x["lead"].astype(np.int64)
+        return matrix(word_hashes(x["data"], starts, ends), size, lead, SPEC), size, lead, x["doc"], x["start"], x["many"]
 
     def factors(self) -> Iterator[Found]:
         """The greedy parse of stretches without a whole copy."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -51,8 +52,10 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark's cleaner remove shuffle files of finished stages: it waits for the driver's garbage collector, which nothing else wakes."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for pause in (0.2, 0):  # the listener lets go of a finished query a moment later
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(pause)
 
     def drop(self, name: str) -> None:
         try:
@@ -131,15 +134,15 @@ def table_rows(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays of one length in one blob, byte planes first, compressed."""
+def pack(level: int = 1, /, **arrays: np.ndarray) -> bytes:
+    """Arrays in one blob, byte planes first, compressed."""
     head, body = [], []
     for name, x in arrays.items():
         x = np.ascontiguousarray(x)
         head.append(f"{name}:{x.dtype.str}:{len(x)}")
         body.append(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() if len(x) else b"")
     raw = ",".join(head).encode() + b"\n" + b"".join(body)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:

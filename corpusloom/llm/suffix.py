@@ -1,8 +1,8 @@
 """Suffix-array dedup: a logarithmic family of sparse suffix arrays over the corpus' bytes.
 
 A suffix is indexed where it is the anchor of a 50-byte window (see `repeats`), which every window has exactly one
-of; so no match of 50 bytes is lost though one suffix in about 17 is kept. An entry holds the bytes that windows of its
-anchor reach, 50 from the anchor on and 34 before it, and arrays are in byte order of the suffix, then of what stands
+of; so no match of 50 bytes is lost though one suffix in about 20 is kept. An entry holds the bytes that windows of its
+anchor reach, 50 from the anchor on and 38 before it, and arrays are in byte order of the suffix, then of what stands
 before it, read backwards.
 
 The key range is cut into parts; each keeps a family of levels. A new batch of suffixes is sorted into an array and
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from .kernel import spread, text_bytes
 from .repeats import Level, Spec, Windows, first_of, matrix, repeated, sides_shared
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 12
 LEFT = WINDOW - GRAM
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
