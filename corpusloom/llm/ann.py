@@ -6,7 +6,9 @@ along the line between two means, so that lists are balanced. A vector is replic
 within a ratio of the nearest distance; centroids are searched by best-first walks over an in-memory
 neighbour graph. A query reads the lists whose centroids are within a ratio of its nearest one; that ratio is set on
 the sample, to the recall wanted there. Lists travel as blocks and meet the queries of their list; each list gives a
-query's best few, and these are merged by query.
+query's best few, and these are merged by query. Scores are taken twice: a matrix product finds what can be among the best, with
+a margin for its rounding, and the exact double-precision score then orders it, ties by vec_id. As the centroids' number is
+bounded, a list grows with the input; a list of many vectors is dealt to several tasks, which all get its queries.
 
 Equal vectors are one entry with its smallest ids, as many as an answer can hold, and equal queries are searched
 once; so a vector that a third of all rows share costs no more than others, and nothing is lost.
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .kernel import ranges
 from .repeats import by_part, first_of, grouped, stretches
 from .store import Scratch, pack, table_rows, unpack
 
@@ -34,7 +37,9 @@ SAMPLE, SAMPLE_QUERIES = 16_384, 256
 #: Vectors a list should hold, centroids at most, copies of a vector at most, and the ratio for copies.
 LIST, MOST_LISTS, COPIES, COPY_RATIO = 400, 8_192, 4, 1.25
 DEGREE, RECALL = 24, 0.975
-BLOCK = 2_048
+BLOCK, ASKED = 2_048, 512
+#: Vectors of a list that one task looks at, about; and the rounding of a product, relative to the vectors' lengths.
+SHARE, MARGIN = 8 * LIST, 1e-12
 #: Vectors that walk over the graph at once.
 WALK = 256
 SCHEMA = "query_id long, rank int, vec_id long, score double"
@@ -139,6 +144,31 @@ class Centroids:
         self.width = int(min(len(self.at), np.quantile((d <= self.ratio * d.min(1)[:, None]).sum(1), 0.98) + 8))
 
 
+class Best:
+    """The best of some queries: of equal scores the smallest ids. Sorted by query, score and id."""
+
+    def __init__(self, n: int, most: int):
+        self.n, self.most = n, most
+        self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def least(self) -> np.ndarray:
+        """For each query the score below which nothing more counts."""
+        out = np.full(self.n, -np.inf)
+        last = np.flatnonzero(np.diff(np.append(self.query, self.n)) > 0)
+        full = np.bincount(self.query, minlength=self.n)[self.query[last]] == self.most
+        out[self.query[last[full]]] = self.score[last[full]]
+        return out
+
+    def put(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        q, s, i = (np.concatenate(c) for c in ((self.query, query), (self.score, score), (self.id, ids)))
+        order = np.lexsort((i, -s, q))
+        order = order[first_of(q[order], s[order], i[order])] if len(order) else order
+        new = first_of(q[order])
+        place = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else order
+        order = order[place < self.most]
+        self.query, self.score, self.id = q[order], s[order], i[order]
+
+
 def valid(v: Column, size: int) -> Column:
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return v.isNotNull() & (F.size(v) == size) & ~F.coalesce(F.exists(v, bad), F.lit(True)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
@@ -181,6 +211,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
     some = base[:: max(1, len(base) // SAMPLE_QUERIES)]
     centroids.tune(raised(base), np.column_stack([some, np.zeros(len(some))]), k)
     shared = spark.sparkContext.broadcast(centroids)  # MOST_LISTS centroids at most
+    shares = max(1, -(-total.n // (len(centroids.at) * SHARE)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -205,30 +236,35 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
                         head = pack(h=h[m], g=g[m], n=counts[m])
                         body = pack(v=x[m].ravel())
                         tail = pack(ids=np.concatenate([flat[begin[q] : begin[q] + counts[q]] for q in m])) if kind else b""
-                        out.append((int(target[i]), kind, b"".join(len(p).to_bytes(4, "little") + p for p in (head, body, tail))))
+                        blob = b"".join(len(p).to_bytes(4, "little") + p for p in (head, body, tail))
+                        to_shares = [int(h[m[0]]) % shares] if kind else range(shares)
+                        out += [(int(target[i]) * shares + share, kind, blob) for share in to_shares]
                 yield table_rows(ROWS, out)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in grouped(batches):
             waiting: list[tuple[dict, np.ndarray]] = []
             queries, qh, qg = None, None, None
-            best: list[list[tuple[float, int]]] = []
+            best: list[Best] = []
             posted: list[tuple[dict, np.ndarray, list[int]]] = []
             held = 0
 
             def look() -> None:
                 """Hold all queries of the list against the vectors gathered so far."""
-                v, ids = np.concatenate([p[1] for p in posted]), [i for p in posted for i in p[2]]
-                cut = np.concatenate([[0], np.cumsum(np.concatenate([p[0]["n"] for p in posted]))])
-                for low in range(0, len(queries), 512):
-                    s = queries[low : low + 512] @ v.T
-                    take = min(k + 4, s.shape[1])
-                    top = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                    for q, chosen in enumerate(top):
-                        exact = (v[chosen] * queries[low + q]).sum(1)
-                        best[low + q] += [(-e, int(i)) for e, c in zip(exact.tolist(), chosen.tolist(), strict=True) for i in ids[cut[c] : cut[c + 1]]]
-                        if len(best[low + q]) > 8 * k:
-                            best[low + q] = sorted(best[low + q])[: k + 1]
+                v, ids = np.concatenate([p[1] for p in posted]), np.array([i for p in posted for i in p[2]], np.int64)
+                n = np.concatenate([p[0]["n"] for p in posted])
+                cut = np.cumsum(n) - n
+                longest = float(np.sqrt((v * v).sum(1).max()))
+                for block, low in zip(best, range(0, len(queries), ASKED), strict=True):
+                    q = queries[low : low + ASKED]
+                    s = q @ v.T
+                    take = min(k + 1, s.shape[1])
+                    least = np.maximum(np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take], block.least())
+                    row, column = np.nonzero(s >= (least - MARGIN * longest * np.sqrt((q * q).sum(1)))[:, None])
+                    for at in range(0, len(row), 1 << 15):
+                        r, c = row[at : at + (1 << 15)], column[at : at + (1 << 15)]
+                        exact = (v[c] * q[r]).sum(1)
+                        block.put(np.repeat(r, n[c]), np.repeat(exact, n[c]), ids[ranges(cut[c], n[c])])
 
             for r in blobs:
                 head, v, ids = _split(r["blob"], size)
@@ -240,7 +276,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
                         break
                     queries = np.concatenate([w[1] for w in waiting])
                     qh, qg = (np.concatenate([w[0][c] for w in waiting]) for c in ("h", "g"))
-                    best = [[] for _ in queries]
+                    best = [Best(min(ASKED, len(queries) - low), k + 1) for low in range(0, len(queries), ASKED)]
                 posted.append((head, v, ids))
                 held += len(v)
                 if held >= 2 * BLOCK:
@@ -251,30 +287,31 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
             if queries is None:
                 continue
             bucket = (qh.view(np.uint64) % np.uint64(8 * n_parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            query = np.concatenate([b.query + low for b, low in zip(best, range(0, len(queries), ASKED), strict=True)])
+            score, ids = np.concatenate([b.score for b in best]), np.concatenate([b.id for b in best])
+            order = np.argsort(bucket[query], kind="stable")
             out = []
-            for i, j in stretches(first_of(bucket[order])):
-                own = [sorted(best[q])[: k + 1] for q in order[i:j]]
-                blob = pack(h=qh[order[i:j]], g=qg[order[i:j]], n=np.array([len(o) for o in own]))
-                flat = pack(s=np.array([x[0] for o in own for x in o]), i=np.array([x[1] for o in own for x in o], np.int64))
-                out.append((int(bucket[order[i]]), 0, b"".join(len(p).to_bytes(4, "little") + p for p in (blob, flat))))
+            for i, j in stretches(first_of(bucket[query[order]])):
+                own = order[i:j]
+                out.append((int(bucket[query[own[0]]]), 0, pack(h=qh[query[own]], g=qg[query[own]], s=score[own], i=ids[own])))
             yield table_rows(ROWS, out)
 
     FOUND = "h long, g long, place int, vec_id long, score double"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in grouped(batches):
-            best: dict[tuple[int, int], list[tuple[float, int]]] = {}
-            for r in blobs:
-                head, flat = (unpack(p) for p in _pieces(r["blob"]))
-                cut = np.concatenate([[0], np.cumsum(head["n"])]).tolist()
-                pairs = list(zip(flat["s"].tolist(), flat["i"].tolist(), strict=True))
-                for q, key in enumerate(zip(head["h"].tolist(), head["g"].tolist(), strict=True)):
-                    own = best.setdefault(key, [])
-                    own += pairs[cut[q] : cut[q + 1]]
-                    if len(own) > 32 * k:
-                        best[key] = sorted(set(own))[: k + 1]
-            yield table_rows(FOUND, [(h, g, p, i, -s) for (h, g), own in best.items() for p, (s, i) in enumerate(sorted(set(own))[: k + 1])])
+            held = [unpack(r["blob"]) for r in blobs]
+            x = {c: np.concatenate([b[c] for b in held]) for c in held[0]}
+            order = np.lexsort((x["g"], x["h"]))
+            new = first_of(x["h"][order], x["g"][order])
+            query = np.empty(len(order), np.int64)
+            query[order] = np.cumsum(new) - 1
+            best = Best(int(new.sum()), k + 1)
+            best.put(query, x["s"], x["i"])
+            name = order[new][best.query]
+            begin = first_of(best.query)
+            place = np.arange(len(begin)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
+            yield pa.record_batch([pa.array(x["h"][name]), pa.array(x["g"][name]), pa.array(place.astype(np.int32)), pa.array(best.id), pa.array(best.score)], names=["h", "g", "place", "vec_id", "score"])
 
     sent = by_part(entries.mapInArrow(route, ROWS), n_parts)
     found = scratch.save(by_part(sent.mapInArrow(scan, ROWS), n_parts).mapInArrow(merge, FOUND), "found")
