@@ -400,11 +400,22 @@ def test_decontamination(spark, docs, empty, block):
     assert all(r.n_hit == 0 for r in decontaminate(own, bench.limit(0)).collect())
 
 
-def test_proximity(spark):
-    from corpusloom.llm.decontam import proximity
-
-    docs = spark.createDataFrame([(1, "alpha x beta y y y alpha"), (2, "alpha q q q q q beta"), (3, None), (4, "beta"), (5, "beta alpha")], "doc_id long, text string")
-    assert rows(proximity(docs, ["Alpha", "beta"], 4)) == [(1, 0, 3), (5, 0, 2)]
+def test_one_index_for_several_searches(spark):
+    """Two test sets and searches by proximity from one stored index, after the documents are gone."""
+    from corpusloom.llm.decontam import PositionalIndex, keep_clean
+
+    texts = [(1, "alpha x beta y y y alpha"), (2, "alpha q q q q q beta"), (3, None), (4, "beta"), (5, "beta alpha"), (4, "one two three"), (4, "beta"), (6, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, base long").repartition(2)
+    index = PositionalIndex(docs)
+    index.docs = None
+    for bench in ([("a", "alpha x"), ("b", "one two"), ("b", "two three")], [("c", "beta"), ("d", "q q q")], [("e", "alpha beta")]):
+        got = index.contaminated(spark.createDataFrame(bench, "item_id string, text string")).drop("base")
+        assert rows(got) == brute_decontam(texts, bench)
+    assert rows(index.proximity(["Alpha", "beta"], 4)) == [(1, 0, 3), (5, 0, 2)]
+    assert rows(index.proximity(["alpha", "nowhere"], 4)) == []
+    clean = keep_clean(docs, spark.createDataFrame([("b", "one two"), ("c", "q")], "item_id string, text string"))
+    assert clean.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.base) for r in clean.collect() if r.text) == [(1, texts[0][1], 0), (4, "beta", 3), (4, "beta", 6), (5, "beta alpha", 4)]
 
 
 def test_packing(spark, docs, empty):
@@ -563,6 +574,27 @@ def test_nearest_neighbours(spark):
     assert search(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("share", [3200, 40])
+def test_neighbours_of_equal_scores(spark, monkeypatch, share):
+    """0/1 vectors: very many equal products. Where one list holds all, the answer is exact; a list dealt to several tasks gives the same."""
+    from corpusloom.llm import ann
+
+    monkeypatch.setattr(ann, "SHARE", share)
+    rng = np.random.default_rng(9)
+    x = np.unique((rng.random((720, 16)) < 0.4).astype(float), axis=0)
+    x = x[x.sum(1) > 0][rng.permutation(int((x.sum(1) > 0).sum()))]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in ann.search(table).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert sorted(got) == list(range(0, len(x), 20))
+    for q, own in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        order = np.lexsort((np.arange(len(x)), -s))[:20]
+        assert own == [(int(i), float(s[i])) for i in order]
+
+
 def test_components(spark):
     from corpusloom.llm.components import components
     from corpusloom.llm.store import Scratch
