@@ -6,6 +6,7 @@ form's key and its form without punctuation worked out once. Ids are opaque; onl
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.ids import unit_id
 from .functions.keys import Fold, dict_key
-from .session import ship
+from .session import remove, shared_folder, ship
 
 SENTENCE = ["doc_id", "para_pos", "sent_pos"]
 PARAGRAPH = ["doc_id", "para_pos"]
@@ -31,8 +32,8 @@ class Corpus:
 
 
 def paragraphs(documents: DataFrame, text: Column | None = None) -> DataFrame:
-    """A paragraph for each line that isn't blank; para_pos is the line's place."""
-    lines = F.split(text if text is not None else F.col("text"), r"\n")
+    """A paragraph for each line of the normalised text that isn't blank; para_pos is the line's place."""
+    lines = F.split(T.normalize_text(text if text is not None else F.col("text")), r"\n")
     return documents.select("doc_id", "lang", "source", F.posexplode(lines).alias("para_pos", "para")).withColumn("para", T.strip(F.col("para"))).where("para <> ''")
 
 
@@ -64,8 +65,8 @@ def open_corpus(spark: SparkSession, sf_dir: str, fold: Fold = Fold()) -> Corpus
     if key in _OPEN:
         return _OPEN[key]
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/corpusloom"
-    path = f"{base.rstrip('/')}/corpusloom/corpus-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/corpusloom/corpus-{uuid.uuid4().hex[:12]}"
+    atexit.register(remove, spark, path)
     # Explodes run in one pass over the documents; the only shuffle brings a document's tokens together.
     sents = sentences(paragraphs(documents))
     sents.write.parquet(f"{path}/sentences")

@@ -13,8 +13,12 @@ af Afrikaans Afrikaans afr afr_Latn
 ar Arabic العربية ara arb_Arab
 be Belarusian беларуская bel bel_Cyrl
 bg Bulgarian Български bul bul_Cyrl
+bxr Buryat Буряад bxr -
 ca Catalan Català cat cat_Latn
+cop Coptic ⲙⲉⲧⲣⲉⲙⲛⲕⲏⲙⲉ cop -
 cs Czech Čeština ces ces_Latn
+cu Old_Church_Slavonic словѣньскъ chu -
+cy Welsh Cymraeg cym cym_Latn
 da Danish Dansk dan dan_Latn
 de German Deutsch deu deu_Latn
 el Greek Ελληνικά ell ell_Grek
@@ -25,48 +29,67 @@ eu Basque Euskara eus eus_Latn
 fa Persian فارسی fas pes_Arab
 fi Finnish Suomi fin fin_Latn
 fr French Français fra fra_Latn
+fro Old_French François fro -
+ga Irish Gaeilge gle gle_Latn
+gl Galician Galego glg glg_Latn
+got Gothic 𐌲𐌿𐍄𐌹𐍃𐌺 got -
+grc Ancient_Greek Ἀρχαία_ἑλληνική grc -
 he Hebrew עברית heb heb_Hebr
 hi Hindi हिन्दी hin hin_Deva
+hr Croatian Hrvatski hrv hrv_Latn
+hsb Upper_Sorbian Hornjoserbsce hsb -
 hu Hungarian Magyar hun hun_Latn
 hy Armenian Հայերեն hye hye_Armn
 id Indonesian Indonesia ind ind_Latn
 it Italian Italiano ita ita_Latn
 ja Japanese 日本語 jpn jpn_Jpan
-ka Georgian ქართული kat kat_Geor
-kk Kazakh Қазақша kaz kaz_Cyrl
 ko Korean 한국어 kor kor_Hang
 la Latin Latina lat -
+lij Ligurian Ligure lij -
 lt Lithuanian Lietuvių lit lit_Latn
 lv Latvian Latviešu lav lvs_Latn
+mdf Moksha Мокшень mdf -
 mr Marathi मराठी mar mar_Deva
+mt Maltese Malti mlt mlt_Latn
+myv Erzya Эрзянь myv -
 nl Dutch Nederlands nld nld_Latn
+nn Norwegian_Nynorsk Nynorsk nno nno_Latn
+no Norwegian_Bokmål Bokmål nob nob_Latn
+olo Livvi-Karelian Livvin_karjala olo -
+orv Old_Russian Словѣньскъ orv -
 pl Polish Polski pol pol_Latn
 pt Portuguese Português por por_Latn
 ro Romanian Română ron ron_Latn
 ru Russian Русский rus rus_Cyrl
-sa Sanskrit संस्कृतम् san san_Deva
 sk Slovak Slovenčina slk slk_Latn
 sl Slovenian Slovenščina slv slv_Latn
+sme Northern_Sami Davvisámegiella sme -
+sq Albanian Shqip sqi als_Latn
 sr Serbian Српски srp srp_Cyrl
+su Sundanese Basa_Sunda sun sun_Latn
 sv Swedish Svenska swe swe_Latn
+swl Swedish_Sign_Language Svenskt_teckenspråk swl -
 ta Tamil தமிழ் tam tam_Taml
 te Telugu తెలుగు tel tel_Telu
 th Thai ไทย tha tha_Thai
 tr Turkish Türkçe tur tur_Latn
+ug Uyghur ئۇيغۇرچە uig uig_Arab
 uk Ukrainian Українська ukr ukr_Cyrl
 ur Urdu اردو urd urd_Arab
 vi Vietnamese Tiếng_Việt vie vie_Latn
-zh Chinese 中文 zho zho_Hans
+wo Wolof Wolof wol wol_Latn
+zh-hans Simplified_Chinese 简体中文 zho zho_Hans
+zh-hant Traditional_Chinese 繁體中文 - zho_Hant
 """
 
 
 def languages(spark: SparkSession) -> DataFrame:
     rows = [line.split() for line in LANGUAGES.strip().splitlines()]
-    return spark.createDataFrame([(c, e, o.replace("_", " "), i, None if t == "-" else t) for c, e, o, i, t in rows], "code string, english_name string, native_name string, iso639_3 string, translation_code string")
+    return spark.createDataFrame([(c, e.replace("_", " "), o.replace("_", " "), None if i == "-" else i, None if t == "-" else t) for c, e, o, i, t in rows], "code string, english_name string, native_name string, iso639_3 string, translation_code string")
 
 
 def aliases(spark: SparkSession) -> DataFrame:
-    return languages(spark).select("code", "english_name", "translation_code", F.explode(F.array_distinct(F.array("code", "english_name", "native_name", "iso639_3"))).alias("alias"))
+    return languages(spark).select("code", "english_name", "translation_code", F.explode(F.array_distinct(F.array_compact(F.array("code", "english_name", "native_name", "iso639_3")))).alias("alias"))
 
 
 def resolve_language(names: DataFrame, column: str) -> DataFrame:

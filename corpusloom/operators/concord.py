@@ -105,6 +105,17 @@ def sort_kwic(lines: DataFrame, anchor: str, descending: bool = False, fold: Fol
     return lines.orderBy(F.desc("key") if descending else F.asc("key"), *LINE)
 
 
+def ranked_lines(lines: DataFrame, key: str = "key") -> DataFrame:
+    """Lines with their rank in the order of a key and then of the corpus: place within the key, after all lines of smaller keys.
+
+    Only the counts by key, one row for each different key, are summed in order; lines are numbered key by key.
+    """
+    counts = lines.groupBy(key).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(key)) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy(key).orderBy(*LINE))
+    return lines.withColumn("_own", own).join(before, key).withColumn("rank", F.col("_before") + F.col("_own")).drop("_own", "_before")
+
+
 def collocates(tokens: DataFrame, nodes: DataFrame, window: int = 5, fold: Fold = Fold()) -> DataFrame:
     """Tokens within the window of each run, by key: how often, on which side, shown as first seen.
 

@@ -25,12 +25,17 @@ def sentences_of(x: str) -> str:
     return f"list_filter(list_transform(regexp_extract_all({guarded}, {lit(PIECE)}), lambda p: {strip(f'replace(p, {lit(GUARD)}, {lit(".")})')}), lambda p: p <> '')"
 
 
+def normal(x: str) -> str:
+    clean = rf"regexp_replace(regexp_replace(nfc_normalize({x}), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B-\x1F\x7F\x{{80}}-\x{{9F}}]', '', 'g')"
+    return strip(rf"regexp_replace({clean}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
 def norm(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({x}, '[\p{{P}}\p{{S}}]', '', 'g'), '\s+', ' ', 'g'))"
 
 
 PARA = f"""para AS (SELECT * FROM (SELECT doc_id, lang, source, para_pos, {strip('line')} AS para FROM
-  (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_pos FROM documents)) WHERE para <> '')"""
+  (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_pos FROM (SELECT doc_id, lang, source, {normal('text')} AS text FROM documents))) WHERE para <> '')"""
 SENT = f"""{PARA}, sent AS (SELECT doc_id, lang, source, para_pos, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_pos FROM (SELECT *, {sentences_of('para')} AS s FROM para))"""
 TOK = f"""{SENT}, raw AS (SELECT doc_id, lang, source, para_pos, sent_pos, unnest(w) AS form, generate_subscripts(w, 1) - 1 AS word_pos FROM (SELECT *, regexp_extract_all(sentence, {lit(TOKEN)}) AS w FROM sent)),
 keyed AS (SELECT *, lower(form) AS form_key, {norm('form')} AS norm, regexp_full_match(form, '[^\\p{{L}}\\p{{N}}]+') AS is_punct FROM raw),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .corpus import Corpus, open_corpus
+from .corpus import Corpus, open_corpus, paragraphs, sentences, tokens
 from .functions import ids, keys, language, morph
 from .functions import text as T
 from .operators import concord, deps, edits, enrich, ingest, lexicon, prov, quality
@@ -85,12 +85,12 @@ def words_text(words: str = "words") -> Column:
 # --- ingestion -----------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, {O.strip(r"regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B-\x1F\x7F\x{80}-\x{9F}]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS normal FROM documents")
+@query(f"SELECT doc_id, {O.normal('text')} AS normal FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normal"))
 
 
-@query(
+_SECTIONS = (
     rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 h AS (SELECT *, {O.strip('line')} AS s FROM l), m AS (SELECT *, s <> '' AND length(s) <= 80 AND (regexp_matches(s, {O.lit(T.HEADING.replace('(?iu)', '(?i)'))}) OR (upper(s) = s AND lower(s) <> s AND length(s) BETWEEN 3 AND 60 AND NOT ends_with(s, '.'))) AS hd FROM h),
 i AS (SELECT *, sum(hd::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM m),
@@ -98,11 +98,14 @@ b AS (SELECT doc_id, island, max(CASE WHEN hd THEN s END) AS title, {O.strip("co
 k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS sect_pos, title, body FROM b WHERE body <> '')
 SELECT * FROM k UNION ALL SELECT doc_id, 0, NULL, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k)"""
 )
+
+
+@query(_SECTIONS)
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.detect_sections(read(spark, sf_dir, "documents"))
 
 
-@query()
+@query(_SECTIONS.replace("UNION ALL SELECT doc_id, 0, NULL, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k)", ""))
 def sections_by_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.detect_sections_windowed(read(spark, sf_dir, "documents"))
 
@@ -241,9 +244,9 @@ def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.participant_sort(records.live(people), "name").drop("deleted")
 
 
-@on_corpus(rf"""WITH {O.TOK} SELECT doc_id, para_pos, sent_pos, '\ex \gll ' || string_agg(regexp_replace(form, '([&%$#_{{}}])', '\\\1', 'g'), ' ' ORDER BY word_pos) || '\\ ' || string_agg(CASE WHEN g % 2 = 0 THEN regexp_replace(form_key, '([&%$#_{{}}])', '\\\1', 'g') ELSE '???' END, ' ' ORDER BY word_pos) || '\\ \glt `''' AS latex FROM tok WHERE para_pos = 0 GROUP BY ALL""")
+@on_corpus(rf"""WITH {O.TOK} SELECT doc_id, para_pos, sent_pos, '\ex \gll ' || string_agg(regexp_replace(form, '([&%$#_{{}}])', '\\\1', 'g'), ' ' ORDER BY word_pos) || '\\ ' || string_agg(CASE WHEN g % 2 = 0 THEN regexp_replace(form_key, '([&%$#_{{}}])', '\\\1', 'g') ELSE '???' END, ' ' ORDER BY word_pos) || '\\ \glt `''' AS latex FROM tok GROUP BY ALL""")
 def latex_examples(c: Corpus) -> DataFrame:
-    return records.latex_gloss(annotated(c).where("para_pos = 0").withColumn("translation", F.lit(None).cast("string")))
+    return records.latex_gloss(annotated(c).withColumn("translation", F.lit(None).cast("string")))
 
 
 # --- functions -----------------------------------------------------------------------------------
@@ -254,11 +257,30 @@ def norm_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.norm_punct(F.col("text")).alias("plain"))
 
 
-@on_corpus(f"WITH {O.TOK} SELECT replace(replace(form, 'I', 'ı'), 'İ', 'i') AS turned, count(*) AS n FROM tok WHERE contains(form, 'I') GROUP BY 1")
+@on_corpus(f"WITH {O.TOK} SELECT lower(replace(replace(form, 'I', 'ı'), 'İ', 'i')) AS turned, count(*) AS n FROM tok WHERE NOT is_punct GROUP BY 1")
 def turkish_keys(c: Corpus) -> DataFrame:
-    rows = c.tokens.where(F.col("form").contains("I"))
-    # Only the dotted and dotless letters are compared here: the rest of the form keeps its case.
-    return rows.groupBy(F.translate("form", "Iİ", "ıi").alias("turned")).agg(F.count("*").alias("n"))
+    fold = keys.fold_context("tr-TR", "Latn")
+    return c.tokens.where(~F.col("is_punct")).groupBy(keys.dict_key(F.col("form"), fold).alias("turned")).agg(F.count("*").alias("n"))
+
+
+_LETTERS = {"é": "e\u0301", "è": "e\u0300", "ü": "u\u0308", "ö": "o\u0308", "ä": "a\u0308", "ñ": "n\u0303", "ç": "c\u0327", "a": "a"}
+
+
+def _decomposed_sql(text: str) -> str:
+    for whole, parts in _LETTERS.items():
+        text = f"replace({text}, '{whole}', '{parts}')"
+    return text
+
+
+@query(f"WITH documents AS (SELECT doc_id, lang, source, chr(65279) || {_decomposed_sql("replace(text, 'the', 'thé')")} AS text FROM main.documents), {O.TOK.replace('nfc_normalize(text)', 'nfc_normalize(ltrim(text, chr(65279)))')} SELECT form_key, count(*) AS n FROM tok WHERE regexp_matches(form_key, '[éèüöäñç]') GROUP BY form_key")
+def search_decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a corpus whose text came decomposed and with a byte-order mark: they are the composed ones."""
+    text = F.replace(F.col("text"), F.lit("the"), F.lit("thé"))
+    for whole, parts in _LETTERS.items():
+        text = F.replace(text, F.lit(whole), F.lit(parts))
+    docs = read(spark, sf_dir, "documents").withColumn("text", F.concat(F.lit("\ufeff"), text))
+    rows = tokens(sentences(paragraphs(docs)))
+    return rows.where(F.col("form_key").rlike("[éèüöäñç]")).groupBy("form_key").agg(F.count("*").alias("n"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(left(text, 4000), '[\x{3040}-\x{30FF}\x{FF61}-\x{FF9F}]') THEN 'Jpan' WHEN regexp_matches(left(text, 4000), '\p{Han}') THEN 'Hans' WHEN regexp_matches(left(text, 4000), '\p{Arabic}') THEN 'Arab' WHEN regexp_matches(left(text, 4000), '\p{Cyrillic}') THEN 'Cyrl' WHEN regexp_matches(left(text, 4000), '\p{Latin}') THEN 'Latn' END AS script FROM documents""")
@@ -380,9 +402,12 @@ def right_to_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.has_rtl(F.col("text")).alias("rtl"))
 
 
-@query("SELECT 'pos' AS list, 17 AS entries UNION ALL SELECT 'dep_relation', 37 UNION ALL SELECT 'morpheme_type', 6")
+@query(
+    "SELECT 'pos' AS list, 29 AS entries, 'NOUN' AS first, 'PHRASE' AS last UNION ALL SELECT 'type', 9, 'word', 'punctuation' UNION ALL SELECT 'selection_relation', 13, 'subject', 'linking' "
+    "UNION ALL SELECT 'selection_template', 20, 'VERB:intransitive', 'AUX:verbal complement' UNION ALL SELECT 'dep_relation', 37, 'root', 'dep' UNION ALL SELECT 'gloss', 112, '1', 'VOC'"
+)
 def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference.lists(spark).groupBy("list").agg(F.count("*").alias("entries"))
+    return reference.lists(spark).groupBy("list").agg(F.count("*").alias("entries"), F.min_by("value", "place").alias("first"), F.max_by("value", "place").alias("last"))
 
 
 # --- search --------------------------------------------------------------------------------------
@@ -561,12 +586,10 @@ def node_count(c: Corpus) -> DataFrame:
     return concord.node_count(concord.token_nodes(matched_tokens(c.tokens, compile_glob("the"))))
 
 
-@on_corpus(f"""WITH {O.TOK}, {O.kwic(_THE, 3)}, k AS (SELECT *, lower(coalesce(norms[g_end + 2], '')) AS key FROM line) SELECT key, row_number() OVER (ORDER BY key, doc_id, para_pos, hit, g_start) AS rank, doc_id, para_pos, g_start FROM k QUALIFY rank <= 500""")
+@on_corpus(f"""WITH {O.TOK}, {O.kwic(_THE, 3)}, k AS (SELECT *, lower(coalesce(norms[g_end + 2], '')) AS key FROM line) SELECT key, row_number() OVER (ORDER BY key, doc_id, para_pos, hit, g_start) AS rank, doc_id, para_pos, g_start FROM k""")
 def sort_kwic_r1(c: Corpus) -> DataFrame:
-    # Ranks of the first lines only: a rank over all lines would put them into one task.
-    top = concord.sort_kwic(_the(c), "R1", fold=c.fold).select("key", "doc_id", "para_pos", "hit", "g_start").limit(500)
-    order = Window.orderBy("key", "doc_id", "para_pos", "hit", "g_start")
-    return top.withColumn("rank", F.row_number().over(order)).drop("hit")
+    lines = _the(c).withColumn("key", concord.sort_key("R1", c.fold)).select("key", "doc_id", "para_pos", "hit", "g_start")
+    return concord.ranked_lines(lines).drop("hit")
 
 
 @on_corpus(f"""WITH {O.TOK}, {O.kwic(_THE, 3)}, k AS (SELECT *, CASE WHEN g_start > 0 THEN lower(norms[g_start]) ELSE '' END AS key FROM line) SELECT key, count(*) AS lines FROM k GROUP BY key""")
@@ -612,9 +635,11 @@ def lemma_groups(c: Corpus) -> DataFrame:
     return lexicon.lemma_groups(lemmas_of(c), lexicon_of(c), annotated(c))
 
 
-@on_corpus(f"WITH {O.ANN} SELECT id AS lemma_id, form FROM lemma WHERE id NOT IN (SELECT lemma_id FROM entry WHERE lemma_id IS NOT NULL) AND id NOT IN (SELECT lemma_id FROM ann WHERE lemma_id IS NOT NULL AND doc_id % 7 = 0)")
+@on_corpus(f"WITH {O.ANN}, every AS (SELECT id, form FROM lemma UNION ALL SELECT 'l_' || lower(n_name), lower(n_name) FROM nation) SELECT id AS lemma_id, form FROM every WHERE id NOT IN (SELECT lemma_id FROM entry WHERE lemma_id IS NOT NULL) AND id NOT IN (SELECT lemma_id FROM ann WHERE lemma_id IS NOT NULL)")
 def orphan_lemmas(c: Corpus) -> DataFrame:
-    return lexicon.orphan_lemmas(lemmas_of(c), lexicon_of(c), annotated(c).where("doc_id % 7 = 0"))
+    folder = c.documents.inputFiles()[0].rsplit("/documents.parquet", 1)[0]
+    names = c.tokens.sparkSession.read.parquet(f"{folder}/nation.parquet").select(F.concat(F.lit("l_"), F.lower("n_name")).alias("id"), F.lower("n_name").alias("form"))
+    return lexicon.orphan_lemmas(lemmas_of(c).unionByName(names), lexicon_of(c), annotated(c))
 
 
 @on_corpus(f"WITH {O.ANN} SELECT 'dict_id' AS reference, count(*) AS refs, count(DISTINCT dict_id) AS ids FROM ann WHERE dict_id IS NOT NULL AND dict_id NOT IN (SELECT id FROM entry) UNION ALL SELECT 'lemma_id', count(*), count(DISTINCT lemma_id) FROM ann WHERE lemma_id IS NOT NULL AND lemma_id NOT IN (SELECT id FROM lemma)")
@@ -654,11 +679,11 @@ def word_equivalents(c: Corpus) -> DataFrame:
     return lexicon.equivalents(annotated(c), lemmas=True)
 
 
-@on_corpus(f"""WITH {O.ANN}, f AS (SELECT 'd_' || form AS id, arg_min(doc_id, (doc_id, para_pos, g)) AS doc_id, arg_min(para_pos, (doc_id, para_pos, g)) AS para_pos, arg_min(sent_pos, (doc_id, para_pos, g)) AS sent_pos, arg_min(word_pos, (doc_id, para_pos, g)) AS pin FROM tok WHERE form_key LIKE 'thr%' GROUP BY form)
+@on_corpus(f"""WITH {O.ANN}, f AS (SELECT 'd_' || form AS id, arg_min(doc_id, (doc_id, para_pos, g)) AS doc_id, arg_min(para_pos, (doc_id, para_pos, g)) AS para_pos, arg_min(sent_pos, (doc_id, para_pos, g)) AS sent_pos, arg_min(word_pos, (doc_id, para_pos, g)) AS pin FROM tok GROUP BY form)
 SELECT id, string_agg(CASE WHEN word_pos = pin THEN '[' || form || ']' ELSE form END, ' ' ORDER BY word_pos) AS example FROM f JOIN tok USING (doc_id, para_pos, sent_pos) GROUP BY id""")
 def dictionary_examples(c: Corpus) -> DataFrame:
     first = F.min(F.struct("doc_id", "para_pos", "g", "sent_pos", "word_pos")).alias("f")
-    pins = c.tokens.where(F.col("form_key").startswith("thr")).groupBy("form").agg(first).select(F.concat(F.lit("d_"), "form").alias("id"), "f.doc_id", "f.para_pos", "f.sent_pos", F.col("f.word_pos").alias("pin_word"))
+    pins = c.tokens.groupBy("form").agg(first).select(F.concat(F.lit("d_"), "form").alias("id"), "f.doc_id", "f.para_pos", "f.sent_pos", F.col("f.word_pos").alias("pin_word"))
     return lexicon.example_view(pins, c.tokens)
 
 
@@ -747,7 +772,7 @@ def _parsed(c: Corpus) -> DataFrame:
 _DEP = f"{O.TOK}, w AS (SELECT doc_id, para_pos, sent_pos, word_pos, CASE WHEN word_pos = 0 THEN NULL WHEN word_pos % 7 = 3 THEN 998 WHEN word_pos % 11 = 5 THEN word_pos ELSE word_pos // 2 END AS hp, 'r' || (word_pos % 4) AS dep_rel FROM tok)"
 
 
-@on_corpus(f"WITH {_DEP} SELECT w.doc_id, w.para_pos, w.sent_pos, w.word_pos AS dep_pos, h.word_pos AS head_pos, w.dep_rel FROM w JOIN w h ON w.doc_id = h.doc_id AND w.para_pos = h.para_pos AND w.sent_pos = h.sent_pos AND w.hp = h.word_pos WHERE w.word_pos <> h.word_pos")
+@on_corpus(f"WITH {_DEP}, m AS (SELECT *, max(word_pos) OVER (PARTITION BY doc_id, para_pos, sent_pos) AS top FROM w) SELECT doc_id, para_pos, sent_pos, word_pos AS dep_pos, hp AS head_pos, dep_rel FROM m WHERE hp <= top AND hp <> word_pos")
 def dep_arcs(c: Corpus) -> DataFrame:
     return deps.arcs(_parsed(c))
 
@@ -807,9 +832,13 @@ def annotator_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prov.roll_up(rows, ["doc", "sect", "para"])
 
 
-@query(r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+')) AS name FROM documents) SELECT doc_id, name, count(*) AS n FROM w WHERE name IN (SELECT initcap_name FROM (SELECT upper(n_name[1:1]) || lower(n_name[2:]) AS initcap_name FROM nation) UNION ALL SELECT unnest(['The', 'Of', 'Der'])) GROUP BY ALL")
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+') AS w FROM documents), p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM t),
+g AS (SELECT doc_id, w[i] AS name FROM p UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM p WHERE i + 1 <= len(w) UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM p WHERE i + 2 <= len(w)),
+n AS (SELECT upper(n_name[1:1]) || lower(n_name[2:]) AS name FROM nation UNION SELECT unnest(['The', 'Of', 'Der', 'of the', 'in the', 'of the the', 'and the']))
+SELECT doc_id, name, count(*) AS n FROM g WHERE name IN (SELECT name FROM n) GROUP BY ALL""")
 def name_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = read(spark, sf_dir, "nation").select(F.initcap(F.lower("n_name")).alias("name")).unionByName(spark.createDataFrame([("The",), ("Of",), ("Der",)], "name string"))
+    more = spark.createDataFrame([(n,) for n in ("The", "Of", "Der", "of the", "in the", "of the the", "and the")], "name string")
+    people = read(spark, sf_dir, "nation").select(F.concat(F.upper(F.left("n_name", F.lit(1))), F.lower(F.substring("n_name", 2, 100))).alias("name")).unionByName(more)
     return prov.disclosures(people, read(spark, sf_dir, "documents"))
 
 
