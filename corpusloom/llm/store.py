@@ -17,21 +17,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import remove, shared_folder, ship
 
-LOCAL = "file:///tmp/checkpoints/corpusloom"
 #: Rows of an Arrow batch at most: texts are long, and a batch is held whole on both sides.
 BATCH_ROWS = 1_024
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (base or LOCAL).rstrip("/")
-
-
 class Scratch:
     """Tables of one run. drop() removes one that nothing reads any more; the rest goes when the driver ends."""
 
@@ -58,12 +49,7 @@ class Scratch:
             time.sleep(pause)
 
     def drop(self, name: str) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001  the session may be gone when the driver ends
-            return
+        remove(self.spark, f"{self.path}/{name}" if name else self.path)
 
     def close(self) -> None:
         self.drop("")
