@@ -5,7 +5,8 @@ automaton lists all vocabulary entries in a piece; dynamic programming over its
 and the number of tokens. Places are visited from left to right and starts from the farthest; only a strictly
 better score replaces, so of equal paths the one whose last token is longest stays, as in the tokenizer library. A
 character that no entry starts with alone costs the lowest score less ten and counts as its UTF-8 bytes (byte
-fallback). Each different piece is counted once per worker and remembered.
+fallback). Only the last places, as many as the longest entry has characters, are kept, so a piece of any length takes
+little memory. Each different piece is counted once and remembered, `REMEMBERED` of them by a worker at most.
 
 Vocabulary and scores are read from the file of a public tokenizer; nothing is trained.
 
@@ -27,7 +28,7 @@ from .store import documents
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, score double"
 
 
@@ -48,31 +49,33 @@ class Counter:
             self.automaton.add_word(token, (len(token), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in entries), default=0.0) - UNKNOWN_PENALTY
-        self.known: dict[int, int] = {}
-        self.found: list[tuple[int, float]] = []
+        self.longest = max((len(token) for token, _ in entries), default=0)
+        self.known: dict[int, tuple[int, float]] = {}
 
     def count(self, piece: str) -> tuple[int, float]:
         """Tokens and score of one piece."""
-        n = len(piece)
-        best: list[float | None] = [None] * (n + 1)
-        tokens = [0] * (n + 1)
-        best[0] = 0.0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, hit in self.automaton.iter(piece):
-            ends[end].append(hit)
-        for end in range(n):  # hits at an end come with the longest first, that is from the farthest start
-            top, single = None, False
-            for length, score in ends[end]:
+        size = self.longest + 1
+        best, tokens = [0.0] * size, [0] * size  # by place, the last `size` of them
+        hits = self.automaton.iter(piece)
+        hit = next(hits, None)
+        here = 0
+        for end, character in enumerate(piece):  # hits at an end come with the longest first, that is from the farthest start
+            top, single, count = None, False, 0
+            while hit is not None and hit[0] == end:
+                length, score = hit[1]
                 single |= length == 1
-                value = score + best[end + 1 - length]
+                start = (end + 1 - length) % size
+                value = score + best[start]
                 if top is None or value > top:
-                    top, count = value, tokens[end + 1 - length] + 1
+                    top, count = value, tokens[start] + 1
+                hit = next(hits, None)
             if not single:
-                value = self.unknown + best[end]
+                value = self.unknown + best[here]
                 if top is None or value > top:
-                    top, count = value, tokens[end] + len(piece[end].encode())
-            best[end + 1], tokens[end + 1] = top, count
-        return tokens[n], best[n]
+                    top, count = value, tokens[here] + len(character.encode())
+            here = (end + 1) % size
+            best[here], tokens[here] = top, count
+        return tokens[here], best[here]
 
     def rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, tokens and score of each text."""
@@ -91,15 +94,13 @@ class Counter:
         tags[filled] = word_hashes(raw, after[filled], ends[filled])
         tags, where, back = np.unique(tags, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
-            self.known, self.found = {}, []
-        text, which = raw.tobytes(), np.zeros(len(tags), np.int64)
-        for k, (tag, i, j) in enumerate(zip(tags.tolist(), after[where].tolist(), ends[where].tolist(), strict=True)):
-            at_found = self.known.get(tag)
-            if at_found is None:
-                at_found = self.known[tag] = len(self.found)
-                self.found.append(self.count(MARK + text[i:j].decode()))
-            which[k] = at_found
-        numbers = [self.found[k] for k in which.tolist()]
+            self.known = {}
+        text, numbers = raw.tobytes(), []
+        for tag, i, j in zip(tags.tolist(), after[where].tolist(), ends[where].tolist(), strict=True):
+            found = self.known.get(tag)
+            if found is None:
+                found = self.known[tag] = self.count(MARK + text[i:j].decode())
+            numbers.append(found)
         tokens = np.array([x for x, _ in numbers], np.int64)[back] if numbers else np.zeros(0, np.int64)
         scores = np.array([x for _, x in numbers], np.float64)[back] if numbers else np.zeros(0)
         first = np.searchsorted(starts, at)

@@ -282,6 +282,24 @@ def test_pairs_that_straddle_the_sketch_size(spark, percent, more):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs, Similarity(percent=percent)).collect()} == want
 
 
+def test_the_sketch_drops_pairs_and_loses_none():
+    """Estimates on sketches alone: unlike sets go, like ones stay."""
+    from corpusloom.llm.minhash import Similarity, may_be_similar
+
+    rng = np.random.default_rng(2)
+    like = Similarity()
+    dropped = 0
+    for _ in range(400):
+        n, share = int(rng.integers(5, 600)), rng.random()
+        both = rng.integers(0, 1 << 63, max(1, int(n * share)), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, n - len(both), dtype=np.uint64)])) for _ in range(2))
+        linked = 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+        stays = may_be_similar(a[: like.size], b[: like.size], like)
+        assert stays or not linked
+        dropped += not stays
+    assert dropped > 200
+
+
 def test_line_dedup(spark, docs, empty):
     from corpusloom.llm.linejoin import dedup_lines, without_repeated_lines
 
@@ -319,6 +337,47 @@ def test_line_dedup_looks_further(spark, monkeypatch):
     assert got == want
 
 
+def brute_lines(texts, least=1):
+    """Removed lines of ids with several texts: these are one document, in the order of their SHA-256."""
+    each = {(i, hashlib.sha256((t or "").encode()).hexdigest()): t for i, t in texts}
+    seen, gone = [], defaultdict(set)
+    for (i, sha), t in sorted(each.items()):
+        for k, x in enumerate(t.split("\n") if t else []):
+            s = frozenset(words(x, True))
+            if len(words(x)) >= least and s:
+                if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                    gone[i, sha].add(k)
+                seen.append(s)
+    return gone
+
+
+def test_lines_of_ids_with_several_texts_and_long_lines(spark):
+    """Equal ids, equal rows, null texts, lines of every length up to a thousand words with few and many edits."""
+    from corpusloom.llm.linejoin import Lines, dedup_lines, without_repeated_lines
+
+    rng = random.Random(77)
+    table = [(2, "a b c d e f\nx y"), (2, "a b c d e f g\nnew line here\nx y"), (2, None), (3, "x y\nq"), (3, "x y\nq"), (1, "q"), (7, None)]
+    for n in (3, 12, 50, 66, 90, 139, 141, 200, 300, 600, 1100):
+        base = [f"{w}{k}" for k, w in enumerate(prose(n, n))]
+        for edits in (0, n // 12, n // 9, n // 8, n // 4):
+            w = list(base)
+            for k in rng.sample(range(n), edits):
+                w[k] = f"edit{rng.random()}"
+            table.append((rng.randrange(100, 10**6), " ".join(w) + "\n" + " ".join(prose(rng.randrange(10**6), n))))
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(table)], "doc_id long, text string, base int").repartition(3)
+    gone = brute_lines(table)
+    want, kept = [], []
+    for k, (i, t) in enumerate(table):
+        own = t.split("\n") if t else []
+        rest = "\n".join(x for j, x in enumerate(own) if j not in gone[i, hashlib.sha256((t or "").encode()).hexdigest()])
+        want.append((i, len(own), len(own) - len([x for j, x in enumerate(own) if j not in gone[i, hashlib.sha256((t or "").encode()).hexdigest()]]), hashlib.sha256(rest.encode()).hexdigest()))
+        if t is None or rest.strip() or rest == t:
+            kept.append((i, t if t is None else rest, k))
+    assert rows(dedup_lines(frame, Lines(least=1))) == sorted(want)
+    left = without_repeated_lines(frame, Lines(least=1))
+    assert left.columns == frame.columns and rows(left) == sorted(kept, key=lambda r: tuple((x is None, x) for x in r))
+
+
 def test_short_lines_are_joined_by_the_queries(spark, tmp_path):
     """Menu, footer and licence lines of under five words, and pairs of four and five words."""
     import corpus_pipeline
@@ -478,6 +537,28 @@ def test_tokens_equal_the_library():
         assert e.ids == ids[at[i] : at[i + 1]].tolist(), texts[i]
 
 
+def test_tokens_of_long_and_chinese_texts(monkeypatch):
+    """Texts that are cut into chunks, texts without blanks, and a memory for few pieces give the library's ids."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from corpusloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CHUNK", 500)
+    monkeypatch.setattr(tokens, "REMEMBERED", 20)
+    bpe = tokens.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    texts = [" ".join(prose(k, 900)) + " it's  20 'll\n\n x" for k in range(3)]
+    texts += ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(900)) + "。かな、ｶﾅ" + " 한국어" * 300, "a" * 3000, " " * 3000, "x\n" * 2000, "<|endoftext|> " * 100, "é " * 2000 + "😀 " * 300, "’s 've" * 400]
+    for t in texts:
+        ids, at = bpe.encode(pa.array([t]))
+        assert ids.tolist() == bpe.library.encode(t, add_special_tokens=False).ids and at.tolist() == [0, len(ids)], t[:40]
+    ids, at = bpe.encode(pa.array(texts))
+    for i, e in enumerate(bpe.library.encode_batch(texts, add_special_tokens=False)):
+        assert e.ids == ids[at[i] : at[i + 1]].tolist()
+    assert len(bpe.tags) <= 20 + 5000
+
+
 def test_token_counts(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer, models, pre_tokenizers
@@ -496,6 +577,25 @@ def test_token_counts(spark, docs, empty):
     assert count_tokens(empty, path).collect() == []
 
 
+def test_counting_a_long_piece_takes_little_memory():
+    """Millions of characters without a space, against the library on a shorter one."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    from corpusloom.llm.viterbi import MARK, counter
+
+    own = counter(public_tokenizers.path("piece_bpe_32k.model"))
+    short = own.count(MARK + "abcé中" * 50)
+    assert own.count(MARK + "abcé中" * 100)[0] - short[0] == own.count(MARK + "abcé中" * 150)[0] - own.count(MARK + "abcé中" * 100)[0]
+    piece = "abcé中" * 100_000
+    tracemalloc.start()
+    tokens, _ = own.count(MARK + piece)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tokens > 100_000 and peak < 8 << 20
+
+
 def test_viterbi_ties():
     from corpusloom.llm.viterbi import Counter as Viterbi
 
@@ -544,6 +644,33 @@ def test_quality_classifier(spark, docs, empty):
     assert kept.columns == ["doc_id", "text", "score"] and {r.doc_id for r in kept.collect()} == {i for i, _, _ in good}
 
 
+def test_classifier_on_overlapping_classes(spark):
+    """Classes that no feature parts alone: held-out rows are ranked well, the pipeline's stage decides as the query does."""
+    from corpusloom.llm.gam import SAMPLE, chosen, classify, held_out, keep_good
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    table = []
+    for i in range(900):
+        loud, long = rng.random(), rng.random()
+        w = [x.upper() if rng.random() < loud else x for x in prose(i, 20 + int(120 * long))]
+        table.append((i, " ".join(w), int((loud < 0.5) != (long < 0.5) and rng.random() < 0.95)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in table] + [(5, "another text of id 5")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in table] + [(i, 1) for i in range(10_000, 12_000)], "doc_id long, quality int")
+    got = classify(docs, labels).collect()
+    score = {(r.doc_id, r.held_out): r.score for r in got if r.doc_id != 5}
+    held = [(score[i, True], y) for i, _, y in table if (i, True) in score]
+    ones, zeros = [s for s, y in held if y], [s for s, y in held if not y]
+    auc = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+    assert len(held) > 200 and auc > 0.85
+    assert sorted((r.doc_id, r.score) for r in classify(docs.repartition(1), labels).collect()) == sorted((r.doc_id, r.score) for r in got)
+    few = chosen(docs, labels, 100)
+    assert few.count() == 100 and few.where(held_out(F.col("doc_id")) | (F.col("doc_id") >= 10_000)).count() == 0 and SAMPLE == 20_000
+    good = {(r.doc_id, r.text) for r in keep_good(docs, labels).collect()}
+    both = {i for i, _ in good}
+    assert {r.doc_id for r in got if r.predicted and r.doc_id != 5} == both - {5}
+
+
 def test_nearest_neighbours(spark):
     from corpusloom.llm.ann import search
 

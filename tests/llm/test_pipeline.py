@@ -42,3 +42,21 @@ def test_stages(spark, folder, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r.doc_id for r in pieces.collect()} == kept["benchmarks"]
     assert sorted(map(tuple, pieces.drop("sequence_id", "offset").collect())) == sorted(map(tuple, corpus_pipeline.run(spark, folder).drop("sequence_id", "offset").collect()))
+
+
+def test_pipeline_of_awkward_tables(spark, folder, tmp_path):
+    """Further columns with names that the stages use, an empty table, and a folder without any label."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    wide = spark.read.parquet(f"{folder}/documents.parquet").select("*", *(F.lit(7).alias(c) for c in ("base", "part", "kind", "blob", "row", "sha", "score", "bucket", "rest")))
+    none = f"{tmp_path}/none"
+    spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{none}/labels.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").limit(0).write.parquet(f"{none}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, folder)
+        assert out.columns == wide.columns and out.where("base <> 7 or rest <> 7").count() == 0, name
+        assert stage(spark, wide.limit(0), folder).collect() == [], name
+        assert stage(spark, wide, none).count() > 0, name
+    assert stage(spark, wide, folder).columns == wide.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, wide.limit(0), folder).collect() == []
