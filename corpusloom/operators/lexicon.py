@@ -170,10 +170,11 @@ def fill_offers(tokens: DataFrame, entries: DataFrame, fold: Fold = Fold()) -> D
 
 
 def resolve_lemma(forms: DataFrame, lemmas: DataFrame, fold: Fold = Fold()) -> DataFrame:
-    """status of a typed lemma: empty, exact, near (equal but for accents, never taken by itself) or none."""
+    """status of a typed lemma: empty, exact, near (equal but for accents and case in the corpus' locale, never taken by itself) or none."""
+    base = f"{fold.locale if fold.locale in ('tr', 'az') else 'UNICODE'}_CI_AI"
     exact = lemmas.groupBy(dict_key(F.col("form"), fold).alias("_key")).agg(F.min("id").alias("lemma_id"))
-    near = lemmas.groupBy(F.collate("form", "UNICODE_AI").alias("_near")).agg(F.count("*").alias("near"))
-    out = forms.withColumns({"_key": dict_key(F.trim("form"), fold), "_near": F.collate(F.trim("form"), "UNICODE_AI")})
+    near = lemmas.groupBy(F.collate("form", base).alias("_near")).agg(F.count("*").alias("near"))
+    out = forms.withColumns({"_key": dict_key(F.trim("form"), fold), "_near": F.collate(F.trim("form"), base)})
     out = out.join(exact, "_key", "left").join(near, "_near", "left")
     status = F.when(blank(F.col("form")), "empty").when(F.col("lemma_id").isNotNull(), "exact").when(F.col("near") > 0, "near").otherwise("none")
     return out.select("form", status.alias("status"), "lemma_id")

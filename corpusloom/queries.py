@@ -325,6 +325,14 @@ def translit_readings(c: Corpus) -> DataFrame:
     return rows.groupBy("form", (F.col("g") % 2 == 0).alias("own"), F.array_join("texts", "|").alias("readings")).agg(F.count("*").alias("n"))
 
 
+@on_corpus(f"WITH {O.ANN} SELECT form, CASE WHEN g % 2 = 0 THEN 't' || lower(form) ELSE lower(coalesce(morphological_parse, form)) END AS shown, lower(coalesce(morphological_parse, form)) AS low, morphological_parse IS NULL AND NOT contains(form, '-') AS mono, count(*) AS n FROM ann WHERE NOT is_punct GROUP BY ALL")
+def word_readings(c: Corpus) -> DataFrame:
+    """The reading that a word shows, the one of one system, and whether it has one morpheme."""
+    rows = _read_words(c)
+    shown, low = (morph.word_translit(F.col("transliterations"), F.col("morphemes"), label) for label in (None, F.lit("low")))
+    return rows.groupBy("form", shown.alias("shown"), low.alias("low"), morph.mono_morpheme(F.col("morphemes")).alias("mono")).agg(F.count("*").alias("n"))
+
+
 @on_corpus(f"WITH {O.ANN} SELECT unnest(['low', 'up']) AS label")
 def translit_labels(c: Corpus) -> DataFrame:
     rows = _read_words(c)
@@ -745,7 +753,8 @@ def fill_offers(c: Corpus) -> DataFrame:
     return lexicon.fill_offers(annotated(c), lexicon_of(c), c.fold)
 
 
-@on_corpus()
+@on_corpus(f"""WITH {O.ANN}, f AS (SELECT DISTINCT left(form, 3) AS form FROM tok WHERE NOT is_punct), k AS (SELECT *, replace(lower(strip_accents(form)), 'ß', 'ss') AS near FROM lemma)
+SELECT f.form, CASE WHEN trim(f.form) = '' THEN 'empty' WHEN l.id IS NOT NULL THEN 'exact' WHEN replace(lower(strip_accents(f.form)), 'ß', 'ss') IN (SELECT near FROM k) THEN 'near' ELSE 'none' END AS status, l.id AS lemma_id FROM f LEFT JOIN lemma l ON l.form = lower(f.form)""")
 def resolve_lemmas(c: Corpus) -> DataFrame:
     forms = c.tokens.where(~F.col("is_punct")).select(F.left("form", F.lit(3)).alias("form")).distinct()
     return lexicon.resolve_lemma(forms, lemmas_of(c), c.fold)
@@ -777,6 +786,14 @@ def dep_arcs(c: Corpus) -> DataFrame:
     return deps.arcs(_parsed(c))
 
 
+@on_corpus(f"WITH {_DEP} SELECT format('w_{{:03d}}', word_pos + 1) AS local, CASE WHEN word_pos = 0 THEN 'root' ELSE dep_rel END AS rel, count(*) AS n FROM w GROUP BY ALL")
+def dep_relations(c: Corpus) -> DataFrame:
+    """Local ids taken out of whole ones, and relations with the root's."""
+    rows = _parsed(c)
+    local = ids.dep_local_id(F.concat(F.lit("doc_001.s_002."), F.col("local_id")))
+    return rows.groupBy(local.alias("local"), ids.dep_rel_of(F.col("head_present"), F.col("head"), F.col("dep_rel")).alias("rel")).agg(F.count("*").alias("n"))
+
+
 @on_corpus(f"WITH {_DEP} SELECT DISTINCT doc_id, para_pos, sent_pos, 0 AS root_pos FROM w")
 def dep_roots(c: Corpus) -> DataFrame:
     return deps.roots(_parsed(c))
