@@ -6,7 +6,7 @@ and the number of tokens. Places are visited from left to right and starts from
 better score replaces, so of equal paths the one whose last token is longest stays, as in the tokenizer library. A
 character that no entry starts with alone costs the lowest score less ten and counts as its UTF-8 bytes (byte
 fallback). Only the last places, as many as the longest entry has characters, are kept, so a piece of any length takes
-little memory. Each different piece is counted once and remembered, `REMEMBERED` of them by a worker at most.
+little memory. Each different piece is counted once and remembered, `REMEMBERED` of them by a worker at most (20 bytes each).
 
 Vocabulary and scores are read from the file of a public tokenizer; nothing is trained.
 
@@ -28,7 +28,7 @@ from .store import documents
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, score double"
 
 
@@ -50,7 +50,10 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in entries), default=0.0) - UNKNOWN_PENALTY
         self.longest = max((len(token) for token, _ in entries), default=0)
-        self.known: dict[int, tuple[int, float]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.tags, self.tokens, self.scores = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0)  # of remembered pieces, by tag
 
     def count(self, piece: str) -> tuple[int, float]:
         """Tokens and score of one piece."""
@@ -93,16 +96,21 @@ class Counter:
         tags = np.zeros(len(starts), np.uint64)
         tags[filled] = word_hashes(raw, after[filled], ends[filled])
         tags, where, back = np.unique(tags, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        text, numbers = raw.tobytes(), []
-        for tag, i, j in zip(tags.tolist(), after[where].tolist(), ends[where].tolist(), strict=True):
-            found = self.known.get(tag)
-            if found is None:
-                found = self.known[tag] = self.count(MARK + text[i:j].decode())
-            numbers.append(found)
-        tokens = np.array([x for x, _ in numbers], np.int64)[back] if numbers else np.zeros(0, np.int64)
-        scores = np.array([x for _, x in numbers], np.float64)[back] if numbers else np.zeros(0)
+        if len(self.tags) > REMEMBERED:
+            self.forget()
+        place = np.searchsorted(self.tags, tags)
+        inside = np.flatnonzero(place < len(self.tags))
+        new = np.ones(len(tags), bool)
+        new[inside] = self.tags[place[inside]] != tags[inside]
+        if new.any():
+            text = raw.tobytes()
+            found = [self.count(MARK + text[i:j].decode()) for i, j in zip(after[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
+            at_new = place[new]
+            self.tags = np.insert(self.tags, at_new, tags[new])
+            self.tokens = np.insert(self.tokens, at_new, np.array([n for n, _ in found], np.int32))
+            self.scores = np.insert(self.scores, at_new, np.array([x for _, x in found]))
+            place = np.searchsorted(self.tags, tags)
+        tokens, scores = self.tokens[place][back].astype(np.int64), self.scores[place][back]
         first = np.searchsorted(starts, at)
         total = np.concatenate([[0], np.cumsum(tokens)])
         score = np.array([scores[first[i] : first[i + 1]].sum() for i in range(n)])
