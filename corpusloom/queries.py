@@ -318,10 +318,9 @@ def _read_words(c: Corpus) -> DataFrame:
 
 
 @on_corpus(f"""WITH {O.ANN} SELECT form, g % 2 = 0 AS own, CASE WHEN g % 2 = 0 THEN 't' || replace(lower(form), '-', '') || '|' ELSE '' END || replace(lower(coalesce(morphological_parse, form)), '-', '') AS readings, count(*) AS n FROM ann
-WHERE NOT is_punct AND NOT regexp_matches(form, '^[Tt]+$') GROUP BY ALL""")
+WHERE NOT is_punct GROUP BY ALL""")
 def translit_readings(c: Corpus) -> DataFrame:
     rows = _read_words(c).withColumn("texts", morph.translit_texts(F.col("transliterations"), F.col("morphemes")))
-    rows = rows.where(~F.col("form").rlike("^[Tt]+$"))
     return rows.groupBy("form", (F.col("g") % 2 == 0).alias("own"), F.array_join("texts", "|").alias("readings")).agg(F.count("*").alias("n"))
 
 
@@ -340,9 +339,9 @@ def translit_labels(c: Corpus) -> DataFrame:
     return rows.select(F.explode(every).alias("label")).distinct()
 
 
-@on_corpus(f"WITH {O.ANN} SELECT DISTINCT form, part_of_speech, CASE part_of_speech WHEN 'NOUN' THEN form WHEN 'ADJ' THEN form WHEN 'VERB' THEN CASE WHEN v = '' THEN NULL WHEN contains('aıouâû', v) THEN form || 'mak' ELSE form || 'mek' END END AS citation FROM (SELECT form, part_of_speech, regexp_extract(reverse(lower(form)), '([aıouâûeiöü])', 1) AS v FROM ann WHERE NOT is_punct AND regexp_full_match(form, '[a-zA-Z]+'))")
+@on_corpus(f"WITH {O.ANN} SELECT DISTINCT form, part_of_speech, CASE part_of_speech WHEN 'NOUN' THEN form WHEN 'ADJ' THEN form WHEN 'VERB' THEN CASE WHEN v = '' THEN NULL WHEN contains('aıouâû', v) THEN form || 'mak' ELSE form || 'mek' END END AS citation FROM (SELECT form, part_of_speech, regexp_extract(reverse(lower(form)), '([aıouâûeiöü])', 1) AS v FROM ann WHERE NOT is_punct)")
 def citation_forms(c: Corpus) -> DataFrame:
-    rows = annotated(c).where(~F.col("is_punct") & F.col("form").rlike("^[a-zA-Z]+$")).select("form", "part_of_speech").distinct()
+    rows = annotated(c).where(~F.col("is_punct")).select("form", "part_of_speech").distinct()
     return rows.withColumn("citation", morph.citation_form(F.col("form"), F.col("part_of_speech"), "tr"))
 
 
