@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..corpus import PARAGRAPH
 from ..functions.keys import Fold, dict_key
+from ..session import remove, shared_folder
 
 LINE = [*PARAGRAPH, "hit", "g_start"]
 
@@ -106,14 +109,21 @@ def sort_kwic(lines: DataFrame, anchor: str, descending: bool = False, fold: Fol
 
 
 def ranked_lines(lines: DataFrame, key: str = "key") -> DataFrame:
-    """Lines with their rank in the order of a key and then of the corpus: place within the key, after all lines of smaller keys.
+    """Lines with their rank in the order of a key and then of the corpus: place in the sorted part, after all lines of earlier parts.
 
-    Only the counts by key, one row for each different key, are summed in order; lines are numbered key by key.
+    Parts are ranges of key and place, so the lines of one key may fill several. They are written once, as a second sort
+    could cut them elsewhere; the sizes summed in order are one row for each part.
     """
-    counts = lines.groupBy(key).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(key)) - F.col("_n")).drop("_n")
-    own = F.row_number().over(Window.partitionBy(key).orderBy(*LINE))
-    return lines.withColumn("_own", own).join(before, key).withColumn("rank", F.col("_before") + F.col("_own")).drop("_own", "_before")
+    spark = lines.sparkSession
+    path = f"{shared_folder(spark)}/corpusloom/ranked-{uuid.uuid4().hex[:12]}"
+    atexit.register(remove, spark, path)
+    # The number in front of the 33 bits that count rows is the part's.
+    number = F.monotonically_increasing_id()
+    lines.orderBy(key, *LINE).withColumns({"_part": F.shiftright(number, 33), "_own": number.bitwiseAND(F.lit((1 << 33) - 1)) + 1}).write.parquet(path)
+    ordered = spark.read.parquet(path)
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return ordered.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
 def collocates(tokens: DataFrame, nodes: DataFrame, window: int = 5, fold: Fold = Fold()) -> DataFrame:

@@ -129,6 +129,16 @@ def lemma_evidence(tokens: DataFrame) -> DataFrame:
     return tokens.where("lemma_id is not null").groupBy("form_key", "lemma_id").agg(F.count("*").alias("n"))
 
 
+def others(words: DataFrame, counted: DataFrame, fields: list[str]) -> DataFrame:
+    """What the other tokens of a word's form say: the counts of its form key, without the word's own token.
+
+    words have word, form_key and their own values of the fields; counted are rows of form_key, the fields and n.
+    """
+    own = words.select("word", "form_key", F.struct(*fields).alias("_own"))
+    out = own.join(counted, "form_key").withColumn("n", F.col("n") - F.col("_own").eqNullSafe(F.struct(*fields)).cast("long"))
+    return out.where("n > 0").drop("_own")
+
+
 def word_analyses(tokens: DataFrame, fields: list[str]) -> DataFrame:
     """Different analyses of each form: how often, and where first; words without any are left out."""
     some = F.coalesce(*(F.when(~blank(F.col(f)), F.lit(True)) for f in fields))

@@ -233,9 +233,9 @@ def next_doc_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.next_doc_number(read(spark, sf_dir, "documents").select(F.col("text").alias("line")))
 
 
-@query("SELECT count(*) AS rows, sum(strlen(text)) AS bytes FROM documents")
+@query("SELECT count(*) AS rows, sum(strlen(text)) AS bytes, sum(('0x' || left(md5(text), 15))::HUGEINT)::VARCHAR AS hash FROM documents")
 def write_brake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.fingerprint(read(spark, sf_dir, "documents"), "text").drop("hash")
+    return records.fingerprint(read(spark, sf_dir, "documents"), "text")
 
 
 @query("SELECT c_mktsegment AS name, c_custkey AS id FROM customer WHERE c_acctbal >= 0")
@@ -672,9 +672,11 @@ def repoint_refs(c: Corpus) -> DataFrame:
     return lexicon.repoint(annotated(c), "dict_id", changes).groupBy("dict_id").agg(F.count("*").alias("n"))
 
 
-@on_corpus(rf"""WITH {O.SENT}, k AS (SELECT doc_id, para_pos, sent_pos, array_to_string(list_transform(regexp_extract_all(sentence, '[\p{{L}}\p{{N}}\p{{M}}]+'), lambda x: lower(x)), ' ') AS key FROM sent),
-f AS (SELECT *, count(*) OVER w AS n, first_value(doc_id) OVER o AS first_doc, first_value(para_pos) OVER o AS first_para, first_value(sent_pos) OVER o AS first_sent FROM k WHERE key <> '' WINDOW w AS (PARTITION BY key), o AS (PARTITION BY key ORDER BY doc_id, para_pos, sent_pos))
-SELECT doc_id, para_pos, sent_pos, first_doc, first_para, first_sent, n FROM f WHERE n > 1""")
+_CLASSES = rf"""k AS (SELECT doc_id, para_pos, sent_pos, array_to_string(list_transform(regexp_extract_all(sentence, '[\p{{L}}\p{{N}}\p{{M}}]+'), lambda x: lower(x)), ' ') AS key FROM sent),
+f AS (SELECT *, count(*) OVER w AS n, first_value(doc_id) OVER o AS first_doc, first_value(para_pos) OVER o AS first_para, first_value(sent_pos) OVER o AS first_sent FROM k WHERE key <> '' WINDOW w AS (PARTITION BY key), o AS (PARTITION BY key ORDER BY doc_id, para_pos, sent_pos))"""
+
+
+@on_corpus(f"WITH {O.SENT}, {_CLASSES} SELECT doc_id, para_pos, sent_pos, first_doc, first_para, first_sent, n FROM f WHERE n > 1")
 def same_text_sentences(c: Corpus) -> DataFrame:
     return lexicon.same_text_sentences(c.sentences.withColumn("key", keys.sent_key(F.col("sentence"))))
 
@@ -726,6 +728,26 @@ def lemma_evidence(c: Corpus) -> DataFrame:
     return lexicon.lemma_evidence(annotated(c))
 
 
+_PINNED = "(SELECT form AS word, arg_min(form_key, (doc_id, para_pos, g)) AS form_key, arg_min_null(lemma_id, (doc_id, para_pos, g)) AS own_lemma, arg_min_null(gloss, (doc_id, para_pos, g)) AS own_gloss FROM ann WHERE NOT is_punct GROUP BY form)"
+
+
+def _pinned(c: Corpus) -> DataFrame:
+    """The first token of each form, as a word to look at."""
+    first = F.min(F.struct("doc_id", "para_pos", "g", "form_key", "lemma_id", "gloss")).alias("f")
+    return annotated(c).where(~F.col("is_punct")).groupBy(F.col("form").alias("word")).agg(first).select("word", "f.form_key", "f.lemma_id", "f.gloss")
+
+
+@on_corpus(f"WITH {O.ANN}, e AS (SELECT form_key, lemma_id, count(*) AS n FROM ann WHERE lemma_id IS NOT NULL GROUP BY ALL) SELECT word, form_key, lemma_id, n - (own_lemma IS NOT DISTINCT FROM lemma_id)::INT AS n FROM {_PINNED} JOIN e USING (form_key) WHERE n - (own_lemma IS NOT DISTINCT FROM lemma_id)::INT > 0")
+def lemma_evidence_of_others(c: Corpus) -> DataFrame:
+    return lexicon.others(_pinned(c), lexicon.lemma_evidence(annotated(c)), ["lemma_id"])
+
+
+@on_corpus(f"WITH {O.ANN}, e AS (SELECT form_key, lemma_id, gloss, count(*) AS n FROM ann WHERE lemma_id IS NOT NULL OR gloss IS NOT NULL GROUP BY ALL), o AS (SELECT word, form_key, lemma_id, gloss, n - (own_lemma IS NOT DISTINCT FROM lemma_id AND own_gloss IS NOT DISTINCT FROM gloss)::INT AS n FROM {_PINNED} JOIN e USING (form_key)) SELECT * FROM o WHERE n > 0")
+def word_analyses_of_others(c: Corpus) -> DataFrame:
+    fields = ["lemma_id", "gloss"]
+    return lexicon.others(_pinned(c), lexicon.word_analyses(annotated(c), fields).drop("first_doc"), fields)
+
+
 @on_corpus(f"WITH {O.ANN} SELECT form_key, part_of_speech, lemma_id, gloss, count(*) AS n, arg_min(doc_id, (doc_id, para_pos, g)) AS first_doc FROM ann WHERE part_of_speech IS NOT NULL OR lemma_id IS NOT NULL OR gloss IS NOT NULL GROUP BY form_key, part_of_speech, lemma_id, gloss")
 def word_analyses(c: Corpus) -> DataFrame:
     return lexicon.word_analyses(annotated(c), ["part_of_speech", "lemma_id", "gloss"])
@@ -808,7 +830,9 @@ def dep_parsed(c: Corpus) -> DataFrame:
     return deps.has_parse(_parsed(c))
 
 
-@on_corpus()
+@on_corpus(f"""WITH RECURSIVE {_DEP}, m AS (SELECT *, max(word_pos) OVER (PARTITION BY doc_id, para_pos, sent_pos) AS top FROM w), a AS (SELECT doc_id, para_pos, sent_pos, word_pos AS dep_pos, hp AS head_pos, least(word_pos, hp) AS lo, greatest(word_pos, hp) AS hi FROM m WHERE hp <= top AND hp <> word_pos),
+s AS (SELECT DISTINCT doc_id, para_pos, sent_pos, lo, hi FROM a), r AS (SELECT *, 1 AS level FROM s UNION SELECT s.*, r.level + 1 FROM r JOIN s ON r.doc_id = s.doc_id AND r.para_pos = s.para_pos AND r.sent_pos = s.sent_pos AND s.lo <= r.lo AND r.hi <= s.hi AND s.hi - s.lo > r.hi - r.lo),
+n AS (SELECT doc_id, para_pos, sent_pos, lo, hi, max(level) AS level FROM r GROUP BY ALL) SELECT doc_id, para_pos, sent_pos, dep_pos, head_pos, level FROM a JOIN n USING (doc_id, para_pos, sent_pos, lo, hi)""")
 def dep_levels(c: Corpus) -> DataFrame:
     return deps.arc_levels(deps.arcs(_parsed(c)))
 
@@ -925,11 +949,17 @@ def align_tokens(c: Corpus) -> DataFrame:
     return edits.align_tokens(rows)
 
 
-@on_corpus(f"WITH {O.ANN}, p AS (SELECT gloss AS t, lag(gloss) OVER (PARTITION BY form_key ORDER BY doc_id, para_pos, g) AS s FROM ann) SELECT CASE WHEN s IS NULL THEN 'nothing' WHEN t IS NULL THEN 'write' WHEN s = t THEN 'same' ELSE 'conflict' END AS plan, count(*) AS n FROM p GROUP BY 1")
+@on_corpus(f"""WITH {O.ANN}, {_CLASSES}, p AS (SELECT t.part_of_speech AS pos, s.gloss AS s, t.gloss AS t FROM f JOIN ann t ON f.doc_id = t.doc_id AND f.para_pos = t.para_pos AND f.sent_pos = t.sent_pos
+JOIN ann s ON f.first_doc = s.doc_id AND f.first_para = s.para_pos AND f.first_sent = s.sent_pos AND t.word_pos = s.word_pos AND t.form_key = s.form_key WHERE f.n > 1 AND (f.doc_id, f.para_pos, f.sent_pos) <> (f.first_doc, f.first_para, f.first_sent))
+SELECT pos, CASE WHEN s IS NULL THEN 'nothing' WHEN t IS NULL THEN 'write' WHEN s = t THEN 'same' ELSE 'conflict' END AS plan, count(*) AS n FROM p GROUP BY ALL""")
 def copy_plan(c: Corpus) -> DataFrame:
-    before = Window.partitionBy("form_key").orderBy("doc_id", "para_pos", "g")
-    rows = annotated(c).withColumn("source_gloss", F.lag("gloss").over(before))
-    return rows.groupBy(edits.copy_plan(F.col("source_gloss"), F.col("gloss")).alias("plan")).agg(F.count("*").alias("n"))
+    """What copying glosses from the first sentence of a text to the others does, by the target's part of speech."""
+    classes = lexicon.same_text_sentences(c.sentences.withColumn("key", keys.sent_key(F.col("sentence"))))
+    later = classes.where(F.struct("doc_id", "para_pos", "sent_pos") != F.struct("first_doc", "first_para", "first_sent"))
+    words = annotated(c).select("doc_id", "para_pos", "sent_pos", "word_pos", "form_key", "gloss", F.col("part_of_speech").alias("pos"))
+    source = words.select(F.col("doc_id").alias("first_doc"), F.col("para_pos").alias("first_para"), F.col("sent_pos").alias("first_sent"), "word_pos", "form_key", F.col("gloss").alias("source_gloss"))
+    rows = words.join(later, ["doc_id", "para_pos", "sent_pos"]).join(source, ["first_doc", "first_para", "first_sent", "word_pos", "form_key"])
+    return rows.groupBy("pos", edits.copy_plan(F.col("source_gloss"), F.col("gloss")).alias("plan")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, turn, 'T:' || text AS cli, 2 AS cli_n, 'T:' || text AS gui, 3 AS gui_n FROM conversations")
@@ -968,6 +998,22 @@ def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.replay(base, _journal(spark, sf_dir))
 
 
+@query("SELECT CASE WHEN event_id % 10 <> 0 THEN event_type END AS op, CASE WHEN event_id % 10 <> 0 THEN 'corpus' END AS t, CASE WHEN event_id % 10 <> 0 THEN user_id::VARCHAR END AS id, CASE WHEN event_id % 10 <> 0 THEN event_id::INT END AS index, event_id AS line_no FROM events")
+def journal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a log, every tenth one torn."""
+    line = F.to_json(F.struct(F.col("event_type").alias("op"), F.lit("corpus").alias("t"), F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("index"), F.col("props").alias("rec")))
+    torn = F.when(F.col("event_id") % 10 == 0, F.left(line, F.char_length(line) - 3)).otherwise(line)
+    return journal.parse(read(spark, sf_dir, "events").select(torn.alias("line"), F.col("event_id").alias("line_no"))).drop("parent", "rec")
+
+
+@query(f"""WITH {_LOG}, p AS (SELECT *, CASE WHEN line_no % 3 = 0 THEN 'p' || (line_no % 17) END AS parent, CASE WHEN line_no % 4 = 0 THEN (line_no % 100)::INT END AS place, lag(op) OVER (PARTITION BY id ORDER BY line_no) AS before FROM j), e AS (SELECT * FROM p WHERE op <> 'add' OR before IS NULL OR before = 'del')
+SELECT id, arg_max(op, line_no) <> 'del' AS live, arg_max(rec, line_no) AS rec, arg_max(parent, line_no) FILTER (parent IS NOT NULL) AS parent, arg_max(place, line_no) FILTER (place IS NOT NULL) AS place, max(line_no) AS line_no FROM e GROUP BY id""")
+def journal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.col("line_no")
+    log = _journal(spark, sf_dir).withColumns({"parent": F.when(line % 3 == 0, F.concat(F.lit("p"), (line % 17).cast("string"))), "index": F.when(line % 4 == 0, (line % 100).cast("int"))})
+    return journal.last_writes(log).drop("t").withColumnRenamed("index", "place")
+
+
 @query(f"WITH {_LOG} SELECT t, id, arg_max(rec, line_no) AS rec, max(line_no) AS line_no FROM j WHERE op <> 'add' GROUP BY t, id HAVING arg_max(op, line_no) <> 'del'")
 def journal_last_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.last_put(_journal(spark, sf_dir).where("op <> 'add'"))

@@ -25,15 +25,19 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def last_writes(records: DataFrame) -> DataFrame:
-    """The state each id ends in: its last record that has effect, in one pass.
+    """The state each id ends in: its last record that has effect.
 
-    A put or del always has effect; an add only if the id isn't live then, that is if it comes first or after a del.
+    A put or del always has effect; an add only if the id isn't live then, that is if it comes first or after a del. The
+    record before tells: after a put or an add, with effect or not, an id is live. So the history of an id is never held,
+    only sorted, and the window and the aggregate share one shuffle.
     """
-    history = F.array_sort(F.collect_list(F.struct("line_no", "op", "rec", "parent", "index")))
-    effect = lambda acc, x: F.when((x["op"] == "add") & acc["live"], acc).otherwise(F.struct((x["op"] != "del").alias("live"), x["rec"].alias("rec"), F.coalesce(x["parent"], acc["parent"]).alias("parent"), F.coalesce(x["index"], acc["index"]).alias("index"), x["line_no"].alias("line_no")))
-    start = F.struct(F.lit(False).alias("live"), F.lit(None).cast("string").alias("rec"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("index"), F.lit(None).cast("long").alias("line_no"))
-    out = records.where(F.col("op").isin("put", "add", "del")).groupBy("t", "id").agg(F.aggregate(history, start, effect).alias("s"))
-    return out.select("t", "id", "s.*")
+    before = F.lag("op").over(Window.partitionBy("t", "id").orderBy("line_no", "op"))
+    own = records.where(F.col("op").isin("put", "add", "del")).withColumn("before", before)
+    own = own.where((F.col("op") != "add") | F.col("before").isNull() | (F.col("before") == "del"))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
+    last = F.max_by(F.struct((F.col("op") != "del").alias("live"), "rec"), "line_no").alias("last")
+    out = own.groupBy("t", "id").agg(last, latest("parent"), latest("index"), F.max("line_no").alias("line_no"))
+    return out.select("t", "id", "last.live", "last.rec", "parent", "index", "line_no")
 
 
 def replay(base: DataFrame, records: DataFrame) -> DataFrame:
