@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracle import ORACLES as ORACLES
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -81,5 +83,3 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest_neighbours, op2_minhash_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_decontamination, op6_token_counts, op7_suffix_array_dedup, op8_sharding, op9_quality_classifier, op10_line_dedup)}
-
-ORACLES: dict[str, str] = {}
