@@ -20,6 +20,8 @@ from .session import remove, shared_folder, ship
 
 SENTENCE = ["doc_id", "para_pos", "sent_pos"]
 PARAGRAPH = ["doc_id", "para_pos"]
+#: Bytes of a usual row group.
+ROW_GROUP = 128 << 20
 _OPEN: dict[tuple[str, str], Corpus] = {}
 
 
@@ -44,7 +46,7 @@ def sentences(paras: DataFrame) -> DataFrame:
 def tokens(sents: DataFrame, fold: Fold = Fold()) -> DataFrame:
     """Tokens with their place in the sentence, keys, and whether they are punctuation."""
     rows = sents.select("doc_id", "lang", "source", "para_pos", "sent_pos", F.posexplode(T.tokens(F.col("sentence"))).alias("word_pos", "form"))
-    return rows.withColumns({"form_key": dict_key(F.col("form"), fold), "norm": T.norm_punct(F.col("form")), "is_punct": T.is_punct(F.col("form"))})
+    return rows.withColumns({"form_key": dict_key(F.col("form"), fold), "norm": T.norm_token(F.col("form")), "is_punct": T.is_punct(F.col("form"))})
 
 
 def paragraph_places(rows: DataFrame) -> DataFrame:
@@ -58,6 +60,13 @@ def word_id(sent: bool = False) -> Column:
     return unit_id(F.col("doc_id"), F.lit(0), F.col("para_pos"), F.col("sent_pos"), None if sent else F.col("word_pos"))
 
 
+def spread(documents: DataFrame) -> DataFrame:
+    """A small input may be one row group, that is one task: its rows are dealt to all cores. A larger one is read as it is."""
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return documents.repartition(cores) if size < cores * ROW_GROUP else documents
+
+
 def open_corpus(spark: SparkSession, sf_dir: str, fold: Fold = Fold()) -> Corpus:
     """The corpus in sf_dir, segmented once for a session into tables in the shared folder."""
     ship(spark)
@@ -67,10 +76,9 @@ def open_corpus(spark: SparkSession, sf_dir: str, fold: Fold = Fold()) -> Corpus
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = f"{shared_folder(spark)}/corpusloom/corpus-{uuid.uuid4().hex[:12]}"
     atexit.register(remove, spark, path)
-    # Explodes run in one pass over the documents; the only shuffle brings a document's tokens together.
-    sents = sentences(paragraphs(documents))
-    sents.write.parquet(f"{path}/sentences")
+    sentences(paragraphs(spread(documents))).write.parquet(f"{path}/sentences")
     sents = spark.read.parquet(f"{path}/sentences")
-    paragraph_places(tokens(sents, fold)).write.parquet(f"{path}/tokens")
+    # Sentences are brought together by paragraph before they become tokens, which take many times their space: no token is shuffled.
+    paragraph_places(tokens(sents.repartition(*PARAGRAPH), fold)).write.parquet(f"{path}/tokens")
     _OPEN[key] = Corpus(documents, sents, spark.read.parquet(f"{path}/tokens"), fold)
     return _OPEN[key]

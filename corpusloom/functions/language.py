@@ -100,7 +100,7 @@ def resolve_language(names: DataFrame, column: str) -> DataFrame:
 
 def suggest_language(names: DataFrame, column: str, k: int = 3) -> DataFrame:
     """The k likeliest languages of a misspelt name: equal but for accents, prefix, part, few edits; the alias table is small and fixed."""
-    known = aliases(names.sparkSession).withColumn("_a", fold_diacritics("alias"))
+    known = aliases(names.sparkSession).withColumn("_a", fold_diacritics(F.col("alias")))
     asked = names.select(column).distinct().withColumn("_q", fold_diacritics(F.trim(F.col(column))))
     pairs = asked.join(F.broadcast(known), F.lit(True))
     q, a = F.col("_q"), F.col("_a")

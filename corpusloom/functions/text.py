@@ -19,7 +19,10 @@ WORD = r"[\p{L}\p{N}\p{M}]"
 # Possessive loops: Java runs them without recursion, so that a line of any length fits the stack.
 TOKEN = rf"{WORD}++(?:[{JOINERS}]{WORD}++)*+|[^\s\p{{Z}}]"
 SENTENCE = rf"[^\n{TERMINALS}]*+(?:(?<=\p{{Nd}})\.(?=\p{{Nd}})[^\n{TERMINALS}]*+)*+(?:[{TERMINALS}][{CLOSERS}]*+|(?=\n)|\z)"
-EDGE = r"^[\s\p{Z}]+|[\s\p{Z}]+\z"
+# White space and separators, which strip takes off both ends.
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Text without any of these is composed already: no letter below U+0300 and no usual mark of punctuation changes.
+UNCOMPOSED = r"[\x{300}-\x{1FFF}\x{2000}\x{2001}\x{2100}-\x{10FFFF}]"
 
 # Heading words of several languages.
 ORDINALS = (
@@ -33,19 +36,27 @@ HEADING = (
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition; Spark has no function for it."""
-    return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
+def _compose(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: s if s is None else unicodedata.normalize("NFC", s))
 
 
 @F.pandas_udf(StringType())
-def fold_diacritics(text: pd.Series) -> pd.Series:
-    """Decompose, drop combining marks U+0300 to U+036F, lower-case."""
+def _fold(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if not "\u0300" <= c <= "\u036f").lower())
 
 
+def nfc(c: Column) -> Column:
+    """Canonical composition; Spark has no function for it. Only text that may change goes to Python."""
+    return F.coalesce(_compose(F.when(c.rlike(UNCOMPOSED), c)), c)
+
+
+def fold_diacritics(c: Column) -> Column:
+    """Decompose, drop combining marks U+0300 to U+036F, lower-case. ASCII stays in the JVM."""
+    return F.coalesce(_fold(F.when(c.rlike(r"[^\x00-\x7F]"), c)), F.lower(c))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, EDGE, "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def normalize_text(c: Column, compose: bool = True) -> Column:
@@ -96,6 +107,11 @@ def norm_punct(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\p{P}\p{S}]", ""), r"(?U)\s+", " "))
 
 
+def norm_token(form: Column) -> Column:
+    """norm_punct of a token, which holds no space; most tokens need no replacement."""
+    return F.when(form.rlike(r"[\p{P}\p{S}]"), F.regexp_replace(form, r"[\p{P}\p{S}]", "")).otherwise(form)
+
+
 def is_punct(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).rlike(r"^[^\p{L}\p{N}]+\z")
 
