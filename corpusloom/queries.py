@@ -386,7 +386,16 @@ def lang_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang", "translation_code").agg(F.count("*").alias("documents"))
 
 
-@query()
+def _aliases_sql() -> str:
+    rows = [[x.replace("_", " ") for x in line.split()] for line in language.LANGUAGES.strip().splitlines()]
+    return ", ".join(f"({O.lit(r[0])}, {O.lit(a)})" for r in rows for a in dict.fromkeys(x for x in r[:4] if x != "-"))
+
+
+@query(f"""WITH a(code, alias) AS (VALUES {_aliases_sql()}), n(name) AS (SELECT DISTINCT array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') FROM nation UNION SELECT unnest(['Turkce', 'Germn', 'span', 'Frnch'])),
+p AS (SELECT name, code, alias, strip_accents(lower(name)) AS q, strip_accents(lower(alias)) AS x FROM n, a), e AS (SELECT *, levenshtein(q, x) AS d FROM p),
+s AS (SELECT *, CASE WHEN q = x THEN 0 WHEN length(q) >= 2 AND starts_with(x, q) THEN 1 WHEN length(q) >= 4 AND contains(x, q) THEN 2 WHEN abs(length(q) - length(x)) <= 3 AND d <= CASE WHEN length(q) <= 4 THEN 1 ELSE 2 END THEN d + 3 END AS score FROM e),
+b AS (SELECT * FROM s WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name, code ORDER BY score, length(alias), alias) = 1)
+SELECT name, row_number() OVER (PARTITION BY name ORDER BY score, length(alias), alias, code) AS rank, code, alias, score FROM b QUALIFY rank <= 3""")
 def lang_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read(spark, sf_dir, "nation").select(F.initcap("n_name").alias("name"))
     typed = spark.createDataFrame([("Turkce",), ("Germn",), ("span",), ("Frnch",)], "name string")
@@ -710,9 +719,12 @@ def gloss_pool(c: Corpus) -> DataFrame:
     return lexicon.tag_pool(uses, spark.read.parquet(f"{folder}/nation.parquet").select(F.col("n_name").alias("value")))
 
 
-@on_corpus(f"WITH {O.ANN} SELECT left(lower(form), 4) AS key, type, count(*) AS entries, count(DISTINCT lower(left(form, 4))) AS old_keys, 'homograph' AS kind FROM entry GROUP BY 1, 2 HAVING count(*) >= 2")
+@on_corpus(f"WITH {O.ANN}, v AS (SELECT type, replace(replace(left(form, 4), 'İ', 'I'), 'ı', CASE WHEN length(form) % 2 = 0 THEN 'I' ELSE 'ı' END) AS form FROM (SELECT type, replace(form, 'i', 'ı') AS form FROM entry)), k AS (SELECT type, lower(form) AS plain, lower(replace(form, 'I', 'ı')) AS key FROM v) SELECT key, type, count(*) AS entries, count(DISTINCT plain) AS old_keys, CASE WHEN count(DISTINCT plain) > 1 THEN 'fork' ELSE 'homograph' END AS kind FROM k GROUP BY 1, 2 HAVING count(*) >= 2")
 def duplicate_keys(c: Corpus) -> DataFrame:
-    return lexicon.duplicate_keys(lexicon_of(c).withColumn("form", F.left("form", F.lit(4))), c.fold)
+    """Entries of Turkish letters, where the plain lower case of a capital I is another letter's."""
+    entries = lexicon_of(c).withColumn("cut", F.replace(F.left(F.replace("form", F.lit("i"), F.lit("ı")), F.lit(4)), F.lit("İ"), F.lit("I")))
+    spelt = F.replace("cut", F.lit("ı"), F.when(F.char_length("form") % 2 == 0, "I").otherwise("ı"))
+    return lexicon.duplicate_keys(entries.withColumn("form", spelt).drop("cut"), keys.fold_context("tr", "Latn"))
 
 
 @on_corpus(f"""WITH {O.ANN}, n AS (SELECT id, lower(form) AS key, file_pos, CASE WHEN length(form) % 5 = 0 THEN length(form)::INT END AS h FROM entry),
