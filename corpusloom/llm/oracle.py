@@ -69,10 +69,47 @@ g AS (SELECT id FROM t JOIN s USING (w) LEFT JOIN v ON v.b = s.k WHERE s.first <
 k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g.id IS NOT NULL) AS n_removed, string_agg(line, chr(10) ORDER BY place) FILTER (g.id IS NULL) AS rest FROM l LEFT JOIN g ON l.id = g.id GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)"""
 
+# DuckDB has no CRC-32: its table of 256 entries follows from the polynomial, and a string's bytes are pairs of hexadecimal digits.
+CRC_TABLE = "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY i) AS crc FROM range(256) AS x(i)"
+
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of a string's UTF-8 bytes; `crc` is the table."""
+    of_bytes = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {of_bytes}), lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1])), 4294967295)"
+
+
+# Words at distance one differ in one place or by one letter, so their fronts up to it and their rests behind it agree.
+SPELLINGS = f"""WITH RECURSIVE z AS MATERIALIZED ({CRC_TABLE}),
+r AS MATERIALIZED (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents WHERE text IS NOT NULL),
+q AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS MATERIALIZED (SELECT run, n, {crc32("(doc_id || ':' || run)")} AS h FROM q, z),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT a.word AS word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT d.word, v.word FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.rest = v.word),
+k AS (SELECT p.word, count(*) AS n_near, arg_min(near, (-v.n, near)) AS near, max(v.n) AS most FROM p JOIN v ON v.word = p.near GROUP BY p.word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * v.n THEN near END AS form, CASE WHEN most >= 10 * v.n THEN most END AS form_n FROM v LEFT JOIN k USING (word)),
+w AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION SELECT w.word, f.form FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL),
+e AS (SELECT w.word, w.root FROM w JOIN f ON f.word = w.root WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN e USING (word)"""
+
+RESAMPLED = f"""WITH z AS MATERIALIZED ({CRC_TABLE}), d AS MATERIALIZED (SELECT doc_id, {words(ALNUM, LOWER)} AS w FROM documents),
+x AS MATERIALIZED (SELECT doc_id, unnest(w) AS word FROM d), y AS (SELECT unnest({words(ALNUM, LOWER)}) AS word FROM benchmark),
+b AS MATERIALIZED (SELECT word, {crc32("word")} % 10000 AS bucket FROM (SELECT word FROM x UNION SELECT word FROM y), z),
+s AS (SELECT bucket, count(*) AS s FROM x JOIN b USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM y JOIN b USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM x)::DOUBLE AS s_all, (SELECT count(*) FROM y)::DOUBLE AS t_all),
+g AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket), n),
+m AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM x JOIN b USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+c AS MATERIALIZED (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM c LEFT JOIN o USING (doc_id)"""
+
 ORACLES = {
     "op2_minhash_near_dedup": NEAR,
     "op3_substring_dedup": PASSAGES,
     "op5_decontamination": CONTAMINATION,
     "op7_suffix_array_dedup": BYTES,
     "op10_line_dedup": LINES,
+    "op11_spelling_variants": SPELLINGS,
+    "op12_importance_resampling": RESAMPLED,
 }

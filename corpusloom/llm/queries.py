@@ -82,4 +82,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), Lines(least=1))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest_neighbours, op2_minhash_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_decontamination, op6_token_counts, op7_suffix_array_dedup, op8_sharding, op9_quality_classifier, op10_line_dedup)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import group_spellings
+
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest_neighbours, op2_minhash_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_decontamination, op6_token_counts, op7_suffix_array_dedup, op8_sharding, op9_quality_classifier, op10_line_dedup, op11_spelling_variants, op12_importance_resampling)}
