@@ -94,4 +94,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest_neighbours, op2_minhash_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_decontamination, op6_token_counts, op7_suffix_array_dedup, op8_sharding, op9_quality_classifier, op10_line_dedup, op11_spelling_variants, op12_importance_resampling)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest_neighbours, op2_minhash_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_decontamination, op6_token_counts, op7_suffix_array_dedup, op8_sharding, op9_quality_classifier, op10_line_dedup, op11_spelling_variants, op12_importance_resampling, op13_toxicity)}
