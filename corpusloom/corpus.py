@@ -1,27 +1,37 @@
 """A corpus as flat tables, keyed by position.
 
-`tokens` is the table that queries read: one row for each token, in document, paragraph and sentence order, with the
-form's key and its form without punctuation worked out once. Ids are opaque; only positions sort.
+A document is sections between headings, a section is paragraphs between blank lines, a paragraph is sentences, a
+sentence is tokens. All of that nests within the document's row, so segmentation shuffles nothing: a token's places among
+all tokens of its paragraph and among those that aren't punctuation follow from the arrays.
+
+`tokens` is the table that queries read: one row for each token, with the form's key and its form without punctuation
+worked out once. `para_pos` runs over the whole document, `sect_para` starts anew in each section and is what ids
+show. Ids are opaque; only positions sort. A document is one row's work, so it should fit a task's memory some ten times.
 """
 
 from __future__ import annotations
 
 import atexit
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.ids import unit_id
-from .functions.keys import Fold, dict_key
+from .functions.keys import Fold, detect_script, dict_key, fold_context
+from .operators.ingest import sections_in_row
 from .session import remove, shared_folder, ship
 
 SENTENCE = ["doc_id", "para_pos", "sent_pos"]
 PARAGRAPH = ["doc_id", "para_pos"]
+#: What every unit carries of its document and section.
+UNIT = ["doc_id", "lang", "source", "sect_pos", "sect_para", "para_pos"]
 #: Bytes of a usual row group.
 ROW_GROUP = 128 << 20
+#: Documents, and characters of each, that tell a corpus's language and script.
+SAMPLE_DOCS, SAMPLE_CHARS = 10, 400
 _OPEN: dict[tuple[str, str], Corpus] = {}
 
 
@@ -31,33 +41,58 @@ class Corpus:
     sentences: DataFrame
     tokens: DataFrame
     fold: Fold = field(default_factory=Fold)
+    paragraphs: DataFrame | None = None
+    folder: str | None = None
 
 
 def paragraphs(documents: DataFrame, text: Column | None = None) -> DataFrame:
-    """A paragraph for each line of the normalised text that isn't blank; para_pos is the line's place."""
-    lines = F.split(T.normalize_text(text if text is not None else F.col("text")), r"\n")
-    return documents.select("doc_id", "lang", "source", F.posexplode(lines).alias("para_pos", "para")).withColumn("para", T.strip(F.col("para"))).where("para <> ''")
+    """Paragraphs of the normalised text: their section and its title, and their places in it and in the document."""
+    normal = documents.select("doc_id", "lang", "source", T.normalize_text(text if text is not None else F.col("text")).alias("text")).where("text is not null")
+    one = lambda s, i, p, j: F.struct(i.alias("sect_pos"), s["title"].alias("title"), j.alias("sect_para"), p.alias("para"))
+    nested = F.flatten(F.transform("sections", lambda s, i: F.transform(T.split_paragraphs(s["body"]), lambda p, j: one(s, i, p, j))))
+    rows = sections_in_row(normal).select("doc_id", "lang", "source", F.posexplode(nested).alias("para_pos", "p"))
+    return rows.select("doc_id", "lang", "source", "p.sect_pos", "p.title", "p.sect_para", "para_pos", "p.para")
 
 
-def sentences(paras: DataFrame) -> DataFrame:
-    return paras.select("doc_id", "lang", "source", "para_pos", F.posexplode(T.split_sentences(F.col("para"))).alias("sent_pos", "sentence"))
+def segmented(paras: DataFrame) -> DataFrame:
+    """Paragraphs with an array of their sentences, from which sentences and tokens follow."""
+    return paras.select(*UNIT, "title", T.split_sentences(F.col("para")).alias("sents"))
 
 
-def tokens(sents: DataFrame, fold: Fold = Fold()) -> DataFrame:
-    """Tokens with their place in the sentence, keys, and whether they are punctuation."""
-    rows = sents.select("doc_id", "lang", "source", "para_pos", "sent_pos", F.posexplode(T.tokens(F.col("sentence"))).alias("word_pos", "form"))
-    return rows.withColumns({"form_key": dict_key(F.col("form"), fold), "norm": T.norm_token(F.col("form")), "is_punct": T.is_punct(F.col("form"))})
+def sentences(paras: DataFrame) -> DataFrame:
+    rows = paras if "sents" in paras.columns else segmented(paras)
+    return rows.select(*UNIT, F.posexplode("sents").alias("sent_pos", "sentence"))
+
+
+def tokens(paras: DataFrame, fold: Fold = Fold()) -> DataFrame:
+    """Tokens of paragraphs: their places, keys, and whether they are punctuation.
+
+    word_pos: in the sentence. g: among all tokens of the paragraph. c: among those that aren't punctuation; is_first and
+    is_last tell whether one of these is at its sentence's edge.
+    """
+    rows = paras if "sents" in paras.columns else segmented(paras)
+    word = lambda w, i, j: F.struct(i.alias("sent_pos"), j.alias("word_pos"), w.alias("form"), T.is_punct(w).alias("is_punct"))
+    nested = F.flatten(F.transform("sents", lambda s, i: F.transform(T.tokenize(s), lambda w, j: word(w, i, j))))
+    rows = rows.select(*UNIT, nested.alias("words"))
+    placed = F.transform("words", lambda t, g: t.withField("g", g))
+    rows = rows.select(*UNIT, placed.alias("words"))
+    rows = rows.select(*UNIT, F.filter("words", lambda t: ~t["is_punct"]).alias("content"), F.filter("words", lambda t: t["is_punct"]).alias("marks"))
+    other = lambda t, i: F.coalesce(F.get("content", i)["sent_pos"] != t["sent_pos"], F.lit(True))
+    inside = F.transform("content", lambda t, c: F.struct(t["sent_pos"], t["word_pos"], t["form"], t["is_punct"], t["g"], c.alias("c"), other(t, c - 1).alias("is_first"), other(t, c + 1).alias("is_last")))
+    outside = F.transform("marks", lambda t: F.struct(t["sent_pos"], t["word_pos"], t["form"], t["is_punct"], t["g"], F.lit(None).cast("int").alias("c"), F.lit(False).alias("is_first"), F.lit(False).alias("is_last")))
+    flat = rows.select(*UNIT, F.explode(F.concat(inside, outside)).alias("t")).select(*UNIT, "t.*")
+    return flat.withColumns({"form_key": dict_key(F.col("form"), fold), "norm": T.norm_token(F.col("form"))})
 
 
-def paragraph_places(rows: DataFrame) -> DataFrame:
-    """g: place among all tokens of the paragraph. c: place among those that aren't punctuation."""
-    order = Window.partitionBy(*PARAGRAPH).orderBy("sent_pos", "word_pos")
-    running = F.sum(F.when(F.col("is_punct"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumns({"g": (F.row_number().over(order) - 1).cast("int"), "c": F.when(~F.col("is_punct"), (running - 1).cast("int"))})
+def word_id(sent: bool = False) -> Column:
+    return unit_id(F.col("doc_id"), F.col("sect_pos"), F.col("sect_para"), F.col("sent_pos"), None if sent else F.col("word_pos"))
 
 
-def word_id(sent: bool = False) -> Column:
-    return unit_id(F.col("doc_id"), F.lit(0), F.col("para_pos"), F.col("sent_pos"), None if sent else F.col("word_pos"))
+def derive_fold(documents: DataFrame) -> Fold:
+    """How a corpus compares forms: its language, if the first documents agree on one, and the script of their texts."""
+    first = documents.where(F.trim(F.coalesce("text", F.lit(""))) != "").orderBy("doc_id").select("lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("head")).limit(SAMPLE_DOCS)
+    found = first.agg(F.when(F.count_distinct("lang") == 1, F.min("lang")).alias("lang"), detect_script(F.array_join(F.collect_list("head"), " ")).alias("script")).first()
+    return fold_context(found.lang, found.script)
 
 
 def spread(documents: DataFrame) -> DataFrame:
@@ -67,18 +102,22 @@ def spread(documents: DataFrame) -> DataFrame:
     return documents.repartition(cores) if size < cores * ROW_GROUP else documents
 
 
-def open_corpus(spark: SparkSession, sf_dir: str, fold: Fold = Fold()) -> Corpus:
+def build(documents: DataFrame, path: str, fold: Fold | None = None) -> Corpus:
+    """Segment documents into tables below path: paragraphs with their sentences, and tokens."""
+    spark = documents.sparkSession
+    fold = fold or derive_fold(documents)
+    segmented(paragraphs(spread(documents))).write.parquet(f"{path}/paragraphs")
+    paras = spark.read.parquet(f"{path}/paragraphs")
+    tokens(paras, fold).write.parquet(f"{path}/tokens")
+    return Corpus(documents, sentences(paras), spark.read.parquet(f"{path}/tokens"), fold, paras)
+
+
+def open_corpus(spark: SparkSession, sf_dir: str, fold: Fold | None = None) -> Corpus:
     """The corpus in sf_dir, segmented once for a session into tables in the shared folder."""
     ship(spark)
     key = (spark.sparkContext.applicationId, f"{sf_dir} {fold}")
-    if key in _OPEN:
-        return _OPEN[key]
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = f"{shared_folder(spark)}/corpusloom/corpus-{uuid.uuid4().hex[:12]}"
-    atexit.register(remove, spark, path)
-    sentences(paragraphs(spread(documents))).write.parquet(f"{path}/sentences")
-    sents = spark.read.parquet(f"{path}/sentences")
-    # Sentences are brought together by paragraph before they become tokens, which take many times their space: no token is shuffled.
-    paragraph_places(tokens(sents.repartition(*PARAGRAPH), fold)).write.parquet(f"{path}/tokens")
-    _OPEN[key] = Corpus(documents, sents, spark.read.parquet(f"{path}/tokens"), fold)
+    if key not in _OPEN:
+        path = f"{shared_folder(spark)}/corpusloom/corpus-{uuid.uuid4().hex[:12]}"
+        atexit.register(remove, spark, path)
+        _OPEN[key] = replace(build(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, fold), folder=sf_dir)
     return _OPEN[key]

@@ -80,6 +80,25 @@ def split_paragraphs(c: Column) -> Column:
     return F.filter(joined, lambda p: p != "")
 
 
+def split_sections(lines: Column, heads: Column) -> Column:
+    """Sections (title, body) between the headings among a text's lines; heads are their places, counted from 0.
+
+    A heading ends the section before; one without a body is dropped, though its title goes when the next heading comes.
+    Both arguments should be columns of a frame: each is read for every section.
+    """
+    edges = F.concat(F.array(F.lit(-1)), heads)
+    stops = F.concat(heads, F.array(F.size(lines)))
+    cut = F.arrays_zip(edges.alias("a"), stops.alias("b"))
+    body = lambda e: strip(F.array_join(F.slice(lines, e["a"] + 2, e["b"] - e["a"] - 1), "\n"))
+    return F.filter(F.transform(cut, lambda e: F.struct(F.when(e["a"] >= 0, strip(F.get(lines, e["a"]))).alias("title"), body(e).alias("body"))), lambda s: s["body"] != "")
+
+
+def heading_places(lines: Column) -> Column:
+    """Places of a text's headings among its lines."""
+    marked = F.transform(lines, lambda x, i: F.when(is_heading(strip(x)), i).otherwise(F.lit(-1)))
+    return F.filter(marked, lambda i: i >= 0)
+
+
 def split_sentences(c: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit(SENTENCE), F.lit(0)), strip), lambda s: s != "")
 

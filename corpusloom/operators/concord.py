@@ -42,18 +42,22 @@ def paragraph_arrays(tokens: DataFrame, extra: list[str] = []) -> DataFrame:  #
 def kwic(tokens: DataFrame, nodes: DataFrame, context: int = 12, full: bool = False, cap: int | None = None) -> DataFrame:
     """A line for each run: left, node and right tokens, and whether the window crosses a sentence's edge.
 
-    The paragraphs without a hit are dropped before any token is gathered.
+    Each run is spread over the places of its window and joined with the tokens at these places, so a line costs its own
+    width, whatever the paragraph's length. A full line is its whole paragraph by definition: there the paragraphs with a
+    hit become arrays.
     """
     found = runs(nodes)
-    streams = paragraph_arrays(tokens.join(found.select(*PARAGRAPH).distinct(), PARAGRAPH, "left_semi"))
-    lines = found.join(streams, PARAGRAPH)
-    start, end, stream = F.col("g_start"), F.col("g_end"), F.col("stream")
-    first = F.lit(0) if full else F.greatest(start - context, F.lit(0))
-    right = F.slice(stream, end + 2, F.size(stream)) if full else F.slice(stream, end + 2, F.lit(context))
-    lines = lines.withColumns({"left": F.slice(stream, first + 1, start - first), "node": F.slice(stream, start + 1, end - start + 1), "right": right}).drop("stream")
-    window = F.concat("left", "node", "right")
-    lines = lines.withColumn("crosses", F.size(F.array_distinct(F.transform(window, lambda t: t["sent_pos"]))) > 1)
-    return lines if cap is None else lines.orderBy(*LINE).limit(cap)
+    found = found if cap is None else found.orderBy(*LINE).limit(cap)
+    start, end = F.col("g_start"), F.col("g_end")
+    if full:
+        window = found.join(paragraph_arrays(tokens.join(found.select(*PARAGRAPH).distinct(), PARAGRAPH, "left_semi")), PARAGRAPH).withColumnRenamed("stream", "window")
+    else:
+        places = found.withColumn("g", F.explode(F.sequence(F.greatest(start - context, F.lit(0)), end + context)))
+        seen = places.join(tokens.select(*PARAGRAPH, "g", "form", "norm", "sent_pos"), [*PARAGRAPH, "g"])
+        window = seen.groupBy(*LINE, "g_end").agg(F.array_sort(F.collect_list(F.struct("g", "form", "norm", "sent_pos"))).alias("window"))
+    part = lambda test: F.filter("window", test)
+    lines = window.withColumns({"left": part(lambda t: t["g"] < start), "node": part(lambda t: t["g"].between(start, end)), "right": part(lambda t: t["g"] > end)})
+    return lines.withColumn("crosses", F.size(F.array_distinct(F.transform("window", lambda t: t["sent_pos"]))) > 1).drop("window")
 
 
 def surface(column: str, part: str = "form") -> Column:
@@ -78,9 +82,20 @@ def ranked(types: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.limit(k)
 
 
+def titles(paragraphs: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(doc_id, para_pos, document, section): titles for lines. Without one, a document or section goes by its number."""
+    rows = paragraphs.select("doc_id", "para_pos", "sect_pos", "title")
+    own = F.lit(None).cast("string")
+    if documents is not None:
+        rows, own = rows.join(documents.select("doc_id", F.col("title").alias("_own")), "doc_id", "left"), F.col("_own")
+    document = F.coalesce(F.nullif(own, F.lit("")), F.format_string("Document %d", F.col("doc_id") + 1))
+    section = F.coalesce(F.nullif("title", F.lit("")), F.format_string("Section %d", F.col("sect_pos") + 1))
+    return rows.select("doc_id", "para_pos", document.alias("document"), section.alias("section"))
+
+
 def distribution(lines: DataFrame, titles: DataFrame, by: list[str]) -> DataFrame:
-    """Lines for each title; documents of one title merge. Ties keep the order of first lines."""
-    rows = lines.select(*LINE).join(titles, "doc_id")
+    """Lines (or runs) for each title; documents of one title merge. titles are of documents or of paragraphs. Ties keep the order of first lines."""
+    rows = lines.select(*LINE).join(titles, [c for c in PARAGRAPH if c in titles.columns])
     return rows.groupBy(*by).agg(F.count("*").alias("count"), F.min(F.struct(*LINE)).alias("first")).drop("first")
 
 

@@ -13,26 +13,23 @@ from ..functions.ids import unit_id
 Processor = Callable[[DataFrame], DataFrame]
 
 
-def detect_sections(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Sections of each document: a heading ends the one before; one without a body is dropped, though its title goes when the next heading comes.
+def sections_in_row(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents with an array of their sections (title, body) in place of the text; a text without any body is one section as it is.
 
-    Works within the row: lines become an array, headings cut it, so nothing is shuffled.
+    In time proportional to the text: headings are found among the lines and sections are the slices between them.
     """
-    lines = F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), "\n")
-    marked = F.transform(lines, lambda x: F.struct(T.is_heading(T.strip(x)).alias("h"), x.alias("x")))
-    start = F.struct(F.array().cast("array<struct<title:string,body:array<string>>>").alias("done"), F.lit(None).cast("string").alias("title"), F.array().cast("array<string>").alias("body"))
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(*others, F.col(text).alias("_text"), F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), "\n").alias("_lines"))
+    rows = rows.withColumn("_heads", T.heading_places(F.col("_lines")))
+    rows = rows.withColumn("_named", T.split_sections(F.col("_lines"), F.col("_heads")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.col("_text").alias("body")))
+    return rows.select(*others, F.when(F.size("_named") > 0, F.col("_named")).otherwise(whole).alias("sections"))
 
-    def step(acc: Column, line: Column) -> Column:
-        closed = F.array_append(acc["done"], F.struct(acc["title"].alias("title"), acc["body"].alias("body")))
-        return F.when(line["h"], F.struct(closed.alias("done"), T.strip(line["x"]).alias("title"), F.array().cast("array<string>").alias("body"))).otherwise(
-            F.struct(acc["done"].alias("done"), acc["title"].alias("title"), F.array_append(acc["body"], line["x"]).alias("body"))
-        )
 
-    every = F.aggregate(marked, start, step, lambda acc: F.array_append(acc["done"], F.struct(acc["title"].alias("title"), acc["body"].alias("body"))))
-    named = F.filter(F.transform(every, lambda s: F.struct(s["title"].alias("title"), T.strip(F.array_join(s["body"], "\n")).alias("body"))), lambda s: s["body"] != "")
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.col(text).alias("body")))
-    rows = docs.select("doc_id", F.posexplode(F.when(F.size(named) > 0, named).otherwise(whole)).alias("sect_pos", "s"))
-    return rows.select("doc_id", "sect_pos", "s.title", "s.body")
+def detect_sections(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each section of each document; nothing is shuffled."""
+    rows = sections_in_row(docs.select("doc_id", text), text)
+    return rows.select("doc_id", F.posexplode("sections").alias("sect_pos", "s")).select("doc_id", "sect_pos", "s.title", "s.body")
 
 
 def detect_sections_windowed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -43,7 +40,9 @@ def detect_sections_windowed(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("pos", "line"))))
     body = T.strip(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"))
     out = lines.groupBy("doc_id", "island").agg(body.alias("body"), F.max(F.when(F.col("h"), T.strip(F.col("line")))).alias("title")).where("body <> ''")
-    return out.withColumn("sect_pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("island")) - 1).select("doc_id", "sect_pos", "title", "body")
+    out = out.withColumn("sect_pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("island")) - 1).select("doc_id", "sect_pos", "title", "body")
+    rest = docs.where(F.col(text).isNotNull()).join(out.select("doc_id").distinct(), "doc_id", "left_anti")  # headings alone
+    return out.unionByName(rest.select("doc_id", F.lit(0).alias("sect_pos"), F.lit(None).cast("string").alias("title"), F.col(text).alias("body")))
 
 
 def segment(sections: DataFrame) -> DataFrame:

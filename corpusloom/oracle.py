@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .functions.text import CLOSERS, JOINERS, TERMINALS, WORD
+from .functions.text import CLOSERS, HEADING, JOINERS, TERMINALS, WORD
 
 
 def lit(text: str) -> str:
@@ -34,10 +34,35 @@ def norm(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({x}, '[\p{{P}}\p{{S}}]', '', 'g'), '\s+', ' ', 'g'))"
 
 
-PARA = f"""para AS (SELECT * FROM (SELECT doc_id, lang, source, para_pos, {strip('line')} AS para FROM
-  (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_pos FROM (SELECT doc_id, lang, source, {normal('text')} AS text FROM documents))) WHERE para <> '')"""
-SENT = f"""{PARA}, sent AS (SELECT doc_id, lang, source, para_pos, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_pos FROM (SELECT *, {sentences_of('para')} AS s FROM para))"""
-TOK = f"""{SENT}, raw AS (SELECT doc_id, lang, source, para_pos, sent_pos, unnest(w) AS form, generate_subscripts(w, 1) - 1 AS word_pos FROM (SELECT *, regexp_extract_all(sentence, {lit(TOKEN)}) AS w FROM sent)),
+def heading(x: str) -> str:
+    capitals = f"(upper({x}) = {x} AND lower({x}) <> {x} AND length({x}) BETWEEN 3 AND 60 AND NOT ends_with({x}, '.'))"
+    return f"({x} <> '' AND length({x}) <= 80 AND (regexp_matches({x}, {lit(HEADING.replace('(?iu)', '(?i)'))}) OR {capitals}))"
+
+
+def sections_of(source: str) -> str:
+    """Common table expressions that end in `sect`: sections of (doc_id, text) rows; a text without any body is one section as it is."""
+    return f"""sect_line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM {source}),
+sect_mark AS (SELECT *, {heading('s')} AS hd FROM (SELECT *, {strip('line')} AS s FROM sect_line)),
+sect_island AS (SELECT *, sum(hd::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM sect_mark),
+sect_body AS (SELECT doc_id, island, max(CASE WHEN hd THEN s END) AS title, {strip("coalesce(string_agg(CASE WHEN NOT hd THEN line END, chr(10) ORDER BY pos), '')")} AS body FROM sect_island GROUP BY doc_id, island),
+sect_named AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS sect_pos, title, body FROM sect_body WHERE body <> ''),
+sect AS MATERIALIZED (SELECT * FROM sect_named UNION ALL SELECT doc_id, 0, NULL, text FROM {source} WHERE doc_id NOT IN (SELECT doc_id FROM sect_named))"""
+
+
+def paragraphs_of(x: str) -> str:
+    return rf"list_filter(list_transform(regexp_split_to_array({x}, '\n[ \t]*\n+'), lambda p: array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda y: {strip('y')}), lambda y: y <> ''), ' ')), lambda p: p <> '')"
+
+
+def tokens_of(x: str) -> str:
+    """Words and marks; texts without spaces between words give none."""
+    spaced = rf"regexp_matches({x}, '[^\s\p{{Z}}][\s\p{{Z}}]+[^\s\p{{Z}}]')"
+    return f"CASE WHEN {spaced} OR (regexp_matches({x}, {lit('^' + WORD)}) AND NOT regexp_matches({x}, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Thai}}\\p{{Khmer}}]')) THEN regexp_extract_all({x}, {lit(TOKEN)}) ELSE [] END"
+
+
+PARA = f"""normal_doc AS (SELECT doc_id, lang, source, {normal('text')} AS text FROM documents), {sections_of('normal_doc')},
+para AS (SELECT p.*, lang, source, row_number() OVER (PARTITION BY doc_id ORDER BY sect_pos, sect_para) - 1 AS para_pos FROM (SELECT doc_id, sect_pos, title, unnest(p) AS para, generate_subscripts(p, 1) - 1 AS sect_para FROM (SELECT *, {paragraphs_of('body')} AS p FROM sect)) p JOIN normal_doc USING (doc_id))"""
+SENT = f"""{PARA}, sent AS (SELECT doc_id, lang, source, sect_pos, sect_para, para_pos, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_pos FROM (SELECT *, {sentences_of('para')} AS s FROM para))"""
+TOK = f"""{SENT}, raw AS (SELECT doc_id, lang, source, sect_pos, sect_para, para_pos, sent_pos, unnest(w) AS form, generate_subscripts(w, 1) - 1 AS word_pos FROM (SELECT *, {tokens_of('sentence')} AS w FROM sent)),
 keyed AS (SELECT *, lower(form) AS form_key, {norm('form')} AS norm, regexp_full_match(form, '[^\\p{{L}}\\p{{N}}]+') AS is_punct FROM raw),
 tok AS MATERIALIZED (SELECT *, row_number() OVER p - 1 AS g, CASE WHEN NOT is_punct THEN sum(CASE WHEN is_punct THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, para_pos ORDER BY sent_pos, word_pos ROWS UNBOUNDED PRECEDING) - 1 END AS c
   FROM keyed WINDOW p AS (PARTITION BY doc_id, para_pos ORDER BY sent_pos, word_pos))"""

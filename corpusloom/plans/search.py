@@ -104,14 +104,39 @@ def search_cross_split(sentences: DataFrame, candidates: Column, left: Token | N
     return capped(_first_pair(_neighbours(sentences, candidates), lambda a, b: (left.matches(a) if left else yes) & (right.matches(b) if right else yes)), cap)
 
 
+def _by_place(tokens: DataFrame, tests: list[Column], strict: bool, breaks: frozenset[int]) -> DataFrame:
+    """Matches as groups: a word that matches slot i at place c votes for a match that starts at c - i; one with all votes is a hit."""
+    n = len(tests)
+    vote = lambda i: F.struct(F.lit(i).alias("i"), "sent_pos", "g", "is_first", "is_last")
+    votes = F.filter(F.array(*(F.when(F.coalesce(t, F.lit(False)), vote(i)) for i, t in enumerate(tests))), lambda v: v.isNotNull())
+    rows = tokens.where(~F.col("is_punct")).select(*PARAGRAPH, "c", F.explode(votes).alias("v"))
+    found = rows.groupBy(*PARAGRAPH, (F.col("c") - F.col("v.i")).alias("start")).agg(F.array_sort(F.collect_list("v")).alias("w")).where(F.size("w") == n)
+    at = lambda i, part: F.get("w", F.lit(i))[part]
+    ok = F.lit(True)
+    if 0 in breaks:
+        ok = ok & at(0, "is_first")
+    for i in range(1, n):
+        same = at(i, "sent_pos") == at(i - 1, "sent_pos")
+        if i in breaks:
+            ok = ok & ~same & at(i, "is_first")
+        elif strict or breaks:
+            ok = ok & same
+    if n in breaks:
+        ok = ok & at(n - 1, "is_last")
+    return found.where(ok).select(*PARAGRAPH, at(0, "sent_pos").alias("sent_pos"), at(n - 1, "sent_pos").alias("last_sent"), at(0, "g").alias("g"), F.array_distinct(F.transform("w", lambda v: v["g"])).alias("gs"))
+
+
 def search_sequence(tokens: DataFrame, slots: list[Token], field: str = "text", level: str = "word", strict: bool = True, breaks: frozenset[int] = frozenset(), label: str | None = None, cap: int | None = None) -> DataFrame:
     """Consecutive matches in a paragraph without its punctuation; overlaps all count.
 
     breaks: places where a sentence ends and the next word is a sentence's first; 0 and len(slots) anchor to a
-    sentence's edges. With any break, or strict, other neighbours are in one sentence. One shuffle: all slots are
+    sentence's edges. With any break, or strict, other neighbours are in one sentence. One shuffle. Words have their
+    place in the paragraph from ingest, so that only words that match some slot are moved; for morphemes all slots are
     tested in the row, and their neighbours' tests are read over one window.
     """
     n = len(slots)
+    if level == "word" and {"c", "is_first", "is_last"} <= set(tokens.columns):
+        return capped(_by_place(tokens, [_value(tokens, field, label, q) for q in slots], strict, breaks), cap)
     rows = tokens.where(~F.col("is_punct"))
     in_sentence = Window.partitionBy(*SENTENCE)
     if level == "morpheme":

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .corpus import Corpus, open_corpus, paragraphs, sentences, tokens
+from .corpus import Corpus, open_corpus, paragraphs, tokens, word_id
 from .functions import ids, keys, language, morph
 from .functions import text as T
 from .operators import concord, deps, edits, enrich, ingest, lexicon, prov, quality
 from .plans.pattern import compile_glob
 from .plans.search import Search, matched_tokens, search, search_sequence, sequence_plan
+from .session import remove, shared_folder
 from .sources import files, records, reference
 from .streaming import journal
 
@@ -78,6 +81,13 @@ def lemmas_of(c: Corpus) -> DataFrame:
     return rows.select(F.concat(F.lit("l_"), "form").alias("id"), "form")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder for a query's own tables in the shared folder; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(remove, spark, path)
+    return path
+
+
 def words_text(words: str = "words") -> Column:
     return F.array_join(F.transform(words, lambda x: x.cast("string")), ",")
 
@@ -90,14 +100,7 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normal"))
 
 
-_SECTIONS = (
-    rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-h AS (SELECT *, {O.strip('line')} AS s FROM l), m AS (SELECT *, s <> '' AND length(s) <= 80 AND (regexp_matches(s, {O.lit(T.HEADING.replace('(?iu)', '(?i)'))}) OR (upper(s) = s AND lower(s) <> s AND length(s) BETWEEN 3 AND 60 AND NOT ends_with(s, '.'))) AS hd FROM h),
-i AS (SELECT *, sum(hd::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM m),
-b AS (SELECT doc_id, island, max(CASE WHEN hd THEN s END) AS title, {O.strip("coalesce(string_agg(CASE WHEN NOT hd THEN line END, chr(10) ORDER BY pos), '')")} AS body FROM i GROUP BY doc_id, island),
-k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS sect_pos, title, body FROM b WHERE body <> '')
-SELECT * FROM k UNION ALL SELECT doc_id, 0, NULL, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k)"""
-)
+_SECTIONS = f"WITH {O.sections_of('documents')} SELECT doc_id, sect_pos, title, body FROM sect"
 
 
 @query(_SECTIONS)
@@ -105,7 +108,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.detect_sections(read(spark, sf_dir, "documents"))
 
 
-@query(_SECTIONS.replace("UNION ALL SELECT doc_id, 0, NULL, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k)", ""))
+@query(_SECTIONS)
 def sections_by_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.detect_sections_windowed(read(spark, sf_dir, "documents"))
 
@@ -135,14 +138,21 @@ def punct_gloss(c: Corpus) -> DataFrame:
     return c.tokens.where(T.punct_gloss(F.col("form")) == "PUNCT").groupBy("form").agg(F.count("*").alias("n"))
 
 
-@on_corpus(f"WITH {O.TOK} SELECT doc_id, para_pos, sent_pos, word_pos, format('doc_{{:03d}}.sec_001.p_{{:03d}}.s_{{:03d}}.w_{{:03d}}', doc_id + 1, para_pos + 1, sent_pos + 1, word_pos + 1) AS word_id FROM tok")
+@on_corpus(f"WITH {O.TOK} SELECT doc_id, para_pos, sent_pos, word_pos, format('doc_{{:03d}}.sec_{{:03d}}.p_{{:03d}}.s_{{:03d}}.w_{{:03d}}', doc_id + 1, sect_pos + 1, sect_para + 1, sent_pos + 1, word_pos + 1) AS word_id FROM tok")
 def assign_ids(c: Corpus) -> DataFrame:
-    return c.tokens.select("doc_id", "para_pos", "sent_pos", "word_pos", ids.unit_id(F.col("doc_id"), F.lit(0), F.col("para_pos"), F.col("sent_pos"), F.col("word_pos")).alias("word_id"))
+    return c.tokens.select("doc_id", "para_pos", "sent_pos", "word_pos", word_id().alias("word_id"))
 
 
-@on_corpus(f"WITH {O.TOK} SELECT doc_id, count(DISTINCT para_pos) AS paragraphs, count(DISTINCT (para_pos, sent_pos)) AS sentences, count(*) AS words FROM tok GROUP BY doc_id")
+@on_corpus(f"WITH {O.TOK} SELECT doc_id, count(DISTINCT sect_pos) AS sections, count(DISTINCT (sect_pos, para_pos)) AS paragraphs, count(DISTINCT (sect_pos, para_pos, sent_pos)) AS sentences, count(*) AS words FROM tok GROUP BY doc_id")
 def corpus_shape(c: Corpus) -> DataFrame:
-    return ingest.shape(c.tokens.withColumn("sect_pos", F.lit(0))).drop("sections")
+    return ingest.shape(c.tokens)
+
+
+@on_corpus(f"WITH {O.PARA} SELECT doc_id, sect_pos, title, count(*) AS paragraphs, sum(length(para))::BIGINT AS characters FROM para GROUP BY ALL")
+def corpus_sections(c: Corpus) -> DataFrame:
+    """Sections of the corpus with the size of their paragraphs, before these are cut into sentences."""
+    rows = paragraphs(c.documents)
+    return rows.groupBy("doc_id", "sect_pos", "title").agg(F.count("*").alias("paragraphs"), F.sum(F.char_length("para")).alias("characters"))
 
 
 @query("SELECT o_custkey AS custkey, max(o_orderkey) + 1 AS next_index FROM orders GROUP BY o_custkey")
@@ -279,7 +289,7 @@ def search_decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     for whole, parts in _LETTERS.items():
         text = F.replace(text, F.lit(whole), F.lit(parts))
     docs = read(spark, sf_dir, "documents").withColumn("text", F.concat(F.lit("\ufeff"), text))
-    rows = tokens(sentences(paragraphs(docs)))
+    rows = tokens(paragraphs(docs))
     return rows.where(F.col("form_key").rlike("[éèüöäñç]")).groupBy("form_key").agg(F.count("*").alias("n"))
 
 
@@ -564,6 +574,10 @@ def _the(c: Corpus, context: int = 3) -> DataFrame:
     return concord.kwic(c.tokens, concord.token_nodes(found), context)
 
 
+def _the_runs(c: Corpus) -> DataFrame:
+    return concord.runs(concord.token_nodes(matched_tokens(c.tokens, compile_glob("the"))))
+
+
 @on_corpus(f'WITH {O.TOK}, {O.kwic(_THE, 3)} SELECT doc_id, para_pos, hit, g_start, g_end, "left", node, "right", crosses FROM line')
 def kwic_context3(c: Corpus) -> DataFrame:
     return concord.flat(_the(c))
@@ -584,17 +598,17 @@ def freq_types(c: Corpus) -> DataFrame:
 
 @on_corpus(f"WITH {O.TOK}, {O.kwic(_THE, 0)} SELECT source, count(*) AS count FROM line JOIN documents USING (doc_id) GROUP BY source")
 def dist_source(c: Corpus) -> DataFrame:
-    return concord.distribution(_the(c, 0), c.documents.select("doc_id", "source"), ["source"])
+    return concord.distribution(_the_runs(c), c.documents.select("doc_id", "source"), ["source"])
 
 
-@on_corpus(f"WITH {O.TOK}, {O.kwic(_THE, 0)} SELECT source, lang, count(*) AS count FROM line JOIN documents USING (doc_id) GROUP BY source, lang")
+@on_corpus(f"WITH {O.TOK}, {O.runs(_THE)} SELECT 'Document ' || (doc_id + 1) AS document, coalesce(title, 'Section ' || (sect_pos + 1)) AS section, count(*) AS count FROM runs JOIN para USING (doc_id, para_pos) GROUP BY ALL")
 def dist_section(c: Corpus) -> DataFrame:
-    return concord.distribution(_the(c, 0), c.documents.select("doc_id", "source", "lang"), ["source", "lang"])
+    return concord.distribution(_the_runs(c), concord.titles(c.paragraphs), ["document", "section"])
 
 
 @on_corpus(f"WITH {O.TOK}, {O.runs(_THE)} SELECT count(*) AS total FROM runs")
 def freq_total(c: Corpus) -> DataFrame:
-    return concord.freq_total(_the(c, 0))
+    return concord.freq_total(_the_runs(c))
 
 
 @on_corpus(f"WITH {O.TOK}, {O.runs(_THE)} SELECT count(*) AS nodes FROM runs")
@@ -653,8 +667,7 @@ def lemma_groups(c: Corpus) -> DataFrame:
 
 @on_corpus(f"WITH {O.ANN}, every AS (SELECT id, form FROM lemma UNION ALL SELECT 'l_' || lower(n_name), lower(n_name) FROM nation) SELECT id AS lemma_id, form FROM every WHERE id NOT IN (SELECT lemma_id FROM entry WHERE lemma_id IS NOT NULL) AND id NOT IN (SELECT lemma_id FROM ann WHERE lemma_id IS NOT NULL)")
 def orphan_lemmas(c: Corpus) -> DataFrame:
-    folder = c.documents.inputFiles()[0].rsplit("/documents.parquet", 1)[0]
-    names = c.tokens.sparkSession.read.parquet(f"{folder}/nation.parquet").select(F.concat(F.lit("l_"), F.lower("n_name")).alias("id"), F.lower("n_name").alias("form"))
+    names = read(c.tokens.sparkSession, c.folder, "nation").select(F.concat(F.lit("l_"), F.lower("n_name")).alias("id"), F.lower("n_name").alias("form"))
     return lexicon.orphan_lemmas(lemmas_of(c).unionByName(names), lexicon_of(c), annotated(c))
 
 
@@ -1004,12 +1017,32 @@ def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOG = "j AS (SELECT CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'del' ELSE 'put' END AS op, 'corpus' AS t, user_id::VARCHAR AS id, props AS rec, event_id AS line_no FROM events)"
 
 
-@query(f"WITH {_LOG}, b AS (SELECT * FROM j UNION ALL SELECT 'put', 'corpus', c_custkey::VARCHAR, c_name, -1 FROM customer), d AS (SELECT *, coalesce(max(line_no) FILTER (op = 'del') OVER (PARTITION BY id), -2) AS dead FROM b) SELECT 'corpus' AS t, id, coalesce(arg_max(rec, line_no) FILTER (op = 'put'), arg_min(rec, line_no) FILTER (op = 'add')) AS rec FROM d WHERE line_no > dead GROUP BY id")
+_REPLAYED = f"WITH {_LOG}, b AS (SELECT * FROM j UNION ALL SELECT 'put', 'corpus', c_custkey::VARCHAR, c_name, -1 FROM customer), d AS (SELECT *, coalesce(max(line_no) FILTER (op = 'del') OVER (PARTITION BY id), -2) AS dead FROM b) SELECT 'corpus' AS t, id, coalesce(arg_max(rec, line_no) FILTER (op = 'put'), arg_min(rec, line_no) FILTER (op = 'add')) AS rec FROM d WHERE line_no > dead GROUP BY id"
+
+
+@query(_REPLAYED)
 def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = read(spark, sf_dir, "customer").select(F.lit("corpus").alias("t"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("rec"))
     return journal.replay(base, _journal(spark, sf_dir))
 
 
+@query(_REPLAYED)
+def journal_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log in five micro-batches with the base as initial state, upserted into a table of the shared folder."""
+    base = read(spark, sf_dir, "customer").select(F.lit("corpus").alias("t"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("rec"))
+    log = _journal(spark, sf_dir)
+    folder = scratch_folder(spark, "journal")
+    first, last = log.agg(F.min("line_no"), F.max("line_no")).first()
+    cut = F.floor((F.col("line_no") - F.lit(first)) * 5 / F.lit((last or 0) - (first or 0) + 1))
+    for k in range(5):
+        log.where(cut == k).write.mode("append").parquet(f"{folder}/log")  # as a log grows: one file set after the other
+    states = journal.stream_state(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log"), base)
+    put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/states/batch={n}")
+    states.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    changed = spark.read.schema(journal.STATES).parquet(f"{folder}/states/batch=*").groupBy("t", "id").agg(F.max_by(F.struct("live", "rec"), "line_no").alias("last"))
+    return changed.where("last.live").select("t", "id", "last.rec").unionByName(base.join(changed, ["t", "id"], "left_anti").select("t", "id", "rec"))
+
+
 @query("SELECT CASE WHEN event_id % 10 <> 0 THEN event_type END AS op, CASE WHEN event_id % 10 <> 0 THEN 'corpus' END AS t, CASE WHEN event_id % 10 <> 0 THEN user_id::VARCHAR END AS id, CASE WHEN event_id % 10 <> 0 THEN event_id::INT END AS index, event_id AS line_no FROM events")
 def journal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a log, every tenth one torn."""

@@ -2,15 +2,29 @@
 
 Records: t (store), id, op, line_no, rec, and for add parent and index. Replay is idempotent: the last put or del of
 an id wins, an add of a live id is skipped, a del of a missing one does nothing.
+
+As a stream, each id has a state that outlives its micro-batch: whether it is live and what its last records with effect
+said. So any cut of a log into micro-batches ends as the batch replay does, also over a restart from the checkpoint. A
+record at or before the last line that an id has seen is a repeated delivery and changes nothing. The state lies in
+RocksDB on the executors and in the checkpoint; a micro-batch's records of one id are sorted in memory, so a source's
+maxFilesPerTrigger bounds a task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, Window
+import json
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..session import ship
 
 SCHEMA = "op string, t string, id string, parent string, index int, rec string, line_no long"
 #: A log is compacted beyond this many bytes, or this share of its base.
@@ -100,17 +114,161 @@ def compaction_due(journal_bytes: int, base_bytes: int, idle_seconds: float = 0,
     return journal_bytes > max(LEAST_BYTES, SHARE * base_bytes) or idle_seconds >= (600 if last_seconds > 2 else 120)
 
 
-def compact(base: DataFrame, records: DataFrame, write: Callable[[DataFrame], None], truncate: Callable[[], None]) -> None:
-    """The base is replaced before the log is cut, so that a failure between the two replays twice, which is harmless."""
-    write(replay(base, records))
-    truncate()
+MANIFEST, TABLE = "manifest.json", "t string, id string, rec string"
+
+
+@dataclass(frozen=True)
+class Base:
+    """A base on disk: its table, the fingerprint of its rows, and the last line of the log that it holds."""
+
+    folder: str
+    table: str
+    fingerprint: str
+    line_no: int
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(TABLE).parquet(f"{self.folder}/{self.table}")
+
+    def after(self, records: DataFrame) -> DataFrame:
+        """Records that the base doesn't hold yet."""
+        return records.where(F.col("line_no") > self.line_no)
+
+
+def _files(spark: SparkSession, folder: str) -> tuple[Any, Any]:
+    """Hadoop's file context for a folder, and the function that names a path in it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    return jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(folder).toUri(), spark.sparkContext._jsc.hadoopConfiguration()), lambda name: path(f"{folder}/{name}")
+
+
+def rows_fingerprint(rows: DataFrame) -> str:
+    """The same for the same rows in any order: their number and the sum of their hashes."""
+    total = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("t", "id", "rec").cast("decimal(38,0)")).alias("sum")).first()
+    return f"{total.n}:{total.sum or 0}"
+
+
+def open_base(spark: SparkSession, folder: str) -> Base | None:
+    """The base that the manifest names; None before the first."""
+    context, at = _files(spark, folder)
+    if not context.util().exists(at(MANIFEST)):
+        return None
+    (line,) = (r.value for r in spark.read.text(f"{folder}/{MANIFEST}").collect())
+    return Base(folder, **json.loads(line))
 
 
-def stream_replay(records: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "1 second"):
-    """A streaming query that upserts the last write of each id of a micro-batch. apply must be an upsert by (t, id)."""
-    return records.writeStream.foreachBatch(lambda batch, n: apply(last_writes(batch), n)).option("checkpointLocation", checkpoint).trigger(processingTime=interval)
+def commit_base(spark: SparkSession, folder: str, rows: DataFrame, line_no: int, before_swap: Callable[[], None] = lambda: None) -> Base:
+    """Write a table beside the current one, then swap the manifest by one rename: readers see the old base or the new one whole, with its place in the log."""
+    table = f"base-{uuid.uuid4().hex[:12]}"
+    rows.select("t", "id", "rec").write.parquet(f"{folder}/{table}")
+    new = Base(folder, table, rows_fingerprint(spark.read.schema(TABLE).parquet(f"{folder}/{table}")), line_no)
+    context, at = _files(spark, folder)
+    draft = f"_{table}.json"
+    spark.createDataFrame([(json.dumps({"table": table, "fingerprint": new.fingerprint, "line_no": line_no}),)], "value string").coalesce(1).write.text(f"{folder}/{draft}")
+    (part,) = (s.getPath() for s in context.util().listStatus(at(draft)) if s.getPath().getName().startswith("part-"))
+    before_swap()
+    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, at(MANIFEST), options)
+    context.delete(at(draft), True)
+    return new
 
 
-def stream_state(records: DataFrame) -> DataFrame:
-    """The last put of each id as streaming state, for sinks that take updates."""
-    return records.groupBy("t", "id").agg(F.max_by("op", "line_no").alias("op"), F.max_by("rec", "line_no").alias("rec"), F.max("line_no").alias("line_no"))
+def replayed(base: Base, records: DataFrame) -> DataFrame:
+    """The base after those records of the log that it doesn't hold; a log that was cut, or not yet cut, gives the same."""
+    return replay(base.rows(records.sparkSession), base.after(records))
+
+
+def compact(base: Base, records: DataFrame, truncate: Callable[[int], None] = lambda line_no: None, before_swap: Callable[[], None] = lambda: None) -> Base:
+    """A new base with the log in it. truncate may drop the log up to a line; a failure before or after the swap replays right."""
+    spark = records.sparkSession
+    if rows_fingerprint(base.rows(spark)) != base.fingerprint:
+        raise ValueError("the base isn't the one that its manifest names")
+    last = base.after(records).agg(F.max("line_no").alias("n")).first().n
+    if last is None:
+        return base
+    new = commit_base(spark, base.folder, replayed(base, records.where(F.col("line_no") <= last)), last, before_swap)
+    truncate(last)
+    if base.table != new.table:
+        context, at = _files(spark, base.folder)
+        context.delete(at(base.table), True)
+    return new
+
+
+STATE = "live boolean, rec string, parent string, index int, line_no long, seen long"
+STATES = "t string, id string, live boolean, rec string, parent string, index int, line_no long"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@dataclass(frozen=True)
+class State:
+    """An id after its records so far; line_no is of the last one with effect, seen of the last one at all."""
+
+    live: bool = False
+    rec: str | None = None
+    parent: str | None = None
+    index: int | None = None
+    line_no: int = -2
+    seen: int = -2
+
+
+def advance(state: State, records: Iterable[tuple[int, str, str | None, str | None, int | None]]) -> State:
+    """The state after (line_no, op, rec, parent, index) records in the order of their lines."""
+    for line_no, op, rec, parent, index in records:
+        if line_no <= state.seen:
+            continue
+        state = replace(state, seen=line_no)
+        if op == "add" and state.live:
+            continue
+        state = replace(state, live=op != "del", rec=rec, parent=state.parent if parent is None else parent, index=state.index if index is None else index, line_no=line_no)
+    return state
+
+
+class _LastWrites(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", STATE)
+
+    def _get(self) -> State:
+        return State(*self.last.get()) if self.last.exists() else State()
+
+    def _put(self, s: State) -> None:
+        self.last.update((s.live, s.rec, s.parent, s.index, s.line_no, s.seen))
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self._put(State(True, _plain(initialState["rec"].iloc[0]), line_no=-1, seen=-1))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        every = [tuple(map(_plain, r)) for part in rows for r in part[["line_no", "op", "rec", "parent", "index"]].itertuples(index=False)]
+        every.sort(key=lambda r: (r[0], r[1]))
+        old = self._get()
+        new = advance(old, ((r[0], r[1], r[2], r[3], None if r[4] is None else int(r[4])) for r in every))
+        if new != old:
+            self._put(new)
+        if new.line_no != old.line_no:
+            row = {"t": [key[0]], "id": [key[1]], "live": [new.live], "rec": [new.rec], "parent": [new.parent], "index": pd.array([new.index], "Int32"), "line_no": [new.line_no]}
+            yield pd.DataFrame(row)
+
+    def close(self) -> None:
+        return
+
+
+def _plain(value: Any) -> Any:
+    return None if pd.isna(value) else value
+
+
+def stream_state(records: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """(t, id, live, rec, parent, index, line_no) of each id that a micro-batch changes, as an update stream; rows of base (t, id, rec) are live before the first record.
+
+    Sets the session's state store to RocksDB, which this kind of state needs.
+    """
+    spark = records.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    own = records.where(F.col("op").isin("put", "add", "del")).select("t", "id", "op", "line_no", "rec", "parent", "index")
+    start = None if base is None else base.select("t", "id", "rec").groupBy("t", "id")
+    return own.groupBy("t", "id").transformWithStateInPandas(statefulProcessor=_LastWrites(), outputStructType=STATES, outputMode="Update", timeMode="None", initialState=start)
+
+
+def stream_replay(records: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "1 second", base: DataFrame | None = None):
+    """A streaming query that upserts what each micro-batch changes. apply must be an upsert by (t, id); a batch may come twice after a failure."""
+    states = stream_state(records, base)
+    return states.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=interval)

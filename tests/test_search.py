@@ -8,14 +8,14 @@ from corpusloom.operators import concord
 from corpusloom.plans.pattern import QueryError, compile_glob, compile_token
 from corpusloom.plans.search import Search, matched_tokens, search, sequence_plan, search_sequence
 
-TEXT = "The cat sat. The dog, it sat too! Cats run\nA cat: the end. It's over."
+TEXT = "The cat sat. The dog, it sat too! Cats run\n\nA cat: the end. It's over."
 
 
 @pytest.fixture(scope="module")
 def small(spark):
     docs = spark.createDataFrame([(0, TEXT, "en", "s0"), (1, None, "en", "s1"), (2, "", "en", "s1"), (3, "İkna ışık IŞIK", "tr", "s1")], "doc_id long, text string, lang string, source string")
-    sents = C.sentences(C.paragraphs(docs)).cache()
-    return C.Corpus(docs, sents, C.paragraph_places(C.tokens(sents)).cache())
+    paras = C.segmented(C.paragraphs(docs)).cache()
+    return C.Corpus(docs, C.sentences(paras), C.tokens(paras).cache(), paragraphs=paras)
 
 
 def hits(frame):
@@ -114,3 +114,28 @@ def test_equality_reaches_the_scan(small, tmp_path):
     plan = lambda q: stored.where(compile_glob(q).matches(F.col("form"), F.col("form_key"))).select("g")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(form_key,the)" in plan("The") or "In(form_key" in plan("The")
     assert "StringStartsWith(form_key,th)" in plan("th*")
+
+
+def test_sections_and_places_of_the_corpus(spark):
+    """Headings cut sections, blank lines paragraphs; wrapped lines are one sentence; places follow from the row."""
+    text = "Chapter 1\nA line that\nwraps here. And, so\non.\n\nNext one.\nChapter 2\n\nChapter 3\nThe last"
+    docs = spark.createDataFrame([(0, text, "en", "s"), (1, "Chapter 4", "en", "s"), (2, "日本語。", "ja", "s")], "doc_id long, text string, lang string, source string")
+    paras = C.segmented(C.paragraphs(docs))
+    got = sorted((r.doc_id, r.sect_pos, r.title, r.sect_para, r.para_pos, r.sents) for r in paras.collect())
+    assert got == [(0, 0, "Chapter 1", 0, 0, ["A line that wraps here.", "And, so on."]), (0, 0, "Chapter 1", 1, 1, ["Next one."]), (0, 1, "Chapter 3", 0, 2, ["The last"]), (1, 0, None, 0, 0, ["Chapter 4"]), (2, 0, None, 0, 0, ["日本語。"])]
+    rows = {(r.doc_id, r.para_pos, r.g): r for r in C.tokens(paras).collect()}
+    assert [rows[0, 0, g].form for g in range(10)] == ["A", "line", "that", "wraps", "here", ".", "And", ",", "so", "on"] and (2, 0, 0) not in rows
+    assert [rows[0, 0, g].c for g in range(10)] == [0, 1, 2, 3, 4, None, 5, None, 6, 7]
+    assert [g for g in range(11) if rows[0, 0, g].is_first] == [0, 6] and [g for g in range(11) if rows[0, 0, g].is_last] == [4, 9]
+    assert C.tokens(paras).where("form = 'last'").select(C.word_id().alias("i")).first().i == "doc_001.sec_002.p_001.s_001.w_002"
+    labels = {(r.doc_id, r.para_pos): (r.document, r.section) for r in concord.titles(paras, spark.createDataFrame([(1, "My text"), (0, "")], "doc_id long, title string")).collect()}
+    assert labels[0, 2] == ("Document 1", "Chapter 3") and labels[1, 0] == ("My text", "Section 1") and labels[2, 0] == ("Document 3", "Section 1")
+
+
+def test_fold_of_a_corpus(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    fold = lambda rows: C.derive_fold(spark.createDataFrame(rows, schema))
+    assert fold([(0, "", "en", "s"), (1, "ışık", "tr-TR", "s"), (2, None, None, "s")]).locale == "tr"
+    assert fold([(0, "a b", "en", "s"), (1, "ışık", "tr", "s")]).locale is None
+    assert fold([(0, "カナ", "ja", "s")]).script == "Jpan" and fold([(0, "שלום", "he", "s")]).script == "Hebr"
+    assert fold([]).script is None
