@@ -54,8 +54,11 @@ def ngrams(of: Column, longest: int) -> Column:
     if longest == 1:
         return of
     none = F.array().cast("array<string>")
-    runs = [F.when(F.size(of) >= k, F.transform(F.sequence(F.lit(1), F.size(of) - (k - 1)), lambda i, k=k: F.array_join(F.slice(of, i, k), " "))).otherwise(none) for k in range(2, longest + 1)]
-    return F.concat(of, *runs)
+
+    def runs(k: int) -> Column:
+        return F.when(F.size(of) >= k, F.transform(F.sequence(F.lit(1), F.size(of) - (k - 1)), lambda i: F.array_join(F.slice(of, i, k), " "))).otherwise(none)
+
+    return F.concat(of, *(runs(k) for k in range(2, longest + 1)))
 
 
 def bucketed(rows: DataFrame, how: Resample, *keep: str) -> DataFrame:
