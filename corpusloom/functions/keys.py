@@ -1,14 +1,12 @@
-"""Matching keys: how a form is compared, by locale and script."""
+"""Matching keys: how a form is compared, by locale and script. All are expressions, so they also work inside lambdas."""
 
 from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .text import WORD, nfc
 
@@ -33,24 +31,28 @@ class Fold:
     script: str | None = None
 
 
-@F.pandas_udf(StringType())
-def _wide_kana(text: pd.Series) -> pd.Series:
-    import re
-
-    return text.map(lambda s: None if s is None else re.sub("[\uff61-\uff9f]+", lambda m: unicodedata.normalize("NFKC", m[0]), s))
+# Half-width kana and marks, their full-width characters by Unicode's own table, and kana that a voicing mark joins.
+HALF = "".join(map(chr, range(0xFF61, 0xFFA0)))
+WIDE = "".join(unicodedata.normalize("NFKC", c) for c in HALF)
+VOICED = [(base + mark, whole) for mark in "\u3099\u309a" for base in WIDE[5:-2] if len(whole := unicodedata.normalize("NFC", base + mark)) == 1]
+# Lithuanian keeps the dot above i, j and i with ogonek before a grave, acute or tilde accent.
+DOTTED, DOT = "([IJ\u012e])(?=[\u0300-\u036f]*[\u0300\u0301\u0303])", "\u0307"
+LT_WHOLE = {"\u00cc": "i\u0307\u0300", "\u00cd": "i\u0307\u0301", "\u0128": "i\u0307\u0303"}
 
 
-@F.pandas_udf(StringType())
-def _lower_lt(text: pd.Series) -> pd.Series:
-    """Lithuanian keeps the dot above i and j before another accent."""
-    import re
+def _wide_kana(c: Column) -> Column:
+    """Half-width kana in full width, with their voicing marks joined."""
+    out = F.translate(c, HALF, WIDE)
+    for parts, whole in VOICED:
+        out = F.replace(out, F.lit(parts), F.lit(whole))
+    return F.when(c.rlike("[\uff61-\uff9f]"), out).otherwise(c)
 
-    def one(s: str) -> str:
-        s = re.sub("([IJ\u012e])(?=[\u0300-\u036f]*[\u0300\u0301\u0303])", "\\1\u0307", s)
-        s = s.replace("\u00cc", "i\u0307\u0300").replace("\u00cd", "i\u0307\u0301").replace("\u0128", "i\u0307\u0303")
-        return s.lower()
 
-    return text.map(lambda s: None if s is None else one(s))
+def _lower_lt(c: Column) -> Column:
+    out = F.regexp_replace(c, DOTTED, f"$1{DOT}")
+    for whole, parts in LT_WHOLE.items():
+        out = F.replace(out, F.lit(whole), F.lit(parts))
+    return F.lower(out)
 
 
 def detect_script(c: Column) -> Column:

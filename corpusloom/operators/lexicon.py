@@ -102,13 +102,13 @@ def form_index(tokens: DataFrame) -> DataFrame:
 
 
 def tag_pool(uses: DataFrame, standard: DataFrame) -> DataFrame:
-    """Values in use, merged by key and shown in their most used spelling, then standard ones that aren't in use."""
-    # Keys are worked out once for each different value.
-    each = uses.groupBy("value").agg(F.count("*").alias("n")).where(~blank(F.col("value")))
+    """Values in use, merged by key and shown in their most used spelling, and standard ones that aren't in use.
+
+    Keys are worked out once for each different value; standard values come along unused, so that nothing is read twice.
+    """
+    each = uses.groupBy("value").agg(F.count("*").alias("n")).unionByName(standard.select("value", F.lit(0).cast("long").alias("n"))).where(~blank(F.col("value")))
     spelt = each.groupBy(norm_meta(F.trim(F.col("value"))).alias("key"), F.trim(F.col("value")).alias("value")).agg(F.sum("n").alias("n"))
-    used = spelt.groupBy("key").agg(F.max_by("value", F.struct("n", "value")).alias("value"), F.sum("n").alias("uses"))
-    rest = standard.select(norm_meta(F.col("value")).alias("key"), "value").join(used, "key", "left_anti").withColumn("uses", F.lit(0).cast("long"))
-    return used.unionByName(rest)
+    return spelt.groupBy("key").agg(F.max_by("value", F.struct("n", "value")).alias("value"), F.sum("n").alias("uses"))
 
 
 def duplicate_keys(entries: DataFrame, fold: Fold = Fold()) -> DataFrame:

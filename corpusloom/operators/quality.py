@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ class Field:
     counted: bool = False
     stored: bool = True
     filled_when: str = ""
+    vacuous_when: str = ""
+    applies_when: str = ""
     container: bool = False
     planned: bool = False
     control: bool = False
@@ -34,10 +37,10 @@ FIELDS = [
     Field("section", "id", "identity"), Field("section", "title", "aux"),
     Field("paragraph", "id", "identity"), Field("paragraph", "translations", "aux"), Field("paragraph", "transliterations", "aux"), Field("paragraph", "comments", "extra"),
     Field("sentence", "id", "identity"), Field("sentence", "sentence_index", "identity"), Field("sentence", "text", "identity"), Field("sentence", "translations", "core"),
-    Field("sentence", "transliterations", "aux"), Field("sentence", "comments", "extra"), Field("sentence", "words", "core", container=False, control=True),
+    Field("sentence", "transliterations", "aux"), Field("sentence", "comments", "extra"), Field("sentence", "words", "core", control=True, filled_when="has_words"),
     Field("sentence", "dependencies", "aux", stored=False, filled_when="has_dep_parse", counted=True),
     Field("word", "id", "identity"), Field("word", "word_index", "identity"), Field("word", "form", "identity"), Field("word", "gloss", "core", filled_when="has_word_gloss"),
-    Field("word", "transliterations", "core"), Field("word", "morphological_parse", "core"), Field("word", "part_of_speech", "core"), Field("word", "lemma_id", "aux"),
+    Field("word", "transliterations", "core", applies_when="other_script"), Field("word", "morphological_parse", "core", vacuous_when="single_morpheme"), Field("word", "part_of_speech", "core"), Field("word", "lemma_id", "aux"),
     Field("word", "dict_id", "aux"), Field("word", "head", "aux"), Field("word", "dep_rel", "aux"), Field("word", "comments", "extra"),
     Field("morpheme", "id", "identity"), Field("morpheme", "form", "identity"), Field("morpheme", "gloss", "core"), Field("morpheme", "type", "core"),
     Field("morpheme", "part_of_speech", "aux"), Field("morpheme", "transliterations", "aux"), Field("morpheme", "dict_id", "aux"),
@@ -87,30 +90,91 @@ def has_annotation(level: str, schema: dict[str, str]) -> Column:
     return out | F.coalesce(F.col("head_present"), F.lit(False)) if "head_present" in schema else out
 
 
-def _counts(level: str, name: str, missing: Column, vacuous: Column | None = None, applies: bool = True) -> list[Column]:
-    # A field that doesn't apply reports nothing missing, with its real total.
-    gone = F.count_if(missing & ~(vacuous if vacuous is not None else F.lit(False))) if applies else F.lit(0).cast("long")
-    return [F.struct(F.lit(level).alias("level"), F.lit(name).alias("field"), gone.alias("missing"), F.count("*").alias("total"), (F.count_if(vacuous & missing) if vacuous is not None else F.lit(0).cast("long")).alias("vacuous"), F.lit(applies).alias("applies"))]
+# What the table's conditions mean: the columns that each needs, and its expression.
+CONDITIONS: dict[str, tuple[list[str], Callable[[], Column]]] = {
+    "has_word_gloss": (["gloss", "morph_gloss"], lambda: ~morph.blank(F.coalesce(morph.filled(F.col("gloss")), F.col("morph_gloss")))),
+    "has_dep_parse": (["dep_parsed"], lambda: F.coalesce("dep_parsed", F.lit(False))),
+    "has_words": (["n_words"], lambda: F.coalesce("n_words", F.lit(0)) > 0),
+    "single_morpheme": (["n_morphemes"], lambda: F.coalesce("n_morphemes", F.lit(0)) <= 1),
+}
+#: The column by which a level's punctuation is told and skipped.
+FORM_OF = {"word": "form", "morpheme": "word_form"}
+
+
+def _condition(name: str, have: dict[str, str]) -> Column | None:
+    needs, expression = CONDITIONS[name]
+    return expression() if set(needs) <= set(have) else None
+
+
+def _filled(f: Field, have: dict[str, str]) -> Column | None:
+    """Whether a row has the field; None where the frame can't tell."""
+    if f.filled_when and (rule := _condition(f.filled_when, have)) is not None:
+        return rule
+    return ~morph.is_empty_value(F.col(f.name), have[f.name]) if f.stored and f.name in have else None
+
+
+def _asked(level: str, rows: DataFrame, overrides: DataFrame | None) -> tuple[DataFrame, list[tuple[Field, Column, Column, Column]]]:
+    """The level's rows without punctuation, and for each field that the frame can tell: tracked, missing, vacuous."""
+    rows = rows.where(~is_punct(F.col(FORM_OF[level]))) if level in FORM_OF else rows
+    if overrides is not None:
+        changed = overrides.select("doc_id", F.col("on").alias("_on"), F.col("off").alias("_off"))
+        rows = rows.join(changed, "doc_id", "left")
+    have, usual, can = dict(rows.dtypes), counted(level), trackable(level)
+    none = F.array().cast("array<string>")
+    out = []
+    for f in of(level):
+        missing = _filled(f, have)
+        if missing is None or f.name not in {*usual, *(can if overrides is not None else [])}:
+            continue
+        tracked = F.lit(f.name in usual)
+        if overrides is not None:
+            name = F.lit(f"{level}.{f.name}")
+            tracked = (tracked | (F.lit(f.name in can) & F.array_contains(F.coalesce("_on", none), name))) & ~F.array_contains(F.coalesce("_off", none), name)
+        vacuous = _condition(f.vacuous_when, have) if f.vacuous_when else None
+        out.append((f, tracked, ~missing, F.lit(False) if vacuous is None else vacuous))
+    return rows, out
+
+
+def tracked_gaps(levels: dict[str, DataFrame], overrides: DataFrame | None = None, applies: dict[str, bool] | None = None) -> DataFrame:
+    """Missing annotation by level and field, one aggregate for each level; which fields count follows from the table.
+
+    levels: rows of each level with the columns that they have; a field that these can't tell isn't reported. overrides
+    (doc_id, on, off): fields ("word.lemma_id") that a document tracks besides the table's own, or doesn't. applies: conditions of
+    the corpus ("other_script") that fields may hang on; a field that doesn't apply misses nothing, with its real total. What is
+    vacuous isn't missing. Punctuation and its morphemes are skipped.
+    """
+    out = None
+    for level, frame in levels.items():
+        rows, fields = _asked(level, frame, overrides)
+        if not fields:
+            continue
+        cells = []
+        for f, tracked, missing, vacuous in fields:
+            counts = (applies or {}).get(f.applies_when, True)
+            gone = F.count_if(tracked & missing & ~vacuous) if counts else F.lit(0).cast("long")
+            cells.append(F.struct(F.lit(level).alias("level"), F.lit(f.name).alias("field"), gone.alias("missing"), F.count_if(tracked).alias("total"), F.count_if(tracked & missing & vacuous).alias("vacuous"), F.lit(counts).alias("applies"), F.lit(f.name in counted(level)).alias("usual")))
+        part = rows.agg(F.array(*cells).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+        out = part if out is None else out.unionByName(part)
+    return out.where("usual OR total > 0").drop("usual")
+
+
+def gap_ids(levels: dict[str, DataFrame], fields: list[str], overrides: DataFrame | None = None, applies: dict[str, bool] | None = None) -> DataFrame:
+    """(level, field, doc_id, id) of each unit that misses one of the fields asked for ("word.gloss"), by the rules of tracked_gaps."""
+    out = None
+    for level, frame in levels.items():
+        rows, known = _asked(level, frame, overrides)
+        for f, tracked, missing, vacuous in known:
+            if f"{level}.{f.name}" in fields and (applies or {}).get(f.applies_when, True):
+                part = rows.where(tracked & missing & ~vacuous).select(F.lit(level).alias("level"), F.lit(f.name).alias("field"), "doc_id", "id")
+                out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no frame can tell any of these fields")
+    return out
 
 
 def gaps(words: DataFrame, morphemes: DataFrame, sentences: DataFrame, translit_applies: bool = True) -> DataFrame:
-    """Missing annotation by level and field, one aggregate for each level. Punctuation and its morphemes are skipped.
-
-    A gloss that comes from morphemes counts; a parse of a word with one morpheme is vacuous and not missing.
-    words have n_morphemes and morph_gloss; sentences n_words.
-    """
-    content = words.where(~is_punct(F.col("form")))
-    single = F.coalesce("n_morphemes", F.lit(0)) <= 1
-    word = content.agg(F.array(
-        *_counts("word", "gloss", morph.blank(F.coalesce(morph.filled(F.col("gloss")), F.col("morph_gloss")))),
-        *_counts("word", "morphological_parse", morph.blank(F.col("morphological_parse")), single),
-        *_counts("word", "part_of_speech", morph.blank(F.col("part_of_speech"))),
-        *_counts("word", "transliterations", morph.blank(F.col("translit")), applies=translit_applies),
-    ).alias("rows"))
-    kept = morphemes.where(~is_punct(F.col("word_form")))
-    morpheme = kept.agg(F.array(*_counts("morpheme", "gloss", morph.blank(F.col("gloss"))), *_counts("morpheme", "type", morph.blank(F.col("type")))).alias("rows"))
-    sentence = sentences.agg(F.array(*_counts("sentence", "words", F.coalesce("n_words", F.lit(0)) == 0)).alias("rows"))
-    return word.unionByName(morpheme).unionByName(sentence).select(F.explode("rows").alias("r")).select("r.*")
+    """The usual report: words, morphemes and sentences by the table's own fields."""
+    return tracked_gaps({"word": words, "morpheme": morphemes, "sentence": sentences}, applies={"other_script": translit_applies})
 
 
 def translit_applies(object_sample: Column, other_sample: Column) -> Column:

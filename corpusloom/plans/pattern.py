@@ -143,6 +143,10 @@ def fold_text(text: str, fold: Fold) -> str:
         s = re.sub("[\uff61-\uff9f]+", lambda m: unicodedata.normalize("NFKC", m[0]), s)
     if fold.locale in ("tr", "az"):
         s = s.replace("I", "ı").replace("İ", "i")
+    elif fold.locale == "lt":
+        s = re.sub(keys.DOTTED, f"\\1{keys.DOT}", s)
+        for whole, parts in keys.LT_WHOLE.items():
+            s = s.replace(whole, parts)
     return unicodedata.normalize("NFC", s.lower())
 
 

@@ -14,7 +14,8 @@ from .corpus import Corpus, open_corpus, paragraphs, tokens, word_id
 from .functions import ids, keys, language, morph
 from .functions import text as T
 from .operators import concord, deps, edits, enrich, ingest, lexicon, prov, quality
-from .plans.pattern import compile_glob
+from .plans.index import FormIndex, build_index, search_index
+from .plans.pattern import compile_glob, compile_token
 from .plans.search import Search, matched_tokens, search, search_sequence, sequence_plan
 from .session import remove, shared_folder
 from .sources import files, records, reference
@@ -303,6 +304,80 @@ def sentence_keys(c: Corpus) -> DataFrame:
     return c.sentences.select("doc_id", "para_pos", "sent_pos", keys.sent_key(F.col("sentence")).alias("key"))
 
 
+#: The corpus in other scripts and locales: letters of its words replaced, so that what a profile folds comes up.
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_WRITTEN = {
+    "lt": ("eoatn", ["\u00cc", "I\u0301", "\u012e\u0328\u0303", "J\u0300", "\u0128"]),
+    "Jpan": ("aeionrst", ["\uff76", "\uff9e", "\uff8a", "\uff9f", "\uff71", "\uff70", "\u30ab", "\uff73"]),
+    "Arab": ("aeionrst", ["\u0622", "\u064e", "\u0625", "\u06cc", "\u0643", "\u06a9", "\u0640", "\u0628"]),
+    "Hebr": ("aeionrst", ["\u05d0", "\u05b8", "\u05d1", "\u05c1", "\u05e9", "\u05be", "\u05dc", "\u05bc"]),
+    "Deva": ("aeionrst", ["\u0915", "\u0958", "\u093c", "\u095c", "\u0921", "\u0930", "\u0938", "\u095e"]),
+}
+_FOLDS = {"lt": keys.fold_context("lt-LT", "Latn")} | {s: keys.Fold(None, s) for s in ("Jpan", "Arab", "Hebr", "Deva")}
+
+
+def _written(c: Column, script: str) -> Column:
+    out = F.lower(c)
+    for old, new in zip(*_WRITTEN[script], strict=True):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def _written_sql(x: str, script: str) -> str:
+    x = f"lower({x})"
+    for old, new in zip(*_WRITTEN[script], strict=True):
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
+def _folded_sql(x: str, script: str) -> str:
+    """The key of a string by a script's profile, or in Lithuanian."""
+    if script == "lt":
+        for whole, parts in [(keys.DOTTED.replace("(?=", "(").replace("\\", ""), "")] + list(keys.LT_WHOLE.items()):
+            x = f"replace({x}, '{whole}', '{parts}')" if parts else f"regexp_replace({x}, '{whole}', '\\1{keys.DOT}\\2', 'g')"
+    if script == "Jpan":
+        x = f"translate({x}, '{keys.HALF}', '{keys.WIDE}')"
+        for parts, whole in keys.VOICED:
+            x = f"replace({x}, '{parts}', '{whole}')"
+    if script == "Arab":
+        x = f"translate(regexp_replace({x}, '{keys.ARABIC_MARKS}', '', 'g'), '{keys.ARABIC_FROM}', '{keys.ARABIC_TO}')"
+    if script == "Hebr":
+        x = f"regexp_replace({x}, '{keys.HEBREW_MARKS}', '', 'g')"
+    for whole, base in keys.NUKTA.items() if script == "Deva" else ():
+        x = f"replace({x}, '{chr(whole)}', '{chr(base)}' || chr(2364))"
+    return f"lower({x})"
+
+
+def _sentence_keys_in(script: str) -> None:
+    """Sentence keys of the corpus as it would be written in a script, by that script's profile."""
+    sql = rf"WITH {O.SENT} SELECT doc_id, para_pos, sent_pos, array_to_string(list_transform(regexp_extract_all({_written_sql('sentence', script)}, '[\p{{L}}\p{{N}}\p{{M}}]+'), lambda x: {_folded_sql('x', script)}), ' ') AS key FROM sent"
+
+    def run(c: Corpus) -> DataFrame:
+        return c.sentences.select("doc_id", "para_pos", "sent_pos", keys.sent_key(_written(F.col("sentence"), script), _FOLDS[script]).alias("key"))
+
+    run.__name__ = f"sentence_keys_{script.lower()}"
+    on_corpus(sql)(run)
+
+
+def _morphemes_in(script: str, wanted: str) -> None:
+    """Words one of whose morphemes, as written in a script, has a key."""
+    sql = f"""WITH {O.ANN} SELECT doc_id, para_pos, sent_pos, string_agg(word_pos::VARCHAR, ',' ORDER BY word_pos) AS words FROM ann
+WHERE NOT is_punct AND len(list_filter(string_split(coalesce(morphological_parse, form), '-'), lambda x: starts_with({_folded_sql(_written_sql('x', script), script)}, {O.lit(wanted)}))) > 0 GROUP BY doc_id, para_pos, sent_pos"""
+
+    def run(c: Corpus) -> DataFrame:
+        own = _read_words(c).withColumn("morphemes", F.transform("morphemes", lambda m: m.withField("form", _written(m["form"], script))))
+        return _token_search(Corpus(c.documents, c.sentences, own, _FOLDS[script]), query=wanted + "*", level="morpheme")
+
+    run.__name__ = f"search_morpheme_{script.lower()}"
+    on_corpus(sql)(run)
+
+
+for _script in _WRITTEN:
+    _sentence_keys_in(_script)
+for _script, _wanted in {"lt": "hi\u0307\u0300", "Jpan": "h\u30a2", "Arab": "\u0628h", "Hebr": "\u05d0", "Deva": "\u0938"}.items():
+    _morphemes_in(_script, _wanted)
+
+
 @query("SELECT DISTINCT form, strip_accents(lower(form)) AS plain FROM (SELECT unnest(string_split(p_name, ' ')) AS form FROM part)")
 def fold_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("form")).distinct()
@@ -462,6 +537,56 @@ def search_word_infix(c: Corpus) -> DataFrame:
     return _token_search(c, query="*tion*")
 
 
+_INDEXES: dict[tuple[str, str], FormIndex] = {}
+
+
+def _index(c: Corpus) -> FormIndex:
+    """The index of words and morphemes of a corpus, built once for a session."""
+    spark = c.tokens.sparkSession
+    key = (spark.sparkContext.applicationId, c.folder)
+    if key not in _INDEXES:
+        morphemes = _read_words(c).select("doc_id", "para_pos", "sent_pos", "word_pos", F.explode("morphemes").alias("m")).withColumn("form", F.col("m.form")).drop("m")
+        _INDEXES[key] = build_index(c.tokens, scratch_folder(spark, "forms"), c.fold, morphemes)
+    return _INDEXES[key]
+
+
+def _indexed(c: Corpus, text: str, kind: str = "word", regex: bool = False, sensitive: bool = False) -> DataFrame:
+    return search_index(_index(c), compile_token(text, "text", regex, sensitive, c.fold), kind).withColumn("words", words_text())
+
+
+@on_corpus(_token_sql("form_key = 'the'"))
+def index_exact(c: Corpus) -> DataFrame:
+    return _indexed(c, "The")
+
+
+@on_corpus(_token_sql("starts_with(form_key, 'th')"))
+def index_prefix(c: Corpus) -> DataFrame:
+    return _indexed(c, "th*")
+
+
+@on_corpus(_token_sql("contains(form_key, 'tion')"))
+def index_infix(c: Corpus) -> DataFrame:
+    return _indexed(c, "*tion*")
+
+
+@on_corpus(_token_sql("regexp_matches(form, '(?i)^(un|in).*(heit|tion)$')"))
+def index_regex(c: Corpus) -> DataFrame:
+    return _indexed(c, "^(un|in).*(heit|tion)$", regex=True)
+
+
+@on_corpus(f"WITH {O.ANN} SELECT doc_id, para_pos, sent_pos, string_agg(word_pos::VARCHAR, ',' ORDER BY word_pos) AS words FROM ann WHERE NOT is_punct AND len(list_filter(string_split(lower(coalesce(morphological_parse, form)), '-'), lambda x: contains(x, 'hen'))) > 0 GROUP BY doc_id, para_pos, sent_pos")
+def index_morpheme(c: Corpus) -> DataFrame:
+    return _indexed(c, "*hen*", "morpheme")
+
+
+@on_corpus(f"""WITH {O.ANN}, u AS (SELECT 'word' AS kind, form_key, form, doc_id, para_pos, sent_pos, word_pos FROM ann UNION ALL SELECT 'morpheme', lower(m), m, doc_id, para_pos, sent_pos, word_pos FROM (SELECT *, unnest(string_split(coalesce(morphological_parse, form), '-')) AS m FROM ann WHERE NOT is_punct)),
+l AS (SELECT kind, form_key, form, doc_id // 256 AS block, string_agg((doc_id % 256) || '.' || para_pos || '.' || sent_pos || '.' || word_pos, ' ' ORDER BY doc_id, para_pos, sent_pos, word_pos) AS places FROM u GROUP BY ALL) SELECT * FROM l""")
+def form_postings(c: Corpus) -> DataFrame:
+    """The lists of the index as text."""
+    place = lambda p: F.concat_ws(".", p["doc"], p["para_pos"], p["sent_pos"], p["word_pos"])
+    return _index(c).lists.select("kind", "form_key", "form", "block", F.array_join(F.transform("places", place), " ").alias("places"))
+
+
 @on_corpus(_token_sql("form_key IN ('there', 'the', 'thes', 'theres')"))
 def search_word_optional(c: Corpus) -> DataFrame:
     return _token_search(c, query="the(re)(s)")
@@ -916,13 +1041,38 @@ UNION ALL SELECT 'word', 'morphological_parse', 0, count(*), count(*) FILTER (mo
 UNION ALL SELECT 'word', 'transliterations', 0, count(*), 0, false FROM a UNION ALL SELECT 'morpheme', 'gloss', count(*) FILTER (i = 2), count(*), 0, true FROM m UNION ALL SELECT 'morpheme', 'type', count(*) FILTER (i = 1), count(*), 0, true FROM m
 UNION ALL SELECT 'sentence', 'words', count(*) FILTER (n = 0), count(*), 0, true FROM (SELECT (SELECT count(*) FROM tok t WHERE t.doc_id = s.doc_id AND t.para_pos = s.para_pos AND t.sent_pos = s.sent_pos) AS n FROM sent s)""")
 def gaps_by_field(c: Corpus) -> DataFrame:
-    words = annotated(c).withColumns({"n_morphemes": F.when(F.col("morphological_parse").isNotNull(), 2).otherwise(0), "morph_gloss": F.left("morphological_parse", F.lit(4)), "translit": F.lit(None).cast("string")})
+    words = annotated(c).withColumns({"n_morphemes": F.when(F.col("morphological_parse").isNotNull(), 2).otherwise(0), "morph_gloss": F.left("morphological_parse", F.lit(4)), "transliterations": F.lit(None).cast("string")})
     morphemes = words.where("morphological_parse is not null").select(F.col("form").alias("word_form"), F.posexplode(F.split("morphological_parse", "-")).alias("i", "form"))
     morphemes = morphemes.withColumns({"gloss": F.when(F.col("i") == 0, F.col("form")), "type": F.when(F.col("i") > 0, "bound.morpheme")})
     sents = c.sentences.join(c.tokens.groupBy("doc_id", "para_pos", "sent_pos").agg(F.count("*").alias("n_words")), ["doc_id", "para_pos", "sent_pos"], "left")
     return quality.gaps(words, morphemes, sents, translit_applies=False)
 
 
+_TRACKED = f"""WITH {O.ANN}, w AS (SELECT *, doc_id % 2 = 0 AS lemmas, doc_id % 3 <> 0 AS glosses, doc_id % 5 <> 1 AS tags FROM ann WHERE NOT is_punct)"""
+
+
+def _tracked(c: Corpus) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Words by documents that track other fields: some lemmas besides, some no glosses, some no parts of speech, and one a field that there isn't."""
+    words = annotated(c).withColumns({"morph_gloss": F.lit(None).cast("string"), "id": word_id()}).drop("dict_id", "morphological_parse")
+    d = F.col("doc_id")
+    some = lambda *pairs: F.filter(F.array(*(F.when(t, F.lit(f)) for t, f in pairs)), lambda x: x.isNotNull())
+    overrides = c.documents.select("doc_id", some((d % 2 == 0, "word.lemma_id"), (d % 7 == 0, "word.form")).alias("on"), some((d % 3 == 0, "word.gloss"), (d % 5 == 1, "word.part_of_speech"), (d % 4 == 0, "word.unheard_of")).alias("off"))
+    return {"word": words}, overrides
+
+
+@on_corpus(f"""{_TRACKED} SELECT 'word' AS level, 'gloss' AS field, count(*) FILTER (glosses AND gloss IS NULL) AS missing, count(*) FILTER (glosses) AS total, 0 AS vacuous, true AS applies FROM w
+UNION ALL SELECT 'word', 'part_of_speech', count(*) FILTER (tags AND part_of_speech IS NULL), count(*) FILTER (tags), 0, true FROM w UNION ALL SELECT 'word', 'lemma_id', count(*) FILTER (lemmas AND lemma_id IS NULL), count(*) FILTER (lemmas), 0, true FROM w""")
+def gaps_tracked(c: Corpus) -> DataFrame:
+    return quality.tracked_gaps(*_tracked(c))
+
+
+@on_corpus(f"""{_TRACKED}, i AS (SELECT *, format('doc_{{:03d}}.sec_{{:03d}}.p_{{:03d}}.s_{{:03d}}.w_{{:03d}}', doc_id + 1, sect_pos + 1, sect_para + 1, sent_pos + 1, word_pos + 1) AS id FROM w)
+SELECT 'word' AS level, 'lemma_id' AS field, doc_id, id FROM i WHERE lemmas AND lemma_id IS NULL UNION ALL SELECT 'word', 'part_of_speech', doc_id, id FROM i WHERE tags AND part_of_speech IS NULL""")
+def gap_ids(c: Corpus) -> DataFrame:
+    levels, overrides = _tracked(c)
+    return quality.gap_ids(levels, ["word.lemma_id", "word.part_of_speech"], overrides)
+
+
 @query("SELECT count(*) AS total, count(*) FILTER (p_name IS NOT NULL AND p_size % 2 = 0) AS translated, count(*) FILTER (p_size % 2 = 1) AS remaining FROM part")
 def coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.coverage(read(spark, sf_dir, "part").withColumn("translation", F.when(F.col("p_size") % 2 == 0, F.col("p_type"))), "p_name", "translation")
@@ -987,6 +1137,47 @@ def copy_plan(c: Corpus) -> DataFrame:
     return rows.groupBy("pos", edits.copy_plan(F.col("source_gloss"), F.col("gloss")).alias("plan")).agg(F.count("*").alias("n"))
 
 
+# Words of sentences with one text: the first is the source; a word's partner is the word at its place, if the keys agree.
+_TWINS = f"""{_CLASSES}, x AS (SELECT *, format('doc_{{:03d}}.sec_{{:03d}}.p_{{:03d}}.s_{{:03d}}', doc_id + 1, sect_pos + 1, sect_para + 1, sent_pos + 1) AS sent_id FROM ann),
+y AS (SELECT *, sent_id || format('.w_{{:03d}}', word_pos + 1) AS word_id, CASE WHEN word_pos % 4 = 1 THEN sent_id || format('.w_{{:03d}}', word_pos) END AS head, CASE WHEN word_pos % 4 = 1 THEN 'rel' || (doc_id % 2) END AS dep_rel FROM x),
+a AS (SELECT s.sent_id AS source, t.sent_id AS target, s.word_id AS source_word, t.word_id AS target_word FROM f JOIN y t ON (f.doc_id, f.para_pos, f.sent_pos) = (t.doc_id, t.para_pos, t.sent_pos)
+JOIN y s ON (f.first_doc, f.first_para, f.first_sent) = (s.doc_id, s.para_pos, s.sent_pos) AND t.word_pos = s.word_pos AND t.form_key = s.form_key WHERE f.n > 1 AND (f.doc_id, f.para_pos, f.sent_pos) <> (f.first_doc, f.first_para, f.first_sent)),
+b AS (SELECT a.*, s AS s, t AS t, CASE WHEN h.target_word IS NOT NULL THEN h.target_word END AS head_to FROM a JOIN y s ON s.word_id = source_word JOIN y t ON t.word_id = target_word LEFT JOIN a h ON h.source = a.source AND h.target = a.target AND h.source_word = s.head WHERE NOT s.is_punct AND NOT t.is_punct),
+c AS (SELECT source, target, source_word, target_word, unnest([
+  {{'field': 'gloss', 'value': s.gloss, 'current': t.gloss, 'own': t.gloss}}, {{'field': 'part_of_speech', 'value': s.part_of_speech, 'current': t.part_of_speech, 'own': t.part_of_speech}}, {{'field': 'morphological_parse', 'value': s.morphological_parse, 'current': t.morphological_parse, 'own': t.morphological_parse}},
+  {{'field': 'lemma_id', 'value': s.lemma_id, 'current': t.lemma_id, 'own': t.lemma_id}}, {{'field': 'dict_id', 'value': s.dict_id, 'current': t.dict_id, 'own': t.dict_id}}, {{'field': 'head', 'value': head_to, 'current': t.head, 'own': coalesce(t.head, t.dep_rel)}},
+  {{'field': 'dep_rel', 'value': CASE WHEN head_to IS NOT NULL THEN s.dep_rel END, 'current': t.dep_rel, 'own': coalesce(t.head, t.dep_rel)}}]) AS e FROM b),
+plan AS MATERIALIZED (SELECT source, target, source_word, target_word, e.field AS field, e.value AS value, e.current AS current, CASE WHEN e.value IS NULL THEN 'nothing' WHEN e.own IS NULL THEN 'write' WHEN e.value = e.current THEN 'same' ELSE 'conflict' END AS state FROM c)"""
+
+
+def _twins(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    """Words with heads, and the aligned words of sentences with one text."""
+    words = annotated(c).withColumns({"sent_id": word_id(sent=True), "word_id": word_id()})
+    before = F.when(F.col("word_pos") % 4 == 1, F.concat("sent_id", F.format_string(".w_%03d", F.col("word_pos"))))
+    words = words.withColumns({"head": before, "dep_rel": F.when(F.col("word_pos") % 4 == 1, F.concat(F.lit("rel"), (F.col("doc_id") % 2).cast("string"))), "field_prov": prov.no_stamps()})
+    classes = lexicon.same_text_sentences(c.sentences.withColumn("key", keys.sent_key(F.col("sentence"))))
+    later = classes.where(F.struct("doc_id", "para_pos", "sent_pos") != F.struct("first_doc", "first_para", "first_sent"))
+    target = words.select("doc_id", "para_pos", "sent_pos", "word_pos", "form_key", F.col("sent_id").alias("target"), F.col("word_id").alias("target_word"))
+    source = words.select(F.col("doc_id").alias("first_doc"), F.col("para_pos").alias("first_para"), F.col("sent_pos").alias("first_sent"), "word_pos", "form_key", F.col("sent_id").alias("source"), F.col("word_id").alias("source_word"))
+    aligned = target.join(later, ["doc_id", "para_pos", "sent_pos"]).join(source, ["first_doc", "first_para", "first_sent", "word_pos", "form_key"])
+    return words, aligned.select("source", "target", "source_word", "target_word")
+
+
+@on_corpus(f"WITH {O.ANN}, {_TWINS} SELECT * FROM plan")
+def sentence_copy_plan(c: Corpus) -> DataFrame:
+    return edits.sentence_copy_plan(*_twins(c))
+
+
+@on_corpus(f"""WITH {O.ANN}, {_TWINS}, w AS (SELECT target_word AS word_id, source, max(CASE WHEN field = 'gloss' THEN value END) AS gloss, max(CASE WHEN field = 'part_of_speech' THEN value END) AS part_of_speech, max(CASE WHEN field = 'lemma_id' THEN value END) AS lemma_id,
+max(CASE WHEN field = 'head' THEN value END) AS head, max(CASE WHEN field = 'dep_rel' THEN value END) AS dep_rel, string_agg(field, ',' ORDER BY field) AS stamped FROM plan WHERE state = 'write' GROUP BY ALL)
+SELECT word_id, coalesce(w.gloss, y.gloss) AS gloss, coalesce(w.part_of_speech, y.part_of_speech) AS part_of_speech, coalesce(w.lemma_id, y.lemma_id) AS lemma_id, coalesce(w.head, y.head) AS head, coalesce(w.dep_rel, y.dep_rel) AS dep_rel, coalesce(stamped, '') AS stamped, w.source AS "from", CASE WHEN w.source IS NOT NULL THEN '2026-09-24 10:00:00 true' END AS moment FROM y LEFT JOIN w USING (word_id)""")
+def sentence_copy(c: Corpus) -> DataFrame:
+    words, aligned = _twins(c)
+    out = edits.apply_sentence_copy(words, edits.sentence_copy_plan(words, aligned), prov.Clock("2026-09-24", "10:00:00"))
+    one = F.get(F.map_values("field_prov"), F.lit(0))
+    return out.select("word_id", "gloss", "part_of_speech", "lemma_id", "head", "dep_rel", F.array_join(F.sort_array(F.map_keys("field_prov")), ",").alias("stamped"), one["from"].alias("from"), F.concat_ws(" ", one["date"], one["time"], one["derived"].cast("string")).alias("moment")).withColumn("moment", F.when(F.col("from").isNotNull(), F.col("moment")))
+
+
 @query("SELECT conv_id, turn, 'T:' || text AS cli, 2 AS cli_n, 'T:' || text AS gui, 3 AS gui_n FROM conversations")
 def translations_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.array(*(F.struct(F.lit(x).alias("text"), F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("date"), F.lit(0).alias("prov")) for x in ("a", "b")))
