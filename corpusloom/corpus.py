@@ -47,7 +47,9 @@ class Corpus:
 
 def paragraphs(documents: DataFrame, text: Column | None = None) -> DataFrame:
     """Paragraphs of the normalised text: their section and its title, and their places in it and in the document."""
-    normal = documents.select("doc_id", "lang", "source", T.normalize_text(text if text is not None else F.col("text")).alias("text")).where("text is not null")
+    own = text if text is not None else F.col("text")
+    # Nulls go by the raw text: a filter on the normalised one would work it out twice.
+    normal = documents.where(own.isNotNull()).select("doc_id", "lang", "source", T.normalize_text(own).alias("text"))
     one = lambda s, i, p, j: F.struct(i.alias("sect_pos"), s["title"].alias("title"), j.alias("sect_para"), p.alias("para"))
     nested = F.flatten(F.transform("sections", lambda s, i: F.transform(T.split_paragraphs(s["body"]), lambda p, j: one(s, i, p, j))))
     rows = sections_in_row(normal).select("doc_id", "lang", "source", F.posexplode(nested).alias("para_pos", "p"))

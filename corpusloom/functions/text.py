@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Terminal marks, and the closing quotes and brackets that go with them.
 TERMINALS = r".!?\x{3002}\x{FF01}\x{FF1F}\x{061F}\x{06D4}\x{0964}\x{0965}\x{1362}\x{0F0D}\x{0589}\x{104B}\x{17D4}\x{1803}\x{1809}\x{0DF4}"
@@ -18,7 +14,9 @@ JOINERS = r"\-.'\x{2019}\x{02BC}\x{2010}\x{2011}"
 WORD = r"[\p{L}\p{N}\p{M}]"
 # Possessive loops: Java runs them without recursion, so that a line of any length fits the stack.
 TOKEN = rf"{WORD}++(?:[{JOINERS}]{WORD}++)*+|[^\s\p{{Z}}]"
-SENTENCE = rf"[^\n{TERMINALS}]*+(?:(?<=\p{{Nd}})\.(?=\p{{Nd}})[^\n{TERMINALS}]*+)*+(?:[{TERMINALS}][{CLOSERS}]*+|(?=\n)|\z)"
+# Java asks a class member by member, so a run of ASCII goes by a short class and only other characters by the whole one.
+INNER = rf"(?:[^\n.!?\x{{80}}-\x{{10FFFF}}]++|[^\n{TERMINALS}])*+"
+SENTENCE = rf"{INNER}(?:(?<=\p{{Nd}})\.(?=\p{{Nd}}){INNER})*+(?:[{TERMINALS}][{CLOSERS}]*+|(?=\n)|\z)"
 # White space and separators, which strip takes off both ends.
 SPACES = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Text without any of these is composed already: no letter below U+0300 and no usual mark of punctuation changes.
@@ -35,24 +33,19 @@ HEADING = (
 )
 
 
-@F.pandas_udf(StringType())
-def _compose(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: s if s is None else unicodedata.normalize("NFC", s))
-
-
-@F.pandas_udf(StringType())
-def _fold(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if not "\u0300" <= c <= "\u036f").lower())
+def _icu(method: str, c: Column) -> Column:
+    """Canonical composition or decomposition by the ICU library that Spark ships for its collations."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), c, F.lit(False))
 
 
 def nfc(c: Column) -> Column:
-    """Canonical composition; Spark has no function for it. Only text that may change goes to Python."""
-    return F.coalesce(_compose(F.when(c.rlike(UNCOMPOSED), c)), c)
+    """Canonical composition; only text that may change is composed."""
+    return F.when(c.rlike(UNCOMPOSED), _icu("compose", c)).otherwise(c)
 
 
 def fold_diacritics(c: Column) -> Column:
-    """Decompose, drop combining marks U+0300 to U+036F, lower-case. ASCII stays in the JVM."""
-    return F.coalesce(_fold(F.when(c.rlike(r"[^\x00-\x7F]"), c)), F.lower(c))
+    """Decompose, drop combining marks U+0300 to U+036F, lower-case."""
+    return F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(_icu("decompose", c), r"[\x{300}-\x{36F}]", "")).otherwise(c))
 
 
 def strip(c: Column) -> Column:
