@@ -3,8 +3,9 @@
 The corpus is its own reference. Its stretches around anchors (see `repeats`) are the reference blocks: a block holds
 all stretches whose anchors fall into one part of the fingerprints' range. A stretch of a document is routed to the one
 block that can hold any of its windows, and is factored greedily against it: from the left, the first window that
-the block has elsewhere starts a factor, which goes on as far as the source agrees (the longer one of the two neighbouring
-sources in the index). Only factors of 35 words or more count. After a factor the parse goes on with the first window
+the block has elsewhere starts a factor, which goes on as far as any source agrees. Sources are indexed in the order of
+their words from the anchor on, so the source that agrees longest is a neighbour among those with the same window. Only factors
+of 35 words or more count. After a factor the parse goes on with the first window
 that isn't inside it, so the windows across a factor's end are looked up one by one against all sources and none is lost.
 Stretches with a whole copy elsewhere are one factor and need no parse.
 
@@ -79,14 +80,14 @@ class Block:
         some = np.flatnonzero(sides_shared(rows, lead, size - lead, names, names, SPEC))
         rows, lead, size, one, alone = rows[some], lead[some], size[some], self.one[some], self.copies[some] == 1
         tail = size - lead
-        names = np.arange(len(some))
+        rank = self.lexicographic(rows)
         cursor = lead.copy()  # words before the anchor that the next window to look up has
         for x in range(LEFT, -1, -1):
             own = np.flatnonzero((lead >= x) & (tail >= WINDOW - x))
             asks = alone & (cursor >= x)
             if len(own) < 2 or not asks[own].any():
                 continue
-            w = Windows(rows, own, x, names, SPEC)
+            w = Windows(rows, own, x, rank, SPEC)
             place = np.flatnonzero((w.size > 1) & asks[w.own])
             if not len(place):
                 continue
@@ -99,6 +100,15 @@ class Block:
             yield self.doc[one[me]], self.start[one[me]] + lead[me] - x, length
             cursor[me] = x - (length - WINDOW) - 1
 
+    @staticmethod
+    def lexicographic(rows: np.ndarray) -> np.ndarray:
+        """The place of each stretch in the order of its words from the anchor on, as a suffix index has them; a shorter one comes first."""
+        words = np.ascontiguousarray(rows[:, LEFT:].astype(">u8"))
+        order = np.argsort(words.view(f"V{words.shape[1] * 8}").ravel(), kind="stable") if len(rows) else np.zeros(0, np.int64)
+        rank = np.empty(len(rows), np.int64)
+        rank[order] = np.arange(len(rows))
+        return rank
+
     @staticmethod
     def agree(rows: np.ndarray, tail: np.ndarray, a: np.ndarray, b: np.ndarray, x: int) -> np.ndarray:
         """Words from the window's start on in which stretches agree."""
