@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import Fold, dict_key, norm_meta
 from ..functions.morph import blank
+from . import prov
 
 
 def by_key(entries: DataFrame, fold: Fold = Fold()) -> DataFrame:
@@ -90,6 +91,36 @@ def equivalents(tokens: DataFrame, lemmas: bool = False) -> DataFrame:
     return probes.join(reach, ["rule", "value"])
 
 
+#: Blocks of a dictionary entry in their order, each with its heading; fields that are switched off leave their block out.
+BLOCKS = ["form", "transliteration", "pos_type", "gloss", "definition", "usage_notes", "allomorphs", "constituent_forms", "pinned_examples"]
+
+
+def dictionary_view(entries: DataFrame, examples: DataFrame, off: frozenset[str] = frozenset()) -> DataFrame:
+    """Entries as ordered blocks (block, heading, lines): the data of a printed dictionary.
+
+    Entries have id, form and any of transliterations, part_of_speech, type, semantic_domain, gloss, meaning, usage_notes, allomorphs
+    (form, environment) and constituent_forms; examples have id, place, example and translation. Empty blocks are left out.
+    """
+    have = set(entries.columns)
+    pick = lambda c: F.when(~blank(F.col(c)), F.col(c)) if c in have else F.lit(None).cast("string")
+    dots = lambda parts: F.when(F.size(parts) > 0, F.array_join(parts, "  ·  "))
+    filled = lambda *values: F.filter(F.array(*values), lambda x: x.isNotNull())
+    readings = dots(F.filter(F.transform("transliterations", lambda t: t["text"]), lambda x: F.coalesce(x, F.lit("")) != "")) if "transliterations" in have else F.lit(None).cast("string")
+    kinds = ["part_of_speech", "type", *(() if "semantic_domain" in off else ("semantic_domain",))]
+    none = F.array().cast("array<string>")
+    line = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(none)
+    allomorphs = F.transform(F.coalesce("allomorphs", F.array().cast("array<struct<form:string,environment:string>>")), lambda a: F.concat(a["form"], F.when(~blank(a["environment"]), F.concat(F.lit("  — "), a["environment"])).otherwise(F.lit("")))) if "allomorphs" in have else none
+    parts = line(F.when(F.size("constituent_forms") > 0, F.array_join("constituent_forms", "  +  "))) if "constituent_forms" in have else none
+    own = examples.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "example", "translation"))).alias("_examples"))
+    shown = F.flatten(F.transform(F.coalesce("_examples", F.array()), lambda e: F.filter(F.array(e["example"], F.when(~blank(e["translation"]), e["translation"])), lambda x: x.isNotNull())))
+    lines = {
+        "form": ("", line(F.col("form"))), "transliteration": ("", line(readings)), "pos_type": ("", line(dots(filled(*(pick(c) for c in kinds))))), "gloss": ("", line(F.concat(F.lit('"'), pick("gloss"), F.lit('"')))),
+        "definition": ("Definition", line(pick("meaning"))), "usage_notes": ("Usage", line(pick("usage_notes"))), "allomorphs": ("Allomorphs", allomorphs), "constituent_forms": ("Parts", parts), "pinned_examples": ("Examples", shown),
+    }
+    blocks = [F.struct(F.lit(b).alias("block"), F.lit(lines[b][0]).alias("heading"), lines[b][1].alias("lines")) for b in BLOCKS if b not in off]
+    return entries.join(own, "id", "left").select("id", F.filter(F.array(*blocks), lambda b: F.size(b["lines"]) > 0).alias("blocks"))
+
+
 def example_view(entries: DataFrame, tokens: DataFrame) -> DataFrame:
     """An entry's pinned sentence as one line, its word in brackets: the data of a printed dictionary."""
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_pos", F.when(F.col("word_pos") == F.col("pin_word"), F.concat(F.lit("["), "form", F.lit("]"))).otherwise(F.col("form")).alias("form")))), lambda t: t["form"]), " ")
@@ -154,24 +185,37 @@ def offers(values: DataFrame) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order)).select("key", "value", "n", "rank")
 
 
-def push_to_dict(candidates: DataFrame, entries: DataFrame, fold: Fold = Fold()) -> DataFrame:
-    """The lexicon after pushing words: entries of a candidate's key get their empty gloss and part of speech filled; a key without an entry makes one.
+def push_to_dict(candidates: DataFrame, entries: DataFrame, fold: Fold = Fold(), by: Column | None = None) -> DataFrame:
+    """The lexicon after pushing words and morphemes: entries of a candidate's key get their empty fields filled; a key without an entry makes one.
 
-    Candidates have form, gloss, part_of_speech, type, lemma_id and an order. Word candidates match word entries, others any.
-    The first filled value of a key counts, so that pushing twice changes nothing.
+    Candidates have form, gloss, part_of_speech, type, lemma_id and an order, and may have transliterations (arrays). Word
+    candidates match word entries, others any but those that a word of this run makes; a lemma goes to word entries only. The
+    first filled value of a key counts, so that pushing twice changes nothing. With `by`, new entries get their provenance
+    columns and filled fields a stamp in field_prov, which the entries then have.
     """
     key = dict_key(F.col("form"), fold)
+    lists = ["transliterations"] if "transliterations" in candidates.columns else []
+    pushed = ["gloss", "part_of_speech", *lists]
+    empty = lambda c: F.coalesce(F.size(c), F.lit(0)) < 1 if c in lists else blank(F.col(c))
     rows = candidates.withColumn("key", key)
-    first = lambda c: F.min_by(c, F.when(~blank(F.col(c)), F.col("ord")))
-    best = rows.groupBy("key", "type").agg(F.min_by("form", "ord").alias("new_form"), first("gloss").alias("new_gloss"), first("part_of_speech").alias("new_pos"), first("lemma_id").alias("new_lemma"))
+    first = lambda c: F.min_by(c, F.when(~empty(c), F.col("ord")))
+    best = rows.groupBy("key", "type").agg(F.min_by("form", "ord").alias("new_form"), *(first(c).alias(f"new_{c}") for c in pushed), F.min_by("lemma_id", F.when(~blank(F.col("lemma_id")), F.col("ord"))).alias("new_lemma_id"))
     known = entries.withColumn("key", key)
-    word = best.where("type = 'word'").drop("type")
-    touched = known.join(word, "key", "left").withColumn("is_word", F.col("type") == "word")
-    fill = lambda old, new: F.when(F.col("is_word") & blank(F.col(old)), F.col(new)).otherwise(F.col(old))
-    kept = touched.select("id", "form", "type", fill("gloss", "new_gloss").alias("gloss"), fill("part_of_speech", "new_pos").alias("part_of_speech"), F.when(F.col("is_word"), F.coalesce("lemma_id", "new_lemma")).otherwise(F.col("lemma_id")).alias("lemma_id"))
-    matched_words = known.where("type = 'word'").select("key")
-    new = word.withColumn("type", F.lit("word")).join(matched_words, "key", "left_anti").unionByName(best.where("type <> 'word'").join(known.select("key"), "key", "left_anti"))
-    made = new.select(F.concat(F.lit("new_"), "key").alias("id"), F.col("new_form").alias("form"), "type", F.col("new_gloss").alias("gloss"), F.col("new_pos").alias("part_of_speech"), F.when(F.col("type") == "word", F.col("new_lemma")).alias("lemma_id"))
+    word, other = best.where("type = 'word'").drop("type"), best.where("type <> 'word'")
+    any_of = other.groupBy("key").agg(*(F.min_by(f"new_{c}", F.when(F.col(f"new_{c}").isNotNull(), F.col("type"))).alias(f"any_{c}") for c in pushed))
+    touched = known.join(word, "key", "left").join(any_of, "key", "left").withColumn("is_word", F.col("type") == "word")
+    offer = lambda c: F.coalesce(F.when(F.col("is_word"), F.col(f"new_{c}")), F.col(f"any_{c}"))
+    takes = {c: empty(c) & offer(c).isNotNull() for c in pushed} | {"lemma_id": F.col("is_word") & F.col("lemma_id").isNull() & F.col("new_lemma_id").isNotNull()}
+    filled = {c: F.when(takes[c], offer(c)).otherwise(F.col(c)).alias(c) for c in pushed} | {"lemma_id": F.when(takes["lemma_id"], F.col("new_lemma_id")).otherwise(F.col("lemma_id")).alias("lemma_id")}
+    stamps: list[Column] = []
+    if by is not None:
+        touched = touched.withColumn("_filled", prov.changed_fields(takes))
+        stamps = [*(F.col(c) for c in ("prov", "prov_history")), prov.stamp_fields(F.col("field_prov"), F.col("_filled"), by).alias("field_prov")]
+    kept = touched.select("id", "form", "type", *filled.values(), *stamps)
+    own = known.where("type = 'word'").select("key")
+    new = word.withColumn("type", F.lit("word")).join(own, "key", "left_anti").unionByName(other.join(known.select("key"), "key", "left_anti").join(word.select("key"), "key", "left_anti"))
+    name = F.when(F.col("type") == "word", F.concat(F.lit("new_"), "key")).otherwise(F.concat(F.lit("new_"), "type", F.lit("_"), "key"))
+    made = new.select(name.alias("id"), F.col("new_form").alias("form"), "type", *(F.col(f"new_{c}").alias(c) for c in pushed), F.when(F.col("type") == "word", F.col("new_lemma_id")).alias("lemma_id"), *(() if by is None else (c.alias(k) for k, c in prov.created(by).items())))
     return kept.unionByName(made)
 
 
@@ -192,6 +236,21 @@ def resolve_lemma(forms: DataFrame, lemmas: DataFrame, fold: Fold = Fold()) -> D
     return out.select("form", status.alias("status"), "lemma_id")
 
 
+def resolve_or_create(forms: DataFrame, lemmas: DataFrame, fold: Fold = Fold(), by: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lemma ids of typed forms, and the lemmas made for those that have none; a miss is never silent.
+
+    note: linked, created, created_near (a near one is there, but may be another word) or null for an empty form. Forms of one
+    key share one new lemma, whose id follows from the key, so that a second run makes nothing.
+    """
+    found = resolve_lemma(forms, lemmas, fold).withColumn("_key", dict_key(F.trim("form"), fold))
+    new = F.concat(F.lit("new_"), "_key")
+    missed = F.col("status").isin("near", "none")
+    note = F.when(F.col("status") == "exact", "linked").when(F.col("status") == "near", "created_near").when(F.col("status") == "none", "created")
+    resolved = found.select("form", note.alias("note"), F.when(missed, new).otherwise(F.col("lemma_id")).alias("lemma_id"))
+    made = found.where(missed).groupBy(new.alias("id")).agg(F.min(F.trim("form")).alias("form"))
+    return resolved, made if by is None else made.withColumns(prov.created(by))
+
+
 def lemma_proposals(words: DataFrame, entries: DataFrame, evidence: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Lemmas to propose: the own entry's, then those of other tokens of the form by count, then the root's citation form."""
     name = lemmas.select(F.col("id").alias("lemma_id"), F.col("form").alias("proposal"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, morph
-from ..functions.text import is_punct
+from ..functions.text import is_punct, log_signature
 from ..corpus import SENTENCE
 
 
@@ -202,3 +202,17 @@ def pending(sentences: DataFrame, text: str, translation: str) -> DataFrame:
 
 def untokenised(sentences: DataFrame, tokens: DataFrame) -> DataFrame:
     return sentences.join(tokens.select(*SENTENCE).distinct(), SENTENCE, "left_anti")
+
+
+# Levels of a log from the least to the most serious.
+LEVELS = ["WARNING", "ERROR", "CRITICAL"]
+#: A closing summary reports errors and is none.
+SUMMARY = "^App exited — THIS SESSION RECORDED"
+
+
+def triage(lines: DataFrame) -> DataFrame:
+    """Findings of logs (file, date, level, message), by masked message: how often, when first and last, in how many files, and the most serious level."""
+    own = lines.where(F.col("level").isin(LEVELS) & ~F.col("message").rlike(SUMMARY))
+    rank = F.array_position(F.array(*(F.lit(x) for x in LEVELS)), F.col("level"))
+    out = own.groupBy(log_signature(F.col("message")).alias("signature")).agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_distinct("file").alias("files"), F.max(rank).alias("_rank"), F.min("message").alias("example"))
+    return out.withColumn("level", F.get(F.array(*(F.lit(x) for x in LEVELS)), (F.col("_rank") - 1).cast("int"))).drop("_rank")

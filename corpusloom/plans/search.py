@@ -6,7 +6,7 @@ cap asks for it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,6 +80,30 @@ def search_sentence(sentences: DataFrame, candidates: Column, q: Token, cap: int
     return capped(sentences.withColumn("matched", hit).where("matched is not null").select(*SENTENCE, "matched"), cap)
 
 
+def with_candidates(corpus: Corpus, field: str, label: str | None = None) -> tuple[Corpus, Column]:
+    """The corpus with the strings that a sentence search of another field tests, and their column.
+
+    gloss: the words' glosses in order. translit: the words' readings without hyphens, a string for each label with 'any'.
+    translation: each translation (an array of structs with text) without punctuation.
+    """
+    if field == "translation":
+        strings = F.transform("translations", lambda t: T.norm_punct(t["text"]))
+        return replace(corpus, sentences=corpus.sentences.withColumn("candidates", strings)), F.col("candidates")
+    words = corpus.tokens
+    if field == "gloss":
+        value = morph.word_gloss(F.col("gloss"), F.transform("morphemes", lambda m: m["gloss"])) if "morphemes" in words.columns else F.col("gloss")
+        rows = words.select(*SENTENCE, "word_pos", F.lit("").alias("label"), value.alias("value"))
+    else:
+        labels = F.array_distinct(F.concat(F.transform("transliterations", lambda t: t["label"]), F.flatten(F.transform("morphemes", lambda m: F.transform(m["transliterations"], lambda t: t["label"])))))
+        each = words.withColumn("label", F.explode(labels)) if label == "any" else words.withColumn("label", F.lit(label).cast("string"))
+        value = morph.word_translit(F.col("transliterations"), F.col("morphemes"), F.col("label") if label else None)
+        rows = each.select(*SENTENCE, "word_pos", F.coalesce("label", F.lit("")).alias("label"), F.replace(value, F.lit("-"), F.lit("")).alias("value"))
+    strings = rows.where(F.coalesce("value", F.lit("")) != "").groupBy(*SENTENCE, "label").agg(F.array_sort(F.collect_list(F.struct("word_pos", "value"))).alias("w"))
+    joined = strings.withColumn("text", F.array_join(F.transform("w", lambda x: x["value"]), " ")).groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("label", "text"))).alias("s"))
+    sentences = corpus.sentences.join(joined.select(*SENTENCE, F.transform("s", lambda x: x["text"]).alias("candidates")), SENTENCE)
+    return replace(corpus, sentences=sentences), F.col("candidates")
+
+
 def _neighbours(sentences: DataFrame, candidates: Column) -> DataFrame:
     order = Window.partitionBy(*PARAGRAPH).orderBy("sent_pos")
     rows = sentences.select(*SENTENCE, F.filter(candidates, lambda c: c != "").alias("v1"))

@@ -16,7 +16,7 @@ from .functions import text as T
 from .operators import concord, deps, edits, enrich, ingest, lexicon, prov, quality
 from .plans.index import FormIndex, build_index, search_index
 from .plans.pattern import compile_glob, compile_token
-from .plans.search import Search, matched_tokens, search, search_sequence, sequence_plan
+from .plans.search import Search, matched_tokens, search, search_sequence, sequence_plan, with_candidates
 from .session import remove, shared_folder
 from .sources import files, records, reference
 from .streaming import journal
@@ -188,7 +188,15 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_html(read(spark, sf_dir, "pages"))
 
 
-@query()
+@query(f"""WITH {O.sections_of('documents')}, p AS (SELECT doc_id, sect_pos, unnest(p) AS para, generate_subscripts(p, 1) - 1 AS para_pos FROM (SELECT *, {O.paragraphs_of('body')} AS p FROM sect)),
+t AS (SELECT doc_id, sect_pos, para_pos, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_pos FROM (SELECT *, {O.sentences_of('para')} AS s FROM p)),
+i AS (SELECT *, format('doc_{{:03d}}.sec_{{:03d}}.p_{{:03d}}', doc_id + 1, sect_pos + 1, para_pos + 1) AS para_id, {O.tokens_of('sentence')} AS w FROM t),
+x AS (SELECT doc_id, sect_pos, para_pos, sent_pos, unnest(w) AS form, generate_subscripts(w, 1) - 1 AS word_pos FROM i),
+j AS (SELECT i.doc_id, i.sect_pos, i.para_pos, i.sent_pos, any_value(para_id) AS para_id, '{{"id":"' || any_value(para_id) || format('.s_{{:03d}}', i.sent_pos + 1) || '","sentence_index":' || i.sent_pos || ',"text":' || to_json(any_value(sentence)) || ',"words":[' ||
+coalesce(string_agg('{{"id":"' || para_id || format('.s_{{:03d}}.w_{{:03d}}', i.sent_pos + 1, word_pos + 1) || '","word_index":' || word_pos || ',"form":' || to_json(form) || CASE WHEN regexp_matches(form, '[\\p{{L}}\\p{{N}}\\p{{M}}]') THEN '' ELSE ',"gloss":"PUNCT"' END || '}}', ',' ORDER BY word_pos) FILTER (form IS NOT NULL), '') || ']}}' AS v
+FROM i LEFT JOIN x ON (x.doc_id, x.sect_pos, x.para_pos, x.sent_pos) = (i.doc_id, i.sect_pos, i.para_pos, i.sent_pos) GROUP BY i.doc_id, i.sect_pos, i.para_pos, i.sent_pos), q AS (SELECT doc_id, sect_pos, para_pos, '{{"id":"' || para_id || '","sentences":[' || string_agg(v, ',' ORDER BY sent_pos) || ']}}' AS v FROM j GROUP BY doc_id, sect_pos, para_pos, para_id),
+c AS (SELECT doc_id, sect_pos, '{{"paragraphs":[' || string_agg(v, ',' ORDER BY para_pos) || ']}}' AS v FROM q GROUP BY doc_id, sect_pos)
+SELECT doc_id, '{{"record_type":"document","id":"' || format('doc_{{:03d}}', doc_id + 1) || '","sections":[' || string_agg(v, ',' ORDER BY sect_pos) || ']}}' AS value FROM c GROUP BY doc_id""")
 def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.to_nested(ingest.segment(ingest.detect_sections(read(spark, sf_dir, "documents"))))
 
@@ -260,6 +268,14 @@ def latex_examples(c: Corpus) -> DataFrame:
     return records.latex_gloss(annotated(c).withColumn("translation", F.lit(None).cast("string")))
 
 
+@on_corpus(rf"""WITH {O.ANN}, m AS (SELECT *, string_split(morphological_parse, '-') AS parts FROM ann)
+SELECT doc_id, para_pos, sent_pos, '\ex \gll ' || string_agg(regexp_replace(coalesce(morphological_parse, form), '([&%$#_{{}}])', '\\\1', 'g'), ' ' ORDER BY word_pos) || '\\ ' || string_agg(regexp_replace(coalesce(gloss, 'g' || parts[1] || '-???', '???'), '([&%$#_{{}}])', '\\\1', 'g'), ' ' ORDER BY word_pos) || '\\ \glt `''' AS latex FROM m GROUP BY ALL""")
+def latex_morphemes(c: Corpus) -> DataFrame:
+    """Examples whose words show their morphemes, the second of each without a gloss."""
+    parts = F.transform(F.split("morphological_parse", "-"), lambda p, i: F.struct(p.alias("form"), F.when(i == 0, F.concat(F.lit("g"), p)).alias("gloss")))
+    return records.latex_gloss(annotated(c).withColumns({"morphemes": parts, "translation": F.lit(None).cast("string")}))
+
+
 # --- functions -----------------------------------------------------------------------------------
 
 
@@ -417,7 +433,7 @@ def word_readings(c: Corpus) -> DataFrame:
     return rows.groupBy("form", shown.alias("shown"), low.alias("low"), morph.mono_morpheme(F.col("morphemes")).alias("mono")).agg(F.count("*").alias("n"))
 
 
-@on_corpus(f"WITH {O.ANN} SELECT unnest(['low', 'up']) AS label")
+@on_corpus(f"WITH {O.ANN} SELECT DISTINCT unnest(CASE WHEN g % 2 = 0 THEN ['up', 'low'] ELSE ['low'] END) AS label FROM ann WHERE NOT is_punct")
 def translit_labels(c: Corpus) -> DataFrame:
     rows = _read_words(c)
     every = F.concat(F.transform("transliterations", lambda t: t["label"]), F.flatten(F.transform("morphemes", lambda m: F.transform(m["transliterations"], lambda t: t["label"]))))
@@ -442,7 +458,8 @@ def id_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", ids.id_instant(F.col("id")).alias("instant"))
 
 
-@query("SELECT -300 AS \"offset\", count(*) AS records FROM events")
+@query("""WITH m AS (SELECT (epoch((strftime(ts, '%Y-%m-%d') || ' ' || strftime(ts - INTERVAL 5 HOUR, '%H:%M:%S'))::TIMESTAMP) - epoch_ms(ts) // 1000) / 60 AS minutes FROM events),
+f AS (SELECT (round((((minutes + 720) % 1440 + 1440) % 1440 - 720) / 15) * 15)::INT AS "offset" FROM m) SELECT (SELECT "offset" FROM f GROUP BY "offset" ORDER BY count(*) DESC, "offset" LIMIT 1) AS "offset", count(*) AS records FROM f""")
 def offset_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prov.offset_evidence(_stamps(spark, sf_dir))
 
@@ -503,12 +520,19 @@ def right_to_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.has_rtl(F.col("text")).alias("rtl"))
 
 
-@query(
-    "SELECT 'pos' AS list, 29 AS entries, 'NOUN' AS first, 'PHRASE' AS last UNION ALL SELECT 'type', 9, 'word', 'punctuation' UNION ALL SELECT 'selection_relation', 13, 'subject', 'linking' "
-    "UNION ALL SELECT 'selection_template', 20, 'VERB:intransitive', 'AUX:verbal complement' UNION ALL SELECT 'dep_relation', 37, 'root', 'dep' UNION ALL SELECT 'gloss', 112, '1', 'VOC'"
-)
-def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference.lists(spark).groupBy("list").agg(F.count("*").alias("entries"), F.min_by("value", "place").alias("first"), F.max_by("value", "place").alias("last"))
+def _lists_sql() -> str:
+    return ", ".join(f"({O.lit(name)}, {i}, {O.lit(v)})" for name, values in reference.LISTS.items() for i, v in enumerate(values.split("|")))
+
+
+@on_corpus(f"""WITH {O.ANN}, r(list, place, value) AS (VALUES {_lists_sql()}), u AS (SELECT 'pos' AS list, part_of_speech AS value, count(*) AS n FROM ann WHERE part_of_speech IS NOT NULL GROUP BY ALL UNION ALL SELECT 'gloss', upper(gloss), count(*) FROM ann WHERE gloss IS NOT NULL GROUP BY ALL)
+SELECT list, count(*) AS entries, arg_min(value, place) AS first, arg_max(value, place) AS last, count(n) AS used, coalesce(sum(n), 0)::BIGINT AS uses FROM r LEFT JOIN u USING (list, value) GROUP BY list""")
+def reference_lists(c: Corpus) -> DataFrame:
+    """The standard lists: how many of their values the corpus uses as tags and glosses, and how often."""
+    words = annotated(c)
+    tags = words.where("part_of_speech is not null").groupBy(F.col("part_of_speech").alias("value")).agg(F.count("*").alias("n")).withColumn("list", F.lit("pos"))
+    glosses = words.where("gloss is not null").groupBy(F.upper("gloss").alias("value")).agg(F.count("*").alias("n")).withColumn("list", F.lit("gloss"))
+    rows = reference.lists(c.tokens.sparkSession).join(tags.unionByName(glosses), ["list", "value"], "left")
+    return rows.groupBy("list").agg(F.count("*").alias("entries"), F.min_by("value", "place").alias("first"), F.max_by("value", "place").alias("last"), F.count("n").alias("used"), F.coalesce(F.sum("n"), F.lit(0)).alias("uses"))
 
 
 # --- search --------------------------------------------------------------------------------------
@@ -673,6 +697,37 @@ def search_sentence_glob(c: Corpus) -> DataFrame:
     return search(c, Search("of the!", level="sentence"))
 
 
+@on_corpus(f"WITH {O.ANN}, s AS (SELECT doc_id, para_pos, sent_pos, string_agg(gloss, ' ' ORDER BY word_pos) AS t FROM ann WHERE gloss <> '' GROUP BY ALL) SELECT doc_id, para_pos, sent_pos, t AS matched FROM s WHERE regexp_matches(t, '(?i)the .*on')")
+def search_sentence_gloss(c: Corpus) -> DataFrame:
+    own, strings = with_candidates(Corpus(c.documents, c.sentences, annotated(c), c.fold), "gloss")
+    return search(own, Search("the *on", "gloss", "sentence"), candidates=strings)
+
+
+@on_corpus(f"""WITH {O.ANN}, r AS (SELECT *, replace(lower(coalesce(morphological_parse, form)), '-', '') AS low, CASE WHEN g % 2 = 0 THEN 't' || replace(lower(form), '-', '') END AS up FROM ann WHERE NOT is_punct),
+s AS (SELECT doc_id, para_pos, sent_pos, string_agg(low, ' ' ORDER BY word_pos) FILTER (low <> '') AS low, string_agg(up, ' ' ORDER BY word_pos) FILTER (up <> '') AS up FROM r GROUP BY ALL)
+SELECT doc_id, para_pos, sent_pos, CASE WHEN regexp_matches(coalesce(low, ''), '(?i)the t') THEN low ELSE up END AS matched FROM s WHERE regexp_matches(coalesce(low, ''), '(?i)the t') OR regexp_matches(coalesce(up, ''), '(?i)the t')""")
+def search_sentence_translit(c: Corpus) -> DataFrame:
+    own, strings = with_candidates(Corpus(c.documents, c.sentences, _read_words(c), c.fold), "translit", "any")
+    return search(own, Search("the t", "translit", "sentence", label="any"), candidates=strings)
+
+
+@on_corpus(f"{_S} SELECT doc_id, para_pos, sent_pos, CASE WHEN regexp_matches(upper(t), '(?i)of the') AND sent_pos % 2 = 0 THEN upper(t) ELSE 'X ' || t END AS matched FROM s WHERE regexp_matches(t, '(?i)of the')")
+def search_sentence_translation(c: Corpus) -> DataFrame:
+    """Translations made up from the sentences: an upper one on every second, and a marked one on all."""
+    one = lambda text: F.struct(text.alias("text"))
+    both = F.concat(F.when(F.col("sent_pos") % 2 == 0, F.array(one(F.upper("sentence")))).otherwise(F.array().cast("array<struct<text:string>>")), F.array(one(F.concat(F.lit("X: "), "sentence"))))
+    own, strings = with_candidates(Corpus(c.documents, c.sentences.withColumn("translations", both), c.tokens, c.fold), "translation")
+    return search(own, Search("of the", "translation", "sentence"), candidates=strings)
+
+
+@on_corpus(f"""WITH {O.ANN}, i AS (SELECT doc_id, para_pos, sent_pos, word_pos, g, unnest(p) AS m, generate_subscripts(p, 1) AS k FROM (SELECT *, string_split(coalesce(morphological_parse, form), '-') AS p FROM ann WHERE NOT is_punct)),
+n AS (SELECT *, lead(m) OVER w AS m1, lead(sent_pos) OVER w AS s1, lead(g) OVER w AS g1 FROM i WINDOW w AS (PARTITION BY doc_id, para_pos ORDER BY sent_pos, word_pos, k))
+SELECT doc_id, para_pos, sent_pos, s1 AS last_sent, CASE WHEN g = g1 THEN g::VARCHAR ELSE g || ',' || g1 END AS places FROM n WHERE starts_with(lower(m), 'th') AND ends_with(lower(m1), 'on') AND s1 = sent_pos""")
+def search_sequence_morpheme(c: Corpus) -> DataFrame:
+    own = Corpus(c.documents, c.sentences, _read_words(c), c.fold)
+    return _sequence(own, query="th* *on", level="morpheme")
+
+
 @on_corpus(rf"{_S}, p AS (SELECT *, lead(sent_pos) OVER w AS next_pos, lead(t) OVER w AS t2 FROM s WINDOW w AS (PARTITION BY doc_id, para_pos ORDER BY sent_pos)) SELECT doc_id, para_pos, sent_pos, next_pos, t AS first, t2 AS second FROM p WHERE next_pos IS NOT NULL AND t <> '' AND t2 <> '' AND regexp_matches(t || chr(10) || t2, '(?i)tion[\s\p{{Z}}]+the')")
 def search_cross_sentence(c: Corpus) -> DataFrame:
     return search(c, Search("tion the", level="sentence", cross=True))
@@ -715,6 +770,12 @@ def kwic_sequence(c: Corpus) -> DataFrame:
     return concord.flat(concord.kwic(c.tokens, concord.sequence_nodes(search_sequence(c.tokens, slots, breaks=breaks)), 5))
 
 
+@on_corpus(f"""WITH {O.TOK}, {O.kwic("SELECT doc_id, para_pos, sent_pos AS hit, g FROM tok WHERE starts_with(form_key, 'thatth')", 1_000_000_000)} SELECT doc_id, para_pos, hit, g_start, g_end, "left", node, "right", crosses FROM line""")
+def kwic_full(c: Corpus) -> DataFrame:
+    """Lines of a rare word with their whole paragraphs."""
+    return concord.flat(concord.kwic(c.tokens, concord.token_nodes(matched_tokens(c.tokens, compile_glob("thatth*"))), full=True))
+
+
 @on_corpus(f"""WITH {O.TOK}, {O.kwic("SELECT doc_id, para_pos, sent_pos AS hit, g FROM tok WHERE contains(form_key, 'tion')", 0)} SELECT lower(node) AS key, arg_min(node, (doc_id, para_pos, hit, g_start)) AS form, count(*) AS count FROM line GROUP BY lower(node)""")
 def freq_types(c: Corpus) -> DataFrame:
     found = matched_tokens(c.tokens, compile_glob("*tion*"))
@@ -802,6 +863,17 @@ def dangling_refs(c: Corpus) -> DataFrame:
     return lexicon.dangling(words, "dict_id", lexicon_of(c)).unionByName(lexicon.dangling(words, "lemma_id", lemmas_of(c)))
 
 
+@query("""WITH e AS (SELECT user_id, event_id FROM events WHERE event_id % 3 <> 0), l AS (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem)
+SELECT 'dict_id' AS reference, count(*) AS refs, count(DISTINCT l_partkey) AS ids FROM l WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40) UNION ALL SELECT 'lemma_id', count(*), count(DISTINCT l_suppkey) FROM l WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+UNION ALL SELECT 'annotator_id', count(*), count(DISTINCT user_id) FROM e WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)""")
+def dangling_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that nothing answers, of links, lemmas and stamps; stamps without an annotator name nobody."""
+    links = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("dict_id"), F.col("l_suppkey").alias("lemma_id"))
+    stamps = read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("annotator_id"))
+    of = lambda table, key, test: read(spark, sf_dir, table).where(test).select(F.col(key).alias("id"))
+    return lexicon.dangling(links, "dict_id", of("part", "p_partkey", "p_size <= 40")).unionByName(lexicon.dangling(links, "lemma_id", of("supplier", "s_suppkey", "s_acctbal > 0"))).unionByName(lexicon.dangling(stamps, "annotator_id", of("customer", "c_custkey", "c_acctbal >= 0")))
+
+
 @on_corpus(f"""WITH {O.ANN}, i AS (SELECT id FROM entry WHERE starts_with(form, 'th') UNION SELECT id FROM lemma WHERE starts_with(form, 'th')),
 r AS (SELECT dict_id AS id, 'words' AS ref_class FROM ann UNION ALL SELECT lemma_id, 'lemma_words' FROM ann UNION ALL SELECT 'd_' || substr(morphological_parse, 1, 4), 'morphemes' FROM ann WHERE morphological_parse IS NOT NULL UNION ALL SELECT 'd_' || lower(form), 'entries' FROM entry)
 SELECT id, ref_class, count(*) AS refs FROM r JOIN i USING (id) GROUP BY id, ref_class""")
@@ -843,6 +915,27 @@ def dictionary_examples(c: Corpus) -> DataFrame:
     return lexicon.example_view(pins, c.tokens)
 
 
+@on_corpus(f"""WITH {O.ANN}, f AS (SELECT 'd_' || form AS id, arg_min(doc_id, (doc_id, para_pos, g)) AS doc_id, arg_min(para_pos, (doc_id, para_pos, g)) AS para_pos, arg_min(sent_pos, (doc_id, para_pos, g)) AS sent_pos, arg_min(word_pos, (doc_id, para_pos, g)) AS pin FROM tok WHERE NOT is_punct GROUP BY form),
+x AS (SELECT id, string_agg(CASE WHEN word_pos = pin THEN '[' || form || ']' ELSE form END, ' ' ORDER BY word_pos) AS example, any_value(upper(lang)) AS translation FROM f JOIN tok USING (doc_id, para_pos, sent_pos) GROUP BY id),
+b AS (SELECT e.id, 'form::' || e.form AS b1, CASE WHEN length(e.form) % 5 = 0 THEN chr(10) || 'transliteration::' || lower(e.form) || '  ·  x' ELSE '' END AS b2, chr(10) || 'pos_type::' || coalesce(part_of_speech || '  ·  ', '') || type AS b3, coalesce(chr(10) || 'gloss::"' || gloss || '"', '') AS b4,
+CASE WHEN length(e.form) % 7 = 0 THEN chr(10) || 'allomorphs:Allomorphs:' || e.form || 'a  — after ' || left(e.form, 1) || '|' || e.form || 'b' ELSE '' END AS b5, CASE WHEN contains(e.form, '-') THEN chr(10) || 'constituent_forms:Parts:' || array_to_string(string_split(e.form, '-'), '  +  ') ELSE '' END AS b6,
+chr(10) || 'pinned_examples:Examples:' || example || '|' || translation AS b7 FROM entry e JOIN x USING (id)) SELECT id, b1 || b2 || b3 || b4 || b5 || b6 || b7 AS page FROM b""")
+def dictionary_pages(c: Corpus) -> DataFrame:
+    """Entries as the blocks of a printed dictionary, in order, with an example and its translation."""
+    n, form = F.char_length("form"), F.col("form")
+    reading = lambda text: F.struct(text.alias("text"))
+    entries = lexicon_of(c).withColumns({
+        "transliterations": F.when(n % 5 == 0, F.array(reading(F.lower("form")), reading(F.lit("")), reading(F.lit("x")))),
+        "allomorphs": F.when(n % 7 == 0, F.array(F.struct(F.concat(form, F.lit("a")).alias("form"), F.concat(F.lit("after "), F.left(form, F.lit(1))).alias("environment")), F.struct(F.concat(form, F.lit("b")).alias("form"), F.lit("").alias("environment")))),
+        "constituent_forms": F.when(form.contains("-"), F.split(form, "-")),
+    })
+    first = F.min(F.struct("doc_id", "para_pos", "g", "sent_pos", "word_pos", "lang")).alias("f")
+    pins = c.tokens.where(~F.col("is_punct")).groupBy("form").agg(first).select(F.concat(F.lit("d_"), "form").alias("id"), "f.doc_id", "f.para_pos", "f.sent_pos", F.col("f.word_pos").alias("pin_word"), F.upper("f.lang").alias("translation"))
+    examples = lexicon.example_view(pins.drop("translation"), c.tokens).join(pins.select("id", "translation"), "id").withColumn("place", F.lit(0))
+    block = lambda b: F.concat_ws(":", b["block"], b["heading"], F.array_join(b["lines"], "|"))
+    return lexicon.dictionary_view(entries, examples).select("id", F.array_join(F.transform("blocks", block), "\n").alias("page"))
+
+
 @on_corpus(f"WITH {O.TOK} SELECT form_key, count(*) AS refs, arg_min(doc_id, (doc_id, para_pos, g)) AS doc_id, arg_min(para_pos, (doc_id, para_pos, g)) AS para_pos, arg_min(g, (doc_id, para_pos, g)) AS g FROM tok GROUP BY form_key")
 def form_index(c: Corpus) -> DataFrame:
     return lexicon.form_index(c.tokens)
@@ -924,6 +1017,38 @@ def fill_offers(c: Corpus) -> DataFrame:
     return lexicon.fill_offers(annotated(c), lexicon_of(c), c.fold)
 
 
+@on_corpus(f"""WITH {O.ANN}, w AS (SELECT form, gloss, part_of_speech, lemma_id, doc_id * 1000000000 + para_pos * 100000 + g AS ord, string_split(morphological_parse, '-') AS parts, CASE WHEN g % 4 = 0 THEN 'r_' || lower(form) END AS reading FROM ann WHERE NOT is_punct),
+c AS (SELECT form, 'word' AS type, gloss, part_of_speech, lemma_id, reading, ord FROM w UNION ALL SELECT parts[2], 'bound.morpheme', 'm' || lower(parts[2]), NULL, NULL, NULL, ord FROM w WHERE parts IS NOT NULL),
+b AS (SELECT lower(form) AS key, type, arg_min(form, ord) AS form, arg_min(gloss, ord) FILTER (gloss IS NOT NULL) AS gloss, arg_min(part_of_speech, ord) FILTER (part_of_speech IS NOT NULL) AS pos, arg_min(reading, ord) FILTER (reading IS NOT NULL) AS reading, arg_min(lemma_id, ord) FILTER (lemma_id IS NOT NULL) AS lemma FROM c GROUP BY ALL),
+x AS (SELECT e.id, e.form, e.type, e.type = 'word' AS own, coalesce(e.gloss, CASE WHEN e.type = 'word' THEN w.gloss END, m.gloss) AS gloss, coalesce(e.part_of_speech, CASE WHEN e.type = 'word' THEN w.pos END) AS pos, CASE WHEN e.type = 'word' THEN w.reading END AS reading, CASE WHEN e.type = 'word' THEN coalesce(e.lemma_id, w.lemma) ELSE e.lemma_id END AS lemma,
+e.gloss AS g0, e.part_of_speech AS p0, e.lemma_id AS l0 FROM entry e LEFT JOIN (SELECT * FROM b WHERE type = 'word') w ON w.key = lower(e.form) LEFT JOIN (SELECT * FROM b WHERE type <> 'word') m ON m.key = lower(e.form))
+SELECT id, form, type, gloss, pos AS part_of_speech, reading, lemma AS lemma_id, array_to_string([v FOR v IN [CASE WHEN g0 IS NULL AND gloss IS NOT NULL THEN 'gloss' END, CASE WHEN l0 IS NULL AND lemma IS NOT NULL THEN 'lemma_id' END, CASE WHEN p0 IS NULL AND pos IS NOT NULL THEN 'part_of_speech' END, CASE WHEN reading IS NOT NULL THEN 'transliterations' END] IF v IS NOT NULL], ',') AS stamped, NULL AS made_by FROM x
+UNION ALL SELECT CASE WHEN type = 'word' THEN 'new_' || key ELSE 'new_' || type || '_' || key END, form, type, gloss, pos, reading, lemma, '', 'ann_1' FROM b WHERE (type = 'word' AND key NOT IN (SELECT lower(form) FROM entry WHERE type = 'word')) OR (type <> 'word' AND key NOT IN (SELECT lower(form) FROM entry) AND key NOT IN (SELECT key FROM b WHERE type = 'word'))""")
+def push_all_to_dict(c: Corpus) -> DataFrame:
+    """Words with readings and bound morphemes pushed, new entries and filled fields stamped."""
+    reading = "array<struct<label:string,text:string>>"
+    place = F.col("doc_id") * 1_000_000_000 + F.col("para_pos") * 100_000 + F.col("g")
+    own = annotated(c).where(~F.col("is_punct")).withColumn("ord", place)
+    texts = F.when(F.col("g") % 4 == 0, F.array(F.struct(F.lit("r").alias("label"), F.concat(F.lit("r_"), F.lower("form")).alias("text"))))
+    words = own.select("form", F.lit("word").alias("type"), "gloss", "part_of_speech", "lemma_id", texts.alias("transliterations"), "ord")
+    part = F.get(F.split("morphological_parse", "-"), F.lit(1))
+    none = F.lit(None).cast("string")
+    bound = own.where("morphological_parse is not null").select(part.alias("form"), F.lit("bound.morpheme").alias("type"), F.concat(F.lit("m"), F.lower(part)).alias("gloss"), none.alias("part_of_speech"), none.alias("lemma_id"), F.lit(None).cast(reading).alias("transliterations"), "ord")
+    entries = lexicon_of(c).withColumns({"transliterations": F.lit(None).cast(reading), "prov": F.lit(None).cast(prov.STAMP), "prov_history": F.lit(None).cast(f"array<{prov.STAMP}>"), "field_prov": prov.no_stamps()})
+    out = lexicon.push_to_dict(words.unionByName(bound), entries, c.fold, prov.person_stamp(prov.Clock("2026-09-24", "10:00:00"), "ann_1"))
+    return out.select("id", "form", "type", "gloss", "part_of_speech", F.get("transliterations", F.lit(0))["text"].alias("reading"), "lemma_id", F.array_join(F.sort_array(F.map_keys("field_prov")), ",").alias("stamped"), F.col("prov.annotator_id").alias("made_by"))
+
+
+@on_corpus(f"""WITH {O.ANN}, f AS (SELECT DISTINCT left(form, 3) AS form FROM tok WHERE NOT is_punct), k AS (SELECT *, replace(lower(strip_accents(form)), 'ß', 'ss') AS near FROM lemma)
+SELECT f.form, CASE WHEN trim(f.form) = '' THEN NULL WHEN l.id IS NOT NULL THEN 'linked' WHEN replace(lower(strip_accents(f.form)), 'ß', 'ss') IN (SELECT near FROM k) THEN 'created_near' ELSE 'created' END AS note, coalesce(l.id, 'new_' || lower(f.form)) AS lemma_id,
+CASE WHEN l.id IS NULL THEN min(f.form) OVER (PARTITION BY lower(f.form)) END AS made FROM f LEFT JOIN lemma l ON l.form = lower(f.form)""")
+def lemmas_created(c: Corpus) -> DataFrame:
+    """Ids of typed lemmas, and the form of the lemma that was made where none was there."""
+    forms = c.tokens.where(~F.col("is_punct")).select(F.left("form", F.lit(3)).alias("form")).distinct()
+    resolved, made = lexicon.resolve_or_create(forms, lemmas_of(c), c.fold)
+    return resolved.join(made.select(F.col("id").alias("lemma_id"), F.col("form").alias("made")), "lemma_id", "left")
+
+
 @on_corpus(f"""WITH {O.ANN}, f AS (SELECT DISTINCT left(form, 3) AS form FROM tok WHERE NOT is_punct), k AS (SELECT *, replace(lower(strip_accents(form)), 'ß', 'ss') AS near FROM lemma)
 SELECT f.form, CASE WHEN trim(f.form) = '' THEN 'empty' WHEN l.id IS NOT NULL THEN 'exact' WHEN replace(lower(strip_accents(f.form)), 'ß', 'ss') IN (SELECT near FROM k) THEN 'near' ELSE 'none' END AS status, l.id AS lemma_id FROM f LEFT JOIN lemma l ON l.form = lower(f.form)""")
 def resolve_lemmas(c: Corpus) -> DataFrame:
@@ -1032,6 +1157,17 @@ def name_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prov.disclosures(people, read(spark, sf_dir, "documents"))
 
 
+@query(r"""WITH l AS (SELECT event_id, user_id % 7 AS file, strftime(ts, '%Y-%m-%d') AS date, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'CRITICAL' WHEN 'view' THEN 'WARNING' WHEN 'signup' THEN 'ERROR' ELSE 'INFO' END AS level, CASE WHEN event_type = 'signup' THEN 'App exited — THIS SESSION RECORDED ' || user_id ELSE 'page ' || (user_id % 3) || ' ' || props END AS message FROM events),
+s AS (SELECT *, regexp_replace(regexp_replace(message, '\b[0-9a-fA-F]{8,}\b', '<id>', 'g'), '\d+', '<n>', 'g') AS signature FROM l WHERE level <> 'INFO' AND NOT starts_with(message, 'App exited — THIS SESSION RECORDED'))
+SELECT signature, count(*) AS n, min(date) AS first_date, max(date) AS last_date, count(DISTINCT file) AS files, min(message) AS example, CASE WHEN bool_or(level = 'CRITICAL') THEN 'CRITICAL' WHEN bool_or(level = 'ERROR') THEN 'ERROR' ELSE 'WARNING' END AS level FROM s GROUP BY signature""")
+def log_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the lines of seven logs: findings by masked message, with their most serious level."""
+    e = F.col("event_type")
+    level = F.when(e == "error", "ERROR").when(e == "purchase", "CRITICAL").when(e == "view", "WARNING").when(e == "signup", "ERROR").otherwise("INFO")
+    message = F.when(e == "signup", F.concat(F.lit("App exited — THIS SESSION RECORDED "), "user_id")).otherwise(F.concat(F.lit("page "), F.col("user_id") % 3, F.lit(" "), "props"))
+    return quality.triage(read(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("file"), F.date_format("ts", "yyyy-MM-dd").alias("date"), level.alias("level"), message.alias("message")))
+
+
 # --- completeness --------------------------------------------------------------------------------
 
 

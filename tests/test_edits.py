@@ -161,3 +161,50 @@ def test_index_answers_like_the_tokens(spark, tmp_path):
     some = matching_forms(index, compile_token("*aba*", "text")).select("form")
     assert {x.form for x in some.collect()} == {x.form for x in tokens.where("form_key like '%aba%'").select("form").distinct().collect()}
     assert index.lists.selectExpr("max(size(places)) m", "count(distinct block) b").first().b == 5  # documents 0 to 1100 in blocks of 256
+
+
+def test_push_to_dict_with_morphemes(spark):
+    reading = "array<struct<label:string,text:string>>"
+    rows = [("Dog", "word", "g1", None, "l1", [("r", "dag")], 1), ("dog", "word", "g2", "NOUN", None, None, 2), ("s", "bound.morpheme", "PL", None, None, None, 3), ("S", "bound.morpheme", "x", None, None, None, 4), ("cat", "bound.morpheme", "c", None, None, None, 5), ("cat", "word", "cc", None, None, None, 6), ("ed", "bound.morpheme", "PST", None, None, None, 7)]
+    candidates = spark.createDataFrame(rows, f"form string, type string, gloss string, part_of_speech string, lemma_id string, transliterations {reading}, ord long")
+    entries = spark.createDataFrame([("e1", "dog", "word", None, "VERB", None, []), ("e2", "ed", "root", " ", None, None, None)], f"id string, form string, type string, gloss string, part_of_speech string, lemma_id string, transliterations {reading}")
+    entries = entries.withColumns({"prov": F.lit(None).cast(prov.STAMP), "prov_history": F.lit(None).cast(f"array<{prov.STAMP}>"), "field_prov": prov.no_stamps()})
+    by = prov.person_stamp(CLOCK, "ann_1")
+    from corpusloom.operators import lexicon
+
+    once = lexicon.push_to_dict(candidates, entries, by=by)
+    got = {r.id: r for r in once.collect()}
+    assert sorted(got) == ["e1", "e2", "new_bound.morpheme_s", "new_cat"]
+    assert (got["e1"].gloss, got["e1"].part_of_speech, got["e1"].lemma_id, got["e1"].transliterations[0].text, sorted(got["e1"].field_prov)) == ("g1", "VERB", "l1", "dag", ["gloss", "lemma_id", "transliterations"])
+    assert got["e2"].gloss == "PST" and sorted(got["e2"].field_prov) == ["gloss"]  # a morpheme matches any entry
+    assert (got["new_bound.morpheme_s"].gloss, got["new_bound.morpheme_s"].prov.annotator_id, got["new_cat"].type) == ("PL", "ann_1", "word")
+    again = lexicon.push_to_dict(candidates, once, by=prov.person_stamp(prov.Clock("2030-01-01", "0"), "other"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, once.collect()))
+
+
+def test_lemmas_are_made_and_said(spark):
+    from corpusloom.operators import lexicon
+
+    lemmas = spark.createDataFrame([("L1", "olmak"), ("L2", "resume")], "id string, form string")
+    forms = spark.createDataFrame([(f,) for f in ("", "OLMAK", "gitmek", "Gitmek", "résumé")], "form string")
+    resolved, made = lexicon.resolve_or_create(forms, lemmas, by=prov.person_stamp(CLOCK, "ann_1"))
+    got = {r.form: (r.note, r.lemma_id) for r in resolved.collect()}
+    assert got[""] == (None, None) and got["OLMAK"] == ("linked", "L1") and got["gitmek"] == got["Gitmek"] == ("created", "new_gitmek") and got["résumé"] == ("created_near", "new_résumé")
+    assert sorted((r.id, r.form, r.prov.annotator_id) for r in made.collect()) == [("new_gitmek", "Gitmek", "ann_1"), ("new_résumé", "résumé", "ann_1")]
+    second, none = lexicon.resolve_or_create(forms, lemmas.unionByName(made.select("id", "form")))
+    assert none.count() == 0 and {r.form: r.lemma_id for r in second.collect()} == {f: i for f, (_, i) in got.items()}
+
+
+def test_log_findings(spark):
+    rows = [("a", "2026-01-02", "ERROR", "page 12 broke"), ("b", "2026-01-01", "CRITICAL", "page 7 broke"), ("b", "2026-01-03", "WARNING", "page 8 broke"), ("a", "2026-01-01", "INFO", "page 9 broke"), ("a", "2026-01-01", "ERROR", "App exited — THIS SESSION RECORDED 3")]
+    (found,) = quality.triage(spark.createDataFrame(rows, "file string, date string, level string, message string")).collect()
+    assert (found.signature, found.n, found.first_date, found.last_date, found.files, found.level) == ("page <n> broke", 3, "2026-01-01", "2026-01-03", 2, "CRITICAL")
+
+
+def test_oversize_files(spark, tmp_path):
+    from corpusloom.sources import records
+
+    (tmp_path / "p_corpus.jsonl").write_text("x" * 100)
+    (tmp_path / "p_dictionary.jsonl").write_text("x" * 10)
+    path = f"{tmp_path}/p_corpus.jsonl"
+    assert records.oversize(spark, path) == [] and records.oversize(spark, path, 110) == ["corpus"]
