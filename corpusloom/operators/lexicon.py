@@ -13,6 +13,17 @@ from ..functions.morph import blank
 from . import prov
 
 
+def browse(entries: DataFrame, form: str = "", meta: dict[str, str] | None = None, fold: Fold = Fold()) -> DataFrame:
+    """Entries whose form's key holds a string, and whose other columns (gloss, definition, tags) hold theirs; blank strings don't count."""
+    test = F.lit(True)
+    if form.strip():
+        test = test & dict_key(F.col("form"), fold).contains(dict_key(F.lit(form.strip()), fold))
+    for column, wanted in (meta or {}).items():
+        if wanted.strip():
+            test = test & norm_meta(F.coalesce(F.col(column), F.lit(""))).contains(norm_meta(F.lit(wanted.strip())))
+    return entries.where(test)
+
+
 def by_key(entries: DataFrame, fold: Fold = Fold()) -> DataFrame:
     """Entries of each form key: how many, and the only one's id."""
     return entries.groupBy(dict_key(F.col("form"), fold).alias("form_key")).agg(F.count("*").alias("n_entries"), F.min("id").alias("one_id"))
@@ -70,10 +81,13 @@ def repoint(frame: DataFrame, column: str, changes: DataFrame) -> DataFrame:
 
 
 def same_text_sentences(keys: DataFrame) -> DataFrame:
-    """Classes of sentences with one key: each sentence with its class's first one and size. Members are not paired with each other."""
-    own = keys.where("key <> ''")
-    groups = own.groupBy("key").agg(F.min(F.struct("doc_id", "para_pos", "sent_pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return own.join(groups, "key").select("doc_id", "para_pos", "sent_pos", F.col("first.doc_id").alias("first_doc"), F.col("first.para_pos").alias("first_para"), F.col("first.sent_pos").alias("first_sent"), "n")
+    """Classes of sentences with one key: each sentence with its class's first one and size. Members are not paired with each other.
+
+    Keys meet as 128-bit digests, so no text is shuffled; the first and the size combine before the shuffle.
+    """
+    own = keys.where("key <> ''").select("doc_id", "para_pos", "sent_pos", F.unhex(F.md5("key")).alias("digest"))
+    groups = own.groupBy("digest").agg(F.min(F.struct("doc_id", "para_pos", "sent_pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return own.join(groups, "digest").select("doc_id", "para_pos", "sent_pos", F.col("first.doc_id").alias("first_doc"), F.col("first.para_pos").alias("first_para"), F.col("first.sent_pos").alias("first_sent"), "n")
 
 
 def equivalence_rule(lemmas: bool = False) -> Column:

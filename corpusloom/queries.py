@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,7 +67,21 @@ def annotated(c: Corpus) -> DataFrame:
     })
 
 
+_LEXICONS: dict[tuple[str, str], DataFrame] = {}
+
+
 def lexicon_of(c: Corpus) -> DataFrame:
+    """A lexicon of the forms that come twice or more; stored once for a session, as a lexicon is."""
+    spark = c.tokens.sparkSession
+    key = (spark.sparkContext.applicationId, c.folder)
+    if key not in _LEXICONS:
+        path = f"{scratch_folder(spark, 'lexicon')}/entries"
+        _entries(c).write.parquet(path)
+        _LEXICONS[key] = spark.read.parquet(path)
+    return _LEXICONS[key]
+
+
+def _entries(c: Corpus) -> DataFrame:
     n, form, key = F.char_length("form"), F.col("form"), F.lower("form")
     place = F.col("doc_id") * 1_000_000_000 + F.col("para_pos") * 100_000 + F.col("g")
     rows = c.tokens.where(~F.col("is_punct")).groupBy("form").agg(F.count("*").alias("n"), F.min(place).alias("file_pos")).where("n >= 2")
@@ -382,7 +397,7 @@ WHERE NOT is_punct AND len(list_filter(string_split(coalesce(morphological_parse
 
     def run(c: Corpus) -> DataFrame:
         own = _read_words(c).withColumn("morphemes", F.transform("morphemes", lambda m: m.withField("form", _written(m["form"], script))))
-        return _token_search(Corpus(c.documents, c.sentences, own, _FOLDS[script]), query=wanted + "*", level="morpheme")
+        return _token_search(replace(c, tokens=own, fold=_FOLDS[script]), query=wanted + "*", level="morpheme")
 
     run.__name__ = f"search_morpheme_{script.lower()}"
     on_corpus(sql)(run)
@@ -400,11 +415,11 @@ def fold_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("form", T.fold_diacritics(F.col("form")).alias("plain"))
 
 
-@on_corpus(f"""WITH {O.ANN}, m AS (SELECT form, form_key, gloss, string_split(morphological_parse, '-') AS parts FROM ann WHERE morphological_parse IS NOT NULL)
-SELECT form, gloss, coalesce(gloss, 'g' || parts[1] || '-g' || parts[2]) AS shown, parts[1] || '-' || parts[2] AS parse, parts[1] AS root, count(*) AS n FROM m GROUP BY ALL""")
+@on_corpus(f"""WITH {O.ANN}, m AS (SELECT form, form_key, gloss, string_split(morphological_parse, '-') AS parts FROM ann)
+SELECT form, gloss, coalesce(gloss, 'g' || parts[1] || '-g' || parts[2]) AS shown, parts[1] || '-' || parts[2] AS parse, coalesce(parts[1], form) AS root, count(*) AS n FROM m GROUP BY ALL""")
 def word_glosses(c: Corpus) -> DataFrame:
     none = F.array().cast("array<struct<label:string,text:string>>")
-    rows = annotated(c).where("morphological_parse is not null")
+    rows = annotated(c)
     parts = F.transform(F.split("morphological_parse", "-"), lambda p, i: F.struct(p.alias("form"), F.concat(F.lit("g"), p).alias("gloss"), F.when(i > 0, "bound.morpheme").alias("type"), none.alias("transliterations")))
     rows = rows.withColumn("morphemes", parts)
     return rows.groupBy("form", "gloss", morph.word_gloss(F.col("gloss"), F.transform("morphemes", lambda m: m["gloss"])).alias("shown"), morph.join_parse(F.transform("morphemes", lambda m: m["form"])).alias("parse"), morph.lemma_root(F.col("form"), F.col("morphemes")).alias("root")).agg(F.count("*").alias("n"))
@@ -633,26 +648,26 @@ def search_capped(c: Corpus) -> DataFrame:
 
 @on_corpus(f"WITH {O.ANN} SELECT doc_id, para_pos, sent_pos, string_agg(word_pos::VARCHAR, ',' ORDER BY word_pos) AS words FROM ann WHERE starts_with(gloss, 'on') GROUP BY doc_id, para_pos, sent_pos")
 def search_gloss(c: Corpus) -> DataFrame:
-    own = Corpus(c.documents, c.sentences, annotated(c), c.fold)
+    own = replace(c, tokens=annotated(c))
     return _token_search(own, query="on*", field="gloss")
 
 
 @on_corpus(f"WITH {O.ANN} SELECT doc_id, para_pos, sent_pos, string_agg(word_pos::VARCHAR, ',' ORDER BY word_pos) AS words FROM ann WHERE NOT is_punct AND ((g % 2 = 0 AND regexp_matches('t' || replace(lower(form), '-', ''), '(?i)^th.*$')) OR regexp_matches(replace(coalesce(morphological_parse, form), '-', ''), '(?i)^th.*$')) GROUP BY doc_id, para_pos, sent_pos")
 def search_translit(c: Corpus) -> DataFrame:
-    own = Corpus(c.documents, c.sentences, _read_words(c), c.fold)
+    own = replace(c, tokens=_read_words(c))
     return _token_search(own, query="th*", field="translit")
 
 
 @on_corpus(f"WITH {O.ANN} SELECT doc_id, para_pos, sent_pos, string_agg(word_pos::VARCHAR, ',' ORDER BY word_pos) AS words FROM ann WHERE NOT is_punct AND len(list_filter(string_split(lower(coalesce(morphological_parse, form)), '-'), lambda x: x = 'then')) > 0 GROUP BY doc_id, para_pos, sent_pos")
 def search_morpheme(c: Corpus) -> DataFrame:
-    own = Corpus(c.documents, c.sentences, _read_words(c), c.fold)
+    own = replace(c, tokens=_read_words(c))
     return _token_search(own, query="then", level="morpheme")
 
 
 @on_corpus(f"""WITH {O.ANN}, l AS (SELECT id FROM lemma WHERE starts_with(form, 'th')), f AS (SELECT DISTINCT lower(form) AS k FROM entry WHERE lemma_id IN (SELECT id FROM l))
 SELECT doc_id, para_pos, sent_pos, string_agg(word_pos::VARCHAR, ',' ORDER BY word_pos) AS words FROM ann WHERE lemma_id IN (SELECT id FROM l) OR form_key IN (SELECT k FROM f) GROUP BY doc_id, para_pos, sent_pos""")
 def search_lemma(c: Corpus) -> DataFrame:
-    own = Corpus(c.documents, c.sentences, annotated(c), c.fold)
+    own = replace(c, tokens=annotated(c))
     return search(own, Search("th*", "lemma"), lemmas_of(c), lexicon_of(c)).withColumn("words", words_text())
 
 
@@ -699,7 +714,7 @@ def search_sentence_glob(c: Corpus) -> DataFrame:
 
 @on_corpus(f"WITH {O.ANN}, s AS (SELECT doc_id, para_pos, sent_pos, string_agg(gloss, ' ' ORDER BY word_pos) AS t FROM ann WHERE gloss <> '' GROUP BY ALL) SELECT doc_id, para_pos, sent_pos, t AS matched FROM s WHERE regexp_matches(t, '(?i)the .*on')")
 def search_sentence_gloss(c: Corpus) -> DataFrame:
-    own, strings = with_candidates(Corpus(c.documents, c.sentences, annotated(c), c.fold), "gloss")
+    own, strings = with_candidates(replace(c, tokens=annotated(c)), "gloss")
     return search(own, Search("the *on", "gloss", "sentence"), candidates=strings)
 
 
@@ -707,7 +722,7 @@ def search_sentence_gloss(c: Corpus) -> DataFrame:
 s AS (SELECT doc_id, para_pos, sent_pos, string_agg(low, ' ' ORDER BY word_pos) FILTER (low <> '') AS low, string_agg(up, ' ' ORDER BY word_pos) FILTER (up <> '') AS up FROM r GROUP BY ALL)
 SELECT doc_id, para_pos, sent_pos, CASE WHEN regexp_matches(coalesce(low, ''), '(?i)the t') THEN low ELSE up END AS matched FROM s WHERE regexp_matches(coalesce(low, ''), '(?i)the t') OR regexp_matches(coalesce(up, ''), '(?i)the t')""")
 def search_sentence_translit(c: Corpus) -> DataFrame:
-    own, strings = with_candidates(Corpus(c.documents, c.sentences, _read_words(c), c.fold), "translit", "any")
+    own, strings = with_candidates(replace(c, tokens=_read_words(c)), "translit", "any")
     return search(own, Search("the t", "translit", "sentence", label="any"), candidates=strings)
 
 
@@ -716,7 +731,7 @@ def search_sentence_translation(c: Corpus) -> DataFrame:
     """Translations made up from the sentences: an upper one on every second, and a marked one on all."""
     one = lambda text: F.struct(text.alias("text"))
     both = F.concat(F.when(F.col("sent_pos") % 2 == 0, F.array(one(F.upper("sentence")))).otherwise(F.array().cast("array<struct<text:string>>")), F.array(one(F.concat(F.lit("X: "), "sentence"))))
-    own, strings = with_candidates(Corpus(c.documents, c.sentences.withColumn("translations", both), c.tokens, c.fold), "translation")
+    own, strings = with_candidates(replace(c, sentences=c.sentences.withColumn("translations", both)), "translation")
     return search(own, Search("of the", "translation", "sentence"), candidates=strings)
 
 
@@ -724,7 +739,7 @@ def search_sentence_translation(c: Corpus) -> DataFrame:
 n AS (SELECT *, lead(m) OVER w AS m1, lead(sent_pos) OVER w AS s1, lead(g) OVER w AS g1 FROM i WINDOW w AS (PARTITION BY doc_id, para_pos ORDER BY sent_pos, word_pos, k))
 SELECT doc_id, para_pos, sent_pos, s1 AS last_sent, CASE WHEN g = g1 THEN g::VARCHAR ELSE g || ',' || g1 END AS places FROM n WHERE starts_with(lower(m), 'th') AND ends_with(lower(m1), 'on') AND s1 = sent_pos""")
 def search_sequence_morpheme(c: Corpus) -> DataFrame:
-    own = Corpus(c.documents, c.sentences, _read_words(c), c.fold)
+    own = replace(c, tokens=_read_words(c))
     return _sequence(own, query="th* *on", level="morpheme")
 
 
@@ -738,10 +753,15 @@ def search_cross_split(c: Corpus) -> DataFrame:
     return search(c, Search("tion <BREAK> the", level="sentence"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND contains(lower(p_brand), '1') AND p_size > 10")
+@query("SELECT p_partkey, p_name AS form FROM part WHERE contains(lower(p_name), 'a') AND contains(lower(p_brand), 'd#1')")
 def dict_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part").where("p_size > 10")
-    return rows.where(keys.dict_key(F.col("p_name")).contains("a") & keys.norm_meta(F.col("p_brand")).contains("1")).select("p_partkey", "p_name")
+    entries = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("form"), F.col("p_brand").alias("gloss"))
+    return lexicon.browse(entries, "A", {"gloss": "D#1"}).select("p_partkey", "form")
+
+
+@on_corpus(f"WITH {O.ANN} SELECT id, form, gloss FROM entry WHERE contains(lower(form), 'ti') AND contains(coalesce(gloss, ''), 'on')")
+def lexicon_browse(c: Corpus) -> DataFrame:
+    return lexicon.browse(lexicon_of(c), "Ti", {"gloss": "ON"}, c.fold).select("id", "form", "gloss")
 
 
 # --- concordance ---------------------------------------------------------------------------------
@@ -945,9 +965,7 @@ def form_index(c: Corpus) -> DataFrame:
 a AS (SELECT key, arg_max(value, (n, value)) AS value, sum(n) AS uses FROM s GROUP BY key) SELECT * FROM a UNION ALL SELECT lower(n_name), n_name, 0 FROM nation WHERE lower(n_name) NOT IN (SELECT key FROM a)""")
 def gloss_pool(c: Corpus) -> DataFrame:
     uses = annotated(c).where("gloss is not null").select(F.col("form").alias("value")).unionByName(lexicon_of(c).select(F.col("gloss").alias("value")))
-    spark = c.tokens.sparkSession
-    folder = c.documents.inputFiles()[0].rsplit("/documents.parquet", 1)[0]
-    return lexicon.tag_pool(uses, spark.read.parquet(f"{folder}/nation.parquet").select(F.col("n_name").alias("value")))
+    return lexicon.tag_pool(uses, read(c.tokens.sparkSession, c.folder, "nation").select(F.col("n_name").alias("value")))
 
 
 @on_corpus(f"WITH {O.ANN}, v AS (SELECT type, replace(replace(left(form, 4), 'İ', 'I'), 'ı', CASE WHEN length(form) % 2 = 0 THEN 'I' ELSE 'ı' END) AS form FROM (SELECT type, replace(form, 'i', 'ı') AS form FROM entry)), k AS (SELECT type, lower(form) AS plain, lower(replace(form, 'I', 'ı')) AS key FROM v) SELECT key, type, count(*) AS entries, count(DISTINCT plain) AS old_keys, CASE WHEN count(DISTINCT plain) > 1 THEN 'fork' ELSE 'homograph' END AS kind FROM k GROUP BY 1, 2 HAVING count(*) >= 2")
