@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -37,7 +39,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, True)
+    target = os.path.join(folder, f"{root.name}.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, str(Path(root.name) / path.relative_to(root)))
