@@ -1,8 +1,8 @@
 """An index of forms: trigrams of the different forms, and places of each form as lists cut by documents.
 
 A search asks the small tables first: a pattern's literal pieces give trigrams, forms that have them all are candidates,
-the pattern decides, and only the lists of the forms it takes are read. Lists are sorted by form in small row groups, so
-that a scan skips those without a wanted form. A list holds the places of one form in DOCS documents, with doc_id as the
+the pattern decides, and only the lists of the forms it takes are read. Lists are sorted by form in small row groups of each
+file, so that a scan skips those without a wanted form; they stay where their aggregate made them and are shuffled once. A list holds the places of one form in DOCS documents, with doc_id as the
 distance from the first of these, so the commonest word is many rows and no list grows with the corpus.
 """
 
@@ -40,7 +40,7 @@ def build_index(tokens: DataFrame, path: str, fold: Fold = Fold(), morphemes: Da
     one = F.struct((F.col("doc_id") - block * DOCS).cast("int").alias("doc"), "para_pos", "sent_pos", "word_pos")
     lists = uses.groupBy("kind", "form_key", "form", block.alias("block")).agg(F.array_sort(F.collect_list(one)).alias("places"))
     order = ["form_key", "form", "kind", "block"]
-    lists.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/lists")
+    lists.sortWithinPartitions(*order).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/lists")
     spark = tokens.sparkSession
     lists = spark.read.parquet(f"{path}/lists")
     lists.groupBy("kind", "form_key", "form").agg(F.sum(F.size("places")).alias("n")).orderBy("form_key", "form").write.parquet(f"{path}/forms")
