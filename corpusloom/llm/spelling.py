@@ -10,6 +10,7 @@ word without that letter (other deletions that agree take the same letter of a r
 pair comes twice. Words that share a key are that key with one letter more or none, so a key has at most letters times
 places of them, whatever the corpus holds, and no list grows with the input. Fingerprints of a word are made from sums over
 its prefixes, in time and space proportional to its length; words above `CARRIED` letters are fetched for their comparison.
+Joins are merges by hint: a stored table below the limit for broadcasts is many times its size in the driver's memory.
 
 Cases: null and empty texts have no runs, and rows without doc_id are left out; equal rows count each; a run of any
 length is one word; equal counts of near words go to the first in code-point order; an empty table or one without any word
@@ -93,12 +94,12 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_pairs(words: DataFrame) -> DataFrame:
     """(id, other, other_n, other_word): each pair of words at distance one, once from either side."""
     keys = words.mapInArrow(_emit, KEYS)
-    pair = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    pair = keys.alias("a").join(keys.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
     side = lambda s: F.struct(F.col(f"{s}.id").alias("id"), F.col(f"{s}.n").alias("n"), F.col(f"{s}.word").alias("word"))
     both = pair.select(side("a").alias("a"), side("b").alias("b"))
     one = F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1
     short = both.where(F.col("a.word").isNotNull() & F.col("b.word").isNotNull()).where(one)
-    full = lambda s: words.select(F.col("id").alias(f"{s}_id"), F.col("word").alias(f"{s}_word"))
+    full = lambda s: words.select(F.col("id").alias(f"{s}_id"), F.col("word").alias(f"{s}_word")).hint("merge")
     long = both.where(F.col("a.word").isNull() | F.col("b.word").isNull()).join(full("a"), F.col("a.id") == F.col("a_id")).join(full("b"), F.col("b.id") == F.col("b_id"))
     long = long.select(F.col("a").withField("word", F.col("a_word")).alias("a"), F.col("b").withField("word", F.col("b_word")).alias("b")).where(one)
     turned = short.unionByName(long).select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"))
@@ -110,7 +111,7 @@ def roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
     at = scratch.save(forms.select("id", F.col("form_id").alias("root")), "roots-0")
     for k in range(1, 64):
         further = at.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        step = at.join(further, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        step = at.join(further.hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         step = scratch.save(step, f"roots-{k}")
         at = step.select("id", "root")
         if not step.where("moved").limit(1).count():
@@ -124,8 +125,8 @@ def group_spellings(docs: DataFrame, how: Spelling = Spelling()) -> DataFrame:
     words = scratch.save(counted(documents(docs), how).withColumn("id", F.monotonically_increasing_id()), "words")
     best = F.min(F.struct((-F.col("other_n")).alias("n"), F.col("other_word").alias("word"), F.col("other").alias("id"))).alias("best")
     near = scratch.save(near_pairs(words).groupBy("id").agg(F.count("*").alias("n_near"), best), "near")
-    linked = near.join(words.select("id", "n"), "id").where(-F.col("best.n") >= how.times * F.col("n"))
+    linked = near.join(words.select("id", "n").hint("merge"), "id").where(-F.col("best.n") >= how.times * F.col("n"))
     forms = scratch.save(linked.select("id", F.col("best.id").alias("form_id"), F.col("best.word").alias("form"), (-F.col("best.n")).alias("form_n")), "forms")
-    ends = roots(forms, scratch).join(words.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
-    out = words.join(near.select("id", "n_near"), "id", "left").join(forms.join(ends, "id").select("id", "form", "form_n", "root_word"), "id", "left")
+    ends = roots(forms, scratch).join(words.select(F.col("id").alias("root"), F.col("word").alias("root_word")).hint("merge"), "root").select("id", "root_word")
+    out = words.join(near.select("id", "n_near").hint("merge"), "id", "left").join(forms.join(ends.hint("merge"), "id").select("id", "form", "form_n", "root_word").hint("merge"), "id", "left")
     return out.select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")

@@ -231,3 +231,16 @@ def test_trees_learn_an_interaction():
     fresh = r.random((500, 4))
     right = (Boosted(x, y).raw(fresh) > 0) == ((fresh[:, 0] > 0.5) ^ (fresh[:, 1] > 0.3))
     assert right.mean() > 0.93
+
+
+def test_spellings_broadcast_nothing(spark):
+    """Stored tables below the limit for broadcasts stay off the driver, and leave no file of success."""
+    from corpusloom.llm import spelling
+
+    words = spark.createDataFrame([(i, f"wordlike{chr(97 + i)}", 5) for i in range(9)], "id long, word string, n long")
+    pairs = spelling.near_pairs(words)
+    assert pairs.count() == 72 and "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    out = group_spellings(spark.createDataFrame([(0, "lettering lettering letterin letterin " * 9)], "doc_id long, text string"), Spelling(noise=1000))
+    assert out.count() == 2
+    out.collect()
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
