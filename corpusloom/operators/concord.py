@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..corpus import PARAGRAPH
 from ..functions.keys import Fold, dict_key
+from ..functions.text import norm_token
 from ..session import remove, shared_folder
 
 LINE = [*PARAGRAPH, "hit", "g_start"]
+#: Places of a paragraph that are shuffled together.
+STRETCH = 64
 
 
 def token_nodes(matched: DataFrame) -> DataFrame:
@@ -39,12 +42,32 @@ def paragraph_arrays(tokens: DataFrame, extra: list[str] = []) -> DataFrame:  #
     return tokens.groupBy(*PARAGRAPH).agg(F.array_sort(F.collect_list(kept)).alias("stream"))
 
 
-def kwic(tokens: DataFrame, nodes: DataFrame, context: int = 12, full: bool = False, cap: int | None = None) -> DataFrame:
+def stretches(words: DataFrame) -> DataFrame:
+    """Sentences with their words cut where the places of the paragraph reach a multiple of STRETCH: block, first place and words of each part."""
+    end = F.col("g0") + F.size("words")
+    blocks = F.sequence(F.floor(F.col("g0") / STRETCH), F.floor((end - 1) / STRETCH))
+    rows = words.where(F.size("words") > 0).select(*PARAGRAPH, "sent_pos", "g0", "words", F.explode(blocks).alias("block"))
+    first = F.greatest(F.col("g0"), F.col("block") * STRETCH).cast("int")
+    return rows.select(*PARAGRAPH, "sent_pos", "block", first.alias("first"), F.slice("words", first - F.col("g0") + 1, F.lit(STRETCH) - F.pmod(first, F.lit(STRETCH))).alias("part"))
+
+
+def windows(words: DataFrame, found: DataFrame, context: int) -> DataFrame:
+    """The places of each run's window with their tokens, from sentences with their words: parts of sentences are shuffled, and only tokens of windows become rows."""
+    low, high = F.greatest(F.col("g_start") - context, F.lit(0)).cast("int"), (F.col("g_end") + context).cast("int")
+    runs_in = found.select("*", low.alias("low"), high.alias("high")).withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / STRETCH), F.floor(F.col("high") / STRETCH))))
+    seen = runs_in.join(stretches(words), [*PARAGRAPH, "block"])
+    skip = F.greatest(F.col("low") - F.col("first"), F.lit(0))
+    cut = F.slice("part", skip + 1, F.greatest(F.col("high") - F.col("first") - skip + 1, F.lit(0)))
+    seen = seen.select(*LINE, "g_end", "sent_pos", (F.col("first") + skip).alias("from"), F.posexplode(cut).alias("i", "form"))
+    return seen.select(*LINE, "g_end", "sent_pos", (F.col("from") + F.col("i")).alias("g"), "form", norm_token(F.col("form")).alias("norm"))
+
+
+def kwic(tokens: DataFrame, nodes: DataFrame, context: int = 12, full: bool = False, cap: int | None = None, words: DataFrame | None = None) -> DataFrame:
     """A line for each run: left, node and right tokens, and whether the window crosses a sentence's edge.
 
     Each run is spread over the places of its window and joined with the tokens at these places, so a line costs its own
     width, whatever the paragraph's length. A full line is its whole paragraph by definition: there the paragraphs with a
-    hit become arrays.
+    hit become arrays. words: the corpus' sentences with their words, if it has them; of these less is shuffled than of tokens.
     """
     found = runs(nodes)
     found = found if cap is None else found.orderBy(*LINE).limit(cap)
@@ -52,8 +75,11 @@ def kwic(tokens: DataFrame, nodes: DataFrame, context: int = 12, full: bool = Fa
     if full:
         window = found.join(paragraph_arrays(tokens.join(found.select(*PARAGRAPH).distinct(), PARAGRAPH, "left_semi")), PARAGRAPH).withColumnRenamed("stream", "window")
     else:
-        places = found.withColumn("g", F.explode(F.sequence(F.greatest(start - context, F.lit(0)), end + context)))
-        seen = places.join(tokens.select(*PARAGRAPH, "g", "form", "norm", "sent_pos"), [*PARAGRAPH, "g"])
+        if words is None:
+            places = found.withColumn("g", F.explode(F.sequence(F.greatest(start - context, F.lit(0)), end + context)))
+            seen = places.join(tokens.select(*PARAGRAPH, "g", "form", "norm", "sent_pos"), [*PARAGRAPH, "g"])
+        else:
+            seen = windows(words, found, context)
         window = seen.groupBy(*LINE, "g_end").agg(F.array_sort(F.collect_list(F.struct("g", "form", "norm", "sent_pos"))).alias("window"))
     part = lambda test: F.filter("window", test)
     lines = window.withColumns({"left": part(lambda t: t["g"] < start), "node": part(lambda t: t["g"].between(start, end)), "right": part(lambda t: t["g"] > end)})

@@ -116,3 +116,19 @@ def test_readings_are_made_once(spark):
     assert plan_of(q["search_translit"](spark, folder)).count("split(") == 1
     plan = plan_of(q["search_sentence_translit"](spark, folder))
     assert plan.count("split(") == 1 and plan.count("Aggregate [") == 1 and "Join" not in plan
+
+
+def test_windows_from_sentences(spark, tmp_path):
+    """Lines from sentences with their words are those from tokens, and no token becomes a row for them but those of a window."""
+    from corpusloom.operators import concord
+    from corpusloom.plans.pattern import compile_glob
+    from corpusloom.plans.search import matched_tokens
+
+    long = " ".join(f"w{i} the, - x." if i % 9 == 4 else f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(0, "en", "s", f"the\n\n{long}. The end."), (1, "en", "s", "A the. The. " + "y " * 63 + "the z. " * 70)], "doc_id long, lang string, source string, text string")
+    c = C.build(docs, f"{tmp_path}/c")
+    nodes = concord.token_nodes(matched_tokens(c.tokens, compile_glob("the")))
+    for context in (0, 3, 200):
+        old, new = (concord.flat(concord.kwic(c.tokens, nodes, context, words=w)) for w in (None, c.words))
+        assert sorted(map(tuple, old.collect())) == sorted(map(tuple, new.collect())) and new.count() > 100
+    assert plan_of(new).count("posexplode(words") == 1 < plan_of(old).count("posexplode(words")
