@@ -264,3 +264,26 @@ def test_latin_runs_end_no_sentence(spark):
     whole = T.SENTENCE.replace(T.INNER, rf"[^\n{T.TERMINALS}]*+")
     rows = docs.select(T.split_sentences(F.col("s")).alias("a"), F.filter(F.transform(F.regexp_extract_all("s", F.lit(whole), F.lit(0)), lambda s: F.trim(s, F.lit(T.SPACES))), lambda s: s != "").alias("b")).collect()
     assert all(r.a == r.b for r in rows) and len({len(r.a) for r in rows}) > 1
+
+
+def test_index_shuffles_text_alone(spark, tmp_path):
+    """The index of a corpus comes from its paragraphs, without words being stored; rows of tokens and of morphemes give the same."""
+    from corpusloom import queries as Q
+    from corpusloom.plans.index import build_index
+
+    docs = [(r.doc_id, r.lang, r.source, r.text) for r in spark.createDataFrame(_DOCS, "doc_id long, lang string, source string, text string").collect()]
+    docs += [(300, "en", "s", "abcdabcd abcd-abcd. abcdefghi ab-cd- -x"), (-1, "en", "s", "The abcd, the abcdefgh")]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/d/documents.parquet")
+    c = C.open_corpus(spark, f"{tmp_path}/d")
+    found = Q.QUERIES["form_postings"](spark, f"{tmp_path}/d")
+    assert "words" not in vars(c)
+    got = _rows(found)
+    morphemes = Q._read_words(c).select("doc_id", "para_pos", "sent_pos", "word_pos", F.explode("morphemes.form").alias("form"))
+    one = F.concat_ws(".", F.col("doc_id") - F.floor(F.col("doc_id") / 256) * 256, "para_pos", "sent_pos", "word_pos")
+    place = F.struct("doc_id", "para_pos", "sent_pos", "word_pos", one.alias("text"))
+    uses = c.tokens.select(F.lit("word").alias("kind"), "form", place.alias("p"), "doc_id").unionByName(morphemes.select(F.lit("morpheme").alias("kind"), "form", place.alias("p"), "doc_id"))
+    want = uses.groupBy("kind", F.lower("form").alias("form_key"), "form", F.floor(F.col("doc_id") / 256).alias("block")).agg(F.array_join(F.array_sort(F.collect_list("p"))["text"], " ").alias("places"))
+    assert got == _rows(want) and any(r.kind == "morpheme" and r.form == "abcd" and r.block == 1 and r.places.startswith("44.0.0.0 44.0.0.0 ") for r in found.collect())
+    given = build_index(c.tokens, f"{tmp_path}/i", c.fold, morphemes)
+    assert got == _rows(given.lists.select(*found.columns[:-1], F.col("uses").alias("places")))
+    assert _rows(given.lists.select("kind", "form", "block", F.size("places").cast("long").alias("n"))) == _rows(given.lists.select("kind", "form", "block", "n"))
