@@ -6,8 +6,9 @@ an id wins, an add of a live id is skipped, a del of a missing one does nothing.
 As a stream, each id has a state that outlives its micro-batch: whether it is live and what its last records with effect
 said. So any cut of a log into micro-batches ends as the batch replay does, also over a restart from the checkpoint. A
 record at or before the last line that an id has seen is a repeated delivery and changes nothing. The state lies in
-RocksDB on the executors and in the checkpoint; a micro-batch's records of one id are sorted in memory, so a source's
-maxFilesPerTrigger bounds a task.
+RocksDB on the executors and in the checkpoint. Ids are grouped by their hash into buckets, whose states are one value: Python is
+called, and the store asked, once for each bucket that a micro-batch touches and not for each id. A bucket's states and a micro-batch's
+records of it are in memory together, so a source's maxFilesPerTrigger bounds a task.
 """
 
 from __future__ import annotations
@@ -194,7 +195,8 @@ def compact(base: Base, records: DataFrame, truncate: Callable[[int], None] = la
     return new
 
 
-STATE = "live boolean, rec string, parent string, index int, line_no long, seen long"
+#: Buckets of ids; a checkpoint holds for one number of them.
+BUCKETS = 1024
 STATES = "t string, id string, live boolean, rec string, parent string, index int, line_no long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -224,35 +226,52 @@ def advance(state: State, records: Iterable[tuple[int, str, str | None, str | No
 
 
 class _LastWrites(StatefulProcessor):
+    """States of a bucket's ids, as JSON lines of t, id and the fields of State."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", STATE)
+        self.bucket = handle.getValueState("bucket", "states string")
 
-    def _get(self) -> State:
-        return State(*self.last.get()) if self.last.exists() else State()
+    def _get(self) -> dict[tuple[str, str], list]:
+        held = json.loads(self.bucket.get()[0]) if self.bucket.exists() else []
+        return {(t, i): own for t, i, *own in held}
 
-    def _put(self, s: State) -> None:
-        self.last.update((s.live, s.rec, s.parent, s.index, s.line_no, s.seen))
+    def _put(self, states: dict[tuple[str, str], list]) -> None:
+        self.bucket.update((json.dumps([[*key, *own] for key, own in states.items()], ensure_ascii=False),))
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        self._put(State(True, _plain(initialState["rec"].iloc[0]), line_no=-1, seen=-1))
+        states = self._get()  # a bucket may come in parts
+        for t, i, rec in zip(*_columns(initialState, ["t", "id", "rec"]), strict=True):
+            states[t, i] = [True, rec, None, None, -1, -1]
+        self._put(states)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        every = [tuple(map(_plain, r)) for part in rows for r in part[["line_no", "op", "rec", "parent", "index"]].itertuples(index=False)]
-        every.sort(key=lambda r: (r[0], r[1]))
-        old = self._get()
-        new = advance(old, ((r[0], r[1], r[2], r[3], None if r[4] is None else int(r[4])) for r in every))
-        if new != old:
-            self._put(new)
-        if new.line_no != old.line_no:
-            row = {"t": [key[0]], "id": [key[1]], "live": [new.live], "rec": [new.rec], "parent": [new.parent], "index": pd.array([new.index], "Int32"), "line_no": [new.line_no]}
-            yield pd.DataFrame(row)
+        every: dict[tuple[str, str], list] = {}
+        for part in rows:
+            for t, i, *record in zip(*_columns(part, ["t", "id", "line_no", "op", "rec", "parent", "index"]), strict=True):
+                every.setdefault((t, i), []).append(record)
+        states, changed, out = self._get(), False, []
+        for own, records in every.items():
+            records.sort(key=lambda r: (r[0], r[1]))
+            old = State(*states[own]) if own in states else State()
+            new = advance(old, records)
+            if new != old:
+                states[own], changed = [new.live, new.rec, new.parent, new.index, new.line_no, new.seen], True
+            if new.line_no != old.line_no:
+                out.append((*own, new.live, new.rec, new.parent, new.index, new.line_no))
+        if changed:
+            self._put(states)
+        if out:
+            made = pd.DataFrame(out, columns=["t", "id", "live", "rec", "parent", "index", "line_no"])
+            yield made.astype({"index": "Int32"})
 
     def close(self) -> None:
         return
 
 
-def _plain(value: Any) -> Any:
-    return None if pd.isna(value) else value
+def _columns(frame: pd.DataFrame, names: list[str]) -> list[list]:
+    """Columns as lists, with None for nulls and whole numbers as such."""
+    whole = {"line_no", "index"}
+    return [[None if v is None or v != v else int(v) if c in whole else v for v in frame[c].tolist()] for c in names]
 
 
 def stream_state(records: DataFrame, base: DataFrame | None = None) -> DataFrame:
@@ -263,9 +282,10 @@ def stream_state(records: DataFrame, base: DataFrame | None = None) -> DataFrame
     spark = records.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    own = records.where(F.col("op").isin("put", "add", "del")).select("t", "id", "op", "line_no", "rec", "parent", "index")
-    start = None if base is None else base.select("t", "id", "rec").groupBy("t", "id")
-    return own.groupBy("t", "id").transformWithStateInPandas(statefulProcessor=_LastWrites(), outputStructType=STATES, outputMode="Update", timeMode="None", initialState=start)
+    bucket = F.pmod(F.xxhash64("t", "id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    own = records.where(F.col("op").isin("put", "add", "del")).select(bucket, "t", "id", "op", "line_no", "rec", "parent", "index")
+    start = None if base is None else base.select(bucket, "t", "id", "rec").groupBy("bucket")
+    return own.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_LastWrites(), outputStructType=STATES, outputMode="Update", timeMode="None", initialState=start)
 
 
 def stream_replay(records: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "1 second", base: DataFrame | None = None):

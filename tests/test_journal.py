@@ -93,3 +93,44 @@ def test_compaction_is_one_commit(spark, tmp_path):
     spark.createDataFrame([("c", "x", "1")], journal.TABLE).write.mode("append").parquet(f"{folder}/{last.table}")
     with pytest.raises(ValueError):
         journal.compact(last, log.unionByName(spark.createDataFrame([("put", "c", "n", None, None, "1", 99)], journal.SCHEMA)))
+
+
+def test_stream_asks_the_store_by_buckets():
+    """Python is called once for each bucket of a micro-batch; nulls, and a bucket whose base comes in parts, keep their states."""
+    class Handle:
+        held = None
+        asked = 0
+
+        def getValueState(self, name, schema):
+            return self
+
+        def exists(self):
+            self.asked += 1
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    import pandas as pd
+
+    p, h = journal._LastWrites(), Handle()
+    p.init(h)
+    for i in range(2):
+        p.handleInitialState((0,), pd.DataFrame({"t": ["c"] * 50, "id": [f"b{i}{k}" for k in range(50)], "rec": [None if k % 7 == 0 else "é\n\"" for k in range(50)]}), None)
+    log = [("c", f"b{k % 2}{k % 50}", k, ("put", "add", "del")[k % 3], f"v{k}", None, None if k % 4 else k) for k in range(300)] + [("c", None, 301, "add", None, "p", None)]
+    h.asked = 0
+    frames = [pd.DataFrame(log[i::2], columns=["t", "id", "line_no", "op", "rec", "parent", "index"]) for i in (1, 0)]
+    (out,) = p.handleInputRows((0,), iter(frames), None)
+    assert h.asked == 1
+    want = {}
+    for key in {(r[0], r[1]) for r in log}:
+        base = State(True, None if key[1] and int(key[1][2:]) % 7 == 0 else "é\n\"", line_no=-1, seen=-1) if key[1] else State()
+        new = advance(base, [(r[2], r[3], r[4], r[5], r[6]) for r in log if r[:2] == key])
+        if new.line_no != base.line_no:
+            want[key] = (new.live, new.rec, new.parent, new.index, new.line_no)
+    got = {tuple(r[:2]): tuple(None if pd.isna(v) else v for v in r[2:]) for r in out.itertuples(index=False)}
+    assert got == want and any(v[3] is not None for v in want.values())
+    assert not list(p.handleInputRows((0,), iter(frames), None))  # delivered again
