@@ -182,6 +182,6 @@ def places(index: FormIndex, found: DataFrame, kind: str = "word") -> DataFrame:
 
 def search_index(index: FormIndex, q: Token, kind: str = "word", cap: int | None = None) -> DataFrame:
     """The hits that a search of the token table gives, from the index alone."""
-    rows = places(index, matching_forms(index, q, kind), kind).select(*SENTENCE, "word_pos").distinct()
-    hits = rows.groupBy(*SENTENCE).agg(F.sort_array(F.collect_list("word_pos")).alias("words"))
+    rows = places(index, matching_forms(index, q, kind), kind)
+    hits = rows.groupBy(*SENTENCE).agg(F.sort_array(F.collect_set("word_pos")).alias("words"))  # morphemes of one word may be several
     return hits if cap is None else hits.orderBy(*SENTENCE).limit(cap)

@@ -289,6 +289,14 @@ def test_index_shuffles_text_alone(spark, tmp_path):
     assert _rows(given.lists.select("kind", "form", "block", F.size("places").cast("long").alias("n"))) == _rows(given.lists.select("kind", "form", "block", "n"))
 
 
+def test_index_hits_take_one_shuffle(spark, tmp_path):
+    """Words of a sentence's hits are told apart where they are collected."""
+    from corpusloom import queries as Q
+
+    _small(spark, str(tmp_path))
+    assert plan_of(Q.QUERIES["index_exact"](spark, str(tmp_path))).count("Aggregate [") == 1
+
+
 def test_copies_of_words_by_place(spark, tmp_path):
     """Sentences without an earlier one have no key to be joined by, and no word waits in an array; heads go where both words have a partner."""
     from corpusloom import queries as Q
